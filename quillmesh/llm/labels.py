@@ -20,9 +20,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "
     return rename_columns(docs, doc_id=id_col, text=text_col).join(known, "doc_id")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """At most so many rows, the same ones at every run: those whose ids have the least hashes. An explicit bound for fitting only."""
-    return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def bounded(df: DataFrame, rows: int, of: int) -> DataFrame:
+    """About so many rows of a table of `of` rows (all, if it has no more), chosen by the ids' hashes: the same ones at
+    every run. An explicit bound, for fitting only."""
+    return df if of <= rows else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / of * (1 << 30)))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, mix64, ragged, rename_columns, slices, texts, written
+from .common import alnum_words, mix64, rename_columns, slices, texts, written
 from .labels import bounded, fit_logistic, fold, labelled, sigmoid
 
 
@@ -58,6 +58,7 @@ class Model:
     name: str = ""
 
 
+FEATURES = 5
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -142,15 +143,15 @@ def fit(train: DataFrame, held_back: DataFrame, params: Params = Params()) -> Mo
         letters[r["letter"]] = r["count"]
     letter = (letters + 0.5) / (letters.sum() + 128)
     d, n = p.discount, np.maximum(twos["n"], 1)
-    model = Model(np.stack([full["plain"], full["toxic"]]), np.stack([history["plain"], history["toxic"]]), np.stack([history["kp"], history["kt"]]), np.maximum(pairs["n"] - d, 0), np.stack([n, np.where(twos["n"] > 0, d * twos["kinds"] / n, 1)]), letter, np.zeros(5))
+    model = Model(np.stack([full["plain"], full["toxic"]]), np.stack([history["plain"], history["toxic"]]), np.stack([history["kp"], history["kt"]]), np.maximum(pairs["n"] - d, 0), np.stack([n, np.where(twos["n"] > 0, d * twos["kinds"] / n, 1)]), letter, np.zeros(FEATURES + 1))
     sent = spark.sparkContext.broadcast(model)
-    got = bounded(held_back, p.calibration_rows).select("text", "y").mapInArrow(partial(_measured, model=sent, p=p), "y int, x array<double>").toPandas()
-    x, y = np.array(got["x"].tolist(), float).reshape(-1, 4), got["y"].to_numpy(float)
+    got = bounded(held_back, p.calibration_rows, held_back.count()).select("text", "y").mapInArrow(partial(_measured, model=sent, p=p), "y int, x array<double>").toPandas()
+    x, y = np.array(got["x"].tolist(), float).reshape(-1, FEATURES), got["y"].to_numpy(float)
     if len(set(y)) == 2:
         weights = fit_logistic(x, y)
     else:
         share = (y.sum() + 0.5) / (len(y) + 1)
-        weights = np.array([0, 0, 0, 0, np.log(share / (1 - share))])
+        weights = np.append(np.zeros(FEATURES), np.log(share / (1 - share)))
     return Model(**{**model.__dict__, "weights": weights, "name": uuid.uuid4().hex})
 
 
@@ -174,18 +175,19 @@ class _Scorer:
             self.known.update(zip(some, ratio.tolist(), strict=True))
 
     def features(self, batch: list[str]) -> np.ndarray:
-        """Per text: mean over its letters, then of its words' means the greatest, the mean of the top greatest, and the share above 0.5."""
+        """Per text: the log-ratio per letter; of its words, the greatest and the mean of the top log-ratios per letter and
+        the share above one half; of its different words, the number above one half (as a logarithm)."""
         if len(self.known) > self.p.cache:
             self.known = {}
         split = [_pieces(t, self.p.longest) for t in batch]
         self._learn(list(set().union(*split).difference(self.known)))
-        out = np.zeros((len(batch), 4))
+        out = np.zeros((len(batch), FEATURES))
         for i, words in enumerate(split):
             if words:
                 r = np.fromiter(map(self.known.__getitem__, words), float, len(words))
                 k = min(self.p.top, len(r))
                 high = np.partition(r, len(r) - k)[len(r) - k :]
-                out[i] = np.average(r, weights=np.fromiter(map(len, words), float, len(words))), high.max(), high.sum() / self.p.top, (r > 0.5).mean()
+                out[i] = np.average(r, weights=np.fromiter(map(len, words), float, len(words))), high.max(), high.sum() / self.p.top, (r > 0.5).mean(), np.log1p(len({w for w, x in zip(words, (r > 0.5).tolist(), strict=True) if x}))
         return out
 
 
