@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, id_files, minhash_dedup, packing, pii, quality, toxicity
+from . import decontaminate, embedding_dedup, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -53,8 +57,8 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_license_scan": licenses.oracle(), "op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
