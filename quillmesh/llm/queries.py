@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
+from . import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op7_html_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:
