@@ -10,7 +10,7 @@ Stages, all linear in the number of documents unless different texts really are
    every member is a candidate with its pivot (a star, not all pairs).
 4. Candidates whose sketches agree enough are verified on the full shingle sets of their texts; what verifies is
    linked. First each document with its likeliest pivot, then the candidates that are still in different components.
-5. Buckets that still hold several components are compared in full, block by block, across components only. So no
+5. Buckets that still hold several components are compared in full by larger sketches, block by block, across components only. So no
    link between different texts is lost to the star, and no bucket is gathered in one task.
 """
 
@@ -34,7 +34,8 @@ from .components import components
 class Params:
     """width: words in a shingle. similarity: in hundredths. bands * rows: sketch coordinates. block: members of a
     bucket that are compared in one piece. margin: how far (in standard deviations of the estimate) below the
-    similarity a sketch may fall and still be verified."""
+    similarity a sketch may fall and still be verified. fine, fine_margin: the same for the larger sketch that the
+    members of buckets with several components get."""
 
     width: int = 5
     similarity: int = 75
@@ -42,6 +43,8 @@ class Params:
     rows: int = 4
     block: int = 256
     margin: float = 5.0
+    fine: int = 512
+    fine_margin: float = 4.0
 
     @property
     def size(self) -> int:
@@ -50,8 +53,15 @@ class Params:
     @property
     def least_equal(self) -> int:
         """Coordinates that must agree for a pair to be verified."""
-        s = self.similarity / 100
-        return int(self.size * (s - self.margin * (s * (1 - s) / self.size) ** 0.5))
+        return _least(self.similarity / 100, self.size, self.margin)
+
+    @property
+    def least_fine(self) -> int:
+        return _least(self.similarity / 100, self.fine, self.fine_margin)
+
+
+def _least(similarity: float, size: int, margin: float) -> int:
+    return int(size * (similarity - margin * (similarity * (1 - similarity) / size) ** 0.5))
 
 
 def shingles(text: str, width: int = 5) -> np.ndarray:
@@ -117,6 +127,13 @@ def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         )
 
 
+def _finely(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """(rep, text) -> (rep, marks) of the larger sketch."""
+    for batch in slices(batches):
+        marks = [(sketch(shingles(t, p.width), p.fine) & np.uint64(255)).astype(np.uint8).tobytes() for t in texts(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(marks, pa.binary())], names=["rep", "marks"])
+
+
 def _marks(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
@@ -152,7 +169,7 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
     def pairs(t: pa.Table) -> pa.RecordBatch:
         key = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
         rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
-        m = _marks(t.column("marks"), p.size)
+        m = _marks(t.column("marks"), p.fine)
         x, y = key[1], key[2]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         d = 1
@@ -164,7 +181,7 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
             i, j = (q[(comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j]))] for q in (i, j))
             for k in range(0, len(i), 65536):
                 ii, jj = i[k : k + 65536], j[k : k + 65536]
-                ok = (m[ii] == m[jj]).sum(axis=1) >= p.least_equal
+                ok = (m[ii] == m[jj]).sum(axis=1) >= p.least_fine
                 a.append(np.minimum(rep[ii[ok]], rep[jj[ok]]))
                 b.append(np.maximum(rep[ii[ok]], rep[jj[ok]]))
             d += 1
@@ -234,7 +251,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     mixed = written(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
     blocks = F.ceil(F.col("size") / p.block).cast("int")
-    dealt = named.join(mixed, "bucket").join(reps.select("rep", "marks"), "rep").withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    named = written(named.join(mixed, "bucket"))
+    fine = bodies.join(named.select("rep").distinct(), "rep", "left_semi").mapInArrow(partial(_finely, p=p), "rep long, marks binary")
+    dealt = named.join(fine, "rep").withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "marks")
     third = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_across, p=p), "a long, b long").distinct()
