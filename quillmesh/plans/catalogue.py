@@ -1,9 +1,344 @@
-"""Registered queries of the retrieval engine and their SQL oracles."""
+"""Registered queries of the retrieval engine and their SQL oracles.
 
+The corpus of most of them is the documents table, a file of one section for each document. Graph queries start from
+the first documents' chunks or from the entities that most chunks mention.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, text
+from ..operators import graph, retrieve
+from ..sources import corpus
+
+QUERY = "The thing with another Ration"
+SEEDS = "SELECT id FROM chunks WHERE doc_id IN (SELECT did FROM docs WHERE doc_id < 3)"
+
+_BASE = r"""
+docs AS (SELECT doc_id, text, 'd_' || substr(sha256('source/' || doc_id || '.md'), 1, 16) AS did, CAST(length(text) AS BIGINT) AS n FROM documents),
+win AS (SELECT did, text, n, unnest(generate_series(0, greatest((n - 1) // 1200, 0))) AS i FROM docs WHERE trim(text, E' \n\t\r') <> ''),
+chunks AS (SELECT did || '_s0_c' || i AS id, did AS doc_id, i, CASE WHEN i = 0 THEN 0 ELSE i * 1200 - 150 END AS s, least(n, (i + 1) * 1200) AS e, substr(text, CASE WHEN i = 0 THEN 1 ELSE i * 1200 - 149 END, least(n, (i + 1) * 1200) - CASE WHEN i = 0 THEN 0 ELSE i * 1200 - 150 END) AS text FROM win)"""
+_NAMES = r""",
+tok AS (SELECT id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: regexp_full_match(t, '[A-Z][a-zA-Z0-9]+')) AS l FROM chunks),
+occ AS (SELECT id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM tok),
+named AS (SELECT id AS chunk_id, name, min(pos) AS pos, 'e_' || substr(sha256(trim(regexp_replace(lower(name), '[^\p{L}\p{N}_]+', ' ', 'g'))), 1, 16) AS entity_id FROM occ GROUP BY id, name),
+follows AS (SELECT chunk_id, entity_id, lead(entity_id) OVER (PARTITION BY chunk_id ORDER BY pos) AS next FROM named)"""
+_GRAPH = r""",
+nodes AS (SELECT DISTINCT doc_id AS id, 'document' AS type FROM chunks UNION ALL SELECT DISTINCT doc_id || '_s0', 'section' FROM chunks UNION ALL SELECT id, 'chunk' FROM chunks UNION ALL SELECT DISTINCT entity_id, 'entity' FROM named),
+edges AS (SELECT DISTINCT doc_id AS src, doc_id || '_s0' AS dst, 'contains' AS type FROM chunks UNION ALL SELECT doc_id || '_s0', id, 'contains' FROM chunks UNION ALL SELECT DISTINCT chunk_id, entity_id, 'mentions' FROM named
+    UNION ALL SELECT DISTINCT entity_id, next, 'relates_to' FROM follows WHERE next IS NOT NULL),
+around AS (SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges)"""
+_EMBED = r""",
+hashed AS (SELECT id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: strpos('0123456789abcdef', substr(sha256(t), 64, 1)) - 1) AS h FROM chunks),
+counted AS (SELECT id, list_transform(range(0, 16), lambda i: CAST(len(list_filter(h, lambda x: x = i)) AS DOUBLE)) AS v FROM hashed),
+vectors AS (SELECT id, CASE WHEN sqrt(list_dot_product(v, v)) = 0 THEN v ELSE list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) END AS vector FROM counted),
+q0 AS (SELECT list_transform(range(0, 16), lambda i: CAST(len(list_filter(list_transform(regexp_extract_all(lower('{q}'), '[\p{L}\p{N}_]+'), lambda t: strpos('0123456789abcdef', substr(sha256(t), 64, 1)) - 1), lambda x: x = i)) AS DOUBLE)) AS v),
+q AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS qv FROM q0),
+dist AS (SELECT id, round(list_sum(list_transform(list_zip(vector, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS d FROM vectors, q)""".replace("{q}", QUERY)
+_EXPAND = r""",
+h1 AS (SELECT DISTINCT dst AS id FROM around WHERE src IN (SELECT id FROM seeds) AND dst NOT IN (SELECT id FROM seeds)),
+h2 AS (SELECT DISTINCT dst AS id FROM around WHERE src IN (SELECT id FROM h1) AND dst NOT IN (SELECT id FROM seeds) AND dst NOT IN (SELECT id FROM h1)),
+reach AS (SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2)"""
+_EVENTS = r""",
+links AS (SELECT DISTINCT 'ev_' || substr(sha256(chunk_id), 1, 16) AS event_id, entity_id FROM named),
+names AS (SELECT entity_id, min(name) AS name, trim(regexp_replace(lower(min(name)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS normal FROM named GROUP BY entity_id),
+seed_e AS (SELECT entity_id, name FROM names WHERE normal LIKE '%another%' OR normal LIKE '%ration%' ORDER BY entity_id LIMIT 50),
+s0 AS (SELECT DISTINCT event_id AS id FROM links WHERE entity_id IN (SELECT entity_id FROM seed_e)),
+s1 AS (SELECT DISTINCT b.event_id AS id FROM links a JOIN links b USING (entity_id) WHERE a.event_id IN (SELECT id FROM s0) AND b.event_id NOT IN (SELECT id FROM s0)),
+ev AS (SELECT id, 0 AS hop FROM s0 UNION ALL SELECT id, 1 FROM s1)"""
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.chunks(corpus.from_table(_t(spark, sf, "documents")))
+
+
+def _seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.chunks(corpus.from_table(_t(spark, sf, "documents").where("doc_id < 3"))).select("id")
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + "".join(parts)
+
+
+@query("SELECT doc_id, 'd_' || substr(sha256('source/' || doc_id || '.md'), 1, 16) AS id FROM documents")
+def doc_ids(spark, sf):
+    d = _t(spark, sf, "documents")
+    return d.select("doc_id", ids.doc_id(F.concat(F.lit("source/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("id"))
+
+
+@query(r"SELECT n_nationkey, 't_' || substr(sha256(lower(n_name)), 1, 16) AS tag, 'e_' || substr(sha256(trim(regexp_replace(lower(n_name), '[^\p{L}\p{N}_]+', ' ', 'g'))), 1, 16) AS entity, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation")
+def name_ids(spark, sf):
+    n = F.col("n_name")
+    return _t(spark, sf, "nation").select("n_nationkey", ids.tag_id(n).alias("tag"), ids.entity_id(n).alias("entity"), ids.slug(n).alias("slug"))
+
+
+@query("SELECT 'd_' || substr(sha256('source/' || doc_id || '.md'), 1, 16) AS id, sha256(text) AS hash FROM documents")
+def content_hash_manifest(spark, sf):
+    return corpus.from_table(_t(spark, sf, "documents")).select(ids.doc_id(F.col("path")).alias("id"), F.sha2("text", 256).alias("hash"))
+
+
+@query(_with(_BASE) + " SELECT id, doc_id, CAST(s AS INT) AS char_start, CAST(e AS INT) AS char_end, sha256(text) AS digest FROM chunks")
+def chunk_windows(spark, sf):
+    return _chunks(spark, sf).select("id", "doc_id", "char_start", "char_end", F.sha2("text", 256).alias("digest"))
+
+
+@query(_with(_BASE) + " SELECT docs.did AS doc_id, count(chunks.id) AS n_chunks FROM docs LEFT JOIN chunks ON chunks.doc_id = docs.did GROUP BY docs.did")
+def chunks_per_document(spark, sf):
+    docs = corpus.from_table(_t(spark, sf, "documents")).select(ids.doc_id(F.col("path")).alias("doc_id"))
+    return docs.join(_chunks(spark, sf).select("doc_id", "id"), "doc_id", "left").groupBy("doc_id").agg(F.count("id").alias("n_chunks"))
+
+
+@query(_with(_BASE, _NAMES, _GRAPH) + " SELECT src, dst FROM edges WHERE type = 'contains'")
+def contains_edges(spark, sf):
+    return graph.structure(_chunks(spark, sf))[1].select("src", "dst")
+
+
+@query(_with(_BASE, _NAMES, _GRAPH) + " SELECT id, type FROM nodes")
+def node_table(spark, sf):
+    return graph.build(_chunks(spark, sf))[0].select("id", "type")
+
+
+@query(_with(_BASE, _NAMES, _GRAPH) + " SELECT src, dst, type FROM edges")
+def edge_table(spark, sf):
+    return graph.build(_chunks(spark, sf))[1]
+
+
+@query(_with(_BASE, _EMBED) + " SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector FROM vectors")
+def mock_embedding(spark, sf):
+    return retrieve.vector_table(_chunks(spark, sf)).select("id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(_with(_BASE, _NAMES) + " SELECT DISTINCT chunk_id, entity_id FROM named")
+def entity_mentions(spark, sf):
+    return graph.mentions(_chunks(spark, sf)).select("chunk_id", "entity_id").distinct()
+
+
+@query(_with(_BASE, _NAMES) + " SELECT DISTINCT entity_id AS src, next AS dst FROM follows WHERE next IS NOT NULL")
+def entity_relations(spark, sf):
+    return graph.relations(_chunks(spark, sf))
+
+
+@query(_with(_BASE, _NAMES) + """, f AS (SELECT entity_id AS id, arg_min(name, (chunk_id, pos)) AS name, list_distinct(list(name)) AS names FROM named GROUP BY entity_id)
+SELECT id, name, 'concept' AS type, '' AS description, list_sort(list_filter(names, lambda x: x <> name)) AS aliases FROM f""")
+def entity_aggregate(spark, sf):
+    m = graph.mentions(_chunks(spark, sf))
+    return graph.entities(m.select("entity_id", "name", F.struct("chunk_id", "pos").alias("seq"), F.lit("concept").alias("type"), F.lit("").alias("description")))
+
+
+@query(_with(_BASE, _NAMES) + " SELECT entity_id AS id, count(DISTINCT chunk_id) AS n_mentions FROM named GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_entities(spark, sf):
+    n, e = graph.build(_chunks(spark, sf))
+    return graph.in_degree(n, e).orderBy(F.desc("n_mentions"), "id").limit(20)
+
+
+@query(_with(_BASE, _NAMES, _GRAPH) + " SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def node_type_stats(spark, sf):
+    return graph.build(_chunks(spark, sf))[0].groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(_with(_BASE, _NAMES, _GRAPH) + " SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
+def table_counts(spark, sf):
+    c = _chunks(spark, sf)
+    n, e = graph.build(c)
+    parts = [df.select(F.lit(k).alias("k")) for k, df in (("documents", _t(spark, sf, "documents")), ("chunks", c), ("nodes", n), ("edges", e))]
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return every.agg(*[F.sum((F.col("k") == k).cast("long")).alias(k) for k in ("documents", "chunks", "nodes", "edges")])
+
+
+_V0 = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings), q AS (SELECT vector AS qv FROM v WHERE id = 0)"
+
+
+def _vectors(spark, sf):
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return v, retrieve.literal(v.where("id = 0").select("vector").first()[0])
+
+
+@query(f"WITH {_V0} SELECT id, round(list_sum(list_transform(list_zip(vector, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM v, q ORDER BY list_sum(list_transform(list_zip(vector, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), id LIMIT 8")
+def knn_l2(spark, sf):
+    v, q = _vectors(spark, sf)
+    return retrieve.nearest(v, q, 8).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_V0} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS cosine FROM v, q ORDER BY list_cosine_similarity(vector, qv) DESC, id LIMIT 8")
+def knn_cosine(spark, sf):
+    v, q = _vectors(spark, sf)
+    return retrieve.nearest(v, q, 8, "cosine").select("id", F.round("cosine", 6).alias("cosine"))
+
+
+_RANKS = f"""WITH {_V0}, d AS (SELECT id, list_sum(list_transform(list_zip(vector, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS l, list_cosine_similarity(vector, qv) AS c FROM v, q),
+a AS (SELECT id, row_number() OVER (ORDER BY l, id) AS rank FROM d QUALIFY rank <= 50), b AS (SELECT id, row_number() OVER (ORDER BY c DESC, id) AS rank FROM d QUALIFY rank <= 50)"""
+
+
+def _rankings(spark, sf):
+    v, q = _vectors(spark, sf)
+    return [graph.ranked(retrieve.nearest(v, q, 50), "distance", "id"), graph.ranked(retrieve.nearest(v, q, 50, "cosine"), F.desc("cosine"), "id")]
+
+
+@query(_RANKS + " SELECT id, round(sum(s), 9) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank) FROM b) GROUP BY id")
+def rrf_fusion(spark, sf):
+    return retrieve.fuse(_rankings(spark, sf)).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_RANKS + " SELECT id, round(sum(s), 9) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM a UNION ALL SELECT id, 0.5::DOUBLE / (60 + rank) FROM b) GROUP BY id")
+def rrf_weighted(spark, sf):
+    return retrieve.fuse(_rankings(spark, sf), [1.0, 0.5]).select("id", F.round("score", 9).alias("score"))
+
+
+@query("SELECT id, source, score FROM (SELECT doc_id AS id, source, CAST(n_chars AS DOUBLE) AS score FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 2) ORDER BY score DESC, id LIMIT 20")
+def per_source_cap_topk(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.col("n_chars").cast("double").alias("score"))
+    return retrieve.cap(d, "source", 2, 20)
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _EXPAND) + " SELECT id FROM reach WHERE hop = 1")
+def graph_neighbors(spark, sf):
+    n, e = graph.build(_chunks(spark, sf))
+    return graph.expand(n, e, _seeds(spark, sf), 1).select("id")
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _EXPAND) + " SELECT id, hop FROM reach")
+def graph_expand_2hop(spark, sf):
+    n, e = graph.build(_chunks(spark, sf))
+    return graph.expand(n, e, _seeds(spark, sf), 2)
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _EXPAND.replace("FROM around WHERE", "FROM around WHERE type = 'contains' AND")) + " SELECT id, hop FROM reach")
+def graph_expand_filtered(spark, sf):
+    n, e = graph.build(_chunks(spark, sf))
+    return graph.expand(n, e, _seeds(spark, sf), 2, ["contains"])
+
+
+_INSIDE = ", inside AS (SELECT id FROM seeds UNION SELECT dst FROM around WHERE src IN (SELECT id FROM seeds))"
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _INSIDE) + " SELECT id, type FROM nodes WHERE id IN (SELECT id FROM inside)")
+def induced_subgraph_nodes(spark, sf):
+    n, e = graph.build(_chunks(spark, sf))
+    return graph.subgraph(n, e, _seeds(spark, sf))[0].select("id", "type")
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _INSIDE) + " SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM inside) AND dst IN (SELECT id FROM inside)")
+def induced_subgraph_edges(spark, sf):
+    n, e = graph.build(_chunks(spark, sf))
+    return graph.subgraph(n, e, _seeds(spark, sf))[1]
+
+
+_DEAD = ", dead AS (SELECT did AS id FROM docs WHERE doc_id % 10 = 0 UNION ALL SELECT did || '_s0' FROM docs WHERE doc_id % 10 = 0 UNION ALL SELECT id FROM chunks WHERE doc_id IN (SELECT did FROM docs WHERE doc_id % 10 = 0))"
+
+
+def _deleted(spark, sf):
+    gone = corpus.from_table(_t(spark, sf, "documents").where("doc_id % 10 = 0")).select(ids.doc_id(F.col("path")).alias("doc_id"))
+    return graph.delete_documents(*graph.build(_chunks(spark, sf)), gone)
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, _DEAD) + " SELECT src, dst, type FROM edges WHERE src NOT IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead)")
+def delete_cascade(spark, sf):
+    return _deleted(spark, sf)[1]
+
+
+@query(_with(_BASE, _NAMES, _GRAPH, _DEAD) + " SELECT id, type FROM nodes WHERE type = 'entity' AND id NOT IN (SELECT dst FROM edges WHERE type = 'mentions' AND src NOT IN (SELECT id FROM dead))")
+def reclaim_orphans(spark, sf):
+    return graph.orphans(*_deleted(spark, sf))
+
+
+@query("""SELECT CASE WHEN doc_id % 10 = 0 THEN 'removed' WHEN doc_id % 10 = 1 THEN 'build' WHEN doc_id % 10 = 2 THEN 'build' ELSE 'unchanged' END AS action, 'd_' || substr(sha256('source/' || doc_id || '.md'), 1, 16) AS id FROM documents""")
+def incremental_routing(spark, sf):
+    d = _t(spark, sf, "documents")
+    m = d.select("doc_id", ids.doc_id(F.concat(F.lit("source/"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("id"), F.sha2("text", 256).alias("hash"))
+    found = m.where("doc_id % 10 <> 0").withColumn("hash", F.when(F.col("doc_id") % 10 == 1, F.sha2(F.concat("hash", F.lit("x")), 256)).otherwise(F.col("hash")))
+    return graph.route(m.where("doc_id % 10 <> 2").select("id", "hash"), found.select("id", "hash"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 10 IN (1, 2)) AS indexed, count(*) FILTER (doc_id % 10 > 2) AS unchanged, count(*) FILTER (doc_id % 10 = 0) AS removed FROM documents")
+def index_report(spark, sf):
+    r = incremental_routing(spark, sf)
+    n = lambda a, name: F.sum((F.col("action") == a).cast("long")).alias(name)
+    return r.agg(n("build", "indexed"), n("unchanged", "unchanged"), n("removed", "removed"))
+
+
+@query("SELECT source AS id, arg_max(lang, doc_id) AS lang, max(doc_id) AS doc_id FROM documents GROUP BY source")
+def upsert_last_wins(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("source").alias("id"), "lang", "doc_id", F.col("doc_id").alias("seq"))
+    return graph.last_wins(d, ["id"], "seq").select("id", "lang", "doc_id")
+
+
+@query("SELECT source AS id, arg_min(doc_id, doc_id) AS name, coalesce(arg_min(lang, doc_id) FILTER (lang <> 'en'), '') AS type FROM documents GROUP BY source")
+def entity_fill_if_empty(spark, sf):
+    d = _t(spark, sf, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("name"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("type"), F.col("doc_id").alias("seq"))
+    return graph.fill_if_empty(d, "id", "seq", ["name"], ["type"])
+
+
+@query("SELECT DISTINCT source, lang FROM documents")
+def link_ignore(spark, sf):
+    d = _t(spark, sf, "documents").select("source", "lang")
+    return graph.insert_ignore(d.where("lang = 'en'").distinct(), d, ["source", "lang"])
+
+
+_DUAL = _with(_BASE, _NAMES, _GRAPH, _EMBED) + """, hits AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM dist QUALIFY rank <= 8),
+seeds AS (SELECT id FROM hits)""" + _EXPAND + """, g AS (SELECT id, row_number() OVER (ORDER BY hop, id) AS rank FROM reach WHERE id IN (SELECT id FROM chunks)),
+fused AS (SELECT id, sum(s) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM hits UNION ALL SELECT id, 0.5::DOUBLE / (60 + rank) FROM g) GROUP BY id),
+capped AS (SELECT id, substr(id, 1, 18) AS doc_id, score FROM fused QUALIFY row_number() OVER (PARTITION BY substr(id, 1, 18) ORDER BY score DESC, id) <= 2)
+SELECT id, doc_id, round(score, 9) AS score, id NOT IN (SELECT id FROM hits) AS from_graph FROM capped ORDER BY capped.score DESC, id LIMIT 8"""
+
+
+@query(_DUAL)
+def dual_retrieve(spark, sf):
+    c = _chunks(spark, sf)
+    n, e = graph.build(c)
+    return retrieve.dual(c, n, e, QUERY).withColumn("score", F.round("score", 9))
+
+
+@query(_with(_BASE, _EMBED) + " SELECT id, round(1 / (1 + d), 6) AS score FROM dist ORDER BY d, id LIMIT 8")
+def vector_only(spark, sf):
+    near = retrieve.nearest(retrieve.vector_table(_chunks(spark, sf)).select("id", "vector"), text.embed(F.lit(QUERY)), 8)
+    return near.select("id", F.round(retrieve.score(F.col("distance")), 6).alias("score"))
+
+
+@query(_with(_BASE, _NAMES, _EVENTS) + " SELECT entity_id, name FROM seed_e")
+def sag_seed_entities(spark, sf):
+    return retrieve.match_entities(retrieve.events(_chunks(spark, sf))[1], ["another", "ration"])
+
+
+@query(_with(_BASE, _NAMES, _EVENTS) + " SELECT id, hop FROM ev")
+def sag_expand(spark, sf):
+    links = retrieve.events(_chunks(spark, sf))[1]
+    seeds = links.join(retrieve.match_entities(links, ["another", "ration"]), "entity_id", "left_semi").select(F.col("event_id").alias("id"))
+    return retrieve.expand_events(links, seeds, 1)
+
+
+@query(_with(_BASE, _NAMES, _EVENTS) + r""", sh AS (SELECT event_id AS id, count(*) AS shared FROM links WHERE entity_id IN (SELECT entity_id FROM seed_e) GROUP BY 1),
+rows AS (SELECT 'ev_' || substr(sha256(id), 1, 16) AS id, trim(regexp_replace(lower(array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}_]+'), 1, 5), ' ')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t FROM chunks),
+r AS (SELECT ev.id, hop, coalesce(shared, 0) AS shared, CAST(len(list_intersect(list_distinct(string_split(t, ' ')), ['another', 'ration'])) AS BIGINT) AS overlap FROM ev JOIN rows USING (id) LEFT JOIN sh USING (id))
+SELECT id, hop, shared, overlap, CAST(shared + overlap AS DOUBLE) AS score FROM r ORDER BY shared DESC, overlap DESC, hop, id LIMIT 8""")
+def sag_rank_lexical(spark, sf):
+    rows, links = retrieve.events(_chunks(spark, sf))
+    return retrieve.retrieve_events(rows, links, ["another", "ration"], 8, 1)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
