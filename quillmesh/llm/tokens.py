@@ -10,6 +10,9 @@ CACHE = 1_000_000
 #: A space in byte-level vocabularies, and what parts chunks in others (texts that hold it are encoded in one piece).
 SPACE, MARK = "\u0120", "\x00"
 
+#: Marks that often end a chunk: what stands before them is looked up by itself.
+ENDS = ",."
+
 _WORKER: dict[int, ChunkEncoder] = {}
 
 
@@ -34,6 +37,7 @@ class ChunkEncoder:
             self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
         alone = self._ids([MARK])[0]
         self.mark = alone[0] if len(alone) == 1 and self._ids([f"a {MARK} b"])[0].count(alone[0]) == 1 else None
+        self.ends = {c: self._plain([f"a{c}"])[0][len(self._plain(["a"])[0]) :] for c in ENDS}
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
 
@@ -67,13 +71,22 @@ class ChunkEncoder:
         return out
 
     def _learn(self, known: dict[str, bytes | None], chunks: set[str], first: bool) -> None:
-        new = []
+        new, ended = set(), []
         for c in chunks.difference(known):
             if not c or c[0].isspace() or c[-1].isspace() or MARK in c:
                 known[c] = None
+            elif c[-1] in ENDS and c[-2:-1].isalpha():  # a letter and such a mark are pre-tokens of their own
+                ended.append(c)
+                if c[:-1] not in known:
+                    new.add(c[:-1])
             else:
-                new.append(c)
-        known.update(zip(new, self._plain(new) if first else self._in_a_row(new), strict=True))
+                new.add(c)
+        for c in [c for c in new if c[0].isspace()]:
+            known[c] = None
+            new.remove(c)
+        known.update(zip(new, self._plain(list(new)) if first else self._in_a_row(list(new)), strict=True))
+        for c in ended:
+            known[c] = None if known[c[:-1]] is None else known[c[:-1]] + self.ends[c[-1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.rest) + len(self.first) > CACHE:
