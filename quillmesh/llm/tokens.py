@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Chunks that a worker keeps; beyond it, the cache starts anew.
-CACHE = 1_000_000
+CACHE = 1_800_000
 
 #: A space in byte-level vocabularies, and what parts chunks in others (texts that hold it are encoded in one piece).
 SPACE, MARK = "\u0120", "\x00"
