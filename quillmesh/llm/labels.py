@@ -14,10 +14,15 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: Labels that are sent whole to the tasks (some 16 bytes each); beyond that, they are joined by a shuffle.
+SENT_LABELS = 2_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, y 0 or 1) of the documents with a label; a null label or id is none, several labels count as their maximum."""
     known = rename_columns(labels, doc_id=id_col, y=label_col).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
-    return rename_columns(docs, doc_id=id_col, text=text_col).join(known, "doc_id")
+    few = labels.count() <= SENT_LABELS
+    return rename_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(known) if few else known, "doc_id")
 
 
 def bounded(df: DataFrame, rows: int, of: int) -> DataFrame:

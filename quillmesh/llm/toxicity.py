@@ -233,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     and keep a null id; rows that repeat an id are scored each. Other columns are ignored; an empty table gives an
     empty result.
     """
-    known = written(labelled(docs, labels, label_col, id_col, text_col).withColumn("fold", fold("doc_id", 5)).where("fold <> 0"))
+    known = labelled(docs, labels, label_col, id_col, text_col).withColumn("fold", fold("doc_id", 5)).where("fold <> 0")
     model = fit(known.where("fold <> 4"), known.where("fold = 4"), params)
     out = score(docs, model, id_col, text_col, params)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
