@@ -10,8 +10,9 @@ Stages, all linear in the number of documents unless different texts really are
    every member is a candidate with its pivot (a star, not all pairs).
 4. Candidates whose sketches agree enough are verified on the full shingle sets of their texts; what verifies is
    linked. First each document with its likeliest pivot, then the candidates that are still in different components.
-5. Buckets that still hold several components are compared in full by larger sketches, block by block, across components only. So no
-   link between different texts is lost to the star, and no bucket is gathered in one task.
+5. Buckets that still hold several components are compared in full by larger sketches, block by block, across
+   components only, and verified there on the shingle sets until nothing is left to join. So no link between different
+   texts is lost to the star, no bucket is gathered in one task, and a block gives fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .components import components
 
 @dataclass(frozen=True)
 class Params:
-    """width: words in a shingle. similarity: in hundredths. bands * rows: sketch coordinates. block: members of a
-    bucket that are compared in one piece. margin: how far (in standard deviations of the estimate) below the
+    """width: words in a shingle. similarity: in hundredths. bands * rows: sketch coordinates. block, block_bytes:
+    members of a bucket, and bytes of their shingle sets, that are compared in one piece. margin: how far (in standard deviations of the estimate) below the
     similarity a sketch may fall and still be verified. fine, fine_margin: the same for the larger sketch that the
     members of buckets with several components get."""
 
@@ -45,6 +46,7 @@ class Params:
     margin: float = 5.0
     fine: int = 512
     fine_margin: float = 4.0
+    block_bytes: int = 32 << 20
 
     @property
     def size(self) -> int:
@@ -128,10 +130,11 @@ def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
 
 
 def _finely(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """(rep, text) -> (rep, marks) of the larger sketch."""
+    """(rep, text) -> (rep, marks) of the larger sketch, with the shingle set itself."""
     for batch in slices(batches):
-        marks = [(sketch(shingles(t, p.width), p.fine) & np.uint64(255)).astype(np.uint8).tobytes() for t in texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(marks, pa.binary())], names=["rep", "marks"])
+        sets = [shingles(t, p.width) for t in texts(batch.column("text"))]
+        marks = [(sketch(s, p.fine) & np.uint64(255)).astype(np.uint8).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(marks, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "marks", "shingles"])
 
 
 def _marks(column: pa.Array, size: int) -> np.ndarray:
@@ -154,50 +157,70 @@ def _verified(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         for ta, tb in zip(texts(batch.column("ta")), texts(batch.column("tb")), strict=True):
             if tb != last[0]:  # pairs often come sorted by one side
                 last = (tb, shingles(tb, p.width))
-            sa, sb = shingles(ta, p.width), last[1]
-            common = len(np.intersect1d(sa, sb, assume_unique=True))
-            keep.append(100 * common >= p.similarity * (len(sa) + len(sb) - common) and common > 0)
+            keep.append(_similar(shingles(ta, p.width), last[1], p))
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
 
+def _similar(sa: np.ndarray, sb: np.ndarray, p: Params) -> bool:
+    common = len(np.intersect1d(sa, sb, assume_unique=True))
+    return common > 0 and 100 * common >= p.similarity * (len(sa) + len(sb) - common)
+
+
 def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, x, y): pairs in one group, of different components, whose sketches agree enough.
+    """Rows sorted by (bucket, x, y): links that join the components of one group, verified on the full shingle sets.
 
-    A group holds block x and block y of a bucket, and its pairs are those between them (within, if x = y)."""
-    held: pa.Table | None = None
+    A group holds block x and block y of a bucket, and its pairs are those between them (within, if x = y). Pairs whose
+    sketches agree enough are taken from the likeliest on; what earlier links of the group have joined isn't compared
+    again, so a group gives fewer links than it has members. A pair that shares several buckets is taken in the first."""
+    held: list[pa.Table] = []
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
+    def links(t: pa.Table) -> pa.RecordBatch:
         rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
-        m = _marks(t.column("marks"), p.fine)
-        x, y = key[1], key[2]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        d = 1
-        while d < len(rep):
-            i = np.flatnonzero((key[:, d:] == key[:, :-d]).all(axis=0))
-            if not len(i):
-                break
-            j = i + d
-            i, j = (q[(comp[i] != comp[j]) & ((x[i] == y[i]) | (own[i] != own[j]))] for q in (i, j))
-            for k in range(0, len(i), 65536):
-                ii, jj = i[k : k + 65536], j[k : k + 65536]
-                ok = (m[ii] == m[jj]).sum(axis=1) >= p.least_fine
-                a.append(np.minimum(rep[ii[ok]], rep[jj[ok]]))
-                b.append(np.maximum(rep[ii[ok]], rep[jj[ok]]))
-            d += 1
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        m, bands = _marks(t.column("marks"), p.fine), t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, p.bands)
+        band = int(np.flatnonzero((bands == t.column("bucket")[0].as_py()).all(axis=0))[0])
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in t.column("shingles")]
+        within = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found = []
+        for i in range(len(rep) - 1):
+            j = np.arange(i + 1, len(rep))
+            j = j[(comp[j] != comp[i]) & (within | (own[j] != own[i]))]
+            if not len(j):
+                continue
+            equal = (m[j] == m[i]).sum(axis=1)
+            near = equal >= p.least_fine
+            j, equal = j[near], equal[near]
+            first = ~(bands[j, :band] == bands[i, :band]).any(axis=1)
+            found.append(np.stack([np.full(int(first.sum()), i), j[first], equal[first]]))
+        i, j, equal = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        a, b = [], []
+        for k in np.argsort(-equal, kind="stable").tolist():
+            u, v = int(i[k]), int(j[k])
+            ru, rv = root(int(comp[u])), root(int(comp[v]))
+            if ru != rv and _similar(sets[u], sets[v], p):
+                parent[ru] = rv
+                a.append(min(rep[u], rep[v]))
+                b.append(max(rep[u], rep[v]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if held is None else pa.concat_tables([held, t])
-        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
-        last = np.flatnonzero((key != key[:, -1:]).any(axis=0)) if t.num_rows else np.empty(0)
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield pairs(t.slice(0, cut).combine_chunks())
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield pairs(held.combine_chunks())
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "x", "y")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and any(held[0].column(c)[0].as_py() != int(key[n, lo]) for n, c in enumerate(("bucket", "x", "y"))):
+                yield links(pa.concat_tables(held).combine_chunks())
+                held = []
+            held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+    if held:
+        yield links(pa.concat_tables(held).combine_chunks())
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, p: Params) -> DataFrame:
@@ -250,16 +273,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     mixed = written(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
-    blocks = F.ceil(F.col("size") / p.block).cast("int")
-    named = written(named.join(mixed, "bucket"))
-    fine = bodies.join(named.select("rep").distinct(), "rep", "left_semi").mapInArrow(partial(_finely, p=p), "rep long, marks binary")
-    dealt = named.join(fine, "rep").withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    named = named.join(mixed, "bucket")
+    fine = bodies.join(named.select("rep").distinct(), "rep", "left_semi").mapInArrow(partial(_finely, p=p), "rep long, marks binary, shingles binary")
+    fine = written(fine.join(reps.select("rep", "bands"), "rep"))
+    # As many blocks as keep each one's number of members and bytes near the bounds.
+    weight = named.join(fine.select("rep", F.octet_length("shingles").alias("bytes")), "rep").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    n = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("bytes") / p.block_bytes)).cast("int")
+    dealt = named.join(weight, "bucket").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "marks")
-    third = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_across, p=p), "a long, b long").distinct()
-    tested = first.union(second)
-    third = written(third.join(tested, ["a", "b"], "left_anti"))
-    comp = components(written(links.union(_verify(third, bodies, p))))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp")
+    # Groups of one component have nothing to compare; their members' sets aren't sent.
+    several = dealt.groupBy("bucket", "x", "y").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "x", "y")
+    dealt = dealt.join(several, ["bucket", "x", "y"], "left_semi").join(fine, "rep")
+    third = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_across, p=p), "a long, b long")
+    comp = components(written(links.union(third)))
 
     # Rows without shingles or id have a key of their own each, so that they don't meet in one partition.
     linkable = F.expr("n_shingles > 0 and doc_id is not null")

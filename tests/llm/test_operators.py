@@ -36,7 +36,8 @@ def words(rng, n):
     return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
 
 
-def test_minhash_against_brute_force(spark):
+@pytest.mark.parametrize("params", [minhash_dedup.Params(), minhash_dedup.Params(block=3, block_bytes=4096)])
+def test_minhash_against_brute_force(spark, params):
     rng = random.Random(1)
     texts = []
     for _ in range(12):
@@ -53,7 +54,7 @@ def test_minhash_against_brute_force(spark):
             for j, b in enumerate(sets):
                 if 100 * len(a & b) >= 75 * len(a | b):
                     comp[i] = comp[j] = min(comp[i], comp[j])
-    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs(spark, enumerate(texts))).collect()}
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs(spark, enumerate(texts)), params=params).collect()}
     assert [got[i].component_id for i in range(len(texts))] == comp
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
 
