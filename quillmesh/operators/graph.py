@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -60,6 +61,14 @@ def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n1.union(n2), e1.union(e2)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the cluster's shared folder (a temporary one where none is set, as in tests)."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def both_ways(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
     e = edges.where(F.col("type").isin(types)) if types else edges
     return e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -67,15 +76,16 @@ def both_ways(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, types: list[str] | None = None) -> DataFrame:
     """seeds (id) -> (id, hop): nodes within so many hops, edges taken either way, seeds left out; unknown seeds count
-    for nothing. Each hop joins the frontier only, and is cut by a checkpoint from the third one on."""
-    around = both_ways(edges, types)
-    start = seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
+    for nothing. Edges and seeds are worked out once and kept by a checkpoint. Each hop joins the frontier only, and is
+    cut by a checkpoint from the third one on."""
+    around = cut(both_ways(edges, types))
+    start = cut(seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi"))
     visited = frontier = start.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
         new = frontier.select(F.col("id").alias("src")).join(around, "src").select(F.col("dst").alias("id")).distinct()
         frontier = new.join(visited, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
         if hop > 2:
-            frontier = frontier.checkpoint()
+            frontier = cut(frontier)
             if frontier.isEmpty():
                 break
         visited = visited.union(frontier)

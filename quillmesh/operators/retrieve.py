@@ -53,7 +53,7 @@ def dual(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, k: i
     """Nearest chunks and the chunks within some hops of them, their rankings fused, a cap per document: (id, doc_id,
     score, from_graph). A blank query finds nothing."""
     q = text.embed(F.lit(query))
-    hits = graph.ranked(nearest(vector_table(chunks), q, k if query.strip() else 0), "distance", "id")
+    hits = graph.cut(graph.ranked(nearest(vector_table(chunks), q, k if query.strip() else 0), "distance", "id"))
     reached = graph.expand(nodes, edges, hits, hops, FOLLOWED).join(chunks.select("id"), "id", "left_semi")
     best = graph.ranked(reached.orderBy("hop", "id").limit(10 * k + 1000), "hop", "id") if per_doc is None else graph.ranked(reached, "hop", "id")
     fused = fuse([hits.select("id", "rank"), best.select("id", "rank")], [vector_weight, graph_weight])
