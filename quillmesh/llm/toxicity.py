@@ -3,9 +3,10 @@
 Two models, one of the toxic and one of the ordinary labelled texts, give the log-likelihood of each word letter by
 letter. The histories that reach the word's beginning or `order` letters back keep counts of their own class; what is
 rare there is smoothed by lower orders (two letters back, then none) whose continuation counts (in how many different
-histories a letter follows) are shared by both classes. The length-normalised difference of the two log-likelihoods,
-over the whole text and over its most suspicious words, is turned into a probability by a logistic curve that is
-fitted on labelled rows of a fold that the models haven't seen.
+histories a letter follows) are shared by both classes. The difference of the two log-likelihoods (per letter over the
+whole text, and in total for each word: its greatest values and the numbers of words above several cuts) is turned into
+a probability by a logistic curve that is fitted on labelled rows of a fold that the models haven't seen. Totals, as in
+a long word with an ordinary beginning only some letters tell.
 
 All counts cover all labelled rows of the learning folds and are made by grouped aggregation in Spark. What leaves it
 has a fixed size: counts of letter groups are kept in hashed tables of 2 ** bits cells.
@@ -31,13 +32,14 @@ from .labels import bounded, fit_logistic, fold, labelled, sigmoid
 @dataclass(frozen=True)
 class Params:
     """order: letters of a history. bits: of a hashed table's number of cells. discount: taken from each count.
-    top: most suspicious words that count. calibration_rows: bound of the sample for the logistic curve. longest:
+    top: most suspicious words that count. cuts: log-ratios of a word above which words are counted. calibration_rows: bound of the sample for the logistic curve. longest:
     bytes of a word; longer ones are scored in pieces of so many. cache: words whose scores a worker keeps."""
 
-    order: int = 5
+    order: int = 12
     bits: int = 20
     discount: float = 0.75
     top: int = 3
+    cuts: tuple[float, ...] = (1, 2, 3, 4, 5, 6, 7)
     calibration_rows: int = 40_000
     longest: int = 32
     cache: int = 500_000
@@ -58,10 +60,13 @@ class Model:
     name: str = ""
 
 
-FEATURES = 5
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
+def _features(p: Params) -> int:
+    return 3 + len(p.cuts)
+
+
 def _letters(words: list[bytes], order: int) -> tuple[np.ndarray, ...]:
     """Of all letters of all words (the end of a word is the letter 0): word's number, hash of the history, hash of
     history and letter, hash of the two letters before, the two with the letter, the letter."""
@@ -143,15 +148,15 @@ def fit(train: DataFrame, held_back: DataFrame, params: Params = Params()) -> Mo
         letters[r["letter"]] = r["count"]
     letter = (letters + 0.5) / (letters.sum() + 128)
     d, n = p.discount, np.maximum(twos["n"], 1)
-    model = Model(np.stack([full["plain"], full["toxic"]]), np.stack([history["plain"], history["toxic"]]), np.stack([history["kp"], history["kt"]]), np.maximum(pairs["n"] - d, 0), np.stack([n, np.where(twos["n"] > 0, d * twos["kinds"] / n, 1)]), letter, np.zeros(FEATURES + 1))
+    model = Model(np.stack([full["plain"], full["toxic"]]), np.stack([history["plain"], history["toxic"]]), np.stack([history["kp"], history["kt"]]), np.maximum(pairs["n"] - d, 0), np.stack([n, np.where(twos["n"] > 0, d * twos["kinds"] / n, 1)]), letter, np.zeros(_features(p) + 1))
     sent = spark.sparkContext.broadcast(model)
     got = bounded(held_back, p.calibration_rows, held_back.count()).select("text", "y").mapInArrow(partial(_measured, model=sent, p=p), "y int, x array<double>").toPandas()
-    x, y = np.array(got["x"].tolist(), float).reshape(-1, FEATURES), got["y"].to_numpy(float)
+    x, y = np.array(got["x"].tolist(), float).reshape(-1, _features(p)), got["y"].to_numpy(float)
     if len(set(y)) == 2:
         weights = fit_logistic(x, y)
     else:
         share = (y.sum() + 0.5) / (len(y) + 1)
-        weights = np.append(np.zeros(FEATURES), np.log(share / (1 - share)))
+        weights = np.append(np.zeros(_features(p)), np.log(share / (1 - share)))
     return Model(**{**model.__dict__, "weights": weights, "name": uuid.uuid4().hex})
 
 
@@ -171,23 +176,26 @@ class _Scorer:
                 n = m.history[c, h]
                 left = np.where(n > 0, np.minimum(d * m.kinds[c, h] / np.maximum(n, 1), 1), 1)
                 logs.append(np.log(np.maximum(np.maximum(m.full[c, f] - d, 0) / np.maximum(n, 1) + left * shared, 1e-12)))
-            ratio = np.bincount(word, logs[1] - logs[0], len(some)) / np.bincount(word, minlength=len(some))
+            ratio = np.bincount(word, logs[1] - logs[0], len(some))
             self.known.update(zip(some, ratio.tolist(), strict=True))
 
     def features(self, batch: list[str]) -> np.ndarray:
-        """Per text: the log-ratio per letter; of its words, the greatest and the mean of the top log-ratios per letter and
-        the share above one half; of its different words, the number above one half (as a logarithm)."""
+        """Per text: the log-ratio per letter; of its words, the greatest and the mean of the top log-ratios; of its
+        different words, the numbers above each cut (as logarithms)."""
         if len(self.known) > self.p.cache:
             self.known = {}
         split = [_pieces(t, self.p.longest) for t in batch]
         self._learn(list(set().union(*split).difference(self.known)))
-        out = np.zeros((len(batch), FEATURES))
+        out = np.zeros((len(batch), _features(self.p)))
         for i, words in enumerate(split):
             if words:
                 r = np.fromiter(map(self.known.__getitem__, words), float, len(words))
                 k = min(self.p.top, len(r))
                 high = np.partition(r, len(r) - k)[len(r) - k :]
-                out[i] = np.average(r, weights=np.fromiter(map(len, words), float, len(words))), high.max(), high.sum() / self.p.top, (r > 0.5).mean(), np.log1p(len({w for w, x in zip(words, (r > 0.5).tolist(), strict=True) if x}))
+                different = np.fromiter(map(self.known.__getitem__, set(words)), float)
+                above = len(different) - np.searchsorted(np.sort(different), self.p.cuts, "right")
+                out[i, :3] = r.sum() / (sum(map(len, words)) + len(words)), high.max(), high.sum() / self.p.top
+                out[i, 3:] = np.log1p(above)
         return out
 
 

@@ -239,6 +239,16 @@ def test_classifiers(spark, odd, none, which):
     assert run(odd, known.limit(0)).count() == 9
 
 
+def test_toxicity_in_each_language(spark):
+    """Held-out toxic texts are found in each language, where words of some begin like ordinary ones."""
+    known = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(known.where("toxic is not null").select("doc_id", "toxic"), "doc_id")
+    got = toxicity.toxicity(rows, known).where("held_out").join(rows.select("doc_id", "lang", "toxic"), "doc_id").toPandas()
+    for _, g in got[got.toxic > 0].groupby(got.lang == "en"):
+        assert g.predicted.mean() > 0.7
+    assert got[got.toxic == 0].predicted.mean() < 0.02
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
