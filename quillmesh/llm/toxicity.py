@@ -8,8 +8,10 @@ whole text, and in total for each word: its greatest values and the numbers of w
 a probability by a logistic curve that is fitted on labelled rows of a fold that the models haven't seen. Totals, as in
 a long word with an ordinary beginning only some letters tell.
 
-All counts cover all labelled rows of the learning folds and are made by grouped aggregation in Spark. What leaves it
-has a fixed size: counts of letter groups are kept in hashed tables of 2 ** bits cells.
+All counts cover all labelled rows of the learning folds and are made, smoothed and compared by grouped aggregation in
+Spark. What leaves it is exact and grows with the different words that were learned: the log-ratio of each
+history and letter seen, and of each history for letters not seen after it (there the shared part cancels out), each
+found by its 64-bit key.
 """
 
 from __future__ import annotations
@@ -31,12 +33,11 @@ from .labels import bounded, fit_logistic, fold, labelled, sigmoid
 
 @dataclass(frozen=True)
 class Params:
-    """order: letters of a history. bits: of a hashed table's number of cells. discount: taken from each count.
+    """order: letters of a history. discount: taken from each count.
     top: most suspicious words that count. cuts: log-ratios of a word above which words are counted. calibration_rows: bound of the sample for the logistic curve. longest:
     bytes of a word; longer ones are scored in pieces of so many. cache: words whose scores a worker keeps."""
 
     order: int = 12
-    bits: int = 20
     discount: float = 0.75
     top: int = 3
     cuts: tuple[float, ...] = (1, 2, 3, 4, 5, 6, 7)
@@ -47,15 +48,12 @@ class Params:
 
 @dataclass(frozen=True)
 class Model:
-    """Hashed tables: counts of history and letter (class, cell); of history (class, cell); kinds of letters after a
-    history (class, cell); shared probabilities of a letter after two letters (cell), and of a letter (256)."""
+    """Log-ratios of history and letter, by sorted keys, and of a history with a letter that wasn't seen after it."""
 
     full: np.ndarray
+    full_ratio: np.ndarray
     history: np.ndarray
-    kinds: np.ndarray
-    pair: np.ndarray
-    pair_left: np.ndarray
-    letter: np.ndarray
+    history_ratio: np.ndarray
     weights: np.ndarray
     name: str = ""
 
@@ -68,22 +66,28 @@ def _features(p: Params) -> int:
 
 
 def _letters(words: list[bytes], order: int) -> tuple[np.ndarray, ...]:
-    """Of all letters of all words (the end of a word is the letter 0): word's number, hash of the history, hash of
-    history and letter, hash of the two letters before, the two with the letter, the letter."""
+    """Of all letters of all words (the end of a word is the letter 0): word's number, hash of the history, the two
+    letters before and the letter as one number."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     flat = np.frombuffer(b"\x00".join(words) + b"\x00", np.uint8).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
     word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(flat)) - starts[word]
     # the word's beginning is the letter 1, so that a short history and a long one with the same letters differ
-    history, two = np.full(len(flat), _SEED), np.full(len(flat), _SEED ^ np.uint64(7))
+    history, three = np.full(len(flat), _SEED), np.zeros(len(flat), np.uint64)
     for back in range(order, 0, -1):
         at = np.arange(len(flat)) - back
         letter = np.where(place >= back, flat[np.maximum(at, 0)], np.uint64(1))
         history = mix64(history ^ letter)
         if back <= 2:
-            two = mix64(two ^ letter)
-    return word, history, mix64(history ^ (flat + np.uint64(1) << np.uint64(8))), two, mix64(two ^ (flat + np.uint64(1) << np.uint64(8))), flat.astype(np.int64)
+            three = three << np.uint64(8) | letter
+    return word, history, (three << np.uint64(8) | flat).astype(np.int32)
+
+
+def _followed(history: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """Hash of history and letter."""
+    return mix64(history ^ ((three & 255).astype(np.uint64) + np.uint64(1) << np.uint64(8)))
+
 
 
 def _pieces(text: str, longest: int) -> list[bytes]:
@@ -113,22 +117,34 @@ def _grams(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
         words = batch.column("word").to_pylist()
         if not words:
             continue
-        word, history, full, two, pair, letter = _letters(words, p.order)
-        keys, first, inverse = np.unique(full, return_index=True, return_inverse=True)
-        sums = [np.bincount(inverse, batch.column(c).to_numpy()[word], len(keys)).astype(np.int64) for c in ("toxic", "plain")]
-        columns = [full[first].view(np.int64), history[first].view(np.int64), two[first].view(np.int64), pair[first].view(np.int64), letter[first], *sums]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["full", "history", "two", "pair", "letter", "toxic", "plain"])
+        word, history, three = _letters(words, p.order)
+        _, first, inverse = np.unique(_followed(history, three), return_index=True, return_inverse=True)
+        sums = [np.bincount(inverse, batch.column(c).to_numpy()[word], len(first)).astype(np.int64) for c in ("toxic", "plain")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (history[first].view(np.int64), three[first], *sums)], names=["history", "three", "toxic", "plain"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = _followed(batch.column("history").to_numpy().view(np.uint64), batch.column("three").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("ratio")], names=["key", "ratio"])
+
+
+
+def _by_key(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(key, ratio) as arrays in the order of the keys."""
+    rows = df.toArrow()
+    key, ratio = (rows.column(c).to_numpy() for c in ("key", "ratio"))
+    order = np.argsort(key)
+    return key[order], ratio[order]
 
 
-def _cells(df: DataFrame, key: str, bits: int, **sums: str) -> dict[str, np.ndarray]:
-    """Sums by hashed cell: 2 ** bits rows at most reach the driver."""
-    size = 1 << bits
-    rows = df.groupBy(F.expr(f"cast({key} & {size - 1} as int)").alias("cell")).agg(*[F.sum(F.expr(e)).cast("double").alias(n) for n, e in sums.items()]).toPandas()
-    out = {}
-    for n in sums:
-        out[n] = np.zeros(size, np.float32)
-        out[n][rows["cell"].to_numpy(np.int64)] = rows[n].to_numpy(np.float32)
-    return out
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted keys' values (0 where there is none), and whether there is one."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[place] == wanted
+    return np.where(found, values[place], 0), found
 
 
 def fit(train: DataFrame, held_back: DataFrame, params: Params = Params()) -> Model:
@@ -136,19 +152,28 @@ def fit(train: DataFrame, held_back: DataFrame, params: Params = Params()) -> Mo
     the curve is flat at the share of toxic rows (one half without any)."""
     p, spark = params, train.sparkSession
     words = train.select("text", "y").mapInArrow(partial(_word_counts, p=p), "word binary, toxic long, plain long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    grams = words.mapInArrow(partial(_grams, p=p), "full long, history long, two long, pair long, letter long, toxic long, plain long")
-    grams = written(grams.groupBy("full").agg(*[F.min(c).alias(c) for c in ("history", "two", "pair", "letter")], F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")))
-    full = _cells(grams, "full", p.bits, toxic="toxic", plain="plain")
-    history = _cells(grams, "history", p.bits, toxic="toxic", plain="plain", kt="cast(toxic > 0 as int)", kp="cast(plain > 0 as int)")
-    pairs = _cells(grams, "pair", p.bits, n="1")  # in how many histories the letter follows these two
-    seen = grams.groupBy("pair").agg(F.min("two").alias("two"), F.min("letter").alias("letter"), F.count("*").alias("n"))
-    twos = _cells(seen, "two", p.bits, n="n", kinds="1")
+    grams = words.mapInArrow(partial(_grams, p=p), "history long, three int, toxic long, plain long")
+    d = p.discount
+    # One shuffle, by history: a history has 256 letters after it at most.
+    grams = grams.repartition("history").groupBy("history", "three").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    sums = [e for c in ("toxic", "plain") for e in (F.sum(c).alias(f"n_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))]
+    histories = written(grams.groupBy("history").agg(F.collect_list(F.struct("three", "toxic", "plain")).alias("after"), *sums))
+    # Two letters and a third, and two letters: at most as many as there are bytes to the third and second power.
+    pairs = histories.select(F.explode("after.three").alias("three")).groupBy("three").agg(F.count("*").alias("n")).select("three", F.expr("three >> 8").alias("two"), F.expr("three & 255").alias("letter"), "n")
+    twos = pairs.groupBy("two").agg(F.sum("n").alias("n_two"), F.count("*").alias("kinds_two"))
     letters = np.zeros(256)
-    for r in seen.groupBy("letter").count().collect():  # 256 at most
-        letters[r["letter"]] = r["count"]
-    letter = (letters + 0.5) / (letters.sum() + 128)
-    d, n = p.discount, np.maximum(twos["n"], 1)
-    model = Model(np.stack([full["plain"], full["toxic"]]), np.stack([history["plain"], history["toxic"]]), np.stack([history["kp"], history["kt"]]), np.maximum(pairs["n"] - d, 0), np.stack([n, np.where(twos["n"] > 0, d * twos["kinds"] / n, 1)]), letter, np.zeros(_features(p) + 1))
+    for r in pairs.groupBy("letter").agg(F.count("*").alias("n")).collect():  # 256 at most
+        letters[r["letter"]] = r["n"]
+    one = ((letters + 0.5) / (letters.sum() + 128)).tolist()
+    lower = F.element_at(F.array(*map(F.lit, one)), F.col("letter") + 1)
+    shared = pairs.join(F.broadcast(twos), "two").select("three", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("n_two") + F.least(d * F.col("kinds_two") / F.col("n_two"), F.lit(1.0)) * lower).alias("shared"))
+    left = [F.when(F.col(f"n_{c}") > 0, F.least(d * F.col(f"kinds_{c}") / F.col(f"n_{c}"), F.lit(1.0))).otherwise(1.0).alias(f"left_{c}") for c in ("toxic", "plain")]
+    history = histories.select("history", "after", "n_toxic", "n_plain", *left)
+    likely = [F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(f"n_{c}"), F.lit(1)) + F.col(f"left_{c}") * F.col("shared") for c in ("toxic", "plain")]
+    known = history.selectExpr("inline(after)", "*").join(F.broadcast(shared), "three")
+    full = known.select("history", "three", F.log(likely[0] / likely[1]).cast("float").alias("ratio")).mapInArrow(_keyed, "key long, ratio float")
+    unseen = history.select(F.col("history").alias("key"), F.log(F.col("left_toxic") / F.col("left_plain")).cast("float").alias("ratio")).where("ratio <> 0")
+    model = Model(*_by_key(full), *_by_key(unseen), np.zeros(_features(p) + 1))
     sent = spark.sparkContext.broadcast(model)
     got = bounded(held_back, p.calibration_rows, held_back.count()).select("text", "y").mapInArrow(partial(_measured, model=sent, p=p), "y int, x array<double>").toPandas()
     x, y = np.array(got["x"].tolist(), float).reshape(-1, _features(p)), got["y"].to_numpy(float)
@@ -165,18 +190,14 @@ class _Scorer:
         self.model, self.p, self.known = model, p, {}
 
     def _learn(self, new: list[bytes]) -> None:
-        m, d, mask = self.model, self.p.discount, np.uint64((1 << self.p.bits) - 1)
+        m = self.model
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            word, history, full, two, pair, letter = _letters(some, self.p.order)
-            h, f, t, q = ((k & mask).astype(np.int64) for k in (history, full, two, pair))
-            shared = np.where(m.pair_left[1, t] < 1, m.pair[q] / m.pair_left[0, t], 0) + np.minimum(m.pair_left[1, t], 1) * m.letter[letter]
-            logs = []
-            for c in (0, 1):
-                n = m.history[c, h]
-                left = np.where(n > 0, np.minimum(d * m.kinds[c, h] / np.maximum(n, 1), 1), 1)
-                logs.append(np.log(np.maximum(np.maximum(m.full[c, f] - d, 0) / np.maximum(n, 1) + left * shared, 1e-12)))
-            ratio = np.bincount(word, logs[1] - logs[0], len(some))
+            word, history, three = _letters(some, self.p.order)
+            ratio, seen = _at(m.full, m.full_ratio, _followed(history, three).view(np.int64))
+            rest = np.flatnonzero(~seen)
+            ratio[rest] = _at(m.history, m.history_ratio, history[rest].view(np.int64))[0]
+            ratio = np.bincount(word, ratio, len(some))
             self.known.update(zip(some, ratio.tolist(), strict=True))
 
     def features(self, batch: list[str]) -> np.ndarray:
