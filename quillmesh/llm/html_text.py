@@ -3,7 +3,7 @@
 Tokens of a page are its elements (named by their path of block elements, with class and id) and its text blocks. A
 token's occurrence vector over a host's pages says how often each page holds it; tokens of one vector form a class.
 Vectors aren't gathered: an exclusive-or of hashes of (page, number) stands for one, so that classes come from
-two grouped aggregations, whatever a host's size.
+two grouped aggregations, whatever a host's size. Pages of a host with the same html count once.
 
 A class is valid if it spans enough of the host's pages, holds several tokens, and occurs once a page, so that its
 tokens nest by their paths. The elements of valid classes are the host's template; what lies in an element but in none
@@ -72,11 +72,6 @@ class Block:
     linked: bool
 
 
-def host(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
-
-
 def _names(attrs: str) -> tuple[str, bool]:
     """What names an element besides its tag (digits left out), and whether that marks it as no article text."""
     label, marked = "", False
@@ -196,8 +191,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(columns, names=["host", "token", "pages", "single", "vector", "chars"])
 
     for batch in slices(batches, 128):
-        for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), texts(batch.column("html")), strict=True):
-            of = host(url)
+        for of, html in zip(texts(batch.column("host")), texts(batch.column("html")), strict=True):
+            page = xxhash.xxh3_128_hexdigest(html.encode("utf-8", "surrogatepass"))
             counts, chars = _tokens(blocks(html))
             counts[""] = 1
             for token, n in counts.items():
@@ -205,7 +200,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v = held.setdefault((of, token if token[:1] != "t" else "t" + xxhash.xxh3_128_hexdigest(token.encode("utf-8", "surrogatepass"))), [0, 0, 0, 0])
                 v[0] += 1
                 v[1] += n == 1
-                v[2] ^= int.from_bytes(xxhash.xxh64_digest(f"{page}|{url}|{n}".encode("utf-8", "surrogatepass")), "little", signed=True)
+                v[2] ^= int.from_bytes(xxhash.xxh64_digest(f"{page}|{n}".encode()), "little", signed=True)
             for path, n in chars.items():
                 held.setdefault((of, "c" + path), [0, 0, 0, 0])[3] += n
         if len(held) > 50_000:
@@ -235,11 +230,20 @@ def _template(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.list_(pa.string())), batch.column("own")], names=["host", "content", "own"])
 
 
+def _different(pages: DataFrame) -> DataFrame:
+    """(host, html) of pages with a host, without copies: only those with copies are shuffled."""
+    of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
+    own = pages.select(of.alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''").withColumn("digest", F.md5("html"))
+    copied = written(own.groupBy("host", "digest").count().where("count > 1").select("host", "digest"))
+    one = own.join(copied, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.min("html").alias("html"))
+    return own.join(copied, ["host", "digest"], "left_anti").select("host", "html").unionByName(one.select("host", "html"))
+
+
 def templates(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """pages (page_id, url, html) -> (host, content: paths of the content elements, own: digests of the template's own
     texts), for hosts that have any."""
     p = params
-    counted = pages.mapInArrow(_counted, "host string, token string, pages long, single long, vector long, chars long")
+    counted = _different(pages).mapInArrow(_counted, "host string, token string, pages long, single long, vector long, chars long")
     counted = written(counted.where("host <> ''").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("single").alias("single"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars")))
     all_pages = counted.where("token = ''").select("host", F.col("pages").alias("n"))
     tokens = counted.where("token rlike '^[et]' and single = pages").join(all_pages, "host").where((F.col("pages") >= p.pages) & (F.col("pages") >= p.share * F.col("n")))
@@ -261,6 +265,7 @@ def main_text(html: str, content: list[str] | None = None, own: list[str] | None
     page = _slot_text(blocks(html))
     known = set(own or ())
     free = [b for b in page if b.article or not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
+    free = free or page  # a template of texts alone leaves no page empty
     kept = [b for b in free if any(_path_share("/".join(b.path), c) for c in content or ())]
     if not kept:
         kept = [b for b in free if b.article] or free

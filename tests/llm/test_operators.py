@@ -5,6 +5,7 @@ from functools import partial
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from quillmesh.llm import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
@@ -215,6 +216,15 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies(spark):
+    """Copies on a host are no template: their texts stay."""
+    copy = "<body><p>One text</p><p>Two text</p><p>Three text</p></body>"
+    rows = [(i, f"http://x.org/{i}", copy) for i in range(5)] + [(i, f"http://z.org/{i}", copy if i < 4 else f"<body><p>Other {i}</p></body>") for i in range(5, 3, -1)] + [(i, f"http://z.org/{i}", copy) for i in range(6, 10)]
+    got = {r.url: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[url] == ("One text\nTwo text\nThree text" if html == copy else html[9:16]) for _, url, html in rows)
+    assert html_text.main_text(copy, [], [xxhash.xxh3_128_hexdigest("t" + t) for t in ("One text", "Two text", "Three text")]) != ""
+
+
 @pytest.mark.parametrize("which", ["toxicity", "quality"])
 def test_classifiers(spark, odd, none, which):
     rng = random.Random(8)
