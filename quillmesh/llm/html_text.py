@@ -7,9 +7,9 @@ two grouped aggregations, whatever a host's size. Pages of a host with the same
 
 A class is valid if it spans enough of the host's pages, holds several tokens, and occurs once a page, so that its
 tokens nest by their paths. The elements of valid classes are the host's template; what lies in an element but in none
-of the template's inner ones is its slot. Text blocks of valid classes are the template's own text. The slots of
-articles (or else of the innermost template element that holds most of what isn't a menu, a notice or template text)
-are content, and a page's text is what its content slots hold.
+of the template's inner ones is its slot. Text blocks of valid classes are the template's own text, in articles too.
+The slots of articles (or else of the innermost template element that holds most of what isn't a menu, a notice or
+template text) are content, and a page's text is what its content slots hold.
 """
 
 from __future__ import annotations
@@ -176,8 +176,7 @@ def _tokens(page: list[Block]) -> tuple[dict[str, int], dict[str, int]]:
     for b in _slot_text(page):
         key = "/".join(b.path)
         chars[key] = chars.get(key, 0) + len(b.text)
-        if not b.article:
-            counts["t" + b.text] = counts.get("t" + b.text, 0) + 1
+        counts["t" + b.text] = counts.get("t" + b.text, 0) + 1
     return counts, chars
 
 
@@ -264,7 +263,7 @@ def main_text(html: str, content: list[str] | None = None, own: list[str] | None
     by itself: its articles, or else all that isn't named as something else."""
     page = _slot_text(blocks(html))
     known = set(own or ())
-    free = [b for b in page if b.article or not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
+    free = [b for b in page if not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
     free = free or page  # a template of texts alone leaves no page empty
     kept = [b for b in free if any(_path_share("/".join(b.path), c) for c in content or ())]
     if not kept:

@@ -216,6 +216,14 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_template_in_articles(spark):
+    """What every page of a host repeats inside its article goes."""
+    page = lambda i: f"<body><article><h1>T {i}</h1><p>Read our paper daily</p><p>Text {i}</p></article></body>"
+    rows = [(i, f"http://y.org/{i}", page(i)) for i in range(6)] + [(12, "http://alone.org", page(12))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T 3\nText 3" and got[12] == "T 12\nRead our paper daily\nText 12"
+
+
 def test_html_copies(spark):
     """Copies on a host are no template: their texts stay."""
     copy = "<body><p>One text</p><p>Two text</p><p>Three text</p></body>"
