@@ -79,10 +79,10 @@ DIGIT_WORDS = (
 )
 _SPELLED = {w: str(d) for line in DIGIT_WORDS for d, w in enumerate(line.split())} | {"oh": "0"}
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
-_NUMBER = rf"(?:{_WORD}|[0-9])"
-#: Three spelled digits at least, with what may stand between them.
-_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ -]?)?{_NUMBER}(?:(?:[ ,-]{{1,2}}| ?(?:dot|point|punkt|punto)(?= ) ?){_NUMBER})+(?!\w)", re.I)
-_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<digit>{_NUMBER})|(?P<dot>dot|point|punkt|punto)|[ ,-]+", re.I)
+_NUMBER = rf"(?:(?:{_WORD})(?!\w)|[0-9]++)"
+#: Spelled digits, digits and a plus, with what may stand between them: marks and line breaks go, full stops stay.
+_RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ -]?)?{_NUMBER}(?:(?:[ ,\-/()\[\]\r\n]{{1,3}}|\.| ?(?:dot|point|punkt|punto)(?= ) ?){_NUMBER})*+(?!\w)", re.I)
+_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<digit>{_NUMBER})|(?P<dot>dot|point|punkt|punto|\.)|[ ,\-/()\[\]\r\n]+", re.I)
 _HAS_WORD = re.compile(rf"(?<!\w)(?:{_WORD})(?!\w)", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"(?:(?<=[^ _])[ _]+)?+{_OPEN} ?(?:at|@|arroba|chez) ?{_CLOSE}[ _]*|(?<=\w)[_-]at[_-](?=\w)", re.I)
@@ -142,15 +142,13 @@ def _look_alikes(r: Rewritten) -> None:
         r.replace([(m.start(), m.end(), wanted[m[0]]) for m in re.finditer("[" + re.escape("".join(wanted)) + "]", r.text)])
 
 
-def _spelled_digits(r: Rewritten, low: str) -> None:
-    # Words inside a run stand between spaces, commas and hyphens; one of them is the least to look for.
-    words = low.replace(",", " ").replace("-", " ").split()
-    some = [w for w in words if w in _SPELLED]
-    if len(some) < 3 and all(w == "un" for w in some) or len(_HAS_WORD.findall(r.text)) < 3:
+def _spelled_digits(r: Rewritten) -> None:
+    """Each spelled digit next to digits, a plus or other spelled ones; the rules for identifiers reject prose."""
+    if not _HAS_WORD.search(r.text):
         return
     spans = []
     for m in _RUN.finditer(r.text):
-        if len(_HAS_WORD.findall(m[0])) < 3:
+        if not _HAS_WORD.search(m[0]):
             continue
         for t in _TOKEN.finditer(r.text, m.start(), m.end()):
             new = "+" if t["plus"] else _SPELLED.get(t[0].lower(), t[0]) if t["digit"] else "." if t["dot"] else ""
@@ -177,7 +175,7 @@ def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, i
     r = Rewritten(text)
     if not text.isascii():
         _look_alikes(r)
-    _spelled_digits(r, r.text.lower())
+    _spelled_digits(r)
     _at_and_dot(r, r.text.lower())
     if not any(r.changed):
         return []

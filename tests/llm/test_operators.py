@@ -139,6 +139,14 @@ def test_pii(spark, odd, none):
     assert {x.doc_id: x.text for x in pii.redact(odd).collect()}[1] is None
 
 
+def test_pii_few_spelled_digits():
+    """One or two spelled digits in a number, line breaks and brackets between them."""
+    for text, want in [("call +49 170 one two 34567 now", "call <PHONE> now"), ("at 10.0.0.five it", "at <IP> it"), ("card 4111 1111 1111 111 one.", "card <CARD>."), ("plus four nine (one seven zero)\n1234567", "<PHONE>"), ("+49 (170) 123 six\nseven", "<PHONE>")]:
+        assert pii.redacted(text) == want
+    for text in ("one or two of 30, 40, one.", "in 2019 one saw 12.5 and two.Then 3", "un 5x, six-pack 7"):
+        assert pii.redacted(text) == text
+
+
 def test_packing(spark, odd, none):
     rng = random.Random(4)
     rows = [(i, " ".join(words(rng, rng.choice([1, 5, 20, 90, 200])))) for i in range(60)]
