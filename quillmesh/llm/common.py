@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ WORD_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where they are one
+    process, may do without: it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,16 +37,40 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete the tables that written() has made in this process; returns how many. Call it once their results are stored."""
-    n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() has made and that nothing reads any more."""
+    for t in tables:
+        _WRITTEN.remove(t.scratch_path)
+        _delete(t.sparkSession, t.scratch_path)
+
+
+def tables_written() -> list[str]:
+    """The tables that written() has made in this process and that are still there."""
+    return list(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, paths: list[str] | None = None, keep: DataFrame | None = None) -> int:
+    """Delete tables that written() has made (all, or those of paths) and that keep doesn't read; returns how many.
+    Call it once the results that were made of them are stored."""
+    read = {f.split("/quillmesh-")[1][:32] for f in keep.inputFiles() if "/quillmesh-" in f} if keep is not None else set()
+    gone = [p for p in (_WRITTEN if paths is None else paths) if p in _WRITTEN and p.split("/quillmesh-")[1] not in read]
+    for path in gone:
+        _WRITTEN.remove(path)
+        _delete(spark, path)
+    if gone:  # shuffle files go when the plans that made them are collected
+        gc.collect()
+        spark._jvm.System.gc()
+    return len(gone)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

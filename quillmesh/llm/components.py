@@ -5,38 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def _starred(links: DataFrame, large: bool) -> DataFrame:
-    """One round: each node points its larger (large) or its own smaller neighbours (small) at the least node it knows."""
-    if large:
-        sides = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _large(links: DataFrame) -> DataFrame:
+    """Each node points its larger neighbours at the least node it knows."""
+    sides = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = sides.join(least, "a")
-    if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+
+
+def _small(links: DataFrame) -> DataFrame:
+    """Each node points its smaller neighbours and itself at the least of them; without repetition."""
+    sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = sides.groupBy("a").agg(F.min("b").alias("m"))
+    out = sides.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether each node has one link, to a node that has none."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("b", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not seen.agg(F.coalesce(F.max(F.expr("out > 1 or (out > 0 and into > 0)")), F.lit(False))).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b), undirected, long ids -> (node, component): the least id reachable.
 
     Nodes without links don't appear; loops and repeated links do no harm; an empty table gives an empty one.
-    Each round shuffles the links only, is written to the shared folder, and the minimum of a node's
-    neighbours is pre-aggregated, so a hub costs no more than its links. Joins are left to AQE's skew handling.
+    Each round shuffles the links only, is written to the shared folder (and the round before it deleted), and the
+    minimum of a node's neighbours is pre-aggregated, so a hub costs no more than its links. Joins are left to AQE's
+    skew handling.
     """
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        now = written(_starred(_starred(now, True), False))
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        seen = state
+    while not _settled(now):
+        before, now = now, written(_small(_large(now)))
+        discard(before)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,17 +90,20 @@ def _found(batches: Iterator[pa.RecordBatch], block, window: int) -> Iterator[pa
             words = alnum_words(text)
             ranges, items = searcher.find(words)
             n.append(len(words)), hits.append([x for r in ranges for x in r]), named.append(sorted(items))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))], names=["row", "doc_id", "n_words", "hits", "items"])
+        keep = [c for c in batch.schema.names if c != "text"]
+        made = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], names=[*keep, "n_words", "hits", "items"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document, what the blocks have found (a list of one entry for each block) in one."""
+    """Of each document, what the blocks have found (lists of ranges and of items) in one."""
     for batch in slices(batches):
         hits = []
-        for parts in batch.column("hits").to_pylist():
+        for parts in batch.column("all_hits").to_pylist():
             hits.append([x for r in merge([(p[i], p[i + 1]) for p in parts for i in range(0, len(p), 2)]) for x in r])
-        items = [sorted({x for p in parts for x in p}) for parts in batch.column("items").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hits", "items"])
+        items = [sorted({x for p in parts for x in p}) for parts in batch.column("all_items").to_pylist()]
+        keep = [c for c in batch.schema.names if c not in ("all_hits", "all_items")]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*keep, "hits", "items"])
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
@@ -115,43 +118,54 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[objec
         yield held
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
-    """docs -> (doc_id, n_words long, hits array<long>, items array<string>): the document's words, where windows of
-    the benchmark occur in them (start and end of each word range in turn), and the ids of their items, sorted.
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = (), window: int = 10, block_bytes: int = 1 << 20
+) -> DataFrame:
+    """docs -> (doc_id, n_words long, hits array<long>, items array<string>, and the columns of carry): the document's
+    words, where windows of the benchmark occur in them (start and end of each word range in turn), and the ids of their
+    items, sorted.
 
     Words are runs of letters and digits (A-Z lowered) and of characters beyond ASCII. Null and empty texts have no
     words and no hits; an item without words has no windows; the windows of an item without an id hit, but aren't
     named. Each row of docs gives a row. Other columns are ignored, and either table may be empty.
 
-    The benchmark reaches the tasks in blocks of block_bytes, one pass over docs for each; the driver holds one at a time.
+    The benchmark reaches the tasks in blocks of block_bytes (a worker's tables take some 300 times that), one pass over
+    docs for each; the driver holds one at a time. All passes but the first keep only the documents that are hit.
     """
     spark = docs.sparkSession
-    own = rename_columns(docs, doc_id=id_col, text=text_col)
-    kind = dict(own.dtypes)["doc_id"]
-    schema = f"row long, doc_id {kind}, n_words long, hits array<long>, items array<string>"
+    own = rename_columns(docs, doc_id=id_col, text=text_col, **{f"_{i}": c for i, c in enumerate(carry)})
+    fields = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "text")
+    made = ", n_words long, hits array<long>, items array<string>"
     blocks = _blocks(rename_columns(benchmark, item=item_col, text=item_text_col), block_bytes)
     this, after = next(blocks, []), next(blocks, None)
     send = lambda items: spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+    search = lambda df, items: df.mapInArrow(partial(_found, block=send(items), window=window), fields(df) + made)
+    renamed = [F.col(f"_{i}").alias(c) for i, c in enumerate(carry)]
     if after is None:
-        rows = own.withColumn("row", F.lit(0).cast("long"))
-        return rows.mapInArrow(partial(_found, block=send(this), window=window), schema).drop("row")
-    rows = written(own.withColumn("row", F.monotonically_increasing_id()))
+        return search(own, this).select("doc_id", "n_words", "hits", "items", *renamed)
+    # Rows of one id and text have the same hits.
+    own = own.withColumn("t", F.xxhash64("text"))
+    rows = written(search(own, this))
     parts = []
-    while this is not None:
-        parts.append(written(rows.mapInArrow(partial(_found, block=send(this), window=window), schema)))
-        this, after = after, next(blocks, None)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part.where("size(hits) > 0"))
-    every = every.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-    return every.drop("row").mapInArrow(_joined, schema.removeprefix("row long, "))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """overlaps() as (doc_id, n_words, n_hit, n_items long, items_sha256 string, contaminated boolean)."""
-    found = overlaps(docs, benchmark, **options)
+    while after is not None:
+        parts.append(written(search(own.select("doc_id", "t", "text"), after).where("size(hits) > 0")))
+        after = next(blocks, None)
+    more = reduce(DataFrame.union, parts).groupBy(F.col("doc_id").alias("id2"), F.col("t").alias("t2")).agg(F.collect_set("hits").alias("more_hits"), F.collect_set("items").alias("more_items"))
+    every = rows.join(more, rows["doc_id"].eqNullSafe(more["id2"]) & (rows["t"] == more["t2"]), "left")
+    both = [F.concat(F.array(c), F.coalesce(f"more_{c}", F.array())).alias(f"all_{c}") for c in ("hits", "items")]
+    every = every.select("doc_id", "n_words", *(f"_{i}" for i in range(len(carry))), *both)
+    kept = every.drop("all_hits", "all_items")
+    return every.mapInArrow(_joined, fields(kept) + ", hits array<long>, items array<string>").select("doc_id", "n_words", "hits", "items", *renamed)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """overlaps() as (doc_id, n_words, n_hit, n_items long, items_sha256 string, contaminated boolean, carry)."""
+    found = overlaps(docs, benchmark, carry=carry, **options)
     n_hit = F.expr("aggregate(transform(hits, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (s, x) -> s + x)")  # ends less starts
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        *carry,
+    )
 
 
 ORACLE_SQL = """

@@ -18,11 +18,15 @@ def fold(id_col: str, folds: int) -> Column:
 SENT_LABELS = 2_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, y 0 or 1) of the documents with a label; a null label or id is none, several labels count as their maximum."""
+def known_labels(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, y 0 or 1); a null label or id is none, several labels count as their maximum."""
     known = rename_columns(labels, doc_id=id_col, y=label_col).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
-    few = labels.count() <= SENT_LABELS
-    return rename_columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(known) if few else known, "doc_id")
+    return F.broadcast(known) if labels.count() <= SENT_LABELS else known
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y) of the documents with a label."""
+    return rename_columns(docs, doc_id=id_col, text=text_col).join(known_labels(labels, label_col, id_col), "doc_id")
 
 
 def bounded(df: DataFrame, rows: int, of: int) -> DataFrame:

@@ -5,7 +5,8 @@ Stages, all linear in the number of documents unless different texts really are
 1. Per document, the distinct word shingles are hashed to 64 bits and sketched (fast similarity sketching: rounds
    0..t-1 throw every shingle into a random coordinate, rounds t..2t-1 throw all shingles into coordinate i - t, and
    a coordinate keeps the least value of the first round that reaches it, so all t coordinates fill).
-2. Documents with equal shingle sets form a class; only the class's representative (least doc_id) goes on.
+2. Rows with equal shingle sets form a class with a number of its own; one row's text stands for it. Ids play no part
+   until the end, when a component is named after its least doc_id, so that an id may occur with several texts.
 3. Bands of the sketch are buckets. In each bucket, the member with most company over all buckets is the pivot, and
    every member is a candidate with its pivot (a star, not all pairs).
 4. Candidates whose sketches agree enough are verified on the full shingle sets of their texts; what verifies is
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, rename_columns, slices, texts, written
+from .common import discard, mix64, rename_columns, slices, texts, written
 from .components import components
 
 
@@ -106,7 +107,7 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        ids, n, k1, k2, marks, bands = batch.column("doc_id"), [], [], [], [], []
+        n, k1, k2, marks, bands = [], [], [], [], []
         for text in texts(batch.column("text")):
             s = shingles(text, p.width)
             n.append(len(s))
@@ -123,10 +124,9 @@ def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
             for j in range(p.rows):
                 h = mix64(h ^ b[:, j])
             bands.append(h.view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "k1", "k2", "marks", "bands"],
-        )
+        keep = [c for c in batch.schema.names if c != "text"]
+        made = [*(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made], names=[*keep, "n_shingles", "k1", "k2", "marks", "bands"])
 
 
 def _finely(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def _alike(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBa
 
 
 def _verified(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, ta, tb) of whole texts, those with 100 * intersection >= similarity * union."""
+    """Of pairs (a, b, ta, tb) with the whole texts of their ends, those with 100 * intersection >= similarity * union."""
     last: tuple[str, np.ndarray] = ("", np.empty(0, np.uint64))
     for batch in slices(batches):
         keep = []
@@ -167,7 +167,7 @@ def _similar(sa: np.ndarray, sb: np.ndarray, p: Params) -> bool:
 
 
 def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, x, y): links that join the components of one group, verified on the full shingle sets.
+    """Rows sorted by (bucket, x, y): pairs of components that one group joins, verified on the full shingle sets.
 
     A group holds block x and block y of a bucket, and its pairs are those between them (within, if x = y). Pairs whose
     sketches agree enough are taken from the likeliest on; what earlier links of the group have joined isn't compared
@@ -175,7 +175,7 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
     held: list[pa.Table] = []
 
     def links(t: pa.Table) -> pa.RecordBatch:
-        rep, comp, own = (t.column(c).to_numpy() for c in ("rep", "comp", "own"))
+        comp, own = (t.column(c).to_numpy() for c in ("comp", "own"))
         m, bands = _marks(t.column("marks"), p.fine), t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, p.bands)
         band = int(np.flatnonzero((bands == t.column("bucket")[0].as_py()).all(axis=0))[0])
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in t.column("shingles")]
@@ -188,8 +188,8 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
             return c
 
         found = []
-        for i in range(len(rep) - 1):
-            j = np.arange(i + 1, len(rep))
+        for i in range(len(comp) - 1):
+            j = np.arange(i + 1, len(comp))
             j = j[(comp[j] != comp[i]) & (within | (own[j] != own[i]))]
             if not len(j):
                 continue
@@ -205,8 +205,8 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
             ru, rv = root(int(comp[u])), root(int(comp[v]))
             if ru != rv and _similar(sets[u], sets[v], p):
                 parent[ru] = rv
-                a.append(min(rep[u], rep[v]))
-                b.append(max(rep[u], rep[v]))
+                a.append(int(comp[u]))
+                b.append(int(comp[v]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
@@ -224,73 +224,87 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, p: Params) -> DataFrame:
-    """pairs(a, b) whose whole texts verify. Hot ends are left to AQE's splitting of skewed joins."""
+    """Of pairs (a, b, ca, cb) those whose whole texts verify, as links (a, b) of their components ca and cb. Hot ends
+    are left to AQE's splitting of skewed joins."""
     ta, tb = bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(partial(_verified, p=p), "a long, b long")
+    both = pairs.join(ta, "a").join(tb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "tb")
+    return both.mapInArrow(partial(_verified, p=p), "a long, b long")
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet; an end that comp lacks is its own component."""
-    ca, cb = comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+def _placed(df: DataFrame, node: str, found: list[DataFrame], name: str = "c") -> DataFrame:
+    """df with the component of its node: each round of components is one of the rounds before it."""
+    df = df.withColumn(name, F.col(node))
+    for comp in found:
+        df = df.join(comp.select(F.col("node").alias(name), "component"), name, "left").withColumn(name, F.coalesce("component", name)).drop("component")
+    return df
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """docs -> (doc_id long, n_shingles long, component_id long, kept boolean), one row per row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), params: Params = Params()) -> DataFrame:
+    """docs -> (doc_id long, n_shingles long, component_id long, kept boolean, and the columns of carry), one row per
+    row of docs.
 
     Ids must be integers. Null and empty texts, and texts of white space only, have no shingles: they link with
-    nothing. A null id links with nothing, has a null component and is kept. Rows that repeat an id are one
-    document for linking if their texts are equal; each row comes back, and each of them is kept if the id is its
-    component's. Other columns are ignored. An empty table gives an empty result.
+    nothing. A null id links with nothing, has a null component and is kept. Rows that repeat an id are linked each by
+    its own text; each is kept if the id is its component's least. Other columns are ignored. An empty table gives an
+    empty result.
     """
     p = params
-    own = rename_columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    made = written(own.mapInArrow(partial(_sketched, p=p), "doc_id long, n_shingles long, k1 long, k2 long, marks binary, bands array<long>"))
+    own = rename_columns(docs, doc_id=id_col, text=text_col, **{f"_{i}": c for i, c in enumerate(carry)}).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("t", F.xxhash64("text"))
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "text")
+    made = written(own.mapInArrow(partial(_sketched, p=p), f"{others}, n_shingles long, k1 long, k2 long, marks binary, bands array<long>"))
     real = made.where("n_shingles > 0 and doc_id is not null")
-    reps = written(real.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "marks", "bands"), "doc_id").alias("r")).select("k1", "k2", "r.*").withColumnRenamed("doc_id", "rep"))
-
-    buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = written(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
+    # Classes are numbered as they are written; the text of the row of least doc_id (and hash) stands for a class.
+    reps = real.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "t", "n_shingles", "marks", "bands"), F.struct("doc_id", "t")).alias("r"))
+    reps = written(reps.select("k1", "k2", "r.*").withColumn("rep", F.monotonically_increasing_id()))
+
+    # Each bucket is dealt into as many blocks as keep a block's number of members and bytes near the bounds.
+    buckets = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("sum")).where("size > 1")
+    n = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("sum") * 8 / p.block_bytes)).cast("int")
+    shared = buckets.select("rep", "bucket").join(sizes.select("bucket", "size", n.alias("n")), "bucket")
+    shared = written(shared.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")))
     company = shared.groupBy("rep").agg(F.sum("size").alias("company"))
-    pivots = shared.join(company, "rep").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("neg"))).alias("p")).select("bucket", (-F.col("p.neg")).alias("pivot"))
-    stars = shared.join(pivots, "bucket").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    pivots = shared.join(company, "rep").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("neg"))).alias("p"), F.first("n").alias("n"))
+    # A bucket's members are spread over its blocks, and what is joined to them goes to each block.
+    pivots = pivots.select("bucket", (-F.col("p.neg")).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("own"))
+    stars = shared.join(pivots, ["bucket", "own"]).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     ma, mb = (reps.select(F.col("rep").alias(k), F.col("marks").alias(f"m{k}")) for k in "ab")
     stars = written(stars.join(ma, "a").join(mb, "b").select("a", "b", "ma", "mb").mapInArrow(partial(_alike, p=p), "a long, b long, equal long"))
 
-    members = shared.select("rep").distinct()
-    bodies = written(own.where("doc_id is not null").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "rep"))
+    members = shared.select("rep").distinct().join(reps.select("rep", "doc_id", "t"), "rep")
+    bodies = own.select("doc_id", "t", "text").join(members, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))
+    bodies = written(bodies.select("rep", "text"))
 
     # The likeliest partner of each document first: from the side that is not the better known one.
     ends = stars.select(F.col("a").alias("x"), F.col("b").alias("y"), "equal").union(stars.select("b", "a", "equal"))
     best = ends.groupBy("x").agg(F.max_by(F.struct("y"), F.struct("equal", (-F.col("y")).alias("t"))).alias("m")).select("x", "m.y")
     first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    links = written(_verify(first, bodies, p))
-    comp = components(links)
+    found = [components(_verify(first.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), bodies, p))]
 
-    second = written(_apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), comp))
-    links = written(links.union(_verify(second, bodies, p)))
-    comp = components(links)
+    # What is joined is joined: from here on, links are between the components so far.
+    second = _placed(_placed(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), "a", found, "ca"), "b", found, "cb").where("ca <> cb")
+    found.append(components(_verify(written(second.select("a", "b", "ca", "cb")), bodies, p)))
 
-    named = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    mixed = written(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"))
-    named = named.join(mixed, "bucket")
+    named = _placed(shared.select("bucket", "rep", "n", "own"), "rep", found, "comp")
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo <> hi")
+    mixed = mixed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("own"))
+    named = written(named.join(mixed, ["bucket", "own"]))
     fine = bodies.join(named.select("rep").distinct(), "rep", "left_semi").mapInArrow(partial(_finely, p=p), "rep long, marks binary, shingles binary")
     fine = written(fine.join(reps.select("rep", "bands"), "rep"))
-    # As many blocks as keep each one's number of members and bytes near the bounds.
-    weight = named.join(fine.select("rep", F.octet_length("shingles").alias("bytes")), "rep").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
-    n = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("bytes") / p.block_bytes)).cast("int")
-    dealt = named.join(weight, "bucket").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp")
     # Groups of one component have nothing to compare; their members' sets aren't sent.
     several = dealt.groupBy("bucket", "x", "y").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "x", "y")
     dealt = dealt.join(several, ["bucket", "x", "y"], "left_semi").join(fine, "rep")
-    third = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_across, p=p), "a long, b long")
-    comp = components(written(links.union(third)))
+    found.append(components(dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_across, p=p), "a long, b long")))
+    discard(stars, bodies, first, named, fine)
 
     # Rows without shingles or id have a key of their own each, so that they don't meet in one partition.
     linkable = F.expr("n_shingles > 0 and doc_id is not null")
-    by_key = reps.select("k1", "k2", F.lit(True).alias("linkable"), "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "linkable", F.coalesce("component", "rep").alias("c"))
-    out = made.select("doc_id", "n_shingles", linkable.alias("linkable"), F.when(linkable, F.col("k1")).otherwise(F.xxhash64("doc_id", "k1")).alias("k1"), F.when(linkable, F.col("k2")).otherwise(F.lit(0)).alias("k2"))
-    out = out.join(by_key, ["k1", "k2", "linkable"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = _placed(reps.select("k1", "k2", "doc_id", "rep"), "rep", found)
+    least = _placed(shared.select("rep").distinct().join(reps.select("rep", "doc_id"), "rep"), "rep", found).groupBy("c").agg(F.min("doc_id").alias("least"))
+    by_key = classes.join(least, "c", "left").select("k1", "k2", F.lit(True).alias("linkable"), F.coalesce("least", "doc_id").alias("c"))
+    columns = ["doc_id", "n_shingles", *(f"_{i}" for i in range(len(carry)))]
+    out = made.select(*columns, linkable.alias("linkable"), F.when(linkable, F.col("k1")).otherwise(F.xxhash64("doc_id", "t")).alias("k1"), F.when(linkable, F.col("k2")).otherwise(F.lit(0)).alias("k2"))
+    out = out.join(by_key, ["k1", "k2", "linkable"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))

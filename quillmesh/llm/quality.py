@@ -213,7 +213,9 @@ def quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_c
     scored each. Other columns are ignored; an empty table gives an empty result.
     """
     p = params
-    known = bounded(labelled(docs, labels, label_col, id_col, text_col).where(fold("doc_id", 4) != 2), p.sample, labels.count())
+    learned = rename_columns(labels, doc_id=id_col, y=label_col).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold("doc_id", 4) != 2))
+    there = learned.select("doc_id").distinct().join(rename_columns(docs, doc_id=id_col), "doc_id", "left_semi").count()
+    known = bounded(labelled(docs, labels, label_col, id_col, text_col).where(fold("doc_id", 4) != 2), p.sample, there)
     got = known.select("text", "y").mapInArrow(_measured, "y int, x array<double>").toPandas()
     model = fit(np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float), p)
     own = rename_columns(docs, doc_id=id_col, text=text_col)

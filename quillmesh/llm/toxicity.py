@@ -1,21 +1,22 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two models, one of the toxic and one of the ordinary labelled texts, give the log-likelihood of each word letter by
-letter. The histories that reach the word's beginning or `order` letters back keep counts of their own class; what is
-rare there is smoothed by lower orders (two letters back, then none) whose continuation counts (in how many different
-histories a letter follows) are shared by both classes. The difference of the two log-likelihoods (per letter over the
-whole text, and in total for each word: its greatest values and the numbers of words above several cuts) is turned into
-a probability by a logistic curve that is fitted on labelled rows of a fold that the models haven't seen. Totals, as in
-a long word with an ordinary beginning only some letters tell.
-
-All counts cover all labelled rows of the learning folds and are made, smoothed and compared by grouped aggregation in
-Spark. What leaves it is exact and grows with the different words that were learned: the log-ratio of each
-history and letter seen, and of each history for letters not seen after it (there the shared part cancels out), each
-found by its 64-bit key.
+"""Toxicity by class-conditional Kneser-Ney models over words.
+
+Two models, one of the toxic and one of the ordinary labelled texts, give the log-likelihood of each word. What a
+class's counts are discounted by goes to a backoff that both classes share: a word's continuation count, in how many
+different learned documents it stands. So a rare expression is judged by what both classes know of it, and one that
+neither has seen has the same ratio in all texts (the shared part cancels out). The difference of the two
+log-likelihoods (per letter over the whole text, and of each different word: the greatest ones and how many words lie
+above several cuts) is turned into a probability by a logistic curve, fitted on labelled rows of a fold that the models
+haven't seen.
+
+Counts are exact, keyed by a word's 64-bit hash, and stay in a table that grows with the words learned. Of its
+log-ratios only those of the most frequent words, at most `sent_words`, go to the tasks; the other words of each text
+are joined with the table, a row for each, and summed up. Nothing else passes through the driver but totals, a
+histogram of frequencies and the bounded sample for the curve.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -24,70 +25,43 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, mix64, rename_columns, slices, texts, written
-from .labels import bounded, fit_logistic, fold, labelled, sigmoid
+from .common import alnum_words, rename_columns, slices, texts, written
+from .labels import bounded, fit_logistic, fold, known_labels, labelled
 
 
 @dataclass(frozen=True)
 class Params:
-    """order: letters of a history. discount: taken from each count.
-    top: most suspicious words that count. cuts: log-ratios of a word above which words are counted. calibration_rows: bound of the sample for the logistic curve. longest:
-    bytes of a word; longer ones are scored in pieces of so many. cache: words whose scores a worker keeps."""
+    """discount: taken from each count. top: most suspicious words that count. cuts: log-ratios of a word above which
+    words are counted. calibration_rows: bound of the sample for the logistic curve. longest: bytes of a word; longer
+    ones are scored in pieces of so many. sent_words: most words whose log-ratios are sent to the tasks (12 bytes
+    each); cache: words whose log-ratios a worker keeps."""
 
-    order: int = 12
     discount: float = 0.75
     top: int = 3
     cuts: tuple[float, ...] = (1, 2, 3, 4, 5, 6, 7)
     calibration_rows: int = 40_000
     longest: int = 32
+    sent_words: int = 500_000
     cache: int = 500_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log-ratios of history and letter, by sorted keys, and of a history with a letter that wasn't seen after it."""
+    """words: (key, documents, ratio). unseen: the ratio of words that aren't there. frequent: least number of
+    documents of the words that are sent, in steps of an eighth of a binary order."""
 
-    full: np.ndarray
-    full_ratio: np.ndarray
-    history: np.ndarray
-    history_ratio: np.ndarray
-    weights: np.ndarray
-    name: str = ""
+    words: DataFrame
+    unseen: float
+    frequent: int
 
 
-_SEED = np.uint64(0x2545F4914F6CDD1D)
-
-
-def _features(p: Params) -> int:
-    return 3 + len(p.cuts)
-
-
-def _letters(words: list[bytes], order: int) -> tuple[np.ndarray, ...]:
-    """Of all letters of all words (the end of a word is the letter 0): word's number, hash of the history, the two
-    letters before and the letter as one number."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    flat = np.frombuffer(b"\x00".join(words) + b"\x00", np.uint8).astype(np.uint64)
-    starts = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - starts[word]
-    # the word's beginning is the letter 1, so that a short history and a long one with the same letters differ
-    history, three = np.full(len(flat), _SEED), np.zeros(len(flat), np.uint64)
-    for back in range(order, 0, -1):
-        at = np.arange(len(flat)) - back
-        letter = np.where(place >= back, flat[np.maximum(at, 0)], np.uint64(1))
-        history = mix64(history ^ letter)
-        if back <= 2:
-            three = three << np.uint64(8) | letter
-    return word, history, (three << np.uint64(8) | flat).astype(np.int32)
-
-
-def _followed(history: np.ndarray, three: np.ndarray) -> np.ndarray:
-    """Hash of history and letter."""
-    return mix64(history ^ ((three & 255).astype(np.uint64) + np.uint64(1) << np.uint64(8)))
-
+def _key(word: bytes) -> int:
+    k = xxhash.xxh64_intdigest(word)
+    return k - (1 << 64) if k >> 63 else k
 
 
 def _pieces(text: str, longest: int) -> list[bytes]:
@@ -98,171 +72,158 @@ def _pieces(text: str, longest: int) -> list[bytes]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    def out(c: tuple[Counter, Counter]) -> pa.RecordBatch:
-        keys = list(c[0].keys() | c[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([x[k] for k in keys], pa.int64()) for x in (c[1], c[0]))], names=["word", "toxic", "plain"])
+    """(text, y) -> pre-aggregated (key, documents, toxic, plain)."""
+    held = Counter(), Counter(), Counter()  # occurrences in ordinary and in toxic texts, documents
+
+    def out() -> pa.RecordBatch:
+        words = list(held[2])
+        columns = [pa.array(list(map(_key, words)), pa.int64())] + [pa.array([held[i][w] for w in words], pa.int64()) for i in (2, 1, 0)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "documents", "toxic", "plain"])
 
-    held = Counter(), Counter()
     for batch in slices(batches):
         for text, y in zip(texts(batch.column("text")), batch.column("y").to_pylist(), strict=True):
-            held[y].update(_pieces(text, p.longest))
-        if len(held[0]) + len(held[1]) > 200_000:
-            yield out(held)
-            held = Counter(), Counter()
-    yield out(held)
-
-
-def _grams(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 20_000):
-        words = batch.column("word").to_pylist()
-        if not words:
-            continue
-        word, history, three = _letters(words, p.order)
-        _, first, inverse = np.unique(_followed(history, three), return_index=True, return_inverse=True)
-        sums = [np.bincount(inverse, batch.column(c).to_numpy()[word], len(first)).astype(np.int64) for c in ("toxic", "plain")]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (history[first].view(np.int64), three[first], *sums)], names=["history", "three", "toxic", "plain"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = _followed(batch.column("history").to_numpy().view(np.uint64), batch.column("three").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("ratio")], names=["key", "ratio"])
-
-
-
-def _by_key(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(key, ratio) as arrays in the order of the keys."""
-    rows = df.toArrow()
-    key, ratio = (rows.column(c).to_numpy() for c in ("key", "ratio"))
-    order = np.argsort(key)
-    return key[order], ratio[order]
-
-
-def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The wanted keys' values (0 where there is none), and whether there is one."""
-    if not len(keys):
-        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    found = keys[place] == wanted
-    return np.where(found, values[place], 0), found
-
-
-def fit(train: DataFrame, held_back: DataFrame, params: Params = Params()) -> Model:
-    """train, held_back: (doc_id, text, y), the second for the logistic curve. Without rows of both classes in them,
-    the curve is flat at the share of toxic rows (one half without any)."""
-    p, spark = params, train.sparkSession
-    words = train.select("text", "y").mapInArrow(partial(_word_counts, p=p), "word binary, toxic long, plain long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    grams = words.mapInArrow(partial(_grams, p=p), "history long, three int, toxic long, plain long")
-    d = p.discount
-    # One shuffle, by history: a history has 256 letters after it at most.
-    grams = grams.repartition("history").groupBy("history", "three").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    sums = [e for c in ("toxic", "plain") for e in (F.sum(c).alias(f"n_{c}"), F.count_if(F.col(c) > 0).alias(f"kinds_{c}"))]
-    histories = written(grams.groupBy("history").agg(F.collect_list(F.struct("three", "toxic", "plain")).alias("after"), *sums))
-    # Two letters and a third, and two letters: at most as many as there are bytes to the third and second power.
-    pairs = histories.select(F.explode("after.three").alias("three")).groupBy("three").agg(F.count("*").alias("n")).select("three", F.expr("three >> 8").alias("two"), F.expr("three & 255").alias("letter"), "n")
-    twos = pairs.groupBy("two").agg(F.sum("n").alias("n_two"), F.count("*").alias("kinds_two"))
-    letters = np.zeros(256)
-    for r in pairs.groupBy("letter").agg(F.count("*").alias("n")).collect():  # 256 at most
-        letters[r["letter"]] = r["n"]
-    one = ((letters + 0.5) / (letters.sum() + 128)).tolist()
-    lower = F.element_at(F.array(*map(F.lit, one)), F.col("letter") + 1)
-    shared = pairs.join(F.broadcast(twos), "two").select("three", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("n_two") + F.least(d * F.col("kinds_two") / F.col("n_two"), F.lit(1.0)) * lower).alias("shared"))
-    left = [F.when(F.col(f"n_{c}") > 0, F.least(d * F.col(f"kinds_{c}") / F.col(f"n_{c}"), F.lit(1.0))).otherwise(1.0).alias(f"left_{c}") for c in ("toxic", "plain")]
-    history = histories.select("history", "after", "n_toxic", "n_plain", *left)
-    likely = [F.greatest(F.col(c) - d, F.lit(0.0)) / F.greatest(F.col(f"n_{c}"), F.lit(1)) + F.col(f"left_{c}") * F.col("shared") for c in ("toxic", "plain")]
-    known = history.selectExpr("inline(after)", "*").join(F.broadcast(shared), "three")
-    full = known.select("history", "three", F.log(likely[0] / likely[1]).cast("float").alias("ratio")).mapInArrow(_keyed, "key long, ratio float")
-    unseen = history.select(F.col("history").alias("key"), F.log(F.col("left_toxic") / F.col("left_plain")).cast("float").alias("ratio")).where("ratio <> 0")
-    model = Model(*_by_key(full), *_by_key(unseen), np.zeros(_features(p) + 1))
-    sent = spark.sparkContext.broadcast(model)
-    got = bounded(held_back, p.calibration_rows, held_back.count()).select("text", "y").mapInArrow(partial(_measured, model=sent, p=p), "y int, x array<double>").toPandas()
-    x, y = np.array(got["x"].tolist(), float).reshape(-1, _features(p)), got["y"].to_numpy(float)
-    if len(set(y)) == 2:
-        weights = fit_logistic(x, y)
-    else:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        weights = np.append(np.zeros(_features(p)), np.log(share / (1 - share)))
-    return Model(**{**model.__dict__, "weights": weights, "name": uuid.uuid4().hex})
+            words = _pieces(text, p.longest)
+            held[y].update(words)
+            held[2].update(set(words))
+        if len(held[2]) > 200_000:
+            yield out()
+            for c in held:
+                c.clear()
+    yield out()
+
+
+def _step(documents: Column) -> Column:
+    """A number of documents in steps of an eighth of a binary order."""
+    return F.floor(F.log2(documents) * 8).cast("int")
+
+
+def fit(train: DataFrame, params: Params = Params()) -> Model:
+    """train: (text, y 0 or 1)."""
+    p, d = params, params.discount
+    counts = train.select("text", "y").mapInArrow(partial(_word_counts, p=p), "key long, documents long, toxic long, plain long")
+    counts = written(counts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("documents", "toxic", "plain"))))
+    total = counts.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "toxic", "plain")), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "plain"))
+    ).first()
+    # what is left for the backoff; a class without words leaves everything
+    left = {c: min(d * total[f"kinds_{c}"] / total[c], 1.0) if total[c] else 1.0 for c in ("toxic", "plain")}
+    shared = F.col("documents") / F.lit(float(max(total["documents"], 1)))
+    likely = [F.greatest(F.col(c) - d, F.lit(0.0)) / F.lit(float(max(total[c], 1))) + F.lit(left[c]) * shared for c in ("toxic", "plain")]
+    words = counts.select("key", "documents", F.log(likely[0] / likely[1]).alias("ratio"))
+    frequent, n = 0, 0
+    steps = counts.groupBy(_step(F.col("documents")).alias("step")).agg(F.count("*").alias("n")).collect()  # some hundreds at most
+    for r in sorted(steps, reverse=True):
+        n += r["n"]
+        if n > p.sent_words:
+            frequent = r["step"] + 1
+            break
+    return Model(words, math.log(left["toxic"] / left["plain"]), frequent)
 
 
 class _Scorer:
-    def __init__(self, model: Model, p: Params):
-        self.model, self.p, self.known = model, p, {}
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, p: Params):
+        self.keys, self.ratios, self.p, self.known = keys, ratios, p, {}
 
     def _learn(self, new: list[bytes]) -> None:
-        m = self.model
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            word, history, three = _letters(some, self.p.order)
-            ratio, seen = _at(m.full, m.full_ratio, _followed(history, three).view(np.int64))
-            rest = np.flatnonzero(~seen)
-            ratio[rest] = _at(m.history, m.history_ratio, history[rest].view(np.int64))[0]
-            ratio = np.bincount(word, ratio, len(some))
-            self.known.update(zip(some, ratio.tolist(), strict=True))
-
-    def features(self, batch: list[str]) -> np.ndarray:
-        """Per text: the log-ratio per letter; of its words, the greatest and the mean of the top log-ratios; of its
-        different words, the numbers above each cut (as logarithms)."""
+        """Ratios of new words; NaN for those that weren't sent."""
+        wanted = np.fromiter(map(_key, new), np.int64, len(new))
+        if len(self.keys) and len(new):
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            got = np.where(self.keys[place] == wanted, self.ratios[place], np.nan)
+        else:
+            got = np.full(len(new), np.nan)
+        self.known.update(zip(new, got.tolist(), strict=True))
+
+    def measure(self, batch: list[str]) -> list[pa.Array]:
+        """Per text: letters (and ends of words), sum and greatest of the ratios that were sent, numbers of different
+        words above each cut, and the other words' keys with their occurrences."""
         if len(self.known) > self.p.cache:
             self.known = {}
-        split = [_pieces(t, self.p.longest) for t in batch]
-        self._learn(list(set().union(*split).difference(self.known)))
-        out = np.zeros((len(batch), _features(self.p)))
-        for i, words in enumerate(split):
-            if words:
-                r = np.fromiter(map(self.known.__getitem__, words), float, len(words))
-                k = min(self.p.top, len(r))
-                high = np.partition(r, len(r) - k)[len(r) - k :]
-                different = np.fromiter(map(self.known.__getitem__, set(words)), float)
-                above = len(different) - np.searchsorted(np.sort(different), self.p.cuts, "right")
-                out[i, :3] = r.sum() / (sum(map(len, words)) + len(words)), high.max(), high.sum() / self.p.top
-                out[i, 3:] = np.log1p(above)
-        return out
-
-
+        counted = [Counter(_pieces(t, self.p.longest)) for t in batch]
+        self._learn(list(set().union(*counted).difference(self.known)))
+        letters, total, high, above, rare, times = [], [], [], [], [], []
+        for c in counted:
+            r = np.fromiter(map(self.known.__getitem__, c), float, len(c))
+            n = np.fromiter(c.values(), np.int64, len(c))
+            letters.append(sum(len(w) * k for w, k in c.items()) + int(n.sum()))
+            there = ~np.isnan(r)
+            sent = np.sort(r[there])
+            total.append(float(r[there] @ n[there]))
+            high.append(sent[::-1][: self.p.top].tolist())
+            above.append((len(sent) - np.searchsorted(sent, self.p.cuts, "right")).tolist())
+            rare.append([_key(w) for w, s in zip(c, there.tolist(), strict=True) if not s])
+            times.append(n[~there].tolist())
+        return [pa.array(letters, pa.int64()), pa.array(total, pa.float64()), pa.array(high, pa.list_(pa.float64())), *(pa.array(x, pa.list_(pa.int64())) for x in (above, rare, times))]
+
+
+_MEASURED = ["letters", "total", "high", "above", "rare", "times"]
 _WORKER: dict[str, _Scorer] = {}
 
 
-def _scorer(model: Model, p: Params) -> _Scorer:
-    """This worker's scorer for a model; the last one only is kept."""
-    if model.name not in _WORKER:
+def _measured(batches: Iterator[pa.RecordBatch], sent, p: Params) -> Iterator[pa.RecordBatch]:
+    name, keys, ratios = sent.value
+    if name not in _WORKER:  # the last model only is kept
         _WORKER.clear()
-        _WORKER[model.name] = _Scorer(model, p)
-    return _WORKER[model.name]
-
-
-def _measured(batches: Iterator[pa.RecordBatch], model, p: Params) -> Iterator[pa.RecordBatch]:
-    scorer = _Scorer(model.value, p)
+        _WORKER[name] = _Scorer(keys, ratios, p)
     for batch in slices(batches):
-        x = scorer.features(texts(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
-
-
-def _scored(batches: Iterator[pa.RecordBatch], model, p: Params) -> Iterator[pa.RecordBatch]:
-    scorer = _scorer(model.value, p)
-    w = scorer.model.weights
-    for batch in slices(batches):
-        s = sigmoid(scorer.features(texts(batch.column("text"))) @ w[:-1] + w[-1])
-        keep = [batch.column(c) for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(s)], names=[*(c for c in batch.schema.names if c != "text"), "score"])
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """docs -> (doc_id, score), one row per row of docs. Null and empty texts have the score of no evidence."""
-    own = rename_columns(docs, doc_id=id_col, text=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(partial(_scored, model=sent, p=params), f"doc_id {dict(own.dtypes)['doc_id']}, score double")
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """docs -> (doc_id, held_out boolean, score double, predicted int), one row per row of docs.
+        keep = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *_WORKER[name].measure(texts(batch.column("text")))], names=[*keep, *_MEASURED])
+
+
+def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFrame:
+    """own (text and others) -> the other columns and x, the text's numbers for the curve."""
+    p = params
+    often = F.expr("true") if not model.frequent else _step(F.col("documents")) >= model.frequent
+    rows = model.words.where(often).select("key", F.col("ratio").cast("float").alias("ratio")).toArrow()  # sent_words at most
+    keys, ratios = (rows.column(c).to_numpy() for c in ("key", "ratio"))
+    order = np.argsort(keys)
+    sent = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, keys[order], ratios[order]))
+    others = [f for f in own.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "letters long, total double, high array<double>, above array<long>, rare array<long>, times array<long>"])
+    made = written(own.mapInArrow(partial(_measured, sent=sent, p=p), schema).withColumn("row", F.monotonically_increasing_id()))
+    if model.frequent:
+        other = model.words.where(~often).select("key", F.col("ratio").cast("float").cast("double").alias("ratio"))
+        found = made.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("n"))
+        found = found.join(other, "key").groupBy("row").agg(
+            F.sum("n").alias("f_times"), F.count("*").alias("f_words"), F.sum(F.col("ratio") * F.col("n")).alias("f_total"), F.slice(F.sort_array(F.collect_list("ratio"), False), 1, p.top).alias("f_high"),
+            F.array(*(F.count_if(F.col("ratio") > c) for c in p.cuts)).alias("f_above"),
+        )
+        made = made.join(found, "row", "left")
+    else:
+        made = made.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("f_times", "long"), ("f_words", "long"), ("f_total", "double"), ("f_high", "array<double>"), ("f_above", "array<long>"))))
+    zero = F.lit(0).cast("long")
+    unseen = F.size("rare") - F.coalesce("f_words", zero)
+    all_unseen = F.aggregate("times", zero, lambda a, b: a + b) - F.coalesce("f_times", zero)
+    total = F.col("total") + F.coalesce("f_total", F.lit(0.0)) + all_unseen * F.lit(model.unseen)
+    none = F.array().cast("array<double>")
+    high = F.slice(F.sort_array(F.concat("high", F.coalesce("f_high", none), F.array_repeat(F.lit(model.unseen), F.least(unseen, F.lit(p.top)).cast("int"))), False), 1, p.top)
+    above = [F.log1p(F.col("above")[i] + F.coalesce(F.col("f_above")[i], zero) + (unseen if model.unseen > c else zero)) for i, c in enumerate(p.cuts)]
+    mean = F.when(F.col("letters") > 0, total / F.col("letters")).otherwise(0.0)
+    summed = F.aggregate("high", F.lit(0.0), lambda a, b: a + b) / p.top
+    out = made.withColumn("high", high)
+    return out.select(*(f.name for f in others), F.array(mean, F.coalesce(F.get("high", F.lit(0)), F.lit(0.0)), summed, *above).alias("x"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), params: Params = Params()) -> DataFrame:
+    """docs -> (doc_id, held_out boolean, score double, predicted int, and the columns of carry), a row per row of docs.
 
     Labels are learned from documents whose crc32(id as text) mod 5 is 1, 2 or 3 (the models) and 4 (the curve); those
     where it is 0 are held out. Null and empty texts get a score from the curve at no evidence. Null ids are held out
-    and keep a null id; rows that repeat an id are scored each. Other columns are ignored; an empty table gives an
-    empty result.
+    and keep a null id; rows that repeat an id are scored each. Without rows of both classes for the curve, it is flat
+    at the share of toxic rows (one half without any). Other columns are ignored; an empty table gives an empty result.
     """
-    known = labelled(docs, labels, label_col, id_col, text_col).withColumn("fold", fold("doc_id", 5)).where("fold <> 0")
-    model = fit(known.where("fold <> 4"), known.where("fold = 4"), params)
-    out = score(docs, model, id_col, text_col, params)
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    p = params
+    train = labelled(docs, labels, label_col, id_col, text_col).where(fold("doc_id", 5).isin(1, 2, 3))
+    own = rename_columns(docs, doc_id=id_col, text=text_col, **{f"_{i}": c for i, c in enumerate(carry)})
+    measured = written(measure(own, fit(train, p), p))
+    rows = measured.where(fold("doc_id", 5) == 4).select("doc_id", "x").join(known_labels(labels, label_col, id_col), "doc_id")
+    got = bounded(rows, p.calibration_rows, rows.count()).select("y", "x").toPandas()
+    x, y = np.array(got["x"].tolist(), float).reshape(-1, 3 + len(p.cuts)), got["y"].to_numpy(float)
+    if len(set(y)) == 2:
+        w = fit_logistic(x, y).tolist()
+    else:
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        w = [0.0] * x.shape[1] + [math.log(share / (1 - share))]
+    z = sum((F.col("x")[i] * F.lit(v) for i, v in enumerate(w[:-1])), F.lit(w[-1]))
+    out = measured.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), (1 / (1 + F.exp(-z))).alias("score"), *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)

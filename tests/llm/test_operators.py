@@ -265,46 +265,38 @@ def test_classifiers(spark, odd, none, which):
     assert run(odd, known.limit(0)).count() == 9
 
 
-def test_toxicity_counts_are_exact(spark):
-    """The words' log-ratios are those of dictionaries, also where there are many different histories."""
+@pytest.mark.parametrize("sent", [500_000, 40])
+def test_toxicity_against_dictionaries(spark, odd, sent):
+    """The words' log-ratios and the texts' numbers are those of dictionaries, whether words are sent or joined."""
     rng = random.Random(12)
-    some = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(30_000)]
-    rows = [(i, " ".join(some[i : i + 100]), int(i % 300 == 0)) for i in range(0, len(some), 100)]
-    p = toxicity.Params()
-    model = toxicity.fit(*[spark.createDataFrame(x, "doc_id long, text string, y int") for x in (rows, rows[:6])], p)
-    grams, d = {}, p.discount
+    some = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(some[: 60 if i % 3 else 300], k=40)), int(i % 3 == 0)) for i in range(60)]
+    p = toxicity.Params(sent_words=sent)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, y int"), p)
+    assert (model.frequent > 0) == (sent == 40)
+    count, documents, d = [{}, {}], {}, p.discount
     for _, text, y in rows:
         for w in text.split():
-            w = "\1" * p.order + w + "\0"
-            for k in range(p.order, len(w)):
-                grams.setdefault((w[k - p.order : k], w[k]), [0, 0])[y] += 1
-    after, pair, two, one = {}, {}, {}, {}
-    for (h, c), n in grams.items():
-        of = after.setdefault(h, [0, 0, 0, 0])
-        of[:] = of[0] + n[0], of[1] + n[1], of[2] + (n[0] > 0), of[3] + (n[1] > 0)
-        pair[h[-2:] + c] = pair.get(h[-2:] + c, 0) + 1
-    for q, n in pair.items():
-        m = two.get(q[:2], (0, 0))
-        two[q[:2]], one[q[2]] = (m[0] + n, m[1] + 1), one.get(q[2], 0) + 1
+            count[y][w] = count[y].get(w, 0) + 1
+        for w in set(text.split()):
+            documents[w] = documents.get(w, 0) + 1
+    n = [sum(c.values()) for c in count]
+    left = [min(d * len(c) / m, 1) for c, m in zip(count, n)]
 
     def ratio(w):
-        w, out = "\1" * p.order + w + "\0", 0
-        for k in range(p.order, len(w)):
-            h, c, logs = w[k - p.order : k], w[k], []
-            n, kinds = two.get(h[-2:], (0, 0))
-            low = (one.get(c, 0) + 0.5) / (sum(one.values()) + 128)
-            low = max(pair.get(h[-2:] + c, 0) - d, 0) / n + min(d * kinds / n, 1) * low if n else low
-            a = after.get(h, [0, 0, 0, 0])
-            for y in (0, 1):
-                left = min(d * a[2 + y] / a[y], 1) if a[y] else 1
-                logs.append(np.log(max(grams.get((h, c), [0, 0])[y] - d, 0) / max(a[y], 1) + left * low))
-            out += logs[1] - logs[0]
-        return out
-
-    scorer = toxicity._Scorer(model, p)
-    tried = [*some[:300], *("".join(rng.choices("abcdefghij", k=6)) for _ in range(300)), *(w[:5] + "xq" for w in some[:300])]
-    scorer._learn([w.encode() for w in tried])
-    assert max(abs(scorer.known[w.encode()] - ratio(w)) for w in tried) < 1e-3
+        if w not in documents:
+            return np.log(left[1] / left[0])
+        shared = documents[w] / sum(documents.values())
+        like = [max(count[y].get(w, 0) - d, 0) / n[y] + left[y] * shared for y in (0, 1)]
+        return np.log(like[1] / like[0])
+
+    tried = [(i, " ".join(rng.choices(some + ["new", "newer"], k=rng.randint(1, 30)))) for i in range(30)] + [(90, None), (91, "")]
+    got = {r.doc_id: r.x for r in toxicity.measure(spark.createDataFrame(tried, "doc_id long, text string"), model, p).collect()}
+    for i, text in tried:
+        w = (text or "").split()
+        high = sorted((ratio(x) for x in set(w)), reverse=True)
+        want = [sum(map(ratio, w)) / (sum(map(len, w)) + len(w)) if w else 0, high[0] if w else 0, sum(high[:3]) / 3, *(np.log1p(sum(h > c for h in high)) for c in p.cuts)]
+        assert got[i] == pytest.approx(want, abs=1e-4)
 
 
 def test_toxicity_in_each_language(spark):
