@@ -8,8 +8,9 @@ two grouped aggregations, whatever a host's size. Pages of a host with the same
 A class is valid if it spans enough of the host's pages, holds several tokens, and occurs once a page, so that its
 tokens nest by their paths. The elements of valid classes are the host's template; what lies in an element but in none
 of the template's inner ones is its slot. Text blocks of valid classes are the template's own text, in articles too.
-The slots of articles (or else of the innermost template element that holds most of what isn't a menu, a notice or
-template text) are content, and a page's text is what its content slots hold.
+The slot of the innermost template element that holds most of what isn't a menu, a notice or template text is the
+content (with the article around it, or the headings beside it), and a page's text is what that slot holds. Names of
+classes that speak of notices, adverts or comments count inside articles only where the host's template has the element.
 """
 
 from __future__ import annotations
@@ -62,14 +63,17 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Block:
-    """A block's text, the path of block elements around it, and whether it lies in an article, outside of any content
-    by its elements' names, and among links only."""
+    """A block's text, the path of block elements around it and their numbers in the page, whether it lies in an
+    article, outside of any content by its elements' names, and among links only; and the paths of elements around it,
+    in an article, whose names speak of something else."""
 
     text: str
     path: tuple[str, ...]
     article: bool
     outside: bool
     linked: bool
+    opened: tuple[int, ...] = ()
+    doubted: tuple[str, ...] = ()
 
 
 def _names(attrs: str) -> tuple[str, bool]:
@@ -81,14 +85,19 @@ def _names(attrs: str) -> tuple[str, bool]:
             marked = True
         else:
             label += "." + re.sub(r"[0-9]+", "", value).strip()
-            marked |= any(w.lower() in MARKS for w in _SPLIT.split(value))
+            marked |= _speaks(value)
     return label, marked
 
 
+def _speaks(name: str) -> bool:
+    return any(w.lower() in MARKS for w in _SPLIT.split(name))
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in its order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in the path, outside, article
+    stack: list[tuple[str, str, bool, bool, int, bool]] = []  # tag, name in the path, outside, article, number, doubted
+    opened = 0
     held: list[str] = []
     linked = total = 0
     in_link = at = 0
@@ -98,8 +107,10 @@ def blocks(html: str) -> list[Block]:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            top = stack[-1] if stack else ("", "", False, False)
-            out.append(Block(text, tuple(s[1] for s in stack), top[3], top[2], linked >= 0.9 * total))
+            top = stack[-1] if stack else ("", "", False, False, 0, False)
+            path = tuple(s[1] for s in stack)
+            doubted = tuple("/".join(path[: i + 1]) for i, s in enumerate(stack) if s[5])
+            out.append(Block(text, path, top[3], top[2], linked >= 0.9 * total, tuple(s[4] for s in stack), doubted))
         linked = total = 0
 
     def add(part: str) -> None:
@@ -146,10 +157,12 @@ def blocks(html: str) -> list[Block]:
         if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
             stack.pop()
         label, marked = _names(attrs) if attrs else ("", False)
-        before = stack[-1] if stack else ("", "", False, False)
+        before = stack[-1] if stack else ("", "", False, False, 0, False)
         article = before[3] or tag in ("article", "main")
-        bad = before[2] or tag in OUTSIDE or (tag == "header" and not before[3]) or (marked and tag not in ("html", "body", "article", "main"))
-        stack.append((tag, tag + label, bad, article))
+        marked = marked and tag not in ("html", "body", "article", "main")
+        bad = before[2] or tag in OUTSIDE or (tag == "header" and not before[3]) or (marked and not before[3])
+        opened += 1
+        stack.append((tag, tag + label, bad, article, opened, marked and before[3]))
     add(html[at:])
     flush()
     return out
@@ -164,15 +177,13 @@ def _tokens(page: list[Block]) -> tuple[dict[str, int], dict[str, int]]:
     """Numbers of the page's element tokens and open text tokens, and characters of open text by path."""
     counts: dict[str, int] = {}
     chars: dict[str, int] = {}
-    seen: tuple[str, ...] = ()
+    seen: set[int] = set()
     for b in page:
-        same = 0
-        while same < min(len(seen), len(b.path)) and seen[same] == b.path[same]:
-            same += 1
-        for i in range(same, len(b.path)):
-            key = "e" + "/".join(b.path[: i + 1])
-            counts[key] = counts.get(key, 0) + 1
-        seen = b.path
+        for i, number in enumerate(b.opened):
+            if number not in seen:
+                seen.add(number)
+                key = "e" + "/".join(b.path[: i + 1])
+                counts[key] = counts.get(key, 0) + 1
     for b in _slot_text(page):
         key = "/".join(b.path)
         chars[key] = chars.get(key, 0) + len(b.text)
@@ -212,21 +223,36 @@ def _path_share(path: str, of: str) -> bool:
     return path == of or path.startswith(of + "/")
 
 
+def _content(elements: list[str], held: dict[str, int], p: Params) -> list[str]:
+    """The content element among those of the template (which occur once a page): the innermost that holds most open
+    text; an article or main around it; or what is around it as long as only headings come in addition."""
+    total = sum(held.values())
+    under = lambda e: {q for q in held if _path_share(q, e)}
+    wide = [e for e in elements if total and sum(held[q] for q in under(e)) >= p.cover * total]
+    if not wide:
+        return []
+    found = max(wide, key=lambda e: (e.count("/"), e))
+    around = sorted((e for e in elements if e != found and _path_share(found, e)), key=len, reverse=True)
+    for e in [found, *around]:
+        if re.match(r"(?:article|main)(?:\.|$)", e.rsplit("/", 1)[-1]):
+            return [e]
+    for e in around:
+        if not all(re.search(r"/(?:h[1-6]|hgroup|header)[^/]*$", q) for q in under(e) - under(found)):
+            break
+        found = e
+    return [found]
+
+
 def _template(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Of each host (elements of valid classes, texts of valid classes, characters by path), its content elements."""
+    """Of each host (elements of valid classes, texts of valid classes, characters by path), its content elements and
+    the elements inside articles that aren't content by their names."""
     for batch in slices(batches, 256):
-        content = []
+        content, doubted = [], []
         for elements, paths, chars in zip(batch.column("elements").to_pylist(), batch.column("paths").to_pylist(), batch.column("chars").to_pylist(), strict=True):
             elements = [e[1:] for e in elements or ()]
-            held = dict(zip([x[1:] for x in paths or ()], chars or (), strict=True))
-            articles = [e for e in elements if re.search(r"(?:^|/)(?:article|main)[^/]*$", e)]
-            inner = [e for e in articles if not any(x != e and _path_share(x, e) for x in articles)]
-            if not inner:
-                total = sum(held.values())
-                wide = [e for e in elements if total and sum(n for q, n in held.items() if _path_share(q, e)) >= p.cover * total]
-                inner = [max(wide, key=lambda e: (e.count("/"), e))] if wide else []
-            content.append(sorted(inner))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.list_(pa.string())), batch.column("own")], names=["host", "content", "own"])
+            content.append(_content(elements, dict(zip([x[1:] for x in paths or ()], chars or (), strict=True)), p))
+            doubted.append(sorted(e for e in elements if _speaks(e.rsplit("/", 1)[-1].partition(".")[2])))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array(x, pa.list_(pa.string())) for x in (content, doubted)), batch.column("own")], names=["host", "content", "doubted", "own"])
 
 
 def _different(pages: DataFrame) -> DataFrame:
@@ -239,8 +265,8 @@ def _different(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, params: Params = Params()) -> DataFrame:
-    """pages (page_id, url, html) -> (host, content: paths of the content elements, own: digests of the template's own
-    texts), for hosts that have any."""
+    """pages (page_id, url, html) -> (host, content: paths of the content elements, doubted: of elements that aren't
+    content, own: digests of the template's own texts), for hosts that have any."""
     p = params
     counted = _different(pages).mapInArrow(_counted, "host string, token string, pages long, single long, vector long, chars long")
     counted = written(counted.where("host <> ''").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("single").alias("single"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars")))
@@ -255,15 +281,16 @@ def templates(pages: DataFrame, params: Params = Params()) -> DataFrame:
     slot = F.expr("array_max(transform(filter(elements, e -> token = concat('c', substr(e, 2)) or startswith(token, concat('c', substr(e, 2), '/'))), e -> struct(length(e) as n, concat('c', substr(e, 2)) as path))).path")
     slots = under.select("host", slot.alias("path"), "chars").where("path is not null").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     slots = slots.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("chars").alias("chars"))
-    return parts.join(slots, "host", "left").select("host", "elements", "paths", "chars", "own").mapInArrow(partial(_template, p=p), "host string, content array<string>, own array<string>")
+    return parts.join(slots, "host", "left").select("host", "elements", "paths", "chars", "own").mapInArrow(partial(_template, p=p), "host string, content array<string>, doubted array<string>, own array<string>")
 
 
-def main_text(html: str, content: list[str] | None = None, own: list[str] | None = None) -> str:
+def main_text(html: str, content: list[str] | None = None, own: list[str] | None = None, doubted: list[str] | None = None) -> str:
     """The page's main text, by its host's template if there is one. A page that the template says nothing of is taken
     by itself: its articles, or else all that isn't named as something else."""
     page = _slot_text(blocks(html))
-    known = set(own or ())
-    free = [b for b in page if not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
+    known, off = set(own or ()), set(doubted or ())
+    free = [b for b in page if not off.intersection(b.doubted)]
+    free = [b for b in free if not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
     free = free or page  # a template of texts alone leaves no page empty
     kept = [b for b in free if any(_path_share("/".join(b.path), c) for c in content or ())]
     if not kept:
@@ -273,7 +300,8 @@ def main_text(html: str, content: list[str] | None = None, own: list[str] | None
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 128):
-        text = [main_text(h, c, o) for h, c, o in zip(texts(batch.column("html")), batch.column("content").to_pylist(), batch.column("own").to_pylist(), strict=True)]
+        parts = (batch.column(c).to_pylist() for c in ("content", "own", "doubted"))
+        text = [main_text(h, *x) for h, *x in zip(texts(batch.column("html")), *parts, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -286,10 +314,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     own = rename_columns(pages, page_id=id_col, url=url_col, html=html_col)
     found = written(templates(own, params))
-    size = found.agg(F.sum(F.expr("length(host) + aggregate(content, 0, (s, x) -> s + length(x)) + 40 * size(own)"))).first()[0] or 0
+    size = found.agg(F.sum(F.expr("length(host) + aggregate(concat(content, doubted), 0, (s, x) -> s + length(x)) + 40 * size(own)"))).first()[0] or 0
     of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
     # Pages without a host get a key each, so that they don't meet in one partition.
     keyed = own.withColumn("host", F.when(of != "", of).otherwise(F.concat(F.lit("?"), F.xxhash64("page_id", "html").cast("string"))))
     joined = keyed.join(F.broadcast(found) if size <= params.broadcast_bytes else found, "host", "left")
     kind = dict(own.dtypes)["page_id"]
-    return joined.select("page_id", "url", "html", "content", "own").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "content", "own", "doubted").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
