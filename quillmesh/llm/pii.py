@@ -1,7 +1,8 @@
 """Personal data, plain and disguised, with the places in the source.
 
 Plain identifiers are found in the text itself. For disguised ones, transducers rewrite the text and keep, for each
-character they write, which source characters it stands for: look-alike characters become the ASCII ones they imitate,
+character character they write, which source characters it stands for: character references become what they name, look-alike
+characters the ASCII ones they imitate, spelled digits digits, and at/dot disguises "@" and ".". it stands for: look-alike characters become the ASCII ones they imitate,
 spelled digits become digits, and at/dot disguises become "@" and ".". The same rules then run on the rewritten text,
 and what they find there is mapped back to source characters.
 """
@@ -13,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import partial
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,8 +90,12 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"(?:(?<=[^ _])[ _]+)?+{_OPEN} ?(?:at|@|arroba|chez) ?{_CLOSE}[ _]*|(?<=\w)[_-]at[_-](?=\w)", re.I)
 _DOT = re.compile(rf"(?:(?<=[^ ]) +)?+{_OPEN} ?(?:dot|\.|point|punkt|punto) ?{_CLOSE} *|(?<=\w)_dot_(?=\w)", re.I)
 #: Bare words count in one context only: local part, at, host, and "dot" between the host's parts; or a local part that no word of prose is.
-_BARE = re.compile(r"(?<![\w.@+-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*+)(?P<at> +(?:at|arroba) +| +@ +| +@|@ +)(?P<host>[A-Za-z0-9-]+(?:(?: +(?:dot|punkt|punto) +|\.)[A-Za-z0-9-]+)+)", re.I)
+_BARE = re.compile(r"(?<![\w.@+-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*+(?: +(?:dot|punkt|punto) +[A-Za-z0-9][A-Za-z0-9._%+-]*+)*+)(?P<at> +(?:at|arroba) +| +@ +| +@|@ +)(?P<host>[A-Za-z0-9-]+(?:(?: +(?:dot|punkt|punto) +|\.)[A-Za-z0-9-]+)+)", re.I)
 _INNER_DOT = re.compile(r"[A-Za-z0-9]\.[A-Za-z0-9]")
+#: Character references: by number, and the named ones of what identifiers hold.
+_REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|commat|period|plus|hyphen|dash|lowbar|nbsp|lpar|rpar|sol);")
+#: "dot" between digits.
+_DIGITS_DOT = re.compile(r"(?<=[0-9]) ?[(\[]? ?\b(?:dot|point|punkt|punto)\b ?[)\]]? ?(?=[0-9])", re.I)
 _BARE_DOT = re.compile(r" +(?:dot|punkt|punto) +", re.I)
 
 
@@ -142,6 +148,11 @@ def _look_alikes(r: Rewritten) -> None:
         r.replace([(m.start(), m.end(), wanted[m[0]]) for m in re.finditer("[" + re.escape("".join(wanted)) + "]", r.text)])
 
 
+def _references(r: Rewritten) -> None:
+    found = ((m.start(), m.end(), unescape(m[0])) for m in _REFERENCE.finditer(r.text))
+    r.replace([x for x in found if len(x[2]) == 1])
+
+
 def _spelled_digits(r: Rewritten) -> None:
     """Each spelled digit next to digits, a plus or other spelled ones; the rules for identifiers reject prose."""
     if not _HAS_WORD.search(r.text):
@@ -164,18 +175,21 @@ def _at_and_dot(r: Rewritten, low: str) -> None:
         return
     spans = []
     for m in _BARE.finditer(r.text):
-        dotted = list(_BARE_DOT.finditer(r.text, m.start("host"), m.end("host")))
+        inner, dotted = (list(_BARE_DOT.finditer(r.text, m.start(part), m.end(part))) for part in ("local", "host"))
         if dotted or "@" in m["at"] or re.search(r"[0-9._]", m["local"].strip(".")):
-            spans += [(m.start("at"), m.end("at"), "@"), *((d.start(), d.end(), ".") for d in dotted)]
+            spans += [*((d.start(), d.end(), ".") for d in inner), (m.start("at"), m.end("at"), "@"), *((d.start(), d.end(), ".") for d in dotted)]
     r.replace(spans)
 
 
 def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that the transducers bring to light: places in the source, none that overlaps a plain one of its kind."""
     r = Rewritten(text)
-    if not text.isascii():
+    if "&" in text:
+        _references(r)
+    if not r.text.isascii():
         _look_alikes(r)
     _spelled_digits(r)
+    r.replace([(m.start(), m.end(), ".") for m in _DIGITS_DOT.finditer(r.text)])
     _at_and_dot(r, r.text.lower())
     if not any(r.changed):
         return []
