@@ -37,56 +37,127 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    # Titles, conditions and disclaimers of whole licence texts, paragraph by paragraph.
+    ("apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("apache-2.0", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("isc", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Words that say little; they are taken last where templates are to be told by single words.
+_COMMON = frozenset("a all an and any are as at be by for from in is it its not of on or that the this to with".split())
+
+
+def _words(text: str) -> list[str]:
+    return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
+
+
+def _sequence(text: str) -> list[str]:
+    words = _words(text)
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def bigrams(text: str) -> list[str]:
     """Different word bigrams of a text in order; words as in the plan below."""
-    words = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.translate(str.maketrans(UPPER, LOWER))).split()
-    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
+    return list(dict.fromkeys(_sequence(text)))
+
+
+def telling_words(templates: tuple[tuple[str, str], ...], least: float) -> list[str]:
+    """Words one of which every match holds. With a coefficient of least, a passage shares at least
+    least / (2 - least) of a template's bigrams (the size bound says how few it may have itself), so that words which
+    touch more than the rest of them can't all be missing."""
+    out: set[str] = set()
+    count: dict[str, int] = {}
+    for _, text in templates:
+        for w in set(_words(text)):
+            count[w] = count.get(w, 0) + 1
+    for _, text in templates:
+        grams = set(bigrams(text))
+        left = {g for g in grams if not out & set(g.split())}
+        may_miss = (1 - least / (2 - least)) * len(grams)
+        for w in sorted({w for g in left for w in g.split()}, key=lambda w: (w in _COMMON, -count[w], w)):
+            if len(grams) - len(left) > may_miss:
+                break
+            out.add(w)
+            left = {g for g in left if w not in g.split()}
+    return sorted(out)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """docs -> (doc_id, n_passages long, license string, dice double, licenses string), one row per row of docs.
 
     Passages are the lines of the whole text, and its paragraphs (parted by blank lines) of more than one line. Words
-    are runs of letters and digits (A-Z lowered) and of characters beyond ASCII. n_passages counts those that match a
-    template with a coefficient of least or more; license and dice are the best match (of ties, the first licence in
-    alphabetical order), null if there is none; licenses lists each passage's best one, sorted, without repetition.
-    Null and empty texts match nothing. Ids may be null or repeat; other columns are ignored.
+    are runs of letters and digits (A-Z lowered) and of characters beyond ASCII. A passage too long for a template is
+    also compared with it at windows of the template's length, wherever the template's first bigram stands. n_passages
+    counts those that match a template, whole or in a window, with a coefficient of least or more; license and dice are
+    the best match (of ties, the first licence in alphabetical order), null if there is none; licenses lists the best
+    one of each whole passage or window that matches, sorted, without repetition. Null and empty texts match nothing.
+    Ids may be null or repeat; other columns are ignored.
     """
-    known = ", ".join(f"named_struct('license', '{name}', 'n', {len(g)}, 'grams', array({', '.join(repr(x) for x in g)}))" for name, text in templates if (g := bigrams(text)))
+    q = lambda words: ", ".join(repr(w) for w in words)
+    known = ", ".join(f"named_struct('license', '{name}', 'n', {len(g)}, 'grams', array({q(g)}), 'first', {g[0]!r}, 'long', {len(_sequence(text))})" for name, text in templates if (g := bigrams(text)))
+    firsts = q(sorted({g[0] for _, text in templates if (g := bigrams(text))}))
     low, high = least / (2 - least), (2 - least) / least
+    telling = rf"(?:^|[ \n])(?:{'|'.join(telling_words(templates, least))})(?:[ \n]|$)"
     own = rename_columns(docs, doc_id=id_col, text=text_col)
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     out = own.select("doc_id", F.regexp_replace(text, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ").alias("t"))
     passages = r"concat(split(t, '\n'), transform(filter(split(t, '\n *\n'), p -> locate('\n', trim(BOTH ' \n' FROM p)) > 0), p -> translate(p, '\n', ' ')))"
-    words = f"transform({passages}, p -> array_remove(split(p, ' '), ''))"
-    grams = f"transform(filter({words}, w -> size(w) > 1), w -> array_distinct(zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b))))"
-    out = out.select("doc_id", F.expr(grams).alias("grams"))
-    fits = f"filter(array({known}), k -> size(g) >= {low!r}D * k.n - 1e-9 AND size(g) <= {high!r}D * k.n + 1e-9)"
-    scores = f"transform({fits}, k -> struct(2.0D * size(array_intersect(g, k.grams)) / (size(g) + k.n) AS dice, k.license AS license))"
-    best = f"transform(grams, g -> array_sort(filter({scores}, s -> s.dice >= {least!r}D), (x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 WHEN x.license < y.license THEN -1 WHEN x.license > y.license THEN 1 ELSE 0 END))"
-    out = out.select("doc_id", F.expr(f"transform(filter({best}, m -> size(m) > 0), m -> m[0])").alias("found"))
-    first = F.expr("array_sort(found, (x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 WHEN x.license < y.license THEN -1 WHEN x.license > y.license THEN 1 ELSE 0 END)")
-    out = out.select("doc_id", first.alias("found"))
-    return out.select("doc_id", F.size("found").cast("long").alias("n_passages"), F.expr("get(found, 0).license").alias("license"), F.expr("get(found, 0).dice").alias("dice"), F.expr("concat_ws(',', array_sort(array_distinct(transform(found, m -> m.license))))").alias("licenses"))
+    # Texts and then passages without a telling word end here.
+    words = f"if(t rlike '{telling}', transform(filter({passages}, p -> p rlike '{telling}'), p -> array_remove(split(p, ' '), '')), cast(array() AS array<array<string>>))"
+    grams = f"transform(filter({words}, w -> size(w) > 1), w -> zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))"
+    out = out.select("doc_id", F.expr(f"transform({grams}, g -> struct(g AS s, array_distinct(g) AS g))").alias("passages"))
+    known = f"array({known})"
+    match = lambda g, k: f"struct(2.0D * size(array_intersect({g}, {k}.grams)) / (size({g}) + {k}.n) AS dice, {k}.license AS license)"
+    order = "(x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 WHEN x.license < y.license THEN -1 WHEN x.license > y.license THEN 1 ELSE 0 END"
+    good = f"m -> m.dice >= {least!r}D"
+    fits = f"filter({known}, k -> size(p.g) >= {low!r}D * k.n - 1e-9 AND size(p.g) <= {high!r}D * k.n + 1e-9)"
+    whole = f"slice(array_sort(filter(transform({fits}, k -> {match('p.g', 'k')}), {good}), {order}), 1, 1)"
+    at = f"filter(sequence(1, size(p.s)), i -> array_contains(array({firsts}), element_at(p.s, i)))"
+    here = f"filter({known}, k -> k.first = element_at(p.s, i) AND size(p.g) > {high!r}D * k.n + 1e-9)"
+    window = f"transform({here}, k -> {match('array_distinct(slice(p.s, i, k.long))', 'k')})"
+    windows = f"flatten(transform({at}, i -> slice(array_sort(filter({window}, {good}), {order}), 1, 1)))"
+    found = f"filter(transform(passages, p -> concat({whole}, {windows})), f -> size(f) > 0)"
+    out = out.select("doc_id", F.expr(found).alias("f")).select("doc_id", F.size("f").cast("long").alias("n_passages"), F.expr(f"array_sort(flatten(f), {order})").alias("found"))
+    licenses = F.expr("concat_ws(',', array_sort(array_distinct(transform(found, m -> m.license))))")
+    return out.select("doc_id", "n_passages", F.expr("get(found, 0).license").alias("license"), F.expr("get(found, 0).dice").alias("dice"), licenses.alias("licenses"))
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> str:
     """DuckDB SQL for the same rows."""
-    rows = ", ".join(f"('{name}', [{', '.join(repr(x) for x in bigrams(text))}])" for name, text in templates)
+    rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(x) for x in bigrams(text))}], {len(_sequence(text))})" for i, (name, text) in enumerate(templates))
     return f"""
-WITH k(license, g) AS (VALUES {rows}),
-t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS t FROM documents),
-p AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS p FROM t
-    UNION ALL SELECT doc_id, p FROM (SELECT doc_id, unnest(string_split_regex(t, '\\n *\\n')) AS p FROM t) WHERE contains(trim(p, ' ' || chr(10)), chr(10))),
-n AS (SELECT row_number() OVER () AS i, doc_id, list_filter(string_split_regex(p, '[ \\n]+'), lambda x: x <> '') AS w FROM p),
-g AS (SELECT i, doc_id, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS g FROM n WHERE len(w) > 1),
-m AS (SELECT i, doc_id, license, 2.0::DOUBLE * len(list_intersect(g.g, k.g)) / (len(g.g) + len(k.g)) AS dice FROM g JOIN k ON len(g.g) <= 2 * len(k.g) AND len(k.g) <= 2 * len(g.g) AND list_has_any(g.g, k.g)),
-b AS (SELECT i, doc_id, license, dice FROM m WHERE dice >= {least!r}::DOUBLE QUALIFY row_number() OVER (PARTITION BY i ORDER BY dice DESC, license) = 1),
-d AS (SELECT doc_id, count(*) AS n_passages, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM b GROUP BY doc_id)
-SELECT doc_id, coalesce(n_passages, 0) AS n_passages, license, dice, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN d USING (doc_id)
+WITH k(kid, license, g, long) AS (VALUES {rows}),
+t AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') AS t FROM documents),
+p AS (SELECT r, unnest(string_split(t, chr(10))) AS p FROM t
+    UNION ALL SELECT r, p FROM (SELECT r, unnest(string_split_regex(t, '\\n *\\n')) AS p FROM t) WHERE contains(trim(p, ' ' || chr(10)), chr(10))),
+n AS (SELECT row_number() OVER () AS i, r, list_filter(string_split_regex(p, '[ \\n]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT i, r, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) AS s FROM n WHERE len(w) > 1),
+g AS (SELECT i, r, s, list_distinct(s) AS g FROM s),
+whole AS (SELECT i, r, license, 2.0::DOUBLE * len(list_intersect(g.g, k.g)) / (len(g.g) + len(k.g)) AS dice FROM g JOIN k ON list_has_any(g.g, k.g)
+    QUALIFY dice >= {least!r}::DOUBLE AND row_number() OVER (PARTITION BY i ORDER BY dice DESC, license) = 1),
+firsts AS (SELECT DISTINCT g[1] AS b FROM k),
+pos AS (SELECT i, r, s, len(g) AS n, unnest(range(1, len(s) + 1)) AS j FROM g WHERE list_has_any(g, (SELECT list(b) FROM firsts))),
+windows AS (SELECT i, r, j, license, 2.0::DOUBLE * len(list_intersect(list_distinct(list_slice(s, j, j + long - 1)), k.g)) / (len(list_distinct(list_slice(s, j, j + long - 1))) + len(k.g)) AS dice
+    FROM pos JOIN k ON s[j] = k.g[1] AND n > {(2 - least) / least!r}::DOUBLE * len(k.g) + 1e-9 QUALIFY dice >= {least!r}::DOUBLE AND row_number() OVER (PARTITION BY i, j ORDER BY dice DESC, license) = 1),
+m AS (SELECT i, r, license, dice FROM whole UNION ALL SELECT i, r, license, dice FROM windows),
+d AS (SELECT r, count(DISTINCT i) AS n_passages, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_passages, 0) AS n_passages, license, dice, coalesce(licenses, '') AS licenses FROM t LEFT JOIN d USING (r)
 """
