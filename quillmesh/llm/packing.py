@@ -23,6 +23,10 @@ from .common import rename_columns, slices, texts, written
 from .tokens import encoder
 
 
+#: Counts of lengths by partition that are sent whole to the tasks (some 24 bytes each); beyond it, they are joined by a shuffle.
+SENT_COUNTS = 500_000
+
+
 @dataclass
 class Plan:
     """runs: (length, first rank, pieces, first sequence, pieces of this run in a sequence, offset of the first).
@@ -196,7 +200,8 @@ def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     runs = spark.sparkContext.broadcast(np.array(sorted(plan.runs), np.int64).reshape(-1, 6))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = made.join(first, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    few = counts.count() <= SENT_COUNTS
+    ranked = made.join(F.broadcast(first) if few else first.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
     return ranked.select(*columns, "rank").mapInArrow(partial(_placed, runs=runs), out)

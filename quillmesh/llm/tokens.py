@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Chunks that a worker keeps; beyond it, the cache starts anew.
@@ -28,7 +30,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Texts that hold a token added to the vocabulary are encoded in one piece, as the library does.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.spaced = any(" " in a for a in added)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         two = self._ids(["a b"])[0]
         spaced = len(two) == 2 and self.tokenizer.id_to_token(two[1]).startswith(SPACE)
@@ -73,7 +78,7 @@ class ChunkEncoder:
     def _learn(self, known: dict[str, bytes | None], chunks: set[str], first: bool) -> None:
         new, ended = set(), []
         for c in chunks.difference(known):
-            if not c or c[0].isspace() or c[-1].isspace() or MARK in c:
+            if not c or c[0].isspace() or c[-1].isspace() or MARK in c or (self.added and self.added.search(c)):
                 known[c] = None
             elif c[-1] in ENDS and c[-2:-1].isalpha():  # a letter and such a mark are pre-tokens of their own
                 ended.append(c)
@@ -98,7 +103,8 @@ class ChunkEncoder:
         for text, p in zip(texts, split, strict=True):
             got = list(map(rest, p))
             got[0] = first[p[0]]
-            raw = self._plain([text])[0] if None in got else b"".join(got)
+            whole = None in got or (self.spaced and self.added.search(text))
+            raw = self._plain([text])[0] if whole else b"".join(got)
             out.append(np.frombuffer(raw, self.dtype))
         return out
 
