@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from functools import partial
 
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 from quillmesh.llm import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
 from quillmesh.llm.common import alnum_words
 from quillmesh.llm.components import components
+from quillmesh.llm.tokens import encoder
 
 DOCS = "doc_id long, text string, rep long, bucket long, label int, score double"
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -66,6 +68,26 @@ def test_minhash_odd(spark, odd, none):
     assert minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    """Rows of one id with several texts are linked each by its own text."""
+    rng = random.Random(3)
+    base = [words(rng, 60) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        w = list(base[i % 6])
+        w[rng.randrange(60)] = f"other{rng.randint(0, 3)}"
+        rows.append((i % 15, " ".join(w)))
+    got = minhash_dedup.near_duplicates(docs(spark, rows), carry=("text",)).collect()
+    sets = [set(minhash_dedup.shingles(t).tolist()) for _, t in rows]
+    comp = [i for i, _ in rows]
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert sorted((r.doc_id, r.text, r.component_id) for r in got) == sorted((i, t, c) for (i, t), c in zip(rows, comp))
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 900).astype(np.uint64)
@@ -147,6 +169,39 @@ def test_pii_few_spelled_digits():
         assert pii.redacted(text) == text
 
 
+def test_pii_spoken_and_referenced():
+    """Dotted local parts, "dot" between digits, character references; prose stays."""
+    for text, want in [
+        ("ask john dot smith at example dot com today", "ask <EMAIL> today"), ("jane (dot) doe (at) mail (dot) org", "<EMAIL>"), ("at 5 192 dot 168 dot 1 dot 20 is", "at 5 <IP> is"),
+        ("write jane&#64;example.com or bob&commat;x&period;org.", "write <EMAIL> or <EMAIL>."), ("the dot at the end at home, 3 point 5 &amp; more", "the dot at the end at home, 3 point 5 &amp; more"),
+    ]:
+        assert pii.redacted(text) == want
+
+
+def test_pii_base_rules_against_plain_expressions():
+    """The plain identifiers of random texts, by the rules as regular expressions without any of the search's shortcuts."""
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def digits(text):
+        return "".join(c for c in text if c.isdigit())
+
+    def plain(text):
+        out = [("email", m.start(), m.end()) for m in email.finditer(text)]
+        out += [("ip", m.start(), m.end()) for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in card.finditer(text):
+            d = [int(c) for c in digits(m[0])][::-1]
+            if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0:
+                out.append(("card", m.start(), m.end()))
+        return out + [("phone", m.start(), m.end()) for m in phone.finditer(text) if 10 <= len(digits(m[0])) <= 15]
+
+    rng = random.Random(21)
+    parts = ["a@b.c", "x", "@", ".", "..", "1", "25", "255", "256", "4111 1111 1111 1111", "4111-1111", "+49 ", "+1 (", ")", " ", "-", "170 1234567", "10.0.0.1", "é", "\n", "%", "_", "0", "a.b-c@d-e.f.g"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        assert sorted(pii.find(text)) == sorted(plain(text)), text
+
+
 def test_packing(spark, odd, none):
     rng = random.Random(4)
     rows = [(i, " ".join(words(rng, rng.choice([1, 5, 20, 90, 200])))) for i in range(60)]
@@ -197,6 +252,16 @@ def test_reduction_keeps_the_optimum():
         assert fixed[0] + best(rest, 20) == best(lengths, 20)
 
 
+def test_added_tokens_as_the_library(spark):
+    """Texts that hold the string of an added token get the library's ids."""
+    for path in (BYTES, WORDS):
+        t = Tokenizer.from_file(path)
+        added = [a.content for a in t.get_added_tokens_decoder().values()]
+        texts = ["a <|endoftext|> b", "a<|endoftext|>b c.", *(f"x {a} y {a}z" for a in added)]
+        with open(path, encoding="utf-8") as f:
+            assert [x.tolist() for x in encoder(f.read()).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_id_files(spark, odd, none):
     v = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1] * 3, np.uint32)
     assert (id_files.decode_values(*id_files.encode_values(v), len(v)) == v).all() and id_files.encode_values(v[:0]) == (b"", b"")
@@ -216,6 +281,26 @@ def test_licenses(spark, odd, none):
     assert all(r.n_passages == 0 for r in licenses.license_scan(odd).collect()) and licenses.license_scan(none).count() == 0
 
 
+def test_licenses_in_other_words(spark):
+    """Notices inside longer lines, several in one, and paragraphs of whole licence texts; the same rows as the SQL."""
+    rows = [
+        (1, "Foo is free software, released under the MIT License, see LICENSE."), (2, "x " * 50 + "Licensed under the Apache License, Version 2.0. y and Licensed under CC BY 4.0 z" + " q" * 9), (2, None), (None, "Released under the MIT License."),
+        (3, "The above copyright notice and this permission notice shall be included in all copies or\nsubstantial portions of the Software."), (4, "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+        (5, licenses.TEMPLATES[28][1]), (6, "a line\n\n" + licenses.TEMPLATES[24][1].replace("COPYRIGHT HOLDERS", "CONTRIBUTORS") + "\n\nmore"), (7, "the mit license says what a license is, under law, released"),
+    ]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.license_scan(t).toPandas()
+    by = dict(zip(got.doc_id.fillna(0), got.licenses))
+    assert by[1] == "mit" and by[2] == "apache-2.0,cc-by-4.0" or by[2] == ""
+    assert (by[3], by[4], by[5], by[6], by[7], by[0]) == ("mit", "apache-2.0", "bsd", "mit", "", "mit")
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("documents", t.toPandas())
+    key = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False)))
+    assert key(c.sql(licenses.oracle()).df().astype({"doc_id": float})) == key(got.astype({"doc_id": float}))
+
+
 def test_html(spark):
     page = lambda i: f'<html><body><div class="top"><a>Home</a></div><div class="wrap"><div class="body"><h2>T {i}</h2><p>Text {i} &amp; more<p>Last {i*7}</div><p>Subscribe</p></div><div class="comments"><p>nice {i}</p></div></body></html>'
     rows = [(i, f"http://x.org/{i}", page(i), "c") for i in range(8)] + [(20, None, None, "c"), (21, "http://y.org", "<article>A <b>b</b> &lt;<script>x</script><nav>n</nav></article>", "c"), (22, "bad", "<p>un<closed", "c"), (23, "http://x.org/e", "", "c")]
@@ -224,6 +309,19 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_by_template(spark):
+    """Hosts without articles: headings stay, repeated paragraphs too; words of classes count inside articles only where
+    the host's template has the element; repeated rows change nothing; and the template makes a difference."""
+    page = lambda i: f'<html><body><div><a href="/">Home of all</a> pages of this paper</div><div id="w"><h2>T {i}</h2><p>Text {i} one two</p><p>more {i * 3} three</p></div><div>All rights kept by us</div></body></html>'
+    rows = [(i, f"http://x.org/{i}", page(i)) for i in range(8)] * 2
+    note = '<div class="legal">About law</div><h2 id="related-work">Related</h2><ol class="reply-steps"><li>one</ol>'
+    art = lambda i: f'<body><article><h1>H {i}</h1><p>Text {i}.</p>{note if i == 3 else ""}<div class="comments"><p>nice {i}</p></div></article></body>'
+    rows += [(100 + i, f"http://y.org/{i}", art(i)) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "T 2\nText 2 one two\nmore 6 three" != html_text.main_text(page(2))
+    assert got[3 + 100] == "H 3\nText 3.\nAbout law\nRelated\none" and got[104] == "H 4\nText 4."
+
+
 def test_html_template_in_articles(spark):
     """What every page of a host repeats inside its article goes."""
     page = lambda i: f"<body><article><h1>T {i}</h1><p>Read our paper daily</p><p>Text {i}</p></article></body>"
