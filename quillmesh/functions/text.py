@@ -35,9 +35,10 @@ def embed(text: Column, dim: int = 16) -> Column:
         slot = lambda t: F.conv(F.substring(F.sha2(t, 256), 64, 1), 16, 10).cast("int")
     else:
         slot = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * (1 << 32) + F.conv(F.substr(F.sha2(t, 256), i * 8 + 1, F.lit(8)), 16, 10).cast("long")) % dim).cast("int")
-    slots = F.transform(tokens(F.lower(text)), slot)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return unit(counts)
+    # Bound once by the outer transform: each token is hashed once, not once for each dimension.
+    slots = F.array(F.transform(tokens(F.lower(text)), slot))
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
+    return unit(F.transform(slots, counts)[0])
 
 
 def unit(v: Column) -> Column:

@@ -5,21 +5,12 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 
 
-def structure(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document, section and chunk nodes and the edges that contain them."""
-    c = chunks.select("id", "doc_id", ids.section_id(F.col("doc_id"), F.col("sec_idx")).alias("section"))
-    node = lambda col, kind: c.select(F.col(col).alias("id"), F.lit(kind).alias("type"), "doc_id")
-    nodes = node("doc_id", "document").distinct().union(node("section", "section").distinct()).union(node("id", "chunk"))
-    edges = c.select(F.col("doc_id").alias("src"), F.col("section").alias("dst"), F.lit("contains").alias("type")).distinct().union(c.select(F.col("section").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("type")))
-    return nodes, edges
-
-
 def mentions(chunks: DataFrame) -> DataFrame:
     """(chunk_id, pos, name, entity_id) of each entity name in each chunk, in order."""
     out = chunks.select(F.col("id").alias("chunk_id"), F.posexplode(text.entity_names(F.col("text"))).alias("pos", "name"))
@@ -48,24 +39,22 @@ def entities(found: DataFrame) -> DataFrame:
     return g.select("id", "name", kind.alias("type"), F.coalesce("description", F.lit("")).alias("description"), F.array_sort(F.array_except("names", F.array("name"))).alias("aliases"))
 
 
-def semantic(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entity nodes, and the edges that mention and relate them."""
-    m = mentions(chunks).select("chunk_id", "entity_id").distinct()
-    nodes = m.select(F.col("entity_id").alias("id"), F.lit("entity").alias("type"), F.lit(None).cast("string").alias("doc_id")).distinct()
-    edges = m.select(F.col("chunk_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("mentions").alias("type"))
-    return nodes, edges.union(relations(chunks).select("src", "dst", F.lit("relates_to").alias("type")))
-
-
-def build(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    (n1, e1), (n2, e2) = structure(chunks), semantic(chunks)
-    return n1.union(n2), e1.union(e2)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where they are one
+    process, may do without: it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the cluster's shared folder (a temporary one where none is set, as in tests)."""
+    """df as a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -98,13 +87,13 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
     near = core.select(F.col("id").alias("src")).join(both_ways(edges), "src").select(F.col("dst").alias("id"))
     inside = core.union(near).distinct()
     side = lambda c: inside.select(F.col("id").alias(c))
-    return nodes.join(inside, "id", "left_semi"), edges.join(side("src"), "src", "left_semi").join(side("dst"), "dst", "left_semi").select("src", "dst", "type")
+    return nodes.join(inside, "id", "left_semi"), edges.join(side("src"), "src", "left_semi").join(side("dst"), "dst", "left_semi")
 
 
 def without_nodes(nodes: DataFrame, edges: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What stays when nodes (id) go, with every edge at either end."""
     side = lambda c: dead.select(F.col("id").alias(c))
-    return nodes.join(dead, "id", "left_anti"), edges.join(side("src"), "src", "left_anti").join(side("dst"), "dst", "left_anti").select("src", "dst", "type")
+    return nodes.join(dead, "id", "left_anti"), edges.join(side("src"), "src", "left_anti").join(side("dst"), "dst", "left_anti")
 
 
 def delete_documents(nodes: DataFrame, edges: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,4 +143,68 @@ def route(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Ranks from 1 of a table that a limit bounds (one task numbers it)."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def ranked_all(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """Ranks from 1 of a table of any size: dealt by ranges, numbered in each, and the numbers of the ranges before
+    added. The driver sees a count for each partition."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    dealt = cut(dealt)
+    part, within = F.shiftright("_n", 33), F.col("_n").bitwiseAND((1 << 33) - 1)
+    counts = dict(map(tuple, dealt.groupBy(part.alias("part")).count().collect()))
+    before, total = [], 0
+    for i in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    if not before:
+        return dealt.drop("_n").withColumn(name, F.lit(0).cast("long"))
+    return dealt.withColumn(name, within + 1 + F.element_at(F.array(*map(F.lit, before)).cast("array<bigint>"), part.cast("int") + 1)).drop("_n")
+
+
+def expand_and_induce(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The subgraph of the seeds and what is within so many hops: subgraph() goes one hop further."""
+    reached = expand(nodes, edges, seeds, hops).select("id")
+    return subgraph(nodes, edges, cut(seeds.select("id").union(reached)))
+
+
+def document_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, linked): other documents that a document, its sections or chunks link to; links to sections don't count."""
+    docs = nodes.where("type = 'document'").select(F.col("id").alias("linked"))
+    own = nodes.where("doc_id is not null").select(F.col("id").alias("src"), "doc_id")
+    out = edges.where("type = 'links_to'").select("src", F.col("dst").alias("linked")).join(docs, "linked", "left_semi").join(own, "src")
+    return out.where("doc_id <> linked").select("doc_id", "linked").distinct()
+
+
+def truncated(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first nodes by id, the edges among them, and (total_nodes, truncated)."""
+    kept = cut(nodes.orderBy("id").limit(limit))
+    side = lambda c: kept.select(F.col("id").alias(c))
+    inside = edges.join(F.broadcast(side("src")), "src", "left_semi").join(F.broadcast(side("dst")), "dst", "left_semi")  # of limit rows
+    total = nodes.agg(F.count("*").alias("total_nodes")).withColumn("truncated", F.col("total_nodes") > limit)
+    return kept, inside, total
+
+
+def without_dangling(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (of some types only) and the edges whose ends are both there."""
+    n = nodes.where(F.col("type").isin(types)) if types else nodes
+    side = lambda c: n.select(F.col("id").alias(c))
+    return n, edges.join(side("src"), "src", "left_semi").join(side("dst"), "dst", "left_semi")
+
+
+def merged(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Subgraphs in one: nodes by id, edges by both ends and type."""
+    nodes, edges = (reduce(DataFrame.unionByName, [p[i] for p in parts]) for i in (0, 1))
+    return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["src", "dst", "type"])
+
+
+def export(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON lines of nodes (by id) and edges (by src, dst, type), in a column of their own."""
+    n = nodes.orderBy("id").select(F.to_json(F.struct("id", "type", F.coalesce("meta", F.lit("{}")).alias("meta"))).alias("json"))
+    return n, edges.orderBy("src", "dst", "type").select(F.to_json(F.struct("src", "dst", "type")).alias("json"))
+
+
+def reclaimed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without orphans and without the edges at them."""
+    return without_nodes(nodes, edges, cut(orphans(nodes, edges)).select("id"))

@@ -49,63 +49,117 @@ def vector_table(chunks: DataFrame, dim: int = 16) -> DataFrame:
     return chunks.select("id", "doc_id", text.embed(F.col("text"), dim).alias("vector"))
 
 
-def dual(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, k: int = 8, hops: int = 2, vector_weight: float = 1.0, graph_weight: float = 0.5, per_doc: int | None = 2) -> DataFrame:
+def dual(
+    chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, query: Column, k: int = 8, hops: int = 2, vector_weight: float = 1.0, graph_weight: float = 0.5, per_doc: int | None = 2
+) -> DataFrame:
     """Nearest chunks and the chunks within some hops of them, their rankings fused, a cap per document: (id, doc_id,
-    score, from_graph). A blank query finds nothing."""
-    q = text.embed(F.lit(query))
-    hits = graph.cut(graph.ranked(nearest(vector_table(chunks), q, k if query.strip() else 0), "distance", "id"))
+    score, from_graph). query is a literal vector; null finds nothing."""
+    hits = graph.cut(graph.ranked(nearest(vectors.where(query.isNotNull() & F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>")), query, k), "distance", "id"))
     reached = graph.expand(nodes, edges, hits, hops, FOLLOWED).join(chunks.select("id"), "id", "left_semi")
-    best = graph.ranked(reached.orderBy("hop", "id").limit(10 * k + 1000), "hop", "id") if per_doc is None else graph.ranked(reached, "hop", "id")
+    # Without a cap, no chunk beyond the first k of the graph's ranking can be among the k best.
+    best = graph.ranked(reached.orderBy("hop", "id").limit(k), "hop", "id") if per_doc is None else graph.ranked_all(reached, "hop", "id")
     fused = fuse([hits.select("id", "rank"), best.select("id", "rank")], [vector_weight, graph_weight])
     named = fused.withColumn("doc_id", ids.doc_of_chunk(F.col("id")))
     found = cap(named, "doc_id", per_doc, k)
     return found.join(hits.select("id", F.lit(False).alias("h")), "id", "left").select("id", "doc_id", "score", F.coalesce("h", F.lit(True)).alias("from_graph"))
 
 
-def events(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Offline events, one for each chunk with entities: (id, chunk_id, title) and (event_id, entity_id, name)."""
-    m = graph.mentions(chunks)
-    links = m.groupBy(ids.event_id(F.col("chunk_id")).alias("event_id"), "entity_id").agg(F.min_by("name", "pos").alias("name"))
-    title = F.array_join(F.slice(text.tokens(F.col("text")), 1, 5), " ")
-    rows = chunks.join(m.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
-    return rows.select(ids.event_id(F.col("id")).alias("id"), F.col("id").alias("chunk_id"), title.alias("title"), "text"), links
+def contexts(found: DataFrame, chunks: DataFrame, preview: int | None = None) -> DataFrame:
+    """found (id, score and others; k rows) with each chunk's text, path and heading; blanks where there is no chunk.
+    With preview, the text's first characters on one line."""
+    body = F.col("text") if preview is None else F.translate(F.substring("text", 1, preview), "\n", " ")
+    own = chunks.select("id", body.alias("text"), F.col("path").alias("source_path"), F.col("section_path").alias("heading_path"))
+    there = own.join(F.broadcast(found.select("id")), "id", "left_semi")  # k ids
+    out = found.join(there, "id", "left")
+    return out.select(*found.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "source_path", "heading_path")))
 
 
-def match_entities(links: DataFrame, tokens: list[str], limit: int = 50) -> DataFrame:
-    """Entities whose normalised name holds one of the tokens: (entity_id), the first by id."""
-    names = links.groupBy("entity_id").agg(F.min("name").alias("name")).withColumn("normal", ids.normalize_name(F.col("name")))
+def compared(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, side): what two results have in common, and what only one of them has."""
+    j = one.select("id", F.lit(1).alias("a")).join(other.select("id", F.lit(1).alias("b")), "id", "full")
+    return j.select("id", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "lost").otherwise("both").alias("side"))
+
+
+def match_entities(entities: DataFrame, tokens: list[str], limit: int = 50) -> DataFrame:
+    """Entities (entity_id, name, normal) whose normalised name holds one of the tokens, the first by id."""
     found = reduce(lambda a, b: a | b, [F.col("normal").like(f"%{t}%") for t in tokens], F.lit(False))
-    return names.where(found).select("entity_id", "name").orderBy("entity_id").limit(limit)
+    return entities.where(found).select("entity_id", "name").orderBy("entity_id").limit(limit)
 
 
 def expand_events(links: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
-    """seeds (id) -> (id, hop): events that share an entity with those of the hop before."""
-    visited = frontier = seeds.select("id").distinct().withColumn("hop", F.lit(0))
+    """seeds (id) -> (id, hop): events that share an entity with those of the hop before. Each hop is cut by a
+    checkpoint and joins the frontier only; entities that a hop before has used up aren't joined again."""
+    visited = frontier = graph.cut(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    used = None
     for hop in range(1, max_hops + 1):
         shared = frontier.select(F.col("id").alias("event_id")).join(links, "event_id").select("entity_id").distinct()
+        shared = graph.cut(shared if used is None else shared.join(used, "entity_id", "left_anti"))
+        used = shared if used is None else used.union(shared)
         new = shared.join(links, "entity_id").select(F.col("event_id").alias("id")).distinct()
-        frontier = new.join(visited, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
-        if hop > 2:
-            frontier = frontier.checkpoint()
+        frontier = graph.cut(new.join(visited, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
+        if frontier.isEmpty():
+            break
         visited = visited.union(frontier)
     return visited
 
 
-def retrieve_events(rows: DataFrame, links: DataFrame, query_tokens: list[str], k: int = 8, max_hops: int = 2, query_vector: Column | None = None) -> DataFrame:
-    """(id, hop, shared, overlap, score): by cosine, hop and id with a vector, else by shared seed entities, words in
-    common with the title, hop and id."""
-    seed_entities = match_entities(links, query_tokens).select("entity_id")
-    seeds = links.join(seed_entities, "entity_id", "left_semi").select(F.col("event_id").alias("id")).distinct()
-    if query_vector is not None:
-        near = nearest(rows.select("id", text.embed(F.col("text")).alias("vector")), query_vector, max(k, 10), "cosine")
-        seeds = seeds.union(near.select("id")).distinct()
+def retrieve_events(events: DataFrame, links: DataFrame, entities: DataFrame, tokens: list[str], k: int = 8, max_hops: int = 2, query: Column | None = None) -> DataFrame:
+    """(id, hop, shared, overlap, score, connected_via), k rows: by cosine, hop and id with a vector, else by shared seed
+    entities, words in common with title and keywords, hop and id.
+
+    Seeds are the events of the entities that the tokens (of more than one character) name and, with a vector, the
+    max(k, 10) nearest events. connected_via lists an event's seed entities, sorted."""
+    tokens = [t for t in tokens if len(t) > 1]
+    seed_entities = graph.cut(match_entities(entities, tokens).select("entity_id"))
+    touched = graph.cut(links.join(F.broadcast(seed_entities), "entity_id", "left_semi").select(F.col("event_id").alias("id"), "entity_id").distinct())  # 50 entities at most
+    seeds = touched.select("id")
+    vector = F.col("embedding").cast("array<double>")
+    if query is not None:
+        near = nearest(events.where("embedding is not null").withColumn("vector", vector), query, max(k, 10), "cosine")
+        seeds = seeds.union(near.select("id"))
     reached = expand_events(links, seeds, max_hops)
-    shared = links.join(seed_entities, "entity_id", "left_semi").groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("shared"))
-    words = F.array_distinct(F.split(ids.normalize_name(F.col("title")), " "))
-    overlap = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in query_tokens]).cast("array<string>"))).cast("long")
-    vector = text.cosine(text.embed(F.col("text")), query_vector) if query_vector is not None else F.lit(0.0)
-    out = reached.join(rows.select("id", overlap.alias("overlap"), vector.alias("cosine")), "id").join(shared, "id", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
-    if query_vector is not None:
-        return out.withColumn("score", F.col("cosine")).orderBy(F.desc("score"), "hop", "id").limit(k).select("id", "hop", "shared", "overlap", "score")
+    via = touched.groupBy("id").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("entity_id")).alias("connected_via"))
+    said = F.flatten(F.transform(F.concat(F.array("title"), "keywords"), lambda w: F.split(ids.normalize_name(w), " ")))
+    overlap = F.size(F.array_intersect(said, F.array(*[F.lit(t) for t in tokens]).cast("array<string>"))).cast("long")
+    close = F.coalesce(text.cosine(vector, query), F.lit(0.0)) if query is not None else F.lit(0.0)
+    out = reached.join(events.select("id", overlap.alias("overlap"), close.alias("cosine")), "id").join(via, "id", "left")
+    out = out.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))).withColumn("connected_via", F.coalesce("connected_via", F.array().cast("array<string>")))
+    columns = ["id", "hop", "shared", "overlap", "score", "connected_via"]
+    if query is not None:
+        return out.withColumn("score", F.col("cosine")).orderBy(F.desc("score"), "hop", "id").limit(k).select(*columns)
     out = out.withColumn("score", (F.col("shared") + F.col("overlap")).cast("double"))
-    return out.orderBy(F.desc("shared"), F.desc("overlap"), "hop", "id").limit(k).select("id", "hop", "shared", "overlap", "score")
+    return out.orderBy(F.desc("shared"), F.desc("overlap"), "hop", "id").limit(k).select(*columns)
+
+
+def event_contexts(found: DataFrame, events: DataFrame, links: DataFrame, chunks: DataFrame) -> DataFrame:
+    """found (id and others; k rows) with title, chunk, content (the chunk's text where it has none), path, heading and
+    the entities' ids, sorted."""
+    few = F.broadcast(found.select("id"))  # k ids
+    own = events.join(few, "id", "left_semi").select("id", "title", "chunk_id", "content")
+    place = chunks.select(F.col("id").alias("chunk_id"), "text", "path", "section_path").join(F.broadcast(own.select("chunk_id")), "chunk_id", "left_semi")
+    has = links.withColumnRenamed("event_id", "id").join(few, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("entity_id")).alias("entities"))
+    out = found.join(own, "id", "left").join(place, "chunk_id", "left").join(has, "id", "left")
+    content = F.when(F.coalesce("content", F.lit("")) == "", F.coalesce("text", F.lit(""))).otherwise(F.col("content"))
+    return out.select(*found.columns, "title", "chunk_id", content.alias("content"), F.coalesce("path", F.lit("")).alias("source_path"), F.coalesce("section_path", F.lit("")).alias("heading_path"), F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+
+
+def event_graph(found: DataFrame, events: DataFrame, links: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events found (k rows) and their entities as nodes (id, type, name), and which has which as edges."""
+    few = F.broadcast(found.select(F.col("id").alias("event_id")))
+    has = graph.cut(links.join(few, "event_id", "left_semi").select("event_id", "entity_id").distinct())
+    named = entities.join(has.select("entity_id").distinct(), "entity_id", "left_semi")
+    nodes = events.join(found.select("id"), "id", "left_semi").select("id", F.lit("event").alias("type"), F.col("title").alias("name"))
+    nodes = nodes.union(named.select("entity_id", F.lit("sag_entity"), "name"))
+    return nodes, has.select(F.col("event_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("has_entity").alias("type"))
+
+
+def first_seen(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(entity_id, rank, pos): the entities of ranked events (id, rank), each where it is seen first."""
+    seen = links.withColumnRenamed("event_id", "id").join(F.broadcast(found.select("id", "rank")), "id")
+    return seen.groupBy("entity_id").agg(F.min(F.struct("rank", "pos")).alias("at")).select("entity_id", "at.rank", "at.pos")
+
+
+def forget_events(events: DataFrame, links: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and links without those of the chunks (id) listed; entities stay."""
+    gone = graph.cut(events.join(chunks.select(F.col("id").alias("chunk_id")).distinct(), "chunk_id", "left_semi").select("id"))
+    return events.join(gone, "id", "left_anti"), links.join(gone.withColumnRenamed("id", "event_id"), "event_id", "left_anti")

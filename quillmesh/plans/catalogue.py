@@ -1,21 +1,26 @@
 """Registered queries of the retrieval engine and their SQL oracles.
 
-The corpus of most of them is the documents table, a file of one section for each document. Graph queries start from
-the first documents' chunks or from the entities that most chunks mention.
+The corpus of most of them is the documents table, a file of one section for each document; `md_` queries and those
+on links and tags have a corpus of markdown files made of nations, regions and suppliers. Graph and event queries read
+an index of their corpus, written once for each session and folder of tables. Graph queries start from the first
+documents' chunks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, retrieve
-from ..sources import corpus
+from ..operators import graph, index, retrieve
+from ..sources import corpus, markdown, store
 
 QUERY = "The thing with another Ration"
+#: They name some twenty entities at sf0.01, one as a whole word.
+TOKENS = ["ument", "bleth", "of"]
 SEEDS = "SELECT id FROM chunks WHERE doc_id IN (SELECT did FROM docs WHERE doc_id < 3)"
 
 _BASE = r"""
@@ -28,7 +33,7 @@ occ AS (SELECT id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM tok)
 named AS (SELECT id AS chunk_id, name, min(pos) AS pos, 'e_' || substr(sha256(trim(regexp_replace(lower(name), '[^\p{L}\p{N}_]+', ' ', 'g'))), 1, 16) AS entity_id FROM occ GROUP BY id, name),
 follows AS (SELECT chunk_id, entity_id, lead(entity_id) OVER (PARTITION BY chunk_id ORDER BY pos) AS next FROM named)"""
 _GRAPH = r""",
-nodes AS (SELECT DISTINCT doc_id AS id, 'document' AS type FROM chunks UNION ALL SELECT DISTINCT doc_id || '_s0', 'section' FROM chunks UNION ALL SELECT id, 'chunk' FROM chunks UNION ALL SELECT DISTINCT entity_id, 'entity' FROM named),
+nodes AS (SELECT did AS id, 'document' AS type FROM docs UNION ALL SELECT DISTINCT doc_id || '_s0', 'section' FROM chunks UNION ALL SELECT id, 'chunk' FROM chunks UNION ALL SELECT DISTINCT entity_id, 'entity' FROM named),
 edges AS (SELECT DISTINCT doc_id AS src, doc_id || '_s0' AS dst, 'contains' AS type FROM chunks UNION ALL SELECT doc_id || '_s0', id, 'contains' FROM chunks UNION ALL SELECT DISTINCT chunk_id, entity_id, 'mentions' FROM named
     UNION ALL SELECT DISTINCT entity_id, next, 'relates_to' FROM follows WHERE next IS NOT NULL),
 around AS (SELECT src, dst, type FROM edges UNION ALL SELECT dst, src, type FROM edges)"""
@@ -45,8 +50,9 @@ h2 AS (SELECT DISTINCT dst AS id FROM around WHERE src IN (SELECT id FROM h1) AN
 reach AS (SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2)"""
 _EVENTS = r""",
 links AS (SELECT DISTINCT 'ev_' || substr(sha256(chunk_id), 1, 16) AS event_id, entity_id FROM named),
-names AS (SELECT entity_id, min(name) AS name, trim(regexp_replace(lower(min(name)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS normal FROM named GROUP BY entity_id),
-seed_e AS (SELECT entity_id, name FROM names WHERE normal LIKE '%another%' OR normal LIKE '%ration%' ORDER BY entity_id LIMIT 50),
+evs AS (SELECT chunk_id, name, entity_id, pos, 'ev_' || substr(sha256(chunk_id), 1, 16) AS event_id FROM named),
+names AS (SELECT entity_id, arg_min(name, (event_id, pos)) AS name, trim(regexp_replace(lower(arg_min(name, (event_id, pos))), '[^\p{L}\p{N}_]+', ' ', 'g')) AS normal FROM evs GROUP BY entity_id),
+seed_e AS (SELECT entity_id, name FROM names WHERE normal LIKE '%ument%' OR normal LIKE '%bleth%' OR normal LIKE '%of%' ORDER BY entity_id LIMIT 50),
 s0 AS (SELECT DISTINCT event_id AS id FROM links WHERE entity_id IN (SELECT entity_id FROM seed_e)),
 s1 AS (SELECT DISTINCT b.event_id AS id FROM links a JOIN links b USING (entity_id) WHERE a.event_id IN (SELECT id FROM s0) AND b.event_id NOT IN (SELECT id FROM s0)),
 ev AS (SELECT id, 0 AS hop FROM s0 UNION ALL SELECT id, 1 FROM s1)"""
@@ -73,6 +79,36 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.chunks(corpus.from_table(_t(spark, sf, "documents")))
 
 
+_ROOTS: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str, kind: str = "documents") -> str:
+    """The root of this session's index of a corpus; it is built at its first use."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _ROOTS:
+        root = f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        files = corpus.from_table(_t(spark, sf, "documents")) if kind == "documents" else _files(spark, sf)
+        index.build(spark, files, root, semantic=kind == "documents")
+        if kind == "documents":
+            index.build_events(spark, root)
+        _ROOTS[key] = root
+    return _ROOTS[key]
+
+
+def _of(spark: SparkSession, sf: str, *names: str, kind: str = "documents") -> list[DataFrame]:
+    return [store.load(spark, _index(spark, sf, kind), n) for n in names]
+
+
+def _graph(spark: SparkSession, sf: str, kind: str = "documents") -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _of(spark, sf, "nodes", "edges", kind=kind)
+    return nodes.select("id", "type", "doc_id"), edges.select("src", "dst", "type")
+
+
+def _asked(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df with the query's vector as qv: one row goes to the tasks."""
+    return df.crossJoin(F.broadcast(spark.range(1).select(text.embed(F.lit(QUERY)).alias("qv"))))
+
+
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.chunks(corpus.from_table(_t(spark, sf, "documents").where("doc_id < 3"))).select("id")
 
@@ -111,17 +147,17 @@ def chunks_per_document(spark, sf):
 
 @query(_with(_BASE, _NAMES, _GRAPH) + " SELECT src, dst FROM edges WHERE type = 'contains'")
 def contains_edges(spark, sf):
-    return graph.structure(_chunks(spark, sf))[1].select("src", "dst")
+    return _graph(spark, sf)[1].where("type = 'contains'").select("src", "dst")
 
 
 @query(_with(_BASE, _NAMES, _GRAPH) + " SELECT id, type FROM nodes")
 def node_table(spark, sf):
-    return graph.build(_chunks(spark, sf))[0].select("id", "type")
+    return _graph(spark, sf)[0].select("id", "type")
 
 
 @query(_with(_BASE, _NAMES, _GRAPH) + " SELECT src, dst, type FROM edges")
 def edge_table(spark, sf):
-    return graph.build(_chunks(spark, sf))[1]
+    return _graph(spark, sf)[1]
 
 
 @query(_with(_BASE, _EMBED) + " SELECT id, list_transform(vector, lambda x: round(x, 6)) AS vector FROM vectors")
@@ -148,19 +184,18 @@ def entity_aggregate(spark, sf):
 
 @query(_with(_BASE, _NAMES) + " SELECT entity_id AS id, count(DISTINCT chunk_id) AS n_mentions FROM named GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def top_entities(spark, sf):
-    n, e = graph.build(_chunks(spark, sf))
+    n, e = _graph(spark, sf)
     return graph.in_degree(n, e).orderBy(F.desc("n_mentions"), "id").limit(20)
 
 
 @query(_with(_BASE, _NAMES, _GRAPH) + " SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def node_type_stats(spark, sf):
-    return graph.build(_chunks(spark, sf))[0].groupBy("type").agg(F.count("*").alias("n"))
+    return _graph(spark, sf)[0].groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(_with(_BASE, _NAMES, _GRAPH) + " SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
 def table_counts(spark, sf):
-    c = _chunks(spark, sf)
-    n, e = graph.build(c)
+    c, n, e = _of(spark, sf, "chunks", "nodes", "edges")
     parts = [df.select(F.lit(k).alias("k")) for k, df in (("documents", _t(spark, sf, "documents")), ("chunks", c), ("nodes", n), ("edges", e))]
     every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
     return every.agg(*[F.sum((F.col("k") == k).cast("long")).alias(k) for k in ("documents", "chunks", "nodes", "edges")])
@@ -170,8 +205,9 @@ _V0 = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector FROM emb
 
 
 def _vectors(spark, sf):
+    """All vectors, each with the one of id 0 as the query (none, if there is no such id)."""
     v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return v, retrieve.literal(v.where("id = 0").select("vector").first()[0])
+    return v.crossJoin(F.broadcast(v.where("id = 0").select(F.col("vector").alias("qv")).limit(1))), F.col("qv")
 
 
 @query(f"WITH {_V0} SELECT id, round(list_sum(list_transform(list_zip(vector, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM v, q ORDER BY list_sum(list_transform(list_zip(vector, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), id LIMIT 8")
@@ -213,19 +249,19 @@ def per_source_cap_topk(spark, sf):
 
 @query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _EXPAND) + " SELECT id FROM reach WHERE hop = 1")
 def graph_neighbors(spark, sf):
-    n, e = graph.build(_chunks(spark, sf))
+    n, e = _graph(spark, sf)
     return graph.expand(n, e, _seeds(spark, sf), 1).select("id")
 
 
 @query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _EXPAND) + " SELECT id, hop FROM reach")
 def graph_expand_2hop(spark, sf):
-    n, e = graph.build(_chunks(spark, sf))
+    n, e = _graph(spark, sf)
     return graph.expand(n, e, _seeds(spark, sf), 2)
 
 
 @query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _EXPAND.replace("FROM around WHERE", "FROM around WHERE type = 'contains' AND")) + " SELECT id, hop FROM reach")
 def graph_expand_filtered(spark, sf):
-    n, e = graph.build(_chunks(spark, sf))
+    n, e = _graph(spark, sf)
     return graph.expand(n, e, _seeds(spark, sf), 2, ["contains"])
 
 
@@ -234,13 +270,13 @@ _INSIDE = ", inside AS (SELECT id FROM seeds UNION SELECT dst FROM around WHERE
 
 @query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _INSIDE) + " SELECT id, type FROM nodes WHERE id IN (SELECT id FROM inside)")
 def induced_subgraph_nodes(spark, sf):
-    n, e = graph.build(_chunks(spark, sf))
+    n, e = _graph(spark, sf)
     return graph.subgraph(n, e, _seeds(spark, sf))[0].select("id", "type")
 
 
 @query(_with(_BASE, _NAMES, _GRAPH, f", seeds AS ({SEEDS})", _INSIDE) + " SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM inside) AND dst IN (SELECT id FROM inside)")
 def induced_subgraph_edges(spark, sf):
-    n, e = graph.build(_chunks(spark, sf))
+    n, e = _graph(spark, sf)
     return graph.subgraph(n, e, _seeds(spark, sf))[1]
 
 
@@ -249,7 +285,7 @@ _DEAD = ", dead AS (SELECT did AS id FROM docs WHERE doc_id % 10 = 0 UNION ALL S
 
 def _deleted(spark, sf):
     gone = corpus.from_table(_t(spark, sf, "documents").where("doc_id % 10 = 0")).select(ids.doc_id(F.col("path")).alias("doc_id"))
-    return graph.delete_documents(*graph.build(_chunks(spark, sf)), gone)
+    return graph.delete_documents(*_graph(spark, sf), gone)
 
 
 @query(_with(_BASE, _NAMES, _GRAPH, _DEAD) + " SELECT src, dst, type FROM edges WHERE src NOT IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead)")
@@ -298,42 +334,225 @@ def link_ignore(spark, sf):
 _DUAL = _with(_BASE, _NAMES, _GRAPH, _EMBED) + """, hits AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM dist QUALIFY rank <= 8),
 seeds AS (SELECT id FROM hits)""" + _EXPAND + """, g AS (SELECT id, row_number() OVER (ORDER BY hop, id) AS rank FROM reach WHERE id IN (SELECT id FROM chunks)),
 fused AS (SELECT id, sum(s) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM hits UNION ALL SELECT id, 0.5::DOUBLE / (60 + rank) FROM g) GROUP BY id),
-capped AS (SELECT id, substr(id, 1, 18) AS doc_id, score FROM fused QUALIFY row_number() OVER (PARTITION BY substr(id, 1, 18) ORDER BY score DESC, id) <= 2)
-SELECT id, doc_id, round(score, 9) AS score, id NOT IN (SELECT id FROM hits) AS from_graph FROM capped ORDER BY capped.score DESC, id LIMIT 8"""
+capped AS (SELECT id, substr(id, 1, 18) AS doc_id, score FROM fused QUALIFY row_number() OVER (PARTITION BY substr(id, 1, 18) ORDER BY score DESC, id) <= 2),
+found AS (SELECT id, doc_id, score, id NOT IN (SELECT id FROM hits) AS from_graph FROM capped ORDER BY capped.score DESC, id LIMIT 8)"""
+
 
+def _dual(spark, sf):
+    c, v, n, e = _of(spark, sf, "chunks", "vectors", "nodes", "edges")
+    return retrieve.dual(c, _asked(spark, v), n, e, F.col("qv"))
 
-@query(_DUAL)
+
+@query(_DUAL + " SELECT found.id, found.doc_id, round(score, 9) AS score, from_graph, text, 'source/' || docs.doc_id || '.md' AS source_path, '' AS heading_path FROM found JOIN (SELECT id, text FROM chunks) USING (id) JOIN (SELECT did, doc_id FROM docs) docs ON docs.did = found.doc_id")
 def dual_retrieve(spark, sf):
-    c = _chunks(spark, sf)
-    n, e = graph.build(c)
-    return retrieve.dual(c, n, e, QUERY).withColumn("score", F.round("score", 9))
+    return retrieve.contexts(_dual(spark, sf).withColumn("score", F.round("score", 9)), _of(spark, sf, "chunks")[0])
+
+
+@query(_DUAL + ", seeds2 AS (SELECT id FROM found), inside AS (SELECT id FROM seeds2 UNION SELECT dst FROM around WHERE src IN (SELECT id FROM seeds2)) SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM inside) AND dst IN (SELECT id FROM inside)")
+def dual_subgraph(spark, sf):
+    return graph.subgraph(*_graph(spark, sf), graph.cut(_dual(spark, sf)))[1]
+
+
+@query(_DUAL + ", v8 AS (SELECT id FROM hits) SELECT coalesce(found.id, v8.id) AS id, CASE WHEN v8.id IS NULL THEN 'added' WHEN found.id IS NULL THEN 'lost' ELSE 'both' END AS side FROM found FULL JOIN v8 ON v8.id = found.id")
+def ab_compare(spark, sf):
+    v = _asked(spark, _of(spark, sf, "vectors")[0])
+    return retrieve.compared(retrieve.nearest(v, F.col("qv"), 8), _dual(spark, sf))
 
 
 @query(_with(_BASE, _EMBED) + " SELECT id, round(1 / (1 + d), 6) AS score FROM dist ORDER BY d, id LIMIT 8")
 def vector_only(spark, sf):
-    near = retrieve.nearest(retrieve.vector_table(_chunks(spark, sf)).select("id", "vector"), text.embed(F.lit(QUERY)), 8)
+    near = retrieve.nearest(_asked(spark, _of(spark, sf, "vectors")[0]), F.col("qv"), 8)
     return near.select("id", F.round(retrieve.score(F.col("distance")), 6).alias("score"))
 
 
 @query(_with(_BASE, _NAMES, _EVENTS) + " SELECT entity_id, name FROM seed_e")
 def sag_seed_entities(spark, sf):
-    return retrieve.match_entities(retrieve.events(_chunks(spark, sf))[1], ["another", "ration"])
+    return retrieve.match_entities(_of(spark, sf, "event_nodes")[0], TOKENS)
 
 
 @query(_with(_BASE, _NAMES, _EVENTS) + " SELECT id, hop FROM ev")
 def sag_expand(spark, sf):
-    links = retrieve.events(_chunks(spark, sf))[1]
-    seeds = links.join(retrieve.match_entities(links, ["another", "ration"]), "entity_id", "left_semi").select(F.col("event_id").alias("id"))
+    links, entities = _of(spark, sf, "event_entities", "event_nodes")
+    seeds = links.join(retrieve.match_entities(entities, TOKENS), "entity_id", "left_semi").select(F.col("event_id").alias("id"))
     return retrieve.expand_events(links, seeds, 1)
 
 
-@query(_with(_BASE, _NAMES, _EVENTS) + r""", sh AS (SELECT event_id AS id, count(*) AS shared FROM links WHERE entity_id IN (SELECT entity_id FROM seed_e) GROUP BY 1),
-rows AS (SELECT 'ev_' || substr(sha256(id), 1, 16) AS id, trim(regexp_replace(lower(array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}_]+'), 1, 5), ' ')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t FROM chunks),
-r AS (SELECT ev.id, hop, coalesce(shared, 0) AS shared, CAST(len(list_intersect(list_distinct(string_split(t, ' ')), ['another', 'ration'])) AS BIGINT) AS overlap FROM ev JOIN rows USING (id) LEFT JOIN sh USING (id))
-SELECT id, hop, shared, overlap, CAST(shared + overlap AS DOUBLE) AS score FROM r ORDER BY shared DESC, overlap DESC, hop, id LIMIT 8""")
+_RANKED = r""", sh AS (SELECT event_id AS id, count(*) AS shared, array_to_string(list_sort(list(entity_id)), ',') AS via FROM links WHERE entity_id IN (SELECT entity_id FROM seed_e) GROUP BY 1),
+rows AS (SELECT 'ev_' || substr(sha256(id), 1, 16) AS id, id AS chunk_id, array_to_string(list_slice(regexp_extract_all(text, '[\p{L}\p{N}_]+'), 1, 5), ' ') AS title FROM chunks),
+words AS (SELECT id, chunk_id, title, trim(regexp_replace(lower(title), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t FROM rows),
+r AS (SELECT ev.id, hop, coalesce(shared, 0) AS shared, CAST(len(list_intersect(list_distinct(string_split(t, ' ')), ['ument', 'bleth', 'of'])) AS BIGINT) AS overlap, coalesce(via, '') AS connected_via, chunk_id, title FROM ev JOIN words USING (id) LEFT JOIN sh USING (id)),
+top AS (SELECT id, hop, shared, overlap, CAST(shared + overlap AS DOUBLE) AS score, connected_via, chunk_id, title FROM r ORDER BY shared DESC, overlap DESC, hop, id LIMIT 8)"""
+
+
+def _ranked_events(spark, sf, hops=1, query=None):
+    events, links, entities = _of(spark, sf, "events", "event_entities", "event_nodes")
+    return retrieve.retrieve_events(events if query is None else _asked(spark, events), links, entities, TOKENS, 8, hops, query)
+
+
+@query(_with(_BASE, _NAMES, _EVENTS) + _RANKED + " SELECT id, hop, shared, overlap, score, connected_via FROM top")
 def sag_rank_lexical(spark, sf):
-    rows, links = retrieve.events(_chunks(spark, sf))
-    return retrieve.retrieve_events(rows, links, ["another", "ration"], 8, 1)
+    return _ranked_events(spark, sf).withColumn("connected_via", F.array_join("connected_via", ","))
+
+
+@query(_with(_BASE, _NAMES, _EVENTS) + _RANKED + ", has AS (SELECT event_id AS id, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS entities FROM links GROUP BY 1) SELECT top.id, title, chunk_id, (SELECT text FROM chunks WHERE chunks.id = chunk_id) AS content, 'source/' || docs.doc_id || '.md' AS source_path, '' AS heading_path, entities FROM top JOIN has USING (id) JOIN docs ON docs.did = substr(chunk_id, 1, 18)")
+def sag_contexts(spark, sf):
+    events, links, chunks = _of(spark, sf, "events", "event_entities", "chunks")
+    found = retrieve.event_contexts(_ranked_events(spark, sf).select("id"), events, links, chunks)
+    return found.withColumn("entities", F.array_join("entities", ","))
+
+
+@query(_with(_BASE, _NAMES, _EVENTS) + _RANKED + " SELECT DISTINCT event_id AS src, entity_id AS dst, 'has_entity' AS type FROM links WHERE event_id IN (SELECT id FROM top)")
+def sag_graph(spark, sf):
+    events, links, entities = _of(spark, sf, "events", "event_entities", "event_nodes")
+    return retrieve.event_graph(graph.cut(_ranked_events(spark, sf)), events, links, entities)[1]
+
+
+@query(_with(_BASE, _NAMES, _EMBED, _EVENTS) + """, cos AS (SELECT 'ev_' || substr(sha256(id), 1, 16) AS id, CASE WHEN list_dot_product(vector, vector) = 0 THEN 0 ELSE list_cosine_similarity(vector, qv) END AS c FROM vectors, q WHERE id IN (SELECT chunk_id FROM named)),
+near AS (SELECT id FROM cos ORDER BY round(c, 9) DESC, id LIMIT 10), t0 AS (SELECT id FROM s0 UNION SELECT id FROM near),
+t1 AS (SELECT DISTINCT b.event_id AS id FROM links a JOIN links b USING (entity_id) WHERE a.event_id IN (SELECT id FROM t0) AND b.event_id NOT IN (SELECT id FROM t0)),
+tv AS (SELECT id, 0 AS hop FROM t0 UNION ALL SELECT id, 1 FROM t1) SELECT id, hop, round(c, 6) AS score FROM tv JOIN cos USING (id) ORDER BY round(c, 9) DESC, hop, id LIMIT 8""")
+def sag_rank_vector(spark, sf):
+    return _ranked_events(spark, sf, query=F.col("qv")).select("id", "hop", F.round("score", 6).alias("score"))
+
+
+# Markdown files of nations, regions and suppliers. What they hold follows from their keys, so that the SQL need not parse.
+_NATION = "'---\ntitle: ' || n_name || '\ntags: [nation, k' || n_nationkey % 5 || ']\n---\nIntro of ' || n_name || '.\n\n# Nation ' || n_nationkey || '\nSee [[r' || n_regionkey || '#Facts|its region]] and [next](n' || (n_nationkey + 1) || '.md).\n\n```\n[[decoy]] #decoy\n```\n## Notes\nText #note' || n_nationkey % 3 || ' and `#code` with [[nowhere' || n_nationkey || ']].\n'"
+_REGION = "'# Region\nOverview\n## Facts\nLinks [home](../nations/n' || r_regionkey || '.md#Notes) [web](https://x.org) [self](#facts)\n'"
+_SUPPLIER = "'# Supplier ' || s_suppkey || '\nFrom [[n' || s_nationkey || ']] #supplier\n'"
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda table, path, body: _t(spark, sf, table).select(F.expr(path).alias("path"), F.expr(body).alias("text"))
+    return (
+        part("nation", "'nations/n' || n_nationkey || '.md'", _NATION)
+        .union(part("region", "'regions/r' || r_regionkey || '.md'", _REGION))
+        .union(part("supplier", "'suppliers/s' || s_suppkey || '.md'", _SUPPLIER))
+    )
+
+
+_MD = """WITH d AS (SELECT 'n' || n_nationkey AS key, 'd_' || substr(sha256('nations/n' || n_nationkey || '.md'), 1, 16) AS did, 'nations/n' || n_nationkey || '.md' AS path FROM nation
+    UNION ALL SELECT 'r' || r_regionkey, 'd_' || substr(sha256('regions/r' || r_regionkey || '.md'), 1, 16), 'regions/r' || r_regionkey || '.md' FROM region
+    UNION ALL SELECT 's' || s_suppkey, 'd_' || substr(sha256('suppliers/s' || s_suppkey || '.md'), 1, 16), 'suppliers/s' || s_suppkey || '.md' FROM supplier),
+sec AS (SELECT did, unnest([0, 1, 2]) AS i, unnest([0, 1, 2]) AS level, unnest(['', 'Nation ' || substr(key, 2), 'Nation ' || substr(key, 2) || ' > Notes']) AS section_path, unnest([NULL, NULL, 1]) AS parent FROM d WHERE key LIKE 'n%'
+    UNION ALL SELECT did, unnest([0, 1]), unnest([1, 2]), unnest(['Region', 'Region > Facts']), unnest([NULL, 0]) FROM d WHERE key LIKE 'r%'
+    UNION ALL SELECT did, 0, 1, 'Supplier ' || substr(key, 2), NULL FROM d WHERE key LIKE 's%'),
+l AS (SELECT d.did || '_s1_c0' AS src, t.did || '_s1' AS dst, '[[r' || n_regionkey || '#Facts|its region]]' AS raw, d.did AS doc FROM nation JOIN d ON d.key = 'n' || n_nationkey JOIN d t ON t.key = 'r' || n_regionkey
+    UNION ALL SELECT d.did || '_s1_c0', t.did, '[next](n' || (n_nationkey + 1) || '.md)', d.did FROM nation JOIN d ON d.key = 'n' || n_nationkey LEFT JOIN d t ON t.key = 'n' || (n_nationkey + 1)
+    UNION ALL SELECT did || '_s2_c0', NULL, '[[nowhere' || substr(key, 2) || ']]', did FROM d WHERE key LIKE 'n%'
+    UNION ALL SELECT d.did || '_s1_c0', t.did || '_s2', '[home](../nations/n' || r_regionkey || '.md#Notes)', d.did FROM region JOIN d ON d.key = 'r' || r_regionkey JOIN d t ON t.key = 'n' || r_regionkey
+    UNION ALL SELECT did || '_s1_c0', did || '_s1', '[self](#facts)', did FROM d WHERE key LIKE 'r%'
+    UNION ALL SELECT d.did || '_s0_c0', t.did, '[[n' || s_nationkey || ']]', d.did FROM supplier JOIN d ON d.key = 's' || s_suppkey JOIN d t ON t.key = 'n' || s_nationkey),
+tg AS (SELECT did AS src, unnest(['nation', 'k' || CAST(substr(key, 2) AS INT) % 5]) AS name FROM d WHERE key LIKE 'n%' UNION ALL SELECT did || '_s2_c0', 'note' || CAST(substr(key, 2) AS INT) % 3 FROM d WHERE key LIKE 'n%' UNION ALL SELECT did || '_s0_c0', 'supplier' FROM d WHERE key LIKE 's%' UNION ALL SELECT did || '_s1_c0', 'facts' FROM d WHERE key LIKE 'r%'),
+nodes AS (SELECT did AS id, 'document' AS type FROM d UNION ALL SELECT did || '_s' || i, 'section' FROM sec UNION ALL SELECT did || '_s' || i || '_c0', 'chunk' FROM sec UNION ALL SELECT DISTINCT 't_' || substr(sha256(name), 1, 16), 'tag' FROM tg),
+edges AS (SELECT CASE WHEN parent IS NULL THEN did ELSE did || '_s' || parent END AS src, did || '_s' || i AS dst, 'contains' AS type FROM sec UNION ALL SELECT did || '_s' || i, did || '_s' || i || '_c0', 'contains' FROM sec
+    UNION ALL SELECT DISTINCT src, dst, 'links_to' FROM l WHERE dst IS NOT NULL UNION ALL SELECT DISTINCT src, 't_' || substr(sha256(name), 1, 16), 'tagged' FROM tg)"""
+_NODE0 = "'d_' || substr(sha256('nations/n0.md'), 1, 16) || '_s1_c0'"
+
+
+@query(_MD + " SELECT did AS doc_id, i AS sec_idx, level, section_path, parent AS parent_idx FROM sec")
+def md_sections(spark, sf):
+    return markdown.section_table(markdown.parse(_files(spark, sf))).select("doc_id", "sec_idx", "level", "section_path", "parent_idx")
+
+
+@query(_MD + " SELECT src, dst, raw FROM l WHERE dst IS NOT NULL")
+def md_links_resolved(spark, sf):
+    parsed = markdown.parse(_files(spark, sf))
+    found = markdown.section_table(parsed)
+    return markdown.resolve_links(parsed, found, markdown.section_chunks(found)).where("dst is not null").select("src", "dst", "raw")
+
+
+@query(_MD + " SELECT src, raw FROM l WHERE dst IS NULL")
+def md_links_unresolved(spark, sf):
+    return _of(spark, sf, "unresolved", kind="files")[0].select("src", "raw")
+
+
+@query(_MD + " SELECT src, dst, type FROM edges WHERE type = 'tagged'")
+def md_tag_edges(spark, sf):
+    return _graph(spark, sf, "files")[1].where("type = 'tagged'")
+
+
+@query(_MD + " SELECT id, type FROM nodes")
+def md_nodes(spark, sf):
+    return _graph(spark, sf, "files")[0].select("id", "type")
+
+
+@query(_MD + " SELECT src, dst, type FROM edges")
+def md_edges(spark, sf):
+    return _graph(spark, sf, "files")[1]
+
+
+@query(_MD + f" SELECT 'out' AS direction, dst AS id, type AS edge_type FROM edges WHERE src = {_NODE0} UNION ALL SELECT 'in', src, type FROM edges WHERE dst = {_NODE0}")
+def node_detail(spark, sf):
+    node = spark.range(1).select(F.concat(ids.doc_id(F.lit("nations/n0.md")), F.lit("_s1_c0"))).first()[0]
+    return graph.detail(_graph(spark, sf, "files")[1], node)
+
+
+@query(_MD + " SELECT DISTINCT doc AS doc_id, dst AS linked FROM l WHERE dst IN (SELECT did FROM d) AND dst <> doc")
+def document_links(spark, sf):
+    return graph.document_links(*_graph(spark, sf, "files"))
+
+
+@query(_MD + " SELECT '{\"src\":\"' || src || '\",\"dst\":\"' || dst || '\",\"type\":\"' || type || '\"}' AS json FROM edges")
+def export_edges(spark, sf):
+    return graph.export(*_of(spark, sf, "nodes", "edges", kind="files"))[1]
+
+
+@query(_MD + " SELECT id, type FROM nodes")
+def export_nodes(spark, sf):
+    lines = graph.export(*_of(spark, sf, "nodes", "edges", kind="files"))[0]
+    return lines.select(F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.type").alias("type"))
+
+
+@query(_MD + ", kept AS (SELECT id FROM nodes ORDER BY id LIMIT 60) SELECT (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)) AS edges, (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM nodes) > 60 AS truncated")
+def graph_truncated(spark, sf):
+    kept, inside, total = graph.truncated(*_graph(spark, sf, "files"), 60)
+    return kept.agg(F.count("*").alias("kept")).crossJoin(inside.agg(F.count("*").alias("edges"))).crossJoin(total)  # of one row each
+
+
+@query(_MD + f""", around AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), h0 AS (SELECT {_NODE0} AS id), h1 AS (SELECT id FROM h0 UNION SELECT dst FROM around WHERE src IN (SELECT id FROM h0)),
+h2 AS (SELECT id FROM h1 UNION SELECT dst FROM around WHERE src IN (SELECT id FROM h1)) SELECT id, type FROM nodes WHERE id IN (SELECT id FROM h2)""")
+def graph_expand_induced(spark, sf):
+    n, e = _graph(spark, sf, "files")
+    seeds = spark.range(1).select(F.concat(ids.doc_id(F.lit("nations/n0.md")), F.lit("_s1_c0")).alias("id"))
+    return graph.expand_and_induce(n, e, seeds, 1)[0].select("id", "type")
+
+
+@query(_with(_BASE) + " SELECT id, chunks.doc_id, CAST(s AS INT) AS char_start FROM chunks JOIN (SELECT did FROM docs WHERE doc_id = 1) ON did = chunks.doc_id")
+def document_chunks(spark, sf):
+    doc = spark.range(1).select(ids.doc_id(F.lit("source/1.md"))).first()[0]
+    return store.chunks_of(_of(spark, sf, "chunks")[0], doc).select("id", "doc_id", "char_start")
+
+
+@query(_with(_BASE) + " SELECT id, sha256(text) AS digest FROM chunks WHERE id IN (SELECT did || '_s0_c0' FROM docs WHERE doc_id % 7 = 0)")
+def chunk_lookup(spark, sf):
+    wanted = _t(spark, sf, "documents").where("doc_id % 7 = 0").select(F.concat(ids.doc_id(F.concat(F.lit("source/"), F.col("doc_id").cast("string"), F.lit(".md"))), F.lit("_s0_c0")).alias("id"))
+    return store.lookup(_of(spark, sf, "chunks")[0], wanted).select("id", F.sha2("text", 256).alias("digest"))
+
+
+@query(_MD + " SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM sec) AS chunks, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM sec) AS vectors")
+def index_stats(spark, sf):
+    return index.stats(spark, _index(spark, sf, "files"))
+
+
+@query("""SELECT (SELECT count(*) FROM nation WHERE n_nationkey % 5 IN (1, 2)) AS indexed, (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation WHERE n_nationkey % 5 IN (3, 4)) AS unchanged,
+(SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0) AS removed""")
+def index_incremental(spark, sf):
+    """A second build: nations of remainder 0 are gone, those of 1 changed, those of 2 new."""
+    root, files = f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}", _files(spark, sf)
+    of = F.when(F.col("path").startswith("nations/"), F.regexp_extract("path", "n([0-9]+)[.]", 1).cast("int") % 5).otherwise(4)
+    index.build(spark, files.where(of != 2), root, semantic=False)
+    report = index.build(spark, files.where(of != 0).withColumn("text", F.when(of == 1, F.concat("text", F.lit("more\n"))).otherwise(F.col("text"))), root, semantic=False)
+    return report.select("indexed", "unchanged", "removed")
+
+
+#: A corpus of paragraphs: blank lines, paragraphs longer than a window, blank text.
+_PARAGRAPHS = ["short", " \n ", "a" * 700 + "\n\n" + "b" * 700 + "\n\n" + "c" * 100, "d" * 300 + "\n \n" + "e" * 2500 + "\n\n" + "f" * 900 + "\n\n" + "g" * 290]
+
+
+@query("SELECT * FROM (VALUES (0, 0, 5), (2, 0, 702), (2, 552, 1504), (3, 0, 303), (3, 153, 1503), (3, 1353, 2703), (3, 2553, 2805), (3, 2655, 3997)) t(doc, char_start, char_end)")
+def paragraph_windows(spark, sf):
+    rows = spark.createDataFrame(list(enumerate(_PARAGRAPHS)), "doc int, body string")
+    return rows.select("doc", F.explode(text.windows("body")).alias("w")).select("doc", F.col("w.s").alias("char_start"), F.col("w.e").alias("char_end"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,14 +18,20 @@ def from_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("source/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
 
 
-def from_files(spark: SparkSession, root: str) -> DataFrame:
-    """All *.md files below root: (path relative to root, text, hash, mtime, error). Line ends become \\n before
-    hashing; a file that isn't UTF-8 has an error and no text."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = files.sparkSession._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+def from_files(spark: SparkSession, roots: str | list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """All *.md files below the roots, each once: (path relative to the first root that holds it, text, hash, mtime,
+    error). Files below an excluded folder are left out, and so are those whose names Spark hides (_ and . in front).
+    Line ends become \\n before hashing; a file that isn't UTF-8 has an error and no text."""
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    inside = lambda folder: spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(roots)
+    at = F.regexp_replace(F.col("path"), "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
+    files = files.withColumn("at", at).dropDuplicates(["at"])
+    for folder in exclude:
+        files = files.where(~F.col("at").startswith(inside(folder)))
     good = F.is_valid_utf8(F.col("content").cast("string"))
     body = F.when(good, F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
-    path = F.substring_index(F.col("path"), base + "/", -1)
+    path = F.coalesce(*(F.when(F.col("at").startswith(inside(r)), F.substring("at", len(inside(r)) + 1, 1 << 20)) for r in roots), F.col("at"))
     return files.select(path.alias("path"), body.alias("text"), F.sha2(body, 256).alias("hash"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.when(~good, "not UTF-8").alias("error"))
 
 
@@ -39,9 +45,10 @@ def chunks(corpus: DataFrame, max_chars: int = 1200, overlap: int = 150) -> Data
 def extract_archive(path: str, dest: str, entries: int = 5000, file_bytes: int = 5 << 20, total_bytes: int = 200 << 20) -> int:
     """Markdown members (.md, .markdown, any case) of a zip or tar archive, written below dest as .md; how many.
 
-    Raises ValueError for members with absolute paths, drives or "..", links and special files, and beyond the limits.
+    Raises ValueError for members with absolute paths, drives or "..", links and special files, two that become one
+    file, and beyond the limits.
     """
-    wanted, total = 0, 0
+    wanted, total, stored = 0, 0, set()
 
     def target(name: str) -> str | None:
         p = PurePosixPath(name.replace("\\", "/"))
@@ -55,6 +62,9 @@ def extract_archive(path: str, dest: str, entries: int = 5000, file_bytes: int =
         total += len(data)
         if len(data) > file_bytes or total > total_bytes:
             raise ValueError("the archive exceeds its limits")
+        if name in stored:
+            raise ValueError(f"two members become {name!r}")
+        stored.add(name)
         to = os.path.join(dest, name)
         os.makedirs(os.path.dirname(to), exist_ok=True)
         with open(to, "wb") as f:

@@ -5,9 +5,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.functions import ids, text
-from quillmesh.operators import graph, retrieve
-from quillmesh.sources import corpus
+from quillmesh.functions import ids, providers, text
+from quillmesh.operators import graph, index, retrieve
+from quillmesh.sources import corpus, markdown, store
 
 
 def one(spark, column):
@@ -133,6 +133,192 @@ def test_files_and_archive(spark, tmp_path):
         corpus.extract_archive(str(z), str(out))
 
 
+def test_roots_and_excluded_folders(spark, tmp_path):
+    for name in ("one/a.md", "one/sub/b.md", "two/c.md", "one/out/d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = corpus.from_files(spark, [str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "one" / "sub")], (str(tmp_path / "one" / "out"),))
+    assert {r.path: r.text for r in found.collect()} == {"a.md": "one/a.md", "sub/b.md": "one/sub/b.md", "c.md": "two/c.md"}
+    z = tmp_path / "y.zip"
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.md", "x")
+        f.writestr("a.markdown", "y")
+    with pytest.raises(ValueError):
+        corpus.extract_archive(str(z), str(tmp_path / "y"))
+
+
+BODY = """---
+title: X
+date: 2024-01-02
+tags: [Alpha, 3]
+---
+before
+# One ##
+text [[b#Part Two|there]] and [c](sub/c.md) `[[no]]` #tag-a #tag-a
+~~~
+# not a heading
+[[no]] #no
+~~~
+### Deep
+[web](https://x.org) ![pic](p.png) [back](#one)
+## Two
+# Three
+a#b ##c (#d/e)
+"""
+
+
+def test_sections():
+    data, begin, warned = markdown.frontmatter(BODY)
+    assert data["tags"] == ["Alpha", 3] and not warned
+    got = markdown.sections(BODY, begin, "a.md")
+    assert [(s["level"], s["parent_idx"], s["section_path"]) for s in got] == [(0, None, ""), (1, None, "One"), (3, 1, "One > Deep"), (2, 1, "One > Two"), (1, None, "Three")]
+    assert all(BODY[s["char_start"] :].startswith(s["body"]) for s in got) and got[3]["body"] == ""
+    assert [(x["kind"], x["target"], x["anchor"]) for x in got[1]["links"]] == [("wiki", "b", "Part Two"), ("md", "sub/c.md", None)]
+    assert [(x["target"], x["anchor"]) for x in got[2]["links"]] == [("p.png", None), ("", "one")]
+    assert all(BODY[x["pos"] :].startswith(x["raw"]) for s in got for x in s["links"])
+    assert [s["tags"] for s in got] == [[], ["tag-a"], [], [], ["d/e"]] or got[2]["tags"] == ["one"]
+
+
+@pytest.mark.parametrize("head, begins, warns", [("---\n- a\n---\nx", 12, 1), ("---\na: [\n---\nx", 13, 1), ("x\n---\na: 1\n---\n", 0, 0), ("---\na: 1\n---\n", 13, 0)])
+def test_frontmatter(head, begins, warns):
+    data, begin, warned = markdown.frontmatter(head)
+    assert (begin, len(warned)) == (begins, warns) and (not warns or data == {})
+
+
+def files(spark, **texts):
+    return spark.createDataFrame([(p.replace("__", "/") + ".md", t) for p, t in texts.items()], "path string, text string")
+
+
+def test_links(spark):
+    """By stem (of several the first by path), by path from the file's folder or the root, anchors, and what is lost."""
+    rows = files(spark, x__a="# S\n[[B]] [[b#Part Two]] [[b#none]] [c](c.md) [root](x/c.md) [up](../b.md#part-two) [[zz]] [self](#s) [q](q.png)", b="# T\nt\n## Part Two\nu\n## Part two!\n", x__c="c [[#here]]", y__b="other")
+    parsed = markdown.parse(rows)
+    found = markdown.section_table(parsed)
+    got = {(r.src, r.raw): r.dst for r in markdown.resolve_links(parsed, found, markdown.section_chunks(found)).collect()}
+    doc = {p: one(spark, ids.doc_id(F.lit(p))) for p in ("x/a.md", "b.md", "x/c.md")}
+    src = doc["x/a.md"] + "_s0_c0"
+    want = {"[[B]]": "b.md", "[[b#none]]": "b.md", "[c](c.md)": "x/c.md", "[root](x/c.md)": "x/c.md"}
+    assert all(got[src, raw] == doc[p] for raw, p in want.items())
+    # the section of the last of equal headings has no text and so no chunk, but it is a target
+    assert got[src, "[[b#Part Two]]"] == got[src, "[up](../b.md#part-two)"] == doc["b.md"] + "_s2"
+    assert got[src, "[self](#s)"] == src[:-3] and got[src, "[[zz]]"] is None and got[src, "[q](q.png)"] is None
+    assert got[doc["x/c.md"] + "_s0_c0", "[[#here]]"] == doc["x/c.md"] and len(got) == 10
+
+
+def test_link_in_an_overlap_belongs_to_the_earlier_chunk(spark):
+    body = "a" * 30 + " [[t]] " + "b" * 30
+    parsed = markdown.parse(files(spark, d=body, t="t"))
+    found = markdown.section_table(parsed)
+    chunks = markdown.section_chunks(found, 40, 20)
+    assert [r.src[-2:] for r in markdown.resolve_links(parsed, found, chunks).collect()] == ["c0"]
+
+
+def tables(spark, root, *names):
+    return [sorted(map(tuple, store.load(spark, root, n).collect()), key=str) for n in names]
+
+
+def test_index_incremental(spark, tmp_path):
+    root = str(tmp_path / "index")
+    first = files(spark, a="# A\nOne Two [[b]] #t1", b="# B\nThree", c="Gone Four #t2")
+    r = index.build(spark, first, root).first()
+    assert (r.indexed, r.unchanged, r.removed, r.entities) == (3, 0, 0, 5) and store.current(spark, root).endswith("/v1")
+    again = index.build(spark, first, root).first()
+    assert (again.indexed, again.unchanged, again.removed) == (0, 3, 0)
+    second = files(spark, a="# A\nOne Two [[b]] #t1", b="# B\nThree Five [[c]]", d="New Six")
+    r = index.build(spark, second, root).first()
+    assert (r.indexed, r.unchanged, r.removed, r.unresolved) == (2, 1, 1, 1)
+    # what an incremental build writes is what a full one writes; what nothing mentions any more is gone
+    whole = str(tmp_path / "whole")
+    index.build(spark, second, whole)
+    names = ("documents", "chunks", "nodes", "edges", "vectors", "unresolved")
+    assert tables(spark, root, *names) == tables(spark, whole, *names)
+    nodes = {n.id: n for n in store.load(spark, root, "nodes").collect()}
+    assert not any('"Four"' in n.meta or '"t2"' in n.meta for n in nodes.values()) and any("[[c]]" in n.meta for n in nodes.values())
+    edges = store.load(spark, root, "edges").where("type = 'links_to'")
+    assert edges.count() == 1  # from the file that didn't change to the one that did
+    assert index.stats(spark, root).first().documents == 3
+    events = index.build_events(spark, root).first()
+    assert (events.events, events.failed, events.entities) == (3, 0, 6)
+
+
+def own_providers():
+    """Classes of a function are pickled with their code."""
+
+    class Sizes(providers.Embedder):
+        name, dim = "sizes", 2
+
+        def embed(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[float(len(t)), 1.0] for t in texts]
+
+    class Pairs(providers.Extractor):
+        def extract(self, text):
+            if "bad" in text:
+                raise RuntimeError("no")
+            some = [providers.Entity(w, "word" if w.isupper() else "concept") for w in text.split()]
+            return providers.Extraction(some, [providers.Relation(text.split()[0], text.split()[-1], "ends"), providers.Relation("ghost", text.split()[0])])
+
+    return Sizes(), Pairs()
+
+
+def test_providers(spark, tmp_path):
+    rows, (sizes, pairs) = files(spark, a="xx yy", b="bad", c="xx YY"), own_providers()
+    got = {r.path: r for r in providers.embed_with(rows, sizes, batch=1).collect()}
+    assert list(got["a.md"].vector) == [5, 1] and got["b.md"].vector is None and "no" in got["b.md"].error
+    root = str(tmp_path / "own")
+    r = index.build(spark, rows, root, embedder=sizes, extractor=pairs).first()
+    assert r.errors == 2 and r.entities == 2  # a text that raises stops nothing else
+    meta = {n.id: n.meta for n in store.load(spark, root, "nodes").where("type = 'entity'").collect()}
+    assert any('"type":"word"' in m and '"aliases":["YY"]' in m for m in meta.values())
+    related = store.load(spark, root, "edges").where("type = 'relates_to'").collect()
+    assert [e.meta for e in related] == ['{"type":"ends"}']
+
+
+def test_tolerant_json():
+    assert providers.tolerant_json('so: ```json\n{"a": 1}\n``` done') == {"a": 1} and providers.tolerant_json('x {"a": {"b": 2}} y {') == {"a": {"b": 2}}
+    assert providers.tolerant_json("[1, 2] z", list) == [1, 2] and providers.tolerant_json("nothing") is None and providers.tolerant_json("[1]") is None
+    said = [{"source": "a", "target": "b"}, ["a", "is", "b"], ("a", "b"), ["a"], {"source": "", "target": "b"}, 3]
+    assert [(r.source, r.type, r.target) for r in providers.coerce_relations(said)] == [("a", "related_to", "b"), ("a", "is", "b"), ("a", "related_to", "b")]
+    assert [e.type for e in providers.coerce_event_entities([{"name": "ab", "type": "person"}, {"name": "cd", "type": "x"}, {"name": "e"}])] == ["person", "tags"]
+    ask = providers.AnsweredEvents(lambda t: '{"data": {"items": [{"title": "T", "keywords": ["k", 1], "entities": [{"name": "ab"}]}]}}')
+    assert vars(ask.event("x", "h", "d"))["keywords"] == ["k"] and providers.AnsweredEvents(lambda t: "no").event("x", "", "") is None
+
+
+def test_ranks_without_one_task(spark):
+    rows = spark.range(500).select((F.col("id") % 7).alias("hop"), F.concat(F.lit("n"), F.col("id")).alias("id"))
+    got = {r.id: r.rank for r in graph.ranked_all(rows, "hop", "id").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [r.id for r in rows.orderBy("hop", "id").collect()] and sorted(got.values()) == list(range(1, 501))
+    assert graph.ranked_all(rows.limit(0), "hop", "id").count() == 0
+
+
+def test_event_details(spark):
+    events = spark.createDataFrame([("v1", "c1", "of things", "", ["foo bar"]), ("v2", "c2", "x", "own", [])], "id string, chunk_id string, title string, content string, keywords array<string>")
+    links = spark.createDataFrame([("v1", "a", 0), ("v1", "b", 1), ("v2", "b", 0)], "event_id string, entity_id string, pos int")
+    entities = spark.createDataFrame([("a", "Foo", "foo"), ("b", "Bar", "bar")], "entity_id string, name string, normal string")
+    found = graph.cut(retrieve.retrieve_events(events, links, entities, ["foo", "z"], 8, 2))
+    assert [(r.id, r.hop, r.shared, r.overlap, r.score, list(r.connected_via)) for r in found.collect()] == [("v1", 0, 1, 1, 2.0, ["a"]), ("v2", 1, 0, 0, 0.0, [])]
+    chunks = spark.createDataFrame([("c1", "body", "p.md", "H")], "id string, text string, path string, section_path string")
+    got = {r.id: r for r in retrieve.event_contexts(found, events, links, chunks).collect()}
+    assert (got["v1"].content, got["v1"].source_path, got["v1"].heading_path, list(got["v1"].entities)) == ("body", "p.md", "H", ["a", "b"]) and (got["v2"].content, got["v2"].source_path) == ("own", "")
+    nodes, edges = retrieve.event_graph(found, events, links, entities)
+    assert nodes.count() == 4 and edges.count() == 3
+    assert {tuple(r) for r in retrieve.first_seen(graph.ranked(found, "hop", "id"), links).collect()} == {("a", 1, 0), ("b", 1, 1)}
+    left = retrieve.forget_events(events, links, spark.createDataFrame([("c1",)], "id string"))
+    assert left[0].count() == 1 and left[1].count() == 1
+
+
+def test_graph_views(spark):
+    n, e = micro(spark)
+    sub = graph.expand_and_induce(n, e, spark.createDataFrame([("a",)], "id string"), 1)
+    assert {r.id for r in sub[0].collect()} == {"a", "b", "c"}
+    kept, inside, total = graph.truncated(n, e, 2)
+    assert {r.id for r in kept.collect()} == {"a", "b"} and inside.count() == 1 and tuple(total.first()) == (5, True)
+    assert graph.without_dangling(n, e, ["chunk"])[1].count() == 2 and graph.merged([(n, e), (n, e)])[1].count() == 3
+    assert graph.reclaimed(n, e.where("type <> 'mentions'"))[0].count() == 4
+    assert {(r.direction, r.id, r.edge_type) for r in graph.detail(e, "b").collect()} == {("in", "a", "contains"), ("out", "c", "links_to")}
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 
