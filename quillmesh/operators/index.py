@@ -35,15 +35,15 @@ def tagged(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extracted(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks with entities and relations (of extract_with) -> entity nodes, mentions, relations (src, dst, relation).
 
-    Relations count only between entities of one chunk; of several relations of a pair the last one, by chunk and place,
-    stays."""
-    order = F.struct(F.col("id").alias("chunk"), F.col("pos"))
-    e = found.where("error is null").select("id", F.posexplode("entities").alias("pos", "e"))
+    Relations count only between entities of one chunk; of several relations of a pair the last one stays. First and
+    last are by the parts of the file's path, section, chunk and place."""
+    order = F.struct(F.split("path", "/").alias("parts"), "sec_idx", "chunk_idx", "pos")
+    e = found.where("error is null").select("id", "path", "sec_idx", "chunk_idx", F.posexplode("entities").alias("pos", "e"))
     e = e.select(F.col("id").alias("chunk_id"), ids.entity_id(F.col("e.name")).alias("entity_id"), "e.name", "e.type", "e.description", order.alias("seq"))
     nodes = graph.entities(e)
     nodes = nodes.select("id", F.lit("entity").alias("type"), F.lit(None).cast("string").alias("doc_id"), F.to_json(F.struct("name", "type", "description", "aliases")).alias("meta"))
     mentions = e.select(F.col("chunk_id").alias("src"), F.col("entity_id").alias("dst")).distinct()
-    r = found.where("error is null").select("id", F.posexplode("relations").alias("pos", "r"))
+    r = found.where("error is null").select("id", "path", "sec_idx", "chunk_idx", F.posexplode("relations").alias("pos", "r"))
     r = r.select("id", ids.entity_id(F.col("r.source")).alias("src"), ids.entity_id(F.col("r.target")).alias("dst"), F.col("r.type").alias("relation"), order.alias("seq"))
     there = lambda c: mentions.select(F.col("src").alias("id"), F.col("dst").alias(c))
     r = r.join(there("src"), ["id", "src"], "left_semi").join(there("dst"), ["id", "dst"], "left_semi")
@@ -92,7 +92,7 @@ def build(
     else:
         vectors = providers.embed_with(fresh.select("id", "doc_id", "text"), embedder).drop("text")
     made = offline_entities(fresh) if extractor is None else providers.extract_with(fresh, extractor)
-    columns = ["id", "doc_id", "entities", "relations", "error"]
+    columns = ["id", "doc_id", "path", "sec_idx", "chunk_idx", "entities", "relations", "error"]
     extractions = (made if semantic else made.limit(0)).select(*columns)
     if reusable:
         vectors = vectors.union(reuse["vectors"].join(keep, "doc_id", "left_semi").select("id", "doc_id", "vector", "error"))
