@@ -17,11 +17,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rename_columns, slices, written
+from .common import discard, rename_columns, slices, written
 from .components import components
 
 
@@ -37,6 +38,10 @@ class Params:
     seed: int = 20240
 
 
+def _code(p: Params) -> str:
+    return "<u2" if p.bits <= 16 else "<u4"
+
+
 def _planes(dim: int, p: Params) -> np.ndarray:
     return np.random.default_rng([p.seed, dim]).standard_normal((dim, p.tables * p.bits))
 
@@ -62,7 +67,7 @@ def _signed(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterato
             if dim not in planes:
                 planes[dim] = _planes(dim, p)
             signs = (x / size[good, None]) @ planes[dim] > 0
-            code = (signs.reshape(len(rows), p.tables, p.bits) * power).sum(axis=2).astype("<u4")
+            code = (signs.reshape(len(rows), p.tables, p.bits) * power).sum(axis=2).astype(_code(p))
             for j, i in enumerate(rows):
                 raw[i], codes[i] = x[j].astype(dtype).tobytes(), code[j].tobytes()
                 of = f"{dim}|{labels[i]}|".encode()
@@ -75,53 +80,70 @@ def _signed(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterato
 def _bucketed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """Classes (rep, peers, codes) -> (rep, tab, bucket)."""
     for batch in slices(batches, 2048):
-        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), "<u4").reshape(-1, p.tables).astype(np.uint64)
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), _code(p)).reshape(-1, p.tables).astype(np.uint64)
         keys = batch.column("peers").to_numpy().view(np.uint64)
         tab = np.arange(p.tables, dtype=np.uint64)
         bucket = (keys[:, None] ^ (codes << np.uint64(8) | tab) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), p.tables)), pa.array(np.tile(tab.astype(np.int32), len(keys))), pa.array(bucket.ravel())], names=["rep", "tab", "bucket"])
 
 
+def _pairs(cuts: list[int], v: np.ndarray, own: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j (or of block x and block y) of one group whose cosine reaches least; v has unit rows. Groups of a few
+    rows are compared all at once, one place with another; larger ones each by products of 256 rows."""
+    lo, size = np.array(cuts[:-1]), np.diff(cuts)
+    first, second = [], []
+    for s in range(2, 9):
+        at = lo[size == s]
+        at = at[x[at] == y[at]]
+        for i in range(s - 1) if len(at) else ():
+            for j in range(i + 1, s):
+                good = np.einsum("ij,ij->i", v[at + i], v[at + j]) >= least
+                first.append(at[good] + i), second.append(at[good] + j)
+    for a, n in zip(lo.tolist(), size.tolist(), strict=True):
+        within = x[a] == y[a]
+        if n < 2 or (within and n < 9):
+            continue
+        rows = np.arange(a, a + n)
+        left, right = (rows, rows) if within else (rows[own[rows] == x[a]], rows[own[rows] == y[a]])
+        for k in range(0, len(left), 256):
+            part = left[k : k + 256]
+            i, j = np.nonzero(v[part] @ v[right].T >= least)
+            i, j = part[i], right[j]
+            keep = i < j if within else np.ones(len(i), bool)
+            first.append(i[keep]), second.append(j[keep])
+    return (np.concatenate(first), np.concatenate(second)) if first else (np.empty(0, np.int64),) * 2
+
+
 def _compared(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, x, y) -> (rep, links, root) of the members that link in a group."""
     held: pa.Table | None = None
 
-    def group(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes = pc.binary_length(t.column("vector"))
+        for n in pc.unique(sizes).to_pylist():  # lengths meet only where buckets clash
+            yield group(t.filter(pc.equal(sizes, n)).combine_chunks())
+
+    def group(t: pa.Table) -> pa.RecordBatch:
         rep, weight, own, x, y, tab = (t.column(c).to_numpy() for c in ("rep", "weight", "own", "x", "y", "tab"))
-        raw = t.column("vector").to_pylist()
-        if len({len(r) for r in raw}) > 1:  # only if buckets of different lengths clash
-            return None
-        v = np.frombuffer(b"".join(raw), dtype).reshape(len(rep), -1).astype(np.float64)
+        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+        v = np.frombuffer(b"".join(t.column("vector").to_pylist()), dtype).reshape(len(rep), -1).astype(np.float64)
         v = v / np.abs(v).max(axis=1, keepdims=True)
-        norm = np.sqrt((v * v).sum(axis=1))
-        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), "<u4").reshape(len(rep), p.tables)
-        left, right = (np.arange(len(rep)),) * 2 if x[0] == y[0] else (np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0]))
-        links, first, second = np.zeros(len(rep), np.int64), [], []
-        for k in range(0, len(left), 256):
-            part = left[k : k + 256]
-            i, j = np.nonzero((v[part] @ v[right].T) / (norm[part, None] * norm[right]) >= p.similarity)
-            i, j = part[i], right[j]
-            keep = i < j if x[0] == y[0] else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-            met = (codes[i, : tab[0]] == codes[j, : tab[0]]).any(axis=1)
+        v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+        i, j = _pairs(cuts, v, own, x, y, p.similarity)
+        if len(i):  # those that have met in a table before count there
+            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), _code(p)).reshape(len(rep), p.tables)
+            before = np.arange(p.tables) < tab[i, None]
+            met = np.concatenate([((codes[i[k : k + 65536]] == codes[j[k : k + 65536]]) & before[k : k + 65536]).any(axis=1) for k in range(0, len(i), 65536)])
             i, j = i[~met], j[~met]
-            links += np.bincount(i, weight[j], len(rep)).astype(np.int64) + np.bincount(j, weight[i], len(rep)).astype(np.int64)
-            first.append(i), second.append(j)
-        i, j = np.concatenate(first), np.concatenate(second)
+        links = np.bincount(i, weight[j], len(rep)).astype(np.int64) + np.bincount(j, weight[i], len(rep)).astype(np.int64)
         root, before = rep.copy(), None
         while before is None or (root != before).any():
             before = root.copy()
             np.minimum.at(root, i, root[j])
             np.minimum.at(root, j, root[i])
         some = links > 0
-        return rep[some], links[some], root[some]
-
-    def groups(t: pa.Table) -> pa.RecordBatch:
-        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "x", "y")])
-        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
-        out = [g for a, b in zip(cuts, cuts[1:]) if b - a > 1 and (g := group(t.slice(a, b - a))) is not None]
-        out = out or [(np.empty(0, np.int64),) * 3]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[i] for g in out])) for i in range(3)], names=["rep", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (rep, links, root)], names=["rep", "links", "root"])
 
     for batch in slices(batches, 4096):
         t = pa.Table.from_batches([batch])
@@ -130,10 +152,10 @@ def _compared(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Itera
         last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
         cut = int(last[-1]) + 1 if len(last) else 0
         if cut:
-            yield groups(t.slice(0, cut).combine_chunks())
+            yield from groups(t.slice(0, cut))
         held = t.slice(cut)
     if held is not None and held.num_rows:
-        yield groups(held.combine_chunks())
+        yield from groups(held)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", params: Params = Params()) -> DataFrame:
@@ -162,6 +184,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     blocks = blocks.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tab", "rep").join(classes.select("rep", "weight", "vector", "codes"), "rep")
     found = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_compared, p=p, dtype=dtype), "rep long, links long, root long")
     found = written(found)
+    discard(dealt)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
 
