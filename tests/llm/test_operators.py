@@ -118,6 +118,10 @@ def test_embeddings_against_brute_force(spark):
         assert len(got) == len(rows) and 0.99 * near.sum() <= found <= near.sum()
         assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
         assert all(got[i].component_id <= i for i in range(len(x)))
+    # null ids link with nothing by themselves; rows that repeat an id are vectors each
+    some = [(1, x[0].tolist(), 0), (1, x[0].tolist(), 0), (None, x[0].tolist(), 0), (None, x[1].tolist(), 0), (2, x[0].tolist(), 0), (3, x[0].tolist(), 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(some, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got), key=str) == [(0, 0, None, True), (0, 0, None, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
@@ -407,6 +411,59 @@ def test_toxicity_in_each_language(spark):
     assert got[got.toxic == 0].predicted.mean() < 0.02
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null and empty texts, other columns, empty tables."""
+    import corpus_pipeline as c
+
+    rng = random.Random(17)
+    vocab = [f"{a}{b}" for a in ("the", "an", "re", "ti", "mo") for b in ("on", "er", "ing", "es", "al", "um")]
+    rows, labels = [], []
+    for i in range(300):
+        w = rng.choices(vocab, k=40)
+        if i % 3 == 0:
+            w[rng.randrange(40)] = "zqvile"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    item = " ".join(rng.choices(vocab, k=12))
+    base = rows[1][1].split()
+    near = " ".join(base[:-1] + ["changed"])
+    rows += [(1, near), (1, near), (2, near), (400, rows[1][1]), (4, rows[4][1]), (None, rows[1][1]), (None, rows[1][1]), (5, rows[10][1])]
+    rows += [(401, item), (None, f"{rows[7][1]} {item} more"), (7, f"so {item}"), (None, "zqvile " * 9), (402, None), (403, ""), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_key string, score int, rep long"
+    t = spark.createDataFrame([(i, x, "en", "s", len(x or ""), "k", 1, 2) for i, x in rows], schema)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stages = dict(c.STAGES)
+
+    said = {(r.doc_id, r.text): r.predicted for r in toxicity.toxicity(t, spark.read.parquet(str(tmp_path / "labels.parquet")), carry=("text",)).collect()}
+    got = stages["toxicity"](spark, t, str(tmp_path))
+    assert left(got) == sorted((x for x in rows if not said[x]), key=str) and got.columns == list(c.COLUMNS)
+    assert (None, "zqvile " * 9) not in left(got) and (None, rows[1][1]) in left(got) and {(402, None), (403, ""), (None, None)} <= set(left(got))
+
+    sets = [set(minhash_dedup.shingles(x or "").tolist()) for _, x in rows]
+    comp = [i for i, _ in rows]
+    for _ in range(4):
+        for i, p in enumerate(sets):
+            for j, q in enumerate(sets):
+                if p and q and comp[i] is not None and comp[j] is not None and 100 * len(p & q) >= 75 * len(p | q):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    keep = {x for x, p, k in zip(rows, sets, comp) if not p or x[0] is None}
+    for k in {k for k, p in zip(comp, sets) if p and k is not None}:
+        there = {x for x, c_ in zip(rows, comp) if c_ == k and x[0] == k and x[1]}
+        kept = set(left(stages["minhash_near_dedup"](spark, t, str(tmp_path)))) if k == min(i for i in comp if i is not None) else kept
+        assert len(there & kept) == 1
+        keep |= there & kept
+    assert kept == keep
+
+    got = left(stages["benchmark_decontamination"](spark, t, str(tmp_path)))
+    assert got == sorted((x for x in rows if not brute_hits(x[1] or "", [("b", item)])[1]), key=str) and len(got) < len(rows)
+    mail = spark.createDataFrame([(None, "ask a@b.org now", "en", "s", 15), (1, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in stages["pii"](spark, mail, "").collect()), key=str) == [(1, None, 0), (None, "ask <EMAIL> now", 15)]
+    for name, stage in c.STAGES:
+        assert stage(spark, t.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
