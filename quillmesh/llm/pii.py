@@ -1,10 +1,9 @@
 """Personal data, plain and disguised, with the places in the source.
 
 Plain identifiers are found in the text itself. For disguised ones, transducers rewrite the text and keep, for each
-character character they write, which source characters it stands for: character references become what they name, look-alike
-characters the ASCII ones they imitate, spelled digits digits, and at/dot disguises "@" and ".". it stands for: look-alike characters become the ASCII ones they imitate,
-spelled digits become digits, and at/dot disguises become "@" and ".". The same rules then run on the rewritten text,
-and what they find there is mapped back to source characters.
+character they write, which source characters it stands for: character references become what they name, look-alike
+characters the ASCII ones they imitate, spelled digits digits, and at/dot disguises "@" and ".". The same rules then
+run on the rewritten text, and what they find there is mapped back to source characters.
 """
 
 from __future__ import annotations
