@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, rename_columns, slices, texts, written
+from .common import discard, hub_bound, hub_join, mix64, rename_columns, slices, texts, written
 from .components import components
 
 
@@ -223,11 +223,18 @@ def _across(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
         yield links(pa.concat_tables(held).combine_chunks())
 
 
+def _both_ends(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """pairs (a, b and others; a table written) with what there is of either end. A pivot's pairs are dealt into blocks."""
+    bound = hub_bound(pairs.count())
+    ends = lambda c: pairs.groupBy(c).count()
+    return hub_join(hub_join(pairs, of_a, "a", "b", ends("a"), bound), of_b, "b", "a", ends("b"), bound)
+
+
 def _verify(pairs: DataFrame, bodies: DataFrame, p: Params) -> DataFrame:
-    """Of pairs (a, b, ca, cb) those whose whole texts verify, as links (a, b) of their components ca and cb. Hot ends
-    are left to AQE's splitting of skewed joins."""
+    """Of pairs (a, b, ca, cb; a table written) those whose whole texts verify, as links (a, b) of their components ca
+    and cb."""
     ta, tb = bodies.select(F.col("rep").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(ta, "a").join(tb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "tb")
+    both = _both_ends(pairs, ta, tb).select(F.col("ca").alias("a"), F.col("cb").alias("b"), "ta", "tb")
     return both.mapInArrow(partial(_verified, p=p), "a long, b long")
 
 
@@ -269,7 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = pivots.select("bucket", (-F.col("p.neg")).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("own"))
     stars = shared.join(pivots, ["bucket", "own"]).where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     ma, mb = (reps.select(F.col("rep").alias(k), F.col("marks").alias(f"m{k}")) for k in "ab")
-    stars = written(stars.join(ma, "a").join(mb, "b").select("a", "b", "ma", "mb").mapInArrow(partial(_alike, p=p), "a long, b long, equal long"))
+    spokes = written(stars)
+    stars = written(_both_ends(spokes, ma, mb).select("a", "b", "ma", "mb").mapInArrow(partial(_alike, p=p), "a long, b long, equal long"))
+    discard(spokes)
 
     members = shared.select("rep").distinct().join(reps.select("rep", "doc_id", "t"), "rep")
     bodies = own.select("doc_id", "t", "text").join(members, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))
@@ -283,7 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What is joined is joined: from here on, links are between the components so far.
     second = _placed(_placed(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), "a", found, "ca"), "b", found, "cb").where("ca <> cb")
-    found.append(components(_verify(written(second.select("a", "b", "ca", "cb")), bodies, p)))
+    second = written(second.select("a", "b", "ca", "cb"))
+    found.append(components(_verify(second, bodies, p)))
+    discard(second)
 
     named = _placed(shared.select("bucket", "rep", "n", "own"), "rep", found, "comp")
     mixed = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n")).where("lo <> hi")

@@ -10,7 +10,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from quillmesh.llm import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
-from quillmesh.llm.common import alnum_words
+from quillmesh.llm.common import alnum_words, hub_join
 from quillmesh.llm.components import components
 from quillmesh.llm.tokens import encoder
 
@@ -102,6 +102,19 @@ def test_components(spark):
     assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
 
 
+def test_components_with_hubs(spark):
+    hub = [(500, i) for i in range(1, 500)] + [(i, 500) for i in range(501, 1000)]
+    chain = [(i, i + 1) for i in range(2000, 2040)]
+    rows = hub + chain + [(999, 2040)] * 2 + [(7, 7)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    got = {tuple(r) for r in components(links).collect()}
+    assert got == {(i, 1) for i in [*range(1, 1000), *range(2000, 2041)]}
+    few = spark.createDataFrame([(k, k * 10) for k in (1, 2, 3)], "k long, v long")
+    many = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0), (None, 1), (9, 1)], "k long, x long")
+    joined = hub_join(many, few, "k", "x", many.groupBy("k").count(), 32)
+    assert sorted(map(tuple, joined.collect())) == sorted([(1, i, 10) for i in range(100)] + [(2, 0, 20)])
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((30, 32))
