@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
+from . import decontaminate, divergence, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,20 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op7_html_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files)}
+    every = (
+        op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op7_html_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files,
+        op11_source_divergence,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op2_license_scan": licenses.oracle(), "op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
+    }
