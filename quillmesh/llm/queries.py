@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
+from . import decontaminate, divergence, embedding_dedup, hard_negatives, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +65,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op7_html_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files,
-        op11_source_divergence,
+        op11_source_divergence, op12_url_filter, op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
@@ -75,5 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.oracle(), "op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL,
-        "op11_source_divergence": divergence.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL, "op12_url_filter": url_filter.oracle(), "op13_hard_negatives": hard_negatives.ORACLE_SQL,
     }
