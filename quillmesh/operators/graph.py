@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..sources.scratch import cut
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -39,25 +39,6 @@ def entities(found: DataFrame) -> DataFrame:
     return g.select("id", "name", kind.alias("type"), F.coalesce("description", F.lit("")).alias("description"), F.array_sort(F.array_except("names", F.array("name"))).alias("aliases"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where they are one
-    process, may do without: it gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def both_ways(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
     e = edges.where(F.col("type").isin(types)) if types else edges
     return e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -65,9 +46,9 @@ def both_ways(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 1, types: list[str] | None = None) -> DataFrame:
     """seeds (id) -> (id, hop): nodes within so many hops, edges taken either way, seeds left out; unknown seeds count
-    for nothing. Edges and seeds are worked out once and kept by a checkpoint. Each hop joins the frontier only, and is
-    cut by a checkpoint from the third one on."""
-    around = cut(both_ways(edges, types))
+    for nothing. Seeds are worked out once; edges should be a stored table, which each hop reads. Each hop joins the
+    frontier only, and is stored from the third one on."""
+    around = both_ways(edges, types)
     start = cut(seeds.select("id").distinct().join(nodes.select("id"), "id", "left_semi"))
     visited = frontier = start.withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import graph, index, retrieve
-from ..sources import corpus, markdown, store
+from ..sources import corpus, markdown, scratch, store
 
 QUERY = "The thing with another Ration"
 #: They name some twenty entities at sf0.01, one as a whole word.
@@ -86,7 +86,7 @@ def _index(spark: SparkSession, sf: str, kind: str = "documents") -> str:
     """The root of this session's index of a corpus; it is built at its first use."""
     key = (spark.sparkContext.applicationId, sf, kind)
     if key not in _ROOTS:
-        root = f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        root = f"{scratch.shared_dir(spark)}/index-{uuid.uuid4().hex}"
         files = corpus.from_table(_t(spark, sf, "documents")) if kind == "documents" else _files(spark, sf)
         index.build(spark, files, root, semantic=kind == "documents")
         if kind == "documents":
@@ -96,7 +96,7 @@ def _index(spark: SparkSession, sf: str, kind: str = "documents") -> str:
 
 
 def _of(spark: SparkSession, sf: str, *names: str, kind: str = "documents") -> list[DataFrame]:
-    return [store.load(spark, _index(spark, sf, kind), n) for n in names]
+    return [store.load(spark, _index(spark, sf, kind), index.vector_table() if n == "vectors" else n) for n in names]
 
 
 def _graph(spark: SparkSession, sf: str, kind: str = "documents") -> tuple[DataFrame, DataFrame]:
@@ -463,7 +463,7 @@ def md_links_resolved(spark, sf):
 
 @query(_MD + " SELECT src, raw FROM l WHERE dst IS NULL")
 def md_links_unresolved(spark, sf):
-    return _of(spark, sf, "unresolved", kind="files")[0].select("src", "raw")
+    return index.unresolved(spark, _index(spark, sf, "files")).select("src", "raw")
 
 
 @query(_MD + " SELECT src, dst, type FROM edges WHERE type = 'tagged'")
@@ -538,7 +538,7 @@ def index_stats(spark, sf):
 (SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0) AS removed""")
 def index_incremental(spark, sf):
     """A second build: nations of remainder 0 are gone, those of 1 changed, those of 2 new."""
-    root, files = f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}", _files(spark, sf)
+    root, files = f"{scratch.shared_dir(spark)}/index-{uuid.uuid4().hex}", _files(spark, sf)
     of = F.when(F.col("path").startswith("nations/"), F.regexp_extract("path", "n([0-9]+)[.]", 1).cast("int") % 5).otherwise(4)
     index.build(spark, files.where(of != 2), root, semantic=False)
     report = index.build(spark, files.where(of != 0).withColumn("text", F.when(of == 1, F.concat("text", F.lit("more\n"))).otherwise(F.col("text"))), root, semantic=False)
