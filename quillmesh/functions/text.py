@@ -60,7 +60,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+    """Null if either is; an error for unequally long vectors."""
+    d = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+    lengths = F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" components"))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(F.size(a) == F.size(b), d).otherwise(F.raise_error(lengths))
 
 
 def entity_names(text: Column) -> Column:

@@ -73,12 +73,13 @@ def entity_nodes(mentions: DataFrame) -> DataFrame:
 
 def offline_entities(chunks: DataFrame) -> DataFrame:
     """extract_with for the offline rule, as native expressions: capitalised words, each related to the next."""
-    names = text.entity_names(F.col("text"))
     entity = lambda n: F.struct(n.alias("name"), F.lit("concept").alias("type"), F.lit("").alias("description"))
-    pairs = "zip_with(slice(names, 1, size(names) - 1), slice(names, 2, size(names) - 1), (a, b) -> struct(a AS source, b AS target, 'related_to' AS type))"
-    out = chunks.withColumn("names", names).withColumn("entities", F.transform("names", entity))
-    none = "cast(array() AS array<struct<source:string,target:string,type:string>>)"
-    return out.withColumn("relations", F.expr(f"if(size(names) > 1, {pairs}, {none})")).withColumn("error", F.lit(None).cast("string")).drop("names")
+    relation = lambda a, b: F.struct(a.alias("source"), b.alias("target"), F.lit("related_to").alias("type"))
+    follow = lambda n: F.zip_with(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))), F.slice(n, 2, F.greatest(F.size(n) - 1, F.lit(0))), relation)
+    # The names are bound by the outer transform, and found once.
+    both = F.transform(F.array(text.entity_names(F.col("text"))), lambda n: F.struct(F.transform(n, entity).alias("entities"), follow(n).alias("relations")))
+    out = chunks.withColumn("_both", both[0])
+    return out.select(*chunks.columns, "_both.entities", "_both.relations", F.lit(None).cast("string").alias("error"))
 
 
 def vector_table(embedder: providers.Embedder | None = None, dim: int = 16) -> str:
@@ -271,19 +272,17 @@ def _pair() -> Column:
 
 
 def _report(spark: SparkSession, root: str, version: int, actions: DataFrame, full: bool, reclaimed: int) -> DataFrame:
-    n = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
     table = lambda name: store.load(spark, root, name, version)
-    several = markdown.titles(table("documents").select(F.col("id").alias("doc_id"), "path")).where("n > 1").count()
+    several = markdown.titles(table("documents").select(F.col("id").alias("doc_id"), "path")).where("n > 1")
+    counted = {
+        "errors": table("errors"), "warnings": table("warnings"), "several": several, "unresolved": table("links").where("dst is null"), "entities": table("nodes").where("type = 'entity'"),
+        **{a: actions.where(F.col("action") == a) for a in ("build", "unchanged", "removed")},
+    }
+    n = dict(zip(counted, store.at_once(lambda t: t.count(), counted.values()), strict=True))
     row = {
-        "indexed": n.get("build", 0) + (n.get("unchanged", 0) if full else 0),
-        "unchanged": 0 if full else n.get("unchanged", 0),
-        "removed": n.get("removed", 0),
-        "reclaimed": reclaimed,
-        "errors": table("errors").count(),
-        "warnings": table("warnings").count() + several,
-        "unresolved": table("links").where("dst is null").count(),
-        "entities": table("nodes").where("type = 'entity'").count(),
-    }
+        "indexed": n["build"] + (n["unchanged"] if full else 0), "unchanged": 0 if full else n["unchanged"], "removed": n["removed"], "reclaimed": reclaimed, "errors": n["errors"],
+        "warnings": n["warnings"] + n["several"], "unresolved": n["unresolved"], "entities": n["entities"],
+    }
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
 
 
@@ -364,7 +363,8 @@ def _build_events(spark, root, extractor, embedder, dim, full) -> DataFrame:
             "event_nodes": Change(nodes, None if full else _owners("entity_id", nodes), full),
         }, based,
     )
-    n = {name: store.load(spark, root, name, version).count() for name in ("events", "event_nodes", "event_entities")}
+    names = ("events", "event_nodes", "event_entities")
+    n = dict(zip(names, store.at_once(lambda name: store.load(spark, root, name, version).count(), names), strict=True))
     failed, seen = made.agg(F.count_if(F.col("error").isNotNull()), F.count("*")).first()
     row = (n["events"], failed, n["event_nodes"], n["event_entities"], seen)
     return spark.createDataFrame([row], "events long, failed long, entities long, links long, seen long")

@@ -61,14 +61,22 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registry(queries: dict, oracles: dict) -> Callable:
+    """A decorator that enters a query, and its SQL where there is any."""
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = registry(Q, SQL)
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -545,19 +553,21 @@ def index_incremental(spark, sf):
     return report.select("indexed", "unchanged", "removed")
 
 
-#: A corpus of paragraphs: blank lines, paragraphs longer than a window, blank text.
-_PARAGRAPHS = ["short", " \n ", "a" * 700 + "\n\n" + "b" * 700 + "\n\n" + "c" * 100, "d" * 300 + "\n \n" + "e" * 2500 + "\n\n" + "f" * 900 + "\n\n" + "g" * 290]
+#: Of each supplier a text: two paragraphs longer than a window, a long run of short ones, and blank lines with spaces.
+_PARAGRAPHS = "repeat('a', 700) || '\n\n' || repeat('b', 600 + s_suppkey % 700) || '\n \n' || repeat('c' || chr(10) || chr(10), s_suppkey % 300) || repeat('d', 1300 + s_suppkey % 2000) || '\n\n' || s_name"
 
 
-@query("SELECT * FROM (VALUES (0, 0, 5), (2, 0, 702), (2, 552, 1504), (3, 0, 303), (3, 153, 1503), (3, 1353, 2703), (3, 2553, 2805), (3, 2655, 3997)) t(doc, char_start, char_end)")
+@query(
+    f"""WITH RECURSIVE t AS (SELECT s_suppkey, {_PARAGRAPHS} AS body FROM supplier),
+ends AS (SELECT s_suppkey, body, unnest(list_append(list_filter(generate_series(1, length(body)), lambda i: i > 1 AND substr(body, i, 1) = chr(10) AND (substr(body, i - 1, 1) = chr(10) OR (i > 2 AND substr(body, i - 2, 3) = chr(10) || ' ' || chr(10))) AND (i < 4 OR substr(body, i - 2, 2) <> chr(10) || chr(10) OR substr(body, i, 1) <> chr(10))), length(body))) AS e FROM t),
+p AS (SELECT DISTINCT s_suppkey, e FROM ends),
+spans AS (SELECT s_suppkey, row_number() OVER w AS n, coalesce(lag(e) OVER w, 0) AS s, e FROM p WINDOW w AS (PARTITION BY s_suppkey ORDER BY e)),
+walk AS (SELECT s_suppkey, n, s, e, s AS cs FROM spans WHERE n = 1
+    UNION ALL SELECT b.s_suppkey, b.n, b.s, b.e, CASE WHEN b.e - b.s > 1200 OR a.e - a.s > 1200 OR b.e - a.cs > 1200 THEN b.s ELSE a.cs END FROM walk a JOIN spans b ON b.s_suppkey = a.s_suppkey AND b.n = a.n + 1),
+packed AS (SELECT s_suppkey, cs AS s, max(e) AS e FROM walk GROUP BY s_suppkey, cs),
+cut AS (SELECT s_suppkey, s + i * 1200 AS s, least(e, s + (i + 1) * 1200) AS e FROM packed, range(0, 100) r(i) WHERE s + i * 1200 < e)
+SELECT s_suppkey, CAST(CASE WHEN s = 0 THEN 0 ELSE s - 150 END AS INT) AS char_start, CAST(e AS INT) AS char_end FROM cut"""
+)
 def paragraph_windows(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(_PARAGRAPHS)), "doc int, body string")
-    return rows.select("doc", F.explode(text.windows("body")).alias("w")).select("doc", F.col("w.s").alias("char_start"), F.col("w.e").alias("char_end"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    rows = _t(spark, sf, "supplier").select("s_suppkey", F.expr(_PARAGRAPHS).alias("body"))
+    return rows.select("s_suppkey", F.explode(text.windows("body")).alias("w")).select("s_suppkey", F.col("w.s").alias("char_start"), F.col("w.e").alias("char_end"))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tarfile
-import zipfile
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from . import files
 
 
 def from_table(docs: DataFrame) -> DataFrame:
@@ -18,21 +14,49 @@ def from_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("source/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
 
 
+def _decoded(files: DataFrame) -> DataFrame:
+    """files with content -> (text, hash, error and the rest): line ends become \\n before hashing; what isn't UTF-8 has an
+    error and no text."""
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    body = F.when(good, F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    rest = [c for c in files.columns if c not in ("content", "error")]
+    return files.select(*rest, body.alias("text"), F.sha2(body, 256).alias("hash"), F.coalesce(error, F.when(~good, "not UTF-8")).alias("error"))
+
+
 def from_files(spark: SparkSession, roots: str | list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
-    """All *.md files below the roots, each once: (path relative to the first root that holds it, text, hash, mtime,
-    error). Files below an excluded folder are left out, and so are those whose names Spark hides (_ and . in front).
-    Line ends become \\n before hashing; a file that isn't UTF-8 has an error and no text."""
+    """All *.md files below the roots (or roots themselves), each once: (path relative to the first root that holds it,
+    text, hash, mtime, error), whatever their names begin with. Files below an excluded folder are left out, and roots
+    that aren't there. A task for each folder; it must be able to open the roots (see sources.files)."""
+    spark.dataSource.register(files.FolderSource)
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    reader = spark.read.format("markdown_folders").option("roots", "\n".join(roots)).option("exclude", "\n".join(exclude))
+    return _decoded(reader.load()).select("path", "text", "hash", "mtime", "error")
+
+
+def from_spark_files(spark: SparkSession, roots: str | list[str], exclude: tuple[str, ...] = ()) -> DataFrame:
+    """from_files() for a store that only Spark's readers open; names with _ or . in front are hidden there."""
     roots = [roots] if isinstance(roots, str) else list(roots)
     inside = lambda folder: spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(roots)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(roots)
     at = F.regexp_replace(F.col("path"), "^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
-    files = files.withColumn("at", at).dropDuplicates(["at"])
+    found = found.withColumn("at", at).dropDuplicates(["at"])
     for folder in exclude:
-        files = files.where(~F.col("at").startswith(inside(folder)))
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    body = F.when(good, F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n"))
+        found = found.where(~F.col("at").startswith(inside(folder)))
     path = F.coalesce(*(F.when(F.col("at").startswith(inside(r)), F.substring("at", len(inside(r)) + 1, 1 << 20)) for r in roots), F.col("at"))
-    return files.select(path.alias("path"), body.alias("text"), F.sha2(body, 256).alias("hash"), F.unix_timestamp("modificationTime").cast("double").alias("mtime"), F.when(~good, "not UTF-8").alias("error"))
+    own = found.select(path.alias("path"), "content", F.unix_timestamp("modificationTime").cast("double").alias("mtime"))
+    return _decoded(own).select("path", "text", "hash", "mtime", "error")
+
+
+def from_archives(spark: SparkSession, paths: str | list[str], entries: int = 5000, file_bytes: int = 5 << 20, total_bytes: int = 200 << 20) -> DataFrame:
+    """Markdown members (.md, .markdown, any case) of zip and tar archives (plain, gz, bz2, xz) as files named .md:
+    (archive, path, text, hash, error). The members of a zip archive are dealt to tasks.
+
+    Raises for members with absolute paths, drives or "..", links and special files, two that become one file, and beyond
+    the limits of an archive."""
+    spark.dataSource.register(files.ArchiveSource)
+    reader = spark.read.format("markdown_archives").option("paths", "\n".join([paths] if isinstance(paths, str) else paths))
+    return _decoded(reader.option("entries", entries).option("fileBytes", file_bytes).option("totalBytes", total_bytes).load())
 
 
 def chunks(corpus: DataFrame, max_chars: int = 1200, overlap: int = 150) -> DataFrame:
@@ -40,58 +64,3 @@ def chunks(corpus: DataFrame, max_chars: int = 1200, overlap: int = 150) -> Data
     did = corpus.select(ids.doc_id(F.col("path")).alias("doc_id"), "text").withColumn("w", text.windows("text", max_chars, overlap))
     out = did.select("doc_id", "text", F.posexplode("w").alias("chunk_idx", "w"))
     return out.select(ids.chunk_id(F.col("doc_id"), F.lit(0), F.col("chunk_idx")).alias("id"), "doc_id", F.lit(0).alias("sec_idx"), "chunk_idx", F.lit("").alias("section_path"), F.expr("substring(text, w.s + 1, w.e - w.s)").alias("text"), F.col("w.s").alias("char_start"), F.col("w.e").alias("char_end"))
-
-
-def extract_archive(path: str, dest: str, entries: int = 5000, file_bytes: int = 5 << 20, total_bytes: int = 200 << 20) -> int:
-    """Markdown members (.md, .markdown, any case) of a zip or tar archive, written below dest as .md; how many.
-
-    Raises ValueError for members with absolute paths, drives or "..", links and special files, two that become one
-    file, and beyond the limits.
-    """
-    wanted, total, stored = 0, 0, set()
-
-    def target(name: str) -> str | None:
-        p = PurePosixPath(name.replace("\\", "/"))
-        if p.is_absolute() or ".." in p.parts or (p.parts and ":" in p.parts[0]):
-            raise ValueError(f"unsafe member {name!r}")
-        return str(p.with_suffix(".md")) if p.suffix.lower() in (".md", ".markdown") else None
-
-    def store(name: str, stream) -> None:
-        nonlocal wanted, total
-        data = stream.read(file_bytes + 1)
-        total += len(data)
-        if len(data) > file_bytes or total > total_bytes:
-            raise ValueError("the archive exceeds its limits")
-        if name in stored:
-            raise ValueError(f"two members become {name!r}")
-        stored.add(name)
-        to = os.path.join(dest, name)
-        os.makedirs(os.path.dirname(to), exist_ok=True)
-        with open(to, "wb") as f:
-            f.write(data)
-        wanted += 1
-
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as z:
-            members = [m for m in z.infolist() if not m.is_dir()]
-            if len(members) > entries:
-                raise ValueError("too many members")
-            for m in members:
-                if (m.external_attr >> 16) & 0o170000 == 0o120000:
-                    raise ValueError(f"link {m.filename!r}")
-                if name := target(m.filename):
-                    with z.open(m) as f:
-                        store(name, f)
-    else:
-        with tarfile.open(path) as t:
-            for i, m in enumerate(t):
-                if i >= entries:
-                    raise ValueError("too many members")
-                name = target(m.name)
-                if m.isdir():
-                    continue
-                if not m.isfile():
-                    raise ValueError(f"link or special file {m.name!r}")
-                if name:
-                    store(name, t.extractfile(m))
-    return wanted

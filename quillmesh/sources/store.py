@@ -15,7 +15,8 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,16 +93,21 @@ def _log(spark: SparkSession, root: str, version: int, tables: dict) -> None:
         raise
 
 
+def at_once(f: Callable, names: Iterable, jobs: int = 4) -> list:
+    """f of each name, several Spark jobs at a time: the tables of a version are small against each other."""
+    with ThreadPoolExecutor(jobs) as pool:
+        return list(pool.map(f, names))
+
+
 def commit(spark: SparkSession, root: str, changes: dict[str, Change], based: int | None = None) -> int:
     """Write changes as the version after `based` (the current one); its number. Raises Conflict, and leaves the index
     as it is, if that number is taken by then."""
     based = current(spark, root) if based is None else based
     tables, version, tag = listing(spark, root, based), based + 1, uuid.uuid4().hex[:12]
-    for name, change in changes.items():
-        own = tables.setdefault(name, {"schema": None, "rows": [], "gone": []})
-        if change.replace:
-            own["rows"], own["gone"] = [], []
-        elif change.gone is not None:
+
+    def write(name: str) -> None:
+        change, own = changes[name], tables[name]
+        if change.gone is not None and not change.replace:
             at = f"gone/{name}/v={version}/b={tag}"
             change.gone.select(F.col("owner").cast("string").alias("owner")).distinct().write.mode("overwrite").parquet(f"{root}/{at}")
             own["gone"].append(at)
@@ -112,6 +118,12 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], based: in
             dealt.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{at}")
             own["rows"].append(at)
             own["schema"] = own["schema"] or json.loads(change.add.schema.json())
+
+    for name, change in changes.items():
+        own = tables.setdefault(name, {"schema": None, "rows": [], "gone": []})
+        if change.replace:
+            own["rows"], own["gone"] = [], []
+    at_once(write, changes)
     _log(spark, root, version, tables)
     return version
 
@@ -135,6 +147,16 @@ def load(spark: SparkSession, root: str, name: str, version: int | None = None,
     return rows.select(*columns)
 
 
+def delta(spark: SparkSession, root: str, version: int) -> dict[str, tuple[int, int]]:
+    """Of each table that a version has changed: how many rows it has added, and how many owners it has listed as gone."""
+    out = {}
+    for name, own in listing(spark, root, version).items():
+        parts = [[f"{root}/{p}" for p in own[c] if f"/v={version}/" in p] for c in ("rows", "gone")]
+        if any(parts):
+            out[name] = tuple(spark.read.parquet(*p).count() if p else 0 for p in parts)
+    return out
+
+
 def compact(spark: SparkSession, root: str, most: int = 8, names: Iterable[str] | None = None) -> list[str]:
     """Rewrite the tables that are spread over more than `most` folders of rows, as a new version; their names."""
     version = current(spark, root)

@@ -1,13 +1,12 @@
 import hashlib
 import re
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.functions import ids, providers, text
 from quillmesh.operators import graph, index, retrieve
-from quillmesh.sources import corpus, markdown, store
+from quillmesh.sources import markdown, store
 
 
 def one(spark, column):
@@ -116,37 +115,6 @@ def test_events(spark):
     assert retrieve.expand_events(links, seeds, 3).count() == 3
 
 
-def test_files_and_archive(spark, tmp_path):
-    z = tmp_path / "x.zip"
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("a.MD", "one\r\ntwo")
-        f.writestr("d/b.Markdown", "x")
-        f.writestr("c.txt", "no")
-    out = tmp_path / "out"
-    assert corpus.extract_archive(str(z), str(out)) == 2
-    (out / "bad.md").write_bytes(b"\xff\xfe")
-    got = {r.path: (r.text, r.error) for r in corpus.from_files(spark, str(out)).collect()}
-    assert got == {"a.md": ("one\ntwo", None), "d/b.md": ("x", None), "bad.md": (None, "not UTF-8")}
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("../a.md", "x")
-    with pytest.raises(ValueError):
-        corpus.extract_archive(str(z), str(out))
-
-
-def test_roots_and_excluded_folders(spark, tmp_path):
-    for name in ("one/a.md", "one/sub/b.md", "two/c.md", "one/out/d.md"):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text(name)
-    found = corpus.from_files(spark, [str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "one" / "sub")], (str(tmp_path / "one" / "out"),))
-    assert {r.path: r.text for r in found.collect()} == {"a.md": "one/a.md", "sub/b.md": "one/sub/b.md", "c.md": "two/c.md"}
-    z = tmp_path / "y.zip"
-    with zipfile.ZipFile(z, "w") as f:
-        f.writestr("a.md", "x")
-        f.writestr("a.markdown", "y")
-    with pytest.raises(ValueError):
-        corpus.extract_archive(str(z), str(tmp_path / "y"))
-
-
 BODY = """---
 title: X
 date: 2024-01-02
