@@ -9,6 +9,11 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 def windows(body: str, max_chars: int = 1200, overlap: int = 150) -> Column:
+    """windows_sql() as a Column."""
+    return F.expr(windows_sql(body, max_chars, overlap))
+
+
+def windows_sql(body: str, max_chars: int = 1200, overlap: int = 150) -> str:
     """array<struct<s int, e int>> of a text column: paragraphs packed greedily into windows of max_chars, longer
     paragraphs split hard; every window but the first begins overlap characters earlier. Blank text has none."""
     if max_chars < 1 or not 0 <= overlap < max_chars:
@@ -22,7 +27,7 @@ def windows(body: str, max_chars: int = 1200, overlap: int = 150) -> Column:
         WHEN a.pos + length(p) - a.cs <= {max_chars} THEN named_struct('w', a.w, 'cs', a.cs, 'ce', a.pos + length(p), 'pos', a.pos + length(p))
         ELSE named_struct('w', {flush}, 'cs', a.pos, 'ce', a.pos + length(p), 'pos', a.pos + length(p)) END, a -> {flush})"""
     moved = f"transform({fold}, (w, i) -> struct(if(i = 0, w.s, greatest(w.s - {overlap}, 0)) AS s, w.e AS e))"
-    return F.expr(f"CASE WHEN {body} IS NULL OR trim(BOTH ' \\n\\t\\r' FROM {body}) = '' THEN cast(array() AS {state}) WHEN length({body}) <= {max_chars} THEN array(struct(0 AS s, length({body}) AS e)) ELSE {moved} END")
+    return (f"CASE WHEN {body} IS NULL OR trim(BOTH ' \\n\\t\\r' FROM {body}) = '' THEN cast(array() AS {state}) WHEN length({body}) <= {max_chars} THEN array(struct(0 AS s, length({body}) AS e)) ELSE {moved} END")
 
 
 def tokens(text: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import ids, providers, text
 from ..sources import markdown, scratch, store
 from ..sources.scratch import cut
 from ..sources.store import Change
-from . import graph
+from . import graph, names
 
 #: The name of the rule that embeds texts without an embedder.
 OFFLINE = "mock-embed"
@@ -114,7 +114,7 @@ def _owners(column: Column | str, *tables: DataFrame | None) -> DataFrame | None
 
 
 def build(
-    spark: SparkSession, corpus: DataFrame, root: str, embedder: providers.Embedder | None = None, extractor: providers.Extractor | None = None, dim: int = 16, max_chars: int = 1200, overlap: int = 150, incremental: bool = True, semantic: bool = True
+    spark: SparkSession, corpus: DataFrame, root: str, embedder: providers.Embedder | None = None, extractor: providers.Extractor | None = None, dim: int = 16, max_chars: int = 1200, overlap: int = 150, incremental: bool = True, semantic: bool = True, partial: bool = False
 ) -> DataFrame:
     """Write a new version of the index at root from the files of corpus (path, text, and hash, mtime, error where there
     are any); a report of one row.
@@ -124,20 +124,22 @@ def build(
     rows, the entities, relations and tags that they have or had, and the links of other files that lead elsewhere now.
     Vectors are kept by model and size: those that a model lacks, or that failed, are made, also for unchanged files;
     so are extractions that failed. Entities and tags that nothing mentions any more go. Files with an error are
-    reported and left out. Raises store.Conflict if another build was faster."""
+    reported and left out. With partial, files that corpus doesn't have stay as they are: it brings additions and changes
+    only. Raises store.Conflict if another build was faster."""
     with scratch.scope(spark):
-        return _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic)
+        return _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic, partial)
 
 
-def _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic) -> DataFrame:
+def _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic, partial) -> DataFrame:
     based = store.current(spark, root)
     known = store.listing(spark, root, based)
-    full = not incremental or "documents" not in known
+    full = "documents" not in known or not (incremental or partial)
     old = {n: store.load(spark, root, n, based, owners=True) for n in known}
     given = markdown.manifest(corpus)
     good = given.where("error is null")
     stored = old["documents"].select("id", "hash") if "documents" in old else good.select(F.col("doc_id").alias("id"), "hash").limit(0)
-    actions = cut(graph.route(stored, good.select(F.col("doc_id").alias("id"), "hash")))
+    actions = graph.route(stored, good.select(F.col("doc_id").alias("id"), "hash"))
+    actions = cut(actions.where("action <> 'removed'") if partial else actions)
     gone = actions.where("action <> 'unchanged'").select(F.col("id").alias("doc_id"))
     todo = actions.where("action = 'build'").select(F.col("id").alias("doc_id"))
 
@@ -286,6 +288,20 @@ def _report(spark: SparkSession, root: str, version: int, actions: DataFrame, fu
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
 
 
+def follow(spark: SparkSession, files: DataFrame, root: str, checkpoint: str, **options):
+    """A corpus as a stream: files (path, text and others, streaming) go into the index batch by batch, as partial builds.
+    Of several rows of a path in a batch the last by mtime counts. A batch that is replayed changes nothing, as its files
+    have the hashes that the index has. The writer, to be started; options as for build()."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        given = markdown.manifest(batch)
+        rest = [c for c in given.columns if c != "path"]
+        newest = given.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("mtime", "hash")).alias("r")).select("path", *(f"r.{c}" for c in rest))
+        build(batch.sparkSession, newest.drop("doc_id"), root, partial=True, **options)
+
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
 def warnings(spark: SparkSession, root: str) -> DataFrame:
     """(path, warning): of files, and of stems that several files have (with a null path)."""
     docs = store.load(spark, root, "documents").select(F.col("id").alias("doc_id"), "path")
@@ -360,11 +376,11 @@ def _build_events(spark, root, extractor, embedder, dim, full) -> DataFrame:
         spark, root,
         {
             "events": Change(events, gone_chunks, full), "event_entities": Change(links, gone_links, full),
-            "event_nodes": Change(nodes, None if full else _owners("entity_id", nodes), full),
+            "event_nodes": Change(nodes, None if full else _owners("entity_id", nodes), full), "event_grams": Change(names.grams(nodes), None if full else _owners("entity_id", nodes), full),
         }, based,
     )
-    names = ("events", "event_nodes", "event_entities")
-    n = dict(zip(names, store.at_once(lambda name: store.load(spark, root, name, version).count(), names), strict=True))
+    counted = ("events", "event_nodes", "event_entities")
+    n = dict(zip(counted, store.at_once(lambda name: store.load(spark, root, name, version).count(), counted), strict=True))
     failed, seen = made.agg(F.count_if(F.col("error").isNotNull()), F.count("*")).first()
     row = (n["events"], failed, n["event_nodes"], n["event_entities"], seen)
     return spark.createDataFrame([row], "events long, failed long, entities long, links long, seen long")

@@ -103,14 +103,15 @@ def expand_events(links: DataFrame, seeds: DataFrame, max_hops: int = 2) -> Data
     return visited
 
 
-def retrieve_events(events: DataFrame, links: DataFrame, entities: DataFrame, tokens: list[str], k: int = 8, max_hops: int = 2, query: Column | None = None) -> DataFrame:
+def retrieve_events(events: DataFrame, links: DataFrame, entities: DataFrame, tokens: list[str], k: int = 8, max_hops: int = 2, query: Column | None = None, named: DataFrame | None = None) -> DataFrame:
     """(id, hop, shared, overlap, score, connected_via), k rows: by cosine, hop and id with a vector, else by shared seed
     entities, words in common with title and keywords, hop and id.
 
     Seeds are the events of the entities that the tokens (of more than one character) name and, with a vector, the
-    max(k, 10) nearest events. connected_via lists an event's seed entities, sorted."""
+    max(k, 10) nearest events. connected_via lists an event's seed entities, sorted. The entities that the tokens name
+    may be given (by names.match()); else all entities are looked at."""
     tokens = [t for t in tokens if len(t) > 1]
-    seed_entities = graph.cut(match_entities(entities, tokens).select("entity_id"))
+    seed_entities = graph.cut((match_entities(entities, tokens) if named is None else named).select("entity_id"))
     touched = graph.cut(links.join(F.broadcast(seed_entities), "entity_id", "left_semi").select(F.col("event_id").alias("id"), "entity_id").distinct())  # 50 entities at most
     seeds = touched.select("id")
     vector = F.col("embedding").cast("array<double>")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import graph, index, retrieve
+from ..operators import graph, index, names, retrieve
 from ..sources import corpus, markdown, scratch, store
 
 QUERY = "The thing with another Ration"
@@ -375,7 +375,8 @@ def vector_only(spark, sf):
 
 @query(_with(_BASE, _NAMES, _EVENTS) + " SELECT entity_id, name FROM seed_e")
 def sag_seed_entities(spark, sf):
-    return retrieve.match_entities(_of(spark, sf, "event_nodes")[0], TOKENS)
+    grams, entities = _of(spark, sf, "event_grams", "event_nodes")
+    return names.match(grams, entities, TOKENS).select("entity_id", "name")
 
 
 @query(_with(_BASE, _NAMES, _EVENTS) + " SELECT id, hop FROM ev")

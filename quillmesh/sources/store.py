@@ -26,11 +26,11 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 from .scratch import filesystem
 
 #: By which columns a table's rows are dealt and sorted, so that look-ups read few row groups.
-ORDER = {"documents": ["id"], "chunks": ["doc_id", "id"], "nodes": ["id"], "edges": ["src", "dst"], "vectors": ["id"], "events": ["id"], "event_entities": ["entity_id", "event_id"]}
+ORDER = {"documents": ["id"], "chunks": ["doc_id", "id"], "nodes": ["id"], "edges": ["src", "dst"], "vectors": ["id"], "events": ["id"], "event_entities": ["entity_id", "event_id"], "event_grams": ["gram", "entity_id"]}
 #: Which column names a row's owner.
 OWNER = {
     "documents": "id", "sections": "doc_id", "chunks": "doc_id", "links": "doc_id", "tags": "doc_id", "warnings": "doc_id", "nodes": "owner", "edges": "owner",
-    "vectors": "id", "extractions": "id", "events": "chunk_id", "event_entities": "chunk_id", "event_nodes": "entity_id", "event_failures": "chunk_id",
+    "vectors": "id", "extractions": "id", "events": "chunk_id", "event_entities": "chunk_id", "event_nodes": "entity_id", "event_grams": "entity_id",
 }
 
 
