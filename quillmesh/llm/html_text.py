@@ -7,10 +7,13 @@ two grouped aggregations, whatever a host's size. Pages of a host with the same
 
 A class is valid if it spans enough of the host's pages, holds several tokens, and occurs once a page, so that its
 tokens nest by their paths. The elements of valid classes are the host's template; what lies in an element but in none
-of the template's inner ones is its slot. Text blocks of valid classes are the template's own text, in articles too.
+of the template's inner ones is its slot. Text blocks of valid classes outside articles are the template's own text.
 The slot of the innermost template element that holds most of what isn't a menu, a notice or template text is the
-content (with the article around it, or the headings beside it), and a page's text is what that slot holds. Names of
-classes that speak of notices, adverts or comments count inside articles only where the host's template has the element.
+content (with the article around it, or the headings beside it), and a page's text is what that slot holds.
+
+Inside articles two kinds of elements are no content: those with a class, id or role that hold the same text on most of
+the host's pages and no other text on any, and those that stand on several pages, any number of times on each, and
+whose name speaks of notices, adverts or comments. Headings are neither, and text without such an element stays.
 """
 
 from __future__ import annotations
@@ -58,6 +61,7 @@ MARKS = frozenset(
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<odd>[^>]*+)(?:>|\Z)))""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)")
+_HEADING = re.compile("h[1-6]|hgroup")
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -65,7 +69,7 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 class Block:
     """A block's text, the path of block elements around it and their numbers in the page, whether it lies in an
     article, outside of any content by its elements' names, and among links only; and the paths of elements around it,
-    in an article, whose names speak of something else."""
+    in an article, that have a class, id or role and aren't headings."""
 
     text: str
     path: tuple[str, ...]
@@ -73,7 +77,7 @@ class Block:
     outside: bool
     linked: bool
     opened: tuple[int, ...] = ()
-    doubted: tuple[str, ...] = ()
+    named: tuple[str, ...] = ()
 
 
 def _names(attrs: str) -> tuple[str, bool]:
@@ -96,7 +100,7 @@ def _speaks(name: str) -> bool:
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in its order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool, int, bool]] = []  # tag, name in the path, outside, article, number, doubted
+    stack: list[tuple[str, str, bool, bool, int, bool]] = []  # tag, name in the path, outside, article, number, named
     opened = 0
     held: list[str] = []
     linked = total = 0
@@ -109,8 +113,8 @@ def blocks(html: str) -> list[Block]:
         if text:
             top = stack[-1] if stack else ("", "", False, False, 0, False)
             path = tuple(s[1] for s in stack)
-            doubted = tuple("/".join(path[: i + 1]) for i, s in enumerate(stack) if s[5])
-            out.append(Block(text, path, top[3], top[2], linked >= 0.9 * total, tuple(s[4] for s in stack), doubted))
+            named = tuple("/".join(path[: i + 1]) for i, s in enumerate(stack) if s[5])
+            out.append(Block(text, path, top[3], top[2], linked >= 0.9 * total, tuple(s[4] for s in stack), named))
         linked = total = 0
 
     def add(part: str) -> None:
@@ -162,7 +166,7 @@ def blocks(html: str) -> list[Block]:
         marked = marked and tag not in ("html", "body", "article", "main")
         bad = before[2] or tag in OUTSIDE or (tag == "header" and not before[3]) or (marked and not before[3])
         opened += 1
-        stack.append((tag, tag + label, bad, article, opened, marked and before[3]))
+        stack.append((tag, tag + label, bad, article, opened, before[3] and label != "" and not _HEADING.fullmatch(tag)))
     add(html[at:])
     flush()
     return out
@@ -174,7 +178,8 @@ def _slot_text(page: list[Block]) -> list[Block]:
 
 
 def _tokens(page: list[Block]) -> tuple[dict[str, int], dict[str, int]]:
-    """Numbers of the page's element tokens and open text tokens, and characters of open text by path."""
+    """Numbers of the page's tokens, and characters of open text by path. Tokens are elements (e), open texts outside
+    articles (t), and texts in articles with each named element around them (x)."""
     counts: dict[str, int] = {}
     chars: dict[str, int] = {}
     seen: set[int] = set()
@@ -187,10 +192,21 @@ def _tokens(page: list[Block]) -> tuple[dict[str, int], dict[str, int]]:
     for b in _slot_text(page):
         key = "/".join(b.path)
         chars[key] = chars.get(key, 0) + len(b.text)
-        counts["t" + b.text] = counts.get("t" + b.text, 0) + 1
+        for token in [f"x{e}\n{b.text}" for e in b.named] if b.article else ["t" + b.text]:
+            counts[token] = counts.get(token, 0) + 1
     return counts, chars
 
 
+def _digested(token: str) -> str:
+    """A token with the digest of its text, which may be long."""
+    if token[:1] == "t":
+        return "t" + xxhash.xxh3_128_hexdigest(token.encode("utf-8", "surrogatepass"))
+    if token[:1] == "x":
+        element, _, text = token.partition("\n")
+        return f"{element}\n{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+    return token
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pre-aggregated (host, token, pages, single, vector, chars): the token "" counts the host's pages."""
     held: dict[tuple[str, str], list[int]] = {}
@@ -206,8 +222,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, chars = _tokens(blocks(html))
             counts[""] = 1
             for token, n in counts.items():
-                # long texts go by their digests
-                v = held.setdefault((of, token if token[:1] != "t" else "t" + xxhash.xxh3_128_hexdigest(token.encode("utf-8", "surrogatepass"))), [0, 0, 0, 0])
+                v = held.setdefault((of, _digested(token)), [0, 0, 0, 0])
                 v[0] += 1
                 v[1] += n == 1
                 v[2] ^= int.from_bytes(xxhash.xxh64_digest(f"{page}|{n}".encode()), "little", signed=True)
@@ -244,15 +259,25 @@ def _content(elements: list[str], held: dict[str, int], p: Params) -> list[str]:
 
 
 def _template(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Of each host (elements of valid classes, texts of valid classes, characters by path), its content elements and
-    the elements inside articles that aren't content by their names."""
+    """Of each host (elements of valid classes, texts of valid classes, characters by path), its content elements."""
     for batch in slices(batches, 256):
-        content, doubted = [], []
+        content = []
         for elements, paths, chars in zip(batch.column("elements").to_pylist(), batch.column("paths").to_pylist(), batch.column("chars").to_pylist(), strict=True):
             elements = [e[1:] for e in elements or ()]
             content.append(_content(elements, dict(zip([x[1:] for x in paths or ()], chars or (), strict=True)), p))
-            doubted.append(sorted(e for e in elements if _speaks(e.rsplit("/", 1)[-1].partition(".")[2])))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), *(pa.array(x, pa.list_(pa.string())) for x in (content, doubted)), batch.column("own")], names=["host", "content", "doubted", "own"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(content, pa.list_(pa.string())), batch.column("own")], names=["host", "content", "own"])
+
+
+def _by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token) of elements -> (host, element) of those inside articles that aren't content by their names."""
+    for batch in batches:
+        hosts, found = [], []
+        for of, token in zip(batch.column("host").to_pylist(), batch.column("token").to_pylist(), strict=True):
+            *around, own = token[1:].split("/")
+            tag, _, label = own.partition(".")
+            if label and not _HEADING.fullmatch(tag) and _speaks(label) and any(re.match(r"(?:article|main)(?:\.|$)", e) for e in around):
+                hosts.append(of), found.append(token[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string())], names=["host", "element"])
 
 
 def _different(pages: DataFrame) -> DataFrame:
@@ -265,8 +290,8 @@ def _different(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, params: Params = Params()) -> DataFrame:
-    """pages (page_id, url, html) -> (host, content: paths of the content elements, doubted: of elements that aren't
-    content, own: digests of the template's own texts), for hosts that have any."""
+    """pages (page_id, url, html) -> (host, content: paths of the content elements, doubted: of elements in articles that
+    aren't content, own: digests of the template's own texts outside articles), for hosts that have any."""
     p = params
     counted = _different(pages).mapInArrow(_counted, "host string, token string, pages long, single long, vector long, chars long")
     counted = written(counted.where("host <> ''").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("single").alias("single"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars")))
@@ -281,7 +306,17 @@ def templates(pages: DataFrame, params: Params = Params()) -> DataFrame:
     slot = F.expr("array_max(transform(filter(elements, e -> token = concat('c', substr(e, 2)) or startswith(token, concat('c', substr(e, 2), '/'))), e -> struct(length(e) as n, concat('c', substr(e, 2)) as path))).path")
     slots = under.select("host", slot.alias("path"), "chars").where("path is not null").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     slots = slots.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("chars").alias("chars"))
-    return parts.join(slots, "host", "left").select("host", "elements", "paths", "chars", "own").mapInArrow(partial(_template, p=p), "host string, content array<string>, doubted array<string>, own array<string>")
+    content = parts.join(slots, "host", "left").select("host", "elements", "paths", "chars", "own").mapInArrow(partial(_template, p=p), "host string, content array<string>, own array<string>")
+
+    # Elements of articles: those of one text, and those that their names speak against.
+    several = (F.col("pages") >= p.pages) & (F.col("pages") >= p.share * F.col("n"))
+    inside = counted.where("token rlike '^x'").withColumn("element", F.expr("substring(token, 2, instr(token, chr(10)) - 2)"))
+    same = inside.groupBy("host", "element").agg(F.min(F.col("single") == F.col("pages")).alias("once"), F.min("pages").alias("pages")).where(F.col("once") & (F.col("pages") >= p.pages))
+    same = same.join(all_pages, "host").where(several).select("host", "element")
+    named = counted.where(F.col("token").startswith("e") & (F.col("pages") >= p.pages)).select("host", "token").mapInArrow(_by_name, "host string, element string")
+    off = same.union(named).groupBy("host").agg(F.collect_set("element").alias("doubted"))
+    none = F.array().cast("array<string>")
+    return content.join(off, "host", "full").select("host", *(F.coalesce(c, none).alias(c) for c in ("content", "doubted", "own")))
 
 
 def main_text(html: str, content: list[str] | None = None, own: list[str] | None = None, doubted: list[str] | None = None) -> str:
@@ -289,8 +324,8 @@ def main_text(html: str, content: list[str] | None = None, own: list[str] | None
     by itself: its articles, or else all that isn't named as something else."""
     page = _slot_text(blocks(html))
     known, off = set(own or ()), set(doubted or ())
-    free = [b for b in page if not off.intersection(b.doubted)]
-    free = [b for b in free if not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
+    free = [b for b in page if not off.intersection(b.named)]
+    free = [b for b in free if b.article or not known or xxhash.xxh3_128_hexdigest(("t" + b.text).encode("utf-8", "surrogatepass")) not in known]
     free = free or page  # a template of texts alone leaves no page empty
     kept = [b for b in free if any(_path_share("/".join(b.path), c) for c in content or ())]
     if not kept:

@@ -340,11 +340,24 @@ def test_html_by_template(spark):
 
 
 def test_html_template_in_articles(spark):
-    """What every page of a host repeats inside its article goes."""
-    page = lambda i: f"<body><article><h1>T {i}</h1><p>Read our paper daily</p><p>Text {i}</p></article></body>"
+    """A named element that holds one text on every page of a host goes; repeated sentences and headings stay, and so
+    does a named element that has another text on some page."""
+    page = lambda i: f'<body><article><h1>T {i}</h1><p>Read our paper daily</p><div class="box">Given by us <b>all</b></div><p class="lead">{"Other" if i == 4 else "Same"}</p><p>Text {i}</p></article></body>'
     rows = [(i, f"http://y.org/{i}", page(i)) for i in range(6)] + [(12, "http://alone.org", page(12))]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "T 3\nText 3" and got[12] == "T 12\nRead our paper daily\nText 12"
+    assert got[3] == "T 3\nRead our paper daily\nSame\nText 3" and got[4] == "T 4\nRead our paper daily\nOther\nText 4" and got[12] == "T 12\nRead our paper daily\nGiven by us all\nSame\nText 12"
+
+
+def test_html_adverts_and_comments_in_articles(spark):
+    """Headings that all articles share stay; adverts, several in an article, and comments on some pages only go; names
+    that speak of such things on single pages, and in headings on all, don't count."""
+    ad = '<div class="ad">Buy {}</div>'
+    said = '<section class="comments"><h3>Comments</h3><p>reader {} says no</p></section>'
+    odd = '<section class="related-work"><p>Works before</p></section>'
+    page = lambda i: f'<body><article><h1>T {i}</h1>{ad.format(i)}<h2>Ingredients</h2><p>Flour {i}</p>{ad.format(-i)}<h2 id="related">Method</h2><p>Stir well</p>{odd if i == 5 else ""}{said.format(i) if i % 2 else ""}</article></body>'
+    rows = [(i, f"http://r.org/{i}", page(i)) for i in range(10)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T {i}\nIngredients\nFlour {i}\nMethod\nStir well" + ("\nWorks before" if i == 5 else "") for i in range(10))
 
 
 def test_html_copies(spark):
