@@ -134,7 +134,7 @@ def test_entry(spark, built, tmp_path):
     docs = built.documents().collect()
     assert sorted(d.n_chunks for d in docs) == [2, 2, 2, 3, 3, 3] and built.document(docs[0].id)["path"] == docs[0].path and built.document("d_") is None
     node = built.node(docs[0].id + "_s0")
-    assert node["type"] == "section" and built.chunk(docs[0].id + "_s0_c0")["doc_id"] == docs[0].id and built.neighbours(docs[0].id).count() == 1
+    assert node["type"] == "section" and built.chunk(docs[0].id + "_s0_c0")["doc_id"] == docs[0].id and built.neighbours(docs[0].id).count() == 2
 
 
 def test_table_functions(spark):
