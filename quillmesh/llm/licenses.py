@@ -7,7 +7,9 @@ t / (2 - t) * m <= n <= (2 - t) / t * m.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,20 +102,34 @@ def telling_words(templates: tuple[tuple[str, str], ...], least: float) -> list[
     return sorted(out)
 
 
+def anchors(text: str, common: dict[str, int], least: float) -> list[str]:
+    """Bigrams of a template one of which every match holds: one more than a match may miss, those that say most."""
+    grams = bigrams(text)
+    may_miss = len(grams) - math.ceil(least / (2 - least) * len(grams) - 1e-9)
+    by_weight = sorted(grams, key=lambda g: (sum(w in _COMMON for w in g.split()), common[g], g))
+    return by_weight[: may_miss + 1]
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """docs -> (doc_id, n_passages long, license string, dice double, licenses string), one row per row of docs.
 
     Passages are the lines of the whole text, and its paragraphs (parted by blank lines) of more than one line. Words
     are runs of letters and digits (A-Z lowered) and of characters beyond ASCII. A passage too long for a template is
-    also compared with it at windows of the template's length, wherever the template's first bigram stands. n_passages
-    counts those that match a template, whole or in a window, with a coefficient of least or more; license and dice are
-    the best match (of ties, the first licence in alphabetical order), null if there is none; licenses lists the best
-    one of each whole passage or window that matches, sorted, without repetition. Null and empty texts match nothing.
-    Ids may be null or repeat; other columns are ignored.
+    compared with it at every window of the template's length; of a window, the best match counts (of ties, the first
+    licence in alphabetical order). n_passages counts passages that match a template, whole or in a window, with a
+    coefficient of least or more; license and dice are the best match, null if there is none; licenses lists those of
+    each whole passage or window that matches, sorted, without repetition. Null and empty texts match nothing. Ids may be
+    null or repeat; other columns are ignored.
+
+    A match shares at least least / (2 - least) of a template's bigrams. So it holds one of any set of bigrams that is
+    larger than what it may miss, and only windows around such anchors are looked at, in passages that hold enough.
     """
     q = lambda words: ", ".join(repr(w) for w in words)
-    known = ", ".join(f"named_struct('license', '{name}', 'n', {len(g)}, 'grams', array({q(g)}), 'first', {g[0]!r}, 'long', {len(_sequence(text))})" for name, text in templates if (g := bigrams(text)))
-    firsts = q(sorted({g[0] for _, text in templates if (g := bigrams(text))}))
+    common = Counter(g for _, text in templates for g in bigrams(text))
+    known = ", ".join(
+        f"named_struct('license', '{name}', 'n', {len(g)}, 'grams', array({q(g)}), 'anchors', array({q(anchors(text, common, least))}), 'long', {len(_sequence(text))})" for name, text in templates if (g := bigrams(text))
+    )
+    every = q(sorted({a for _, text in templates if bigrams(text) for a in anchors(text, common, least)}))
     low, high = least / (2 - least), (2 - least) / least
     telling = rf"(?:^|[ \n])(?:{'|'.join(telling_words(templates, least))})(?:[ \n]|$)"
     own = rename_columns(docs, doc_id=id_col, text=text_col)
@@ -123,18 +139,22 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Texts and then passages without a telling word end here.
     words = f"if(t rlike '{telling}', transform(filter({passages}, p -> p rlike '{telling}'), p -> array_remove(split(p, ' '), '')), cast(array() AS array<array<string>>))"
     grams = f"transform(filter({words}, w -> size(w) > 1), w -> zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)))"
-    out = out.select("doc_id", F.expr(f"transform({grams}, g -> struct(g AS s, array_distinct(g) AS g))").alias("passages"))
+    at = f"filter(sequence(1, size(g)), i -> element_at(g, i) IN ({every}))"
+    out = out.select("doc_id", F.expr(f"transform({grams}, g -> struct(g AS s, array_distinct(g) AS g, {at} AS at))").alias("passages"))
     known = f"array({known})"
-    match = lambda g, k: f"struct(2.0D * size(array_intersect({g}, {k}.grams)) / (size({g}) + {k}.n) AS dice, {k}.license AS license)"
+    match = lambda g, start: f"struct(2.0D * size(array_intersect({g}, k.grams)) / (size({g}) + k.n) AS dice, k.license AS license, {start} AS start)"
     order = "(x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 WHEN x.license < y.license THEN -1 WHEN x.license > y.license THEN 1 ELSE 0 END"
     good = f"m -> m.dice >= {least!r}D"
     fits = f"filter({known}, k -> size(p.g) >= {low!r}D * k.n - 1e-9 AND size(p.g) <= {high!r}D * k.n + 1e-9)"
-    whole = f"slice(array_sort(filter(transform({fits}, k -> {match('p.g', 'k')}), {good}), {order}), 1, 1)"
-    at = f"filter(sequence(1, size(p.s)), i -> array_contains(array({firsts}), element_at(p.s, i)))"
-    here = f"filter({known}, k -> k.first = element_at(p.s, i) AND size(p.g) > {high!r}D * k.n + 1e-9)"
-    window = f"transform({here}, k -> {match('array_distinct(slice(p.s, i, k.long))', 'k')})"
-    windows = f"flatten(transform({at}, i -> slice(array_sort(filter({window}, {good}), {order}), 1, 1)))"
-    found = f"filter(transform(passages, p -> concat({whole}, {windows})), f -> size(f) > 0)"
+    whole = f"slice(array_sort(filter(transform({fits}, k -> {match('p.g', '0')}), {good}), {order}), 1, 1)"
+    mine = "array_contains(k.anchors, element_at(p.s, i))"
+    here = f"filter({known}, k -> size(p.g) > {high!r}D * k.n + 1e-9 AND exists(p.at, i -> {mine}) AND size(array_intersect(p.g, k.grams)) >= {low!r}D * k.n - 1e-9)"
+    # The windows that hold an anchor, each once: from the one that ends with it, or follows the last anchor, on.
+    starts = f"transform(array(filter(p.at, i -> {mine})), h -> flatten(transform(h, (i, n) -> sequence(greatest(1, i - k.long + 1, if(n > 0, get(h, n - 1) + 1, 1)), i))))[0]"
+    windows = f"flatten(transform({here}, k -> filter(transform({starts}, b -> {match('array_distinct(slice(p.s, b, k.long))', 'b')}), {good})))"
+    better = "exists(ms, x -> x.start = m.start AND (x.dice > m.dice OR (x.dice = m.dice AND x.license < m.license)))"
+    best = f"transform(array({windows}), ms -> filter(ms, m -> NOT {better}))[0]"
+    found = f"filter(transform(passages, p -> concat({whole}, if(size(p.at) > 0, {best}, cast(array() AS array<struct<dice:double,license:string,start:int>>)))), f -> size(f) > 0)"
     out = out.select("doc_id", F.expr(found).alias("f")).select("doc_id", F.size("f").cast("long").alias("n_passages"), F.expr(f"array_sort(flatten(f), {order})").alias("found"))
     licenses = F.expr("concat_ws(',', array_sort(array_distinct(transform(found, m -> m.license))))")
     return out.select("doc_id", "n_passages", F.expr("get(found, 0).license").alias("license"), F.expr("get(found, 0).dice").alias("dice"), licenses.alias("licenses"))
@@ -153,10 +173,10 @@ s AS (SELECT i, r, list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j
 g AS (SELECT i, r, s, list_distinct(s) AS g FROM s),
 whole AS (SELECT i, r, license, 2.0::DOUBLE * len(list_intersect(g.g, k.g)) / (len(g.g) + len(k.g)) AS dice FROM g JOIN k ON list_has_any(g.g, k.g)
     QUALIFY dice >= {least!r}::DOUBLE AND row_number() OVER (PARTITION BY i ORDER BY dice DESC, license) = 1),
-firsts AS (SELECT DISTINCT g[1] AS b FROM k),
-pos AS (SELECT i, r, s, len(g) AS n, unnest(range(1, len(s) + 1)) AS j FROM g WHERE list_has_any(g, (SELECT list(b) FROM firsts))),
-windows AS (SELECT i, r, j, license, 2.0::DOUBLE * len(list_intersect(list_distinct(list_slice(s, j, j + long - 1)), k.g)) / (len(list_distinct(list_slice(s, j, j + long - 1))) + len(k.g)) AS dice
-    FROM pos JOIN k ON s[j] = k.g[1] AND n > {(2 - least) / least!r}::DOUBLE * len(k.g) + 1e-9 QUALIFY dice >= {least!r}::DOUBLE AND row_number() OVER (PARTITION BY i, j ORDER BY dice DESC, license) = 1),
+long AS (SELECT i, r, s, k.license, k.g, k.long FROM g JOIN k ON len(g.g) > {(2 - least) / least!r}::DOUBLE * len(k.g) + 1e-9 AND len(list_intersect(g.g, k.g)) >= {least / (2 - least)!r}::DOUBLE * len(k.g) - 1e-9),
+pos AS (SELECT i, r, license, g, list_distinct(list_slice(s, j, j + long - 1)) AS w, j FROM (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM long)),
+windows AS (SELECT i, r, j, license, 2.0::DOUBLE * len(list_intersect(w, g)) / (len(w) + len(g)) AS dice FROM pos
+    QUALIFY dice >= {least!r}::DOUBLE AND row_number() OVER (PARTITION BY i, j ORDER BY dice DESC, license) = 1),
 m AS (SELECT i, r, license, dice FROM whole UNION ALL SELECT i, r, license, dice FROM windows),
 d AS (SELECT r, count(DISTINCT i) AS n_passages, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY r)
 SELECT doc_id, coalesce(n_passages, 0) AS n_passages, license, dice, coalesce(licenses, '') AS licenses FROM t LEFT JOIN d USING (r)
