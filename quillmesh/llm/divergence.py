@@ -42,7 +42,7 @@ class Params:
     depth: int = 2
     bits: int = 24
     top: int = 10
-    window: int = 1 << 18
+    window: int = 1 << 19
     sources: int = 256
     entries: int = 1 << 16
 
@@ -137,31 +137,32 @@ def frequent(docs: DataFrame, p: Params) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch], may, p: Params) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) -> (lang, source, term, n, docs) of the terms that the sketch lets through, summed up within
     windows of the task."""
-    bits = may.value
-    seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    bits, one = may.value, 1 << 40
+    seen: dict[tuple[str, str], dict[bytes, int]] = {}  # of each term: one * its documents + its number
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in seen.items():
-            terms = list(n)
+        for (lang, source), held in seen.items():
+            terms = list(held)
             good = np.ones(len(terms), bool)
             for row, at in zip(bits, _cells(lang, terms, p), strict=True):
                 good &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
             some = [t for t, g in zip(terms, good.tolist(), strict=True) if g]
             for i in range(0, len(some), 8192):
                 part = some[i : i + 8192]
-                columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part]), pa.array([docs[t] for t in part])]
+                both = [held[t] for t in part]
+                columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([v % one for v in both]), pa.array([v // one for v in both])]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
         seen.clear()
 
     for batch in slices(batches):
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            n, docs = seen.setdefault((lang, source), (Counter(), Counter()))
-            own: set[bytes] = set()
+            own: Counter = Counter()
             for words in _word_lists(text):
-                n.update(words)
                 own.update(words)
-            docs.update(own)
-        if sum(len(n) for n, _ in seen.values()) >= p.window:
+            held = seen.setdefault((lang, source), {})
+            for term, n in own.items():
+                held[term] = held.get(term, 0) + n + one
+        if sum(map(len, seen.values())) >= p.window:
             yield from flush()
     yield from flush()
 
