@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 from html import unescape
@@ -89,13 +90,15 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"(?:(?<=[^ _])[ _]+)?+{_OPEN} ?(?:at|@|arroba|chez) ?{_CLOSE}[ _]*|(?<=\w)[_-]at[_-](?=\w)", re.I)
 _DOT = re.compile(rf"(?:(?<=[^ ]) +)?+{_OPEN} ?(?:dot|\.|point|punkt|punto) ?{_CLOSE} *|(?<=\w)_dot_(?=\w)", re.I)
 #: Bare words count in one context only: local part, at, host, and "dot" between the host's parts; or a local part that no word of prose is.
-_BARE = re.compile(r"(?<![\w.@+-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*+(?: +(?:dot|punkt|punto) +[A-Za-z0-9][A-Za-z0-9._%+-]*+)*+)(?P<at> +(?:at|arroba) +| +@ +| +@|@ +)(?P<host>[A-Za-z0-9-]+(?:(?: +(?:dot|punkt|punto) +|\.)[A-Za-z0-9-]+)+)", re.I)
+_BARE = re.compile(r"(?<![\w.@+-])(?P<local>[A-Za-z0-9][A-Za-z0-9._%+-]*+(?: +(?:dot|punkt|punto) +[A-Za-z0-9][A-Za-z0-9._%+-]*+)*+)(?P<at> +(?:at|arroba) +| +@ +| +@|@ +)(?P<host>[A-Za-z0-9-]+(?:(?: +(?:dot|punkt|punto|\.) +|\.)[A-Za-z0-9-]+)+)", re.I)
+#: A local part with a blank after each letter.
+_LETTERS = re.compile(r"(?<![\w.@+-])(?:[A-Za-z0-9._] ){2,}[A-Za-z0-9](?= *@)")
 _INNER_DOT = re.compile(r"[A-Za-z0-9]\.[A-Za-z0-9]")
 #: Character references: by number, and the named ones of what identifiers hold.
 _REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|commat|period|plus|hyphen|dash|lowbar|nbsp|lpar|rpar|sol);")
 #: "dot" between digits.
 _DIGITS_DOT = re.compile(r"(?<=[0-9]) ?[(\[]? ?\b(?:dot|point|punkt|punto)\b ?[)\]]? ?(?=[0-9])", re.I)
-_BARE_DOT = re.compile(r" +(?:dot|punkt|punto) +", re.I)
+_BARE_DOT = re.compile(r" +(?:dot|punkt|punto|\.) +", re.I)
 
 
 def _plain(c: str) -> str | None:
@@ -172,6 +175,7 @@ def _at_and_dot(r: Rewritten, low: str) -> None:
         r.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(r.text)])
     if not ("@" in low or ((" at " in low or " arroba " in low) and (any(f" {w} " in low for w in ("dot", "punkt", "punto")) or _INNER_DOT.search(r.text)))):
         return
+    r.replace([(i, i + 1, "") for m in _LETTERS.finditer(r.text) for i in range(m.start() + 1, m.end(), 2)])
     spans = []
     for m in _BARE.finditer(r.text):
         inner, dotted = (list(_BARE_DOT.finditer(r.text, m.start(part), m.end(part))) for part in ("local", "host"))
@@ -192,12 +196,17 @@ def disguised(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, i
     _at_and_dot(r, r.text.lower())
     if not any(r.changed):
         return []
+    # Of each kind: where plain ones begin and end, in order, and where the last one found ends.
+    by_start, last = sorted(plain, key=lambda x: x[1]), dict.fromkeys(KINDS, 0)
+    begins, ends = ({k: [x[i] for x in by_start if x[0] == k] for k in KINDS} for i in (1, 2))
     out = []
     for kind, a, b in find(r.text):
         if any(r.changed[a:b]):
             s, e = r.start[a], max(r.end[a:b])
-            if not any(k == kind and x < e and s < y for k, x, y in [*plain, *out]):
+            before = bisect_left(begins[kind], e) - 1
+            if s >= last[kind] and (before < 0 or ends[kind][before] <= s):
                 out.append((kind, s, e))
+                last[kind] = e
     return out
 
 
