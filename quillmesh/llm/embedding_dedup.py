@@ -11,8 +11,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -22,21 +23,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, rename_columns, slices, written
+from .common import discard, hub_bound, hub_join, rename_columns, slices, written
 from .components import components
 
 
 @dataclass(frozen=True)
 class Params:
-    """A pair of cosine 0.93 shares a bucket of one table with probability 0.129, and of none of 48 with 0.0013; one of
-    0.95 with 0.00006. block: members compared in one piece."""
+    """bits, tables: of a signature, and how many there are; for None they follow from the rows of the most frequent
+    label: so many bits that a bucket of unlike vectors holds about `bucket` (16 at least, 32 at most), and so many
+    tables (at most 250) that a pair of the least similarity shares no bucket with a probability of `miss` at most. With
+    16 bits and 48 tables, a pair of cosine 0.93 is missed with 0.0013, one of 0.95 with 0.00006. block: members
+    compared in one piece."""
 
     similarity: float = 0.93
-    tables: int = 48
-    bits: int = 16
+    tables: int | None = None
+    bits: int | None = None
+    bucket: int = 64
+    miss: float = 0.00134
     block: int = 1024
     seed: int = 20240
 
+    def sized(self, rows: int) -> Params:
+        """These parameters with bits and tables for so many rows of one label."""
+        bits = self.bits or min(32, max(16, math.ceil(math.log2(max(rows, 1) / self.bucket))))
+        share = (1 - math.acos(self.similarity) / math.pi) ** bits
+        return replace(self, bits=bits, tables=self.tables or min(250, math.ceil(math.log(self.miss) / math.log1p(-share))))
+
 
 def _code(p: Params) -> str:
     return "<u2" if p.bits <= 16 else "<u4"
@@ -166,8 +178,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     others' links only if its vector is a copy of one with an id; it has no links, a null component, and is kept. Rows
     that repeat an id are vectors each. Other columns are ignored; an empty table gives an empty result.
     """
-    p = params
     own = rename_columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col)
+    p = params.sized(own.where("label is not null").groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
     dtype = "<f4" if dict(own.dtypes)["embedding"] == "array<float>" else "<f8"
     own = own.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     made = written(own.mapInArrow(partial(_signed, p=p, dtype=dtype), "vec_id long, k1 long, k2 long, peers long, vector binary, codes binary"))
@@ -179,7 +191,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = written(dealt)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     n = F.ceil(F.col("size") / p.block).cast("int")
-    blocks = dealt.join(sizes, "bucket").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    blocks = hub_join(dealt, sizes, "bucket", "rep", sizes.withColumnRenamed("size", "count"), hub_bound(dealt.count())).withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     blocks = blocks.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tab", "rep").join(classes.select("rep", "weight", "vector", "codes"), "rep")
     found = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_compared, p=p, dtype=dtype), "rep long, links long, root long")

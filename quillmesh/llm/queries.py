@@ -74,16 +74,35 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows)
 
 
+def linked_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator over a table that Spark derives from embeddings, so that its rows hold links."""
+    t, step = table(spark, sf_dir, "embeddings"), F.array(F.lit(0.0), F.lit(0.05), F.lit(0.3))
+    rows = t.select(F.col("vec_id").alias("base"), F.col("label").alias("own"), F.col("embedding").alias("v"), F.posexplode(step).alias("k", "step"))
+    wide = rows.select(
+        (3 * F.col("base") + F.col("k")).alias("vec_id"),
+        F.when((F.col("base") % 6 == 5) & (F.col("k") == 2), F.col("own") + 1).otherwise(F.col("own")).alias("label"),
+        F.transform("v", lambda x, i: x.cast("double") * (1 + F.col("step") * ((i + F.col("base")) % 5 - 2))).alias("embedding"),
+    )
+    return embedding_dedup.near_duplicates(wide)
+
+
+def linked_copies_sql() -> str:
+    wide = """wide AS (SELECT 3 * vec_id + k AS vec_id, CASE WHEN vec_id % 6 = 5 AND k = 2 THEN label + 1 ELSE label END AS label,
+    list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (1 + step * ((i - 1 + vec_id) % 5 - 2))) AS embedding FROM embeddings, (VALUES (0, 0.0::DOUBLE), (1, 0.05::DOUBLE), (2, 0.3::DOUBLE)) s(k, step))"""
+    return embedding_dedup.ORACLE_SQL.replace("FROM embeddings", "FROM wide").replace("WITH RECURSIVE v AS", f"WITH RECURSIVE {wide},\nv AS")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_toxicity, op2_license_scan, op3_embedding_near_dedup, op4_pii, op5_quality, op6_benchmark_decontamination, op7_html_text, op8_minhash_near_dedup, op9_best_fit_packing, op10_token_id_files,
         op11_source_divergence, op12_url_filter, op13_hard_negatives,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in (*every, linked_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.oracle(), "op3_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op6_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op11_source_divergence": divergence.ORACLE_SQL, "op12_url_filter": url_filter.oracle(), "op13_hard_negatives": hard_negatives.ORACLE_SQL,
+        "linked_copies": linked_copies_sql(),
     }

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from functools import partial
 
@@ -344,6 +345,30 @@ def test_licenses_with_edits_anywhere(spark):
     assert len(licenses.anchors(licenses.TEMPLATES[5][1], dict.fromkeys(grams, 1), 0.8)) == len(grams) // 3 + 1
 
 
+def test_identifiers_with_blanks_and_many_of_them():
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.disguised(t, pii.find(t))]
+    assert found("write jane @ example . com now") == [("email", "jane @ example . com")] and found("to j a n e @ example.com") == [("email", "j a n e @ example.com")]
+    assert found("I am at home . com is no host") == [] and found("a @ b") == []
+    # overlaps are looked up, not compared one by one
+    t = "".join(f"jane [at] e{i}.com or one@e{i}.com " for i in range(30_000))
+    began = time.process_time()
+    base = pii.find(t)
+    more = pii.disguised(t, base)
+    assert len(base) == len(more) == 30_000 and time.process_time() - began < 20
+    spans = sorted((a, b) for _, a, b in base + more)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_signatures_by_size():
+    p = embedding_dedup.Params()
+    assert (p.sized(0).bits, p.sized(0).tables) == (16, 48) == (p.sized(4_000_000).bits, p.sized(4_000_000).tables)
+    large = p.sized(4_000_000_000)
+    assert large.bits == 26 and 100 < large.tables <= 250
+    for q in (p.sized(10**6), large):
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** q.bits) ** q.tables <= 0.00135
+    assert embedding_dedup.Params(bits=4, tables=2).sized(10**9).tables == 2
+
+
 def test_html(spark):
     page = lambda i: f'<html><body><div class="top"><a>Home</a></div><div class="wrap"><div class="body"><h2>T {i}</h2><p>Text {i} &amp; more<p>Last {i*7}</div><p>Subscribe</p></div><div class="comments"><p>nice {i}</p></div></body></html>'
     rows = [(i, f"http://x.org/{i}", page(i), "c") for i in range(8)] + [(20, None, None, "c"), (21, "http://y.org", "<article>A <b>b</b> &lt;<script>x</script><nav>n</nav></article>", "c"), (22, "bad", "<p>un<closed", "c"), (23, "http://x.org/e", "", "c")]
