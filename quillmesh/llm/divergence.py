@@ -11,7 +11,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -95,8 +95,13 @@ def _sketched(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         if sum(map(len, seen.values())) >= p.window:
             flush()
     flush()
+    yield from sketch_rows(sketch)
+
+
+def sketch_rows(sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A sketch as rows of (block, cells and counts that aren't zero)."""
     blocks, payloads = [], []
-    for i, cells in enumerate(sketch.reshape(-1, min(_BLOCK, 1 << p.bits))):
+    for i, cells in enumerate(sketch.reshape(-1, min(_BLOCK, sketch.shape[1]))):
         at = np.flatnonzero(cells)
         if len(at):
             blocks.append(i), payloads.append(at.astype("<u2").tobytes() + cells[at].tobytes())
@@ -122,10 +127,10 @@ def _merged(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordB
         yield done()
 
 
-def frequent(docs: DataFrame, p: Params) -> np.ndarray:
-    """(lang, text) -> depth rows of bits: whether a cell's terms may be in min_docs documents. The driver gets
-    depth * 2^bits / 8 bytes, whatever the size of docs."""
-    made = docs.select("lang", "text").mapInArrow(partial(_sketched, p=p), "block int, cells binary")
+def frequent(docs: DataFrame, p: Params, fill: Callable = _sketched) -> np.ndarray:
+    """(lang, text), or what fill takes -> depth rows of bits: whether a cell's terms may be in min_docs documents. The
+    driver gets depth * 2^bits / 8 bytes, whatever the size of docs."""
+    made = docs.mapInArrow(partial(fill, p=p), "block int, cells binary")
     merged = made.repartition("block").sortWithinPartitions("block").mapInArrow(partial(_merged, p=p), "block int, bits binary")
     width = min(_BLOCK, 1 << p.bits) // 8
     out = np.zeros((p.depth << p.bits) // 8, np.uint8)
@@ -240,7 +245,7 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     p = params
     own = rename_columns(docs, lang=lang_col, source=source_col, text=text_col)
     own = own.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    may = docs.sparkSession.sparkContext.broadcast(frequent(own, p))
+    may = docs.sparkSession.sparkContext.broadcast(frequent(own.select("lang", "text"), p))
     counts = own.mapInArrow(partial(_counted, may=may, p=p), "lang string, source string, term string, n long, docs long")
     counts = written(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= p.min_docs)

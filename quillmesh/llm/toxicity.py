@@ -1,17 +1,18 @@
-"""Toxicity by class-conditional Kneser-Ney models over words.
-
-Two models, one of the toxic and one of the ordinary labelled texts, give the log-likelihood of each word. What a
-class's counts are discounted by goes to a backoff that both classes share: a word's continuation count, in how many
-different learned documents it stands. So a rare expression is judged by what both classes know of it, and one that
-neither has seen has the same ratio in all texts (the shared part cancels out). The difference of the two
-log-likelihoods (per letter over the whole text, and of each different word: the greatest ones and how many words lie
-above several cuts) is turned into a probability by a logistic curve, fitted on labelled rows of a fold that the models
-haven't seen.
-
-Counts are exact, keyed by a word's 64-bit hash, and stay in a table that grows with the words learned. Of its
-log-ratios only those of the most frequent words, at most `sent_words`, go to the tasks; the other words of each text
-are joined with the table, a row for each, and summed up. Nothing else passes through the driver but totals, a
-histogram of frequencies and the bounded sample for the curve.
+"""Toxicity by class-conditional Kneser-Ney models over words and pairs of words.
+
+Two models, one of the toxic and one of the ordinary labelled texts, give the log-likelihood of each word after the word
+before it. What a class's counts of a pair are discounted by goes to that class's words, and what those are discounted
+by to a backoff that both classes share: a word's continuation count, in how many different learned documents it stands.
+So a rare expression is judged by its words, a rare word by what both classes know of it, and one that neither has seen
+has the same ratio in all texts (the shared part cancels out). The difference of the two log-likelihoods (per letter
+over the whole text; of each different word and of each different pair the greatest ones, and how many lie above several
+cuts) is turned into a probability by a logistic curve, fitted on labelled rows of a fold that the models haven't seen.
+
+Counts are exact, keyed by 64-bit hashes of words and pairs, and stay in tables that grow with what is learned. Pairs
+of less than `pair_documents` documents back off to their words; a sketch finds most of them before they are shuffled.
+Of the log-ratios only those of the most frequent words and pairs, at most `sent_words` and `sent_pairs`, go to the
+tasks; the other ones of each text are joined with the tables, a row for each, and summed up. Nothing else passes
+through the driver but totals, histograms of frequencies, the sketch and the bounded sample for the curve.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, rename_columns, slices, texts, written
+from . import divergence
+from .common import alnum_words, discard, mix64, rename_columns, slices, texts, written
 from .labels import bounded, fit_logistic, fold, known_labels, labelled
 
 
@@ -37,26 +40,33 @@ from .labels import bounded, fit_logistic, fold, known_labels, labelled
 class Params:
     """discount: taken from each count. top: most suspicious words that count. cuts: log-ratios of a word above which
     words are counted. calibration_rows: bound of the sample for the logistic curve. longest: bytes of a word; longer
-    ones are scored in pieces of so many. sent_words: most words whose log-ratios are sent to the tasks (12 bytes
-    each); cache: words whose log-ratios a worker keeps."""
+    ones are scored in pieces of so many. pair_documents: in how many learned documents a pair of the model stands.
+    sketch_bits: binary logarithm of the sketch's cells in a row. sent_words, sent_pairs: most words and pairs whose
+    log-ratios are sent to the tasks (12 and 16 bytes each); cache: words that a worker keeps."""
 
     discount: float = 0.75
     top: int = 3
     cuts: tuple[float, ...] = (1, 2, 3, 4, 5, 6, 7)
     calibration_rows: int = 40_000
     longest: int = 32
+    pair_documents: int = 2
+    sketch_bits: int = 24
     sent_words: int = 500_000
+    sent_pairs: int = 2_000_000
     cache: int = 500_000
 
 
 @dataclass(frozen=True)
 class Model:
-    """words: (key, documents, ratio). unseen: the ratio of words that aren't there. frequent: least number of
-    documents of the words that are sent, in steps of an eighth of a binary order."""
+    """words: (key, documents, ratio), pairs the same with gain, how much the ratio is above that of the pair's word.
+    unseen: the ratio of words that aren't there. frequent, frequent_pairs: least number of documents of the words and
+    pairs that are sent, in steps of an eighth of a binary order; 0 if all are."""
 
     words: DataFrame
+    pairs: DataFrame
     unseen: float
     frequent: int
+    frequent_pairs: int
 
 
 def _key(word: bytes) -> int:
@@ -71,6 +81,12 @@ def _pieces(text: str, longest: int) -> list[bytes]:
     return words
 
 
+def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a text's words in order -> the word before each (0 at the beginning), and a key of both."""
+    before = np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if len(keys) else keys
+    return before, mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
     """(text, y) -> pre-aggregated (key, documents, toxic, plain)."""
     held = Counter(), Counter(), Counter()  # occurrences in ordinary and in toxic texts, documents
@@ -92,16 +108,91 @@ def _word_counts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Re
     yield out()
 
 
+def _cells(pairs: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
+    return [(mix64(pairs ^ np.uint64((r + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64) for r in range(depth)]
+
+
+def _keyed(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    if len(known) > 500_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _pairs_sketched(batches: Iterator[pa.RecordBatch], p, longest: int) -> Iterator[pa.RecordBatch]:
+    """(text) -> a sketch of the pairs' numbers of documents; p: divergence.Params."""
+    sketch, held, known, n = np.zeros((p.depth, 1 << p.bits), np.uint8), [], {}, 0
+
+    def flush() -> None:
+        pairs, times = np.unique(np.concatenate(held), return_counts=True)
+        for row, at in zip(sketch, _cells(pairs, p.depth, p.bits), strict=True):
+            cells, place = np.unique(at, return_inverse=True)
+            row[cells] = np.minimum(row[cells] + np.bincount(place, np.minimum(times, p.min_docs)), p.min_docs)
+
+    for batch in slices(batches):
+        for text in texts(batch.column("text")):
+            held.append(np.unique(_pairs(_keyed(_pieces(text, longest), known))[1]))
+            n += len(held[-1])
+        if n > p.window:
+            flush()
+            held, n = [], 0
+    if held:
+        flush()
+    yield from divergence.sketch_rows(sketch)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], may, p: Params) -> Iterator[pa.RecordBatch]:
+    """(text, y) -> pre-aggregated (key, before, word, documents, toxic, plain) of the pairs that the sketch lets
+    through."""
+    bits, held, known, n = may.value, [], {}, 0
+
+    def out() -> pa.RecordBatch:
+        key, before, word, times, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        good = np.ones(len(key), bool)
+        for row, at in zip(bits, _cells(key, len(bits), p.sketch_bits), strict=True):
+            good &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        key, before, word, times, y = (c[good] for c in (key, before, word, times, y))
+        kinds, first, place = np.unique(key, return_index=True, return_inverse=True)
+        sums = [np.bincount(place, w, len(kinds)).astype(np.int64) for w in (np.ones(len(key)), times * (y == 1), times * (y == 0))]
+        columns = [kinds.view(np.int64), before[first].view(np.int64), word[first].view(np.int64), *sums]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "before", "word", "documents", "toxic", "plain"])
+
+    for batch in slices(batches):
+        for text, y in zip(texts(batch.column("text")), batch.column("y").to_pylist(), strict=True):
+            words = _keyed(_pieces(text, p.longest), known)
+            before, key = _pairs(words)
+            key, first, times = np.unique(key, return_index=True, return_counts=True)
+            held.append((key, before[first], words[first], times, np.full(len(key), y)))
+            n += len(key)
+        if n > 1 << 20:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
 def _step(documents: Column) -> Column:
     """A number of documents in steps of an eighth of a binary order."""
     return F.floor(F.log2(documents) * 8).cast("int")
 
 
+def _frequent(counts: DataFrame, most: int) -> int:
+    """The least step of numbers of documents that `most` rows at most reach; 0 if all may count."""
+    n = 0
+    for r in sorted(counts.groupBy(_step(F.col("documents")).alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):  # some hundreds at most
+        n += r["n"]
+        if n > most:
+            return r["step"] + 1
+    return 0
+
+
 def fit(train: DataFrame, params: Params = Params()) -> Model:
     """train: (text, y 0 or 1)."""
-    p, d = params, params.discount
-    counts = train.select("text", "y").mapInArrow(partial(_word_counts, p=p), "key long, documents long, toxic long, plain long")
-    counts = written(counts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("documents", "toxic", "plain"))))
+    p, d, sums = params, params.discount, [F.sum(c).alias(c) for c in ("documents", "toxic", "plain")]
+    train = written(train.select("text", "y"))
+    counts = train.mapInArrow(partial(_word_counts, p=p), "key long, documents long, toxic long, plain long")
+    counts = written(counts.groupBy("key").agg(*sums))
     total = counts.agg(
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "toxic", "plain")), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "plain"))
     ).first()
@@ -109,99 +200,148 @@ def fit(train: DataFrame, params: Params = Params()) -> Model:
     left = {c: min(d * total[f"kinds_{c}"] / total[c], 1.0) if total[c] else 1.0 for c in ("toxic", "plain")}
     shared = F.col("documents") / F.lit(float(max(total["documents"], 1)))
     likely = [F.greatest(F.col(c) - d, F.lit(0.0)) / F.lit(float(max(total[c], 1))) + F.lit(left[c]) * shared for c in ("toxic", "plain")]
-    words = counts.select("key", "documents", F.log(likely[0] / likely[1]).alias("ratio"))
-    frequent, n = 0, 0
-    steps = counts.groupBy(_step(F.col("documents")).alias("step")).agg(F.count("*").alias("n")).collect()  # some hundreds at most
-    for r in sorted(steps, reverse=True):
-        n += r["n"]
-        if n > p.sent_words:
-            frequent = r["step"] + 1
-            break
-    return Model(words, math.log(left["toxic"] / left["plain"]), frequent)
+    words = counts.select("key", "documents", F.log(likely[0] / likely[1]).alias("ratio"), likely[0].alias("p_toxic"), likely[1].alias("p_plain"))
+
+    may = divergence.frequent(train.select("text"), divergence.Params(min_docs=p.pair_documents, bits=p.sketch_bits, window=1 << 20), partial(_pairs_sketched, longest=p.longest))
+    sent = train.sparkSession.sparkContext.broadcast(may)
+    pairs = train.mapInArrow(partial(_pair_counts, may=sent, p=p), "key long, before long, word long, documents long, toxic long, plain long")
+    pairs = pairs.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums).where(F.col("documents") >= p.pair_documents)
+    pairs = written(pairs)
+    of = pairs.groupBy("before").agg(*(F.sum(c).alias(f"all_{c}") for c in ("toxic", "plain")), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "plain")))
+    joined = pairs.join(of, "before").join(words.select(F.col("key").alias("word"), F.col("ratio").alias("own"), "p_toxic", "p_plain"), "word")
+
+    def after(c: str) -> Column:
+        all_, p_word = F.col(f"all_{c}"), F.col(f"p_{c}")
+        known = (F.greatest(F.col(c) - d, F.lit(0.0)) + d * F.col(f"kinds_{c}") * p_word) / F.greatest(all_, F.lit(1))
+        return F.when(all_ > 0, known).otherwise(p_word)
+
+    ratio = F.log(after("toxic") / after("plain"))
+    pairs = written(joined.select("key", "documents", ratio.alias("ratio"), (ratio - F.col("own")).alias("gain")))
+    discard(train)
+    return Model(words.select("key", "documents", "ratio"), pairs, math.log(left["toxic"] / left["plain"]), _frequent(counts, p.sent_words), _frequent(pairs, p.sent_pairs))
 
 
 class _Scorer:
-    def __init__(self, keys: np.ndarray, ratios: np.ndarray, p: Params):
-        self.keys, self.ratios, self.p, self.known = keys, ratios, p, {}
+    """words, pairs: sorted keys with their numbers."""
+
+    def __init__(self, words: tuple, pairs: tuple, p: Params):
+        self.words, self.pairs, self.p, self.known, self.keys, self.ratios = words, pairs, p, {}, np.zeros(0, np.uint64), np.zeros(0)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Ratios of new words; NaN for those that weren't sent."""
-        wanted = np.fromiter(map(_key, new), np.int64, len(new))
-        if len(self.keys) and len(new):
-            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            got = np.where(self.keys[place] == wanted, self.ratios[place], np.nan)
-        else:
-            got = np.full(len(new), np.nan)
-        self.known.update(zip(new, got.tolist(), strict=True))
+        """Keys and ratios of new words; NaN for those that weren't sent."""
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        self.known.update(zip(new, range(len(self.keys), len(self.keys) + len(new)), strict=True))
+        self.keys = np.concatenate([self.keys, keys])
+        self.ratios = np.concatenate([self.ratios, _looked_up(self.words[0], self.words[1:], keys)[0]])
 
     def measure(self, batch: list[str]) -> list[pa.Array]:
-        """Per text: letters (and ends of words), sum and greatest of the ratios that were sent, numbers of different
-        words above each cut, and the other words' keys with their occurrences."""
+        """Per text: letters (and ends of words); of words and of pairs the sum and the greatest of the ratios that were
+        sent, numbers of different ones above each cut, and the others' keys with their occurrences."""
         if len(self.known) > self.p.cache:
-            self.known = {}
-        counted = [Counter(_pieces(t, self.p.longest)) for t in batch]
-        self._learn(list(set().union(*counted).difference(self.known)))
-        letters, total, high, above, rare, times = [], [], [], [], [], []
-        for c in counted:
-            r = np.fromiter(map(self.known.__getitem__, c), float, len(c))
-            n = np.fromiter(c.values(), np.int64, len(c))
-            letters.append(sum(len(w) * k for w, k in c.items()) + int(n.sum()))
-            there = ~np.isnan(r)
-            sent = np.sort(r[there])
-            total.append(float(r[there] @ n[there]))
-            high.append(sent[::-1][: self.p.top].tolist())
-            above.append((len(sent) - np.searchsorted(sent, self.p.cuts, "right")).tolist())
-            rare.append([_key(w) for w, s in zip(c, there.tolist(), strict=True) if not s])
-            times.append(n[~there].tolist())
-        return [pa.array(letters, pa.int64()), pa.array(total, pa.float64()), pa.array(high, pa.list_(pa.float64())), *(pa.array(x, pa.list_(pa.int64())) for x in (above, rare, times))]
-
-
-_MEASURED = ["letters", "total", "high", "above", "rare", "times"]
+            self.known, self.keys, self.ratios = {}, np.zeros(0, np.uint64), np.zeros(0)
+        split = [_pieces(t, self.p.longest) for t in batch]
+        self._learn(list(set().union(*split).difference(self.known)))
+        letters: list[int] = []
+        rows: list[list] = [[] for _ in range(10)]
+        for words in split:
+            letters.append(sum(map(len, words)) + len(words))
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            different, times = np.unique(at, return_counts=True)
+            self._measured(rows[:5], self.ratios[different], None, times, self.keys[different])
+            pairs, times = np.unique(_pairs(self.keys[at])[1], return_counts=True)
+            ratio, gain = _looked_up(self.pairs[0], self.pairs[1:], pairs)
+            self._measured(rows[5:], ratio, gain, times, pairs)
+        kinds = [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return [pa.array(letters, pa.int64()), *(pa.array(r, k) for r, k in zip(rows, kinds * 2, strict=True))]
+
+    def _measured(self, to: list[list], ratio: np.ndarray, gain: np.ndarray | None, times: np.ndarray, keys: np.ndarray) -> None:
+        there = ~np.isnan(ratio)
+        high = np.sort(ratio[there])
+        value = (ratio if gain is None else gain)[there] @ times[there]
+        rest = (keys[~there].view(np.int64), times[~there])
+        for column, x in zip(to, (float(value), high[::-1][: self.p.top], len(high) - np.searchsorted(high, self.p.cuts, "right"), *rest), strict=True):
+            column.append(x)
+
+
+def _looked_up(known: np.ndarray, values: tuple, wanted: np.ndarray) -> list[np.ndarray]:
+    """The values of keys; NaN for those that aren't known."""
+    if not len(known):
+        return [np.full(len(wanted), np.nan) for _ in values]
+    place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return [np.where(known[place] == wanted, v[place], np.nan) for v in values]
+
+
+_MEASURED = ["letters", *(f"{kind}_{c}" for kind in ("w", "p") for c in ("total", "high", "above", "rare", "times"))]
 _WORKER: dict[str, _Scorer] = {}
 
 
-def _measured(batches: Iterator[pa.RecordBatch], sent, p: Params) -> Iterator[pa.RecordBatch]:
-    name, keys, ratios = sent.value
+def _measured(batches: Iterator[pa.RecordBatch], sent, p: Params, words_left: bool, pairs_left: bool) -> Iterator[pa.RecordBatch]:
+    """Keys of what wasn't sent are passed on only where some of it is in the tables."""
+    name, words, pairs = sent.value
     if name not in _WORKER:  # the last model only is kept
         _WORKER.clear()
-        _WORKER[name] = _Scorer(keys, ratios, p)
+        _WORKER[name] = _Scorer(words, pairs, p)
     for batch in slices(batches):
         keep = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *_WORKER[name].measure(texts(batch.column("text")))], names=[*keep, *_MEASURED])
+        made = dict(zip(_MEASURED, _WORKER[name].measure(texts(batch.column("text"))), strict=True))
+        if not pairs_left:
+            empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            made |= {"p_rare": empty, "p_times": empty}
+        made["w_unseen"] = pc.list_value_length(made["w_rare"]).cast(pa.int64())
+        made["w_all"] = pa.array([sum(t) for t in made["w_times"].to_pylist()], pa.int64())
+        if not words_left:
+            made |= {"w_rare": pa.array([[]] * batch.num_rows, pa.list_(pa.int64())), "w_times": pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made.values()], names=[*keep, *made])
+
+
+def _others(made: DataFrame, kind: str, table: DataFrame, value: str, p: Params) -> DataFrame:
+    """What the table says of a text's words or pairs that weren't sent: (row, times, number, total, high, above)."""
+    found = made.select("row", F.explode(F.arrays_zip(f"{kind}_rare", f"{kind}_times")).alias("w")).select("row", F.col(f"w.{kind}_rare").alias("key"), F.col(f"w.{kind}_times").alias("n"))
+    return found.join(table, "key").groupBy("row").agg(
+        F.sum("n").alias(f"{kind}f_times"), F.count("*").alias(f"{kind}f_number"), F.sum(F.col(value) * F.col("n")).alias(f"{kind}f_total"),
+        F.slice(F.sort_array(F.collect_list("ratio"), False), 1, p.top).alias(f"{kind}f_high"), F.array(*(F.count_if(F.col("ratio") > c) for c in p.cuts)).alias(f"{kind}f_above"),
+    )
 
 
 def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFrame:
     """own (text and others) -> the other columns and x, the text's numbers for the curve."""
     p = params
-    often = F.expr("true") if not model.frequent else _step(F.col("documents")) >= model.frequent
-    rows = model.words.where(often).select("key", F.col("ratio").cast("float").alias("ratio")).toArrow()  # sent_words at most
-    keys, ratios = (rows.column(c).to_numpy() for c in ("key", "ratio"))
-    order = np.argsort(keys)
-    sent = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, keys[order], ratios[order]))
+    rounded = [F.col(c).cast("float").alias(c) for c in ("ratio", "gain")]
+
+    def split(table: DataFrame, step: int, values: list[Column]) -> tuple[tuple, DataFrame]:
+        often = F.expr("true") if not step else _step(F.col("documents")) >= step
+        rows = table.where(often).select("key", *values).toArrow()  # sent_words, sent_pairs at most
+        keys = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        return (keys[order], *(rows.column(i + 1).to_numpy()[order] for i in range(len(values)))), table.where(~often).select("key", *values)
+
+    words, rare_words = split(model.words, model.frequent, rounded[:1])
+    pairs, rare_pairs = split(model.pairs, model.frequent_pairs, rounded)
+    sent = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, words, pairs))
     others = [f for f in own.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "letters long, total double, high array<double>, above array<long>, rare array<long>, times array<long>"])
-    made = written(own.mapInArrow(partial(_measured, sent=sent, p=p), schema).withColumn("row", F.monotonically_increasing_id()))
-    if model.frequent:
-        other = model.words.where(~often).select("key", F.col("ratio").cast("float").cast("double").alias("ratio"))
-        found = made.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("n"))
-        found = found.join(other, "key").groupBy("row").agg(
-            F.sum("n").alias("f_times"), F.count("*").alias("f_words"), F.sum(F.col("ratio") * F.col("n")).alias("f_total"), F.slice(F.sort_array(F.collect_list("ratio"), False), 1, p.top).alias("f_high"),
-            F.array(*(F.count_if(F.col("ratio") > c) for c in p.cuts)).alias("f_above"),
-        )
-        made = made.join(found, "row", "left")
-    else:
-        made = made.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("f_times", "long"), ("f_words", "long"), ("f_total", "double"), ("f_high", "array<double>"), ("f_above", "array<long>"))))
-    zero = F.lit(0).cast("long")
-    unseen = F.size("rare") - F.coalesce("f_words", zero)
-    all_unseen = F.aggregate("times", zero, lambda a, b: a + b) - F.coalesce("f_times", zero)
-    total = F.col("total") + F.coalesce("f_total", F.lit(0.0)) + all_unseen * F.lit(model.unseen)
-    none = F.array().cast("array<double>")
-    high = F.slice(F.sort_array(F.concat("high", F.coalesce("f_high", none), F.array_repeat(F.lit(model.unseen), F.least(unseen, F.lit(p.top)).cast("int"))), False), 1, p.top)
-    above = [F.log1p(F.col("above")[i] + F.coalesce(F.col("f_above")[i], zero) + (unseen if model.unseen > c else zero)) for i, c in enumerate(p.cuts)]
-    mean = F.when(F.col("letters") > 0, total / F.col("letters")).otherwise(0.0)
-    summed = F.aggregate("high", F.lit(0.0), lambda a, b: a + b) / p.top
-    out = made.withColumn("high", high)
-    return out.select(*(f.name for f in others), F.array(mean, F.coalesce(F.get("high", F.lit(0)), F.lit(0.0)), summed, *above).alias("x"))
+    columns = ", ".join(f"{k}_total double, {k}_high array<double>, {k}_above array<long>, {k}_rare array<long>, {k}_times array<long>" for k in "wp")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"letters long, {columns}, w_unseen long, w_all long"])
+    step = partial(_measured, sent=sent, p=p, words_left=bool(model.frequent), pairs_left=bool(model.frequent_pairs))
+    made = written(own.mapInArrow(step, schema).withColumn("row", F.monotonically_increasing_id()))
+    none = {"times": "long", "number": "long", "total": "double", "high": "array<double>", "above": "array<long>"}
+    for kind, left, table, value in (("w", model.frequent, rare_words, "ratio"), ("p", model.frequent_pairs, rare_pairs, "gain")):
+        if left:
+            made = made.join(_others(made, kind, table, value, p), "row", "left")
+        else:
+            made = made.select("*", *(F.lit(None).cast(t).alias(f"{kind}f_{c}") for c, t in none.items()))
+    zero, nothing = F.lit(0).cast("long"), F.array().cast("array<double>")
+    unseen = F.col("w_unseen") - F.coalesce("wf_number", zero)
+    all_unseen = F.col("w_all") - F.coalesce("wf_times", zero)
+
+    def numbers(kind: str, total: Column, more: Column) -> list[Column]:
+        high = F.slice(F.sort_array(F.concat(f"{kind}_high", F.coalesce(f"{kind}f_high", nothing), more), False), 1, p.top)
+        above = [F.log1p(F.col(f"{kind}_above")[i] + F.coalesce(F.col(f"{kind}f_above")[i], zero) + (unseen if kind == "w" and model.unseen > c else zero)) for i, c in enumerate(p.cuts)]
+        mean = F.when(F.col("letters") > 0, total / F.col("letters")).otherwise(0.0)
+        return [mean, F.coalesce(F.get(high, F.lit(0)), F.lit(0.0)), F.aggregate(high, F.lit(0.0), lambda a, b: a + b) / p.top, *above]
+
+    of = lambda kind: F.col(f"{kind}_total") + F.coalesce(f"{kind}f_total", F.lit(0.0))
+    word = numbers("w", of("w") + all_unseen * F.lit(model.unseen), F.array_repeat(F.lit(model.unseen), F.least(unseen, F.lit(p.top)).cast("int")))
+    return made.select(*(f.name for f in others), F.array(*word, *numbers("p", of("p"), nothing)).alias("x"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), params: Params = Params()) -> DataFrame:
@@ -218,7 +358,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     measured = written(measure(own, fit(train, p), p))
     rows = measured.where(fold("doc_id", 5) == 4).select("doc_id", "x").join(known_labels(labels, label_col, id_col), "doc_id")
     got = bounded(rows, p.calibration_rows, rows.count()).select("y", "x").toPandas()
-    x, y = np.array(got["x"].tolist(), float).reshape(-1, 3 + len(p.cuts)), got["y"].to_numpy(float)
+    x, y = np.array(got["x"].tolist(), float).reshape(-1, 2 * (3 + len(p.cuts))), got["y"].to_numpy(float)
     if len(set(y)) == 2:
         w = fit_logistic(x, y).tolist()
     else:
