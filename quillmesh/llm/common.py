@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.skew import hub_bound, hub_join  # noqa: F401 - for the operators
+from ..sources.scratch import shared_dir
 
 _WRITTEN: list[str] = []
 
@@ -20,18 +21,6 @@ WORD_TABLE = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where they are one
-    process, may do without: it gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
@@ -74,24 +63,6 @@ def drop_written(spark: SparkSession, paths: list[str] | None = None, keep: Data
     return len(gone)
 
 
-def hub_bound(rows: int) -> int:
-    """From how many rows a key counts as a hub: so that a table of so many rows has 1,000 hubs at most."""
-    return max(32, rows // 1000)
-
-
-def hub_join(many: DataFrame, few: DataFrame, key: str, deal: str, counts: DataFrame, bound: int) -> DataFrame:
-    """many.join(few, key), where few holds a key once and counts (key, count) is how often many does.
-
-    The rows of a key with more than bound of them are dealt into blocks of about bound by the hash of the column deal,
-    and the key's row of few goes to each block, so that no task holds a hub. The hubs and their numbers of blocks are
-    broadcast: they are at most rows of many / bound."""
-    hubs = counts.where(F.col("count") > bound).select(key, F.ceil(F.col("count") / bound).cast("int").alias("_blocks"))
-    blocks = F.coalesce("_blocks", F.lit(1))
-    many = many.join(F.broadcast(hubs), key, "left").withColumn("_block", F.pmod(F.xxhash64(deal), blocks).cast("int")).drop("_blocks")
-    few = few.join(F.broadcast(hubs), key, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
-    return many.join(few, [key, "_block"]).drop("_block")
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that what Python holds at once stays small."""
     for batch in batches:
