@@ -1,15 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models over words and pairs of words.
 
-Two models, one of the toxic and one of the ordinary labelled texts, give the log-likelihood of each word after the word
-before it. What a class's counts of a pair are discounted by goes to that class's words, and what those are discounted
-by to a backoff that both classes share: a word's continuation count, in how many different learned documents it stands.
-So a rare expression is judged by its words, a rare word by what both classes know of it, and one that neither has seen
-has the same ratio in all texts (the shared part cancels out). The difference of the two log-likelihoods (per letter
-over the whole text; of each different word and of each different pair the greatest ones, and how many lie above several
-cuts) is turned into a probability by a logistic curve, fitted on labelled rows of a fold that the models haven't seen.
+Two models of each, one of the toxic and one of the ordinary labelled texts, give the log-likelihoods of words and of
+pairs of words that follow each other. What a class's counts are discounted by goes to a backoff that both classes share:
+continuation counts, in how many different learned documents a word (or a pair) stands. So a rare expression is judged
+by what both classes know of it, and one that neither has seen has the same ratio in all texts (the shared part cancels
+out). The difference of the two log-likelihoods (per letter over the whole text; of each different word and of each
+different pair the greatest ones, and how many lie above several cuts) is turned into a probability by a logistic curve,
+fitted on labelled rows of a fold that the models haven't seen.
 
 Counts are exact, keyed by 64-bit hashes of words and pairs, and stay in tables that grow with what is learned. Pairs
-of less than `pair_documents` documents back off to their words; a sketch finds most of them before they are shuffled.
+of less than `pair_documents` documents are judged by their words alone; a sketch finds many before they are shuffled.
 Of the log-ratios only those of the most frequent words and pairs, at most `sent_words` and `sent_pairs`, go to the
 tasks; the other ones of each text are joined with the tables, a row for each, and summed up. Nothing else passes
 through the driver but totals, histograms of frequencies, the sketch and the bounded sample for the curve.
@@ -42,7 +42,7 @@ class Params:
     words are counted. calibration_rows: bound of the sample for the logistic curve. longest: bytes of a word; longer
     ones are scored in pieces of so many. pair_documents: in how many learned documents a pair of the model stands.
     sketch_bits: binary logarithm of the sketch's cells in a row. sent_words, sent_pairs: most words and pairs whose
-    log-ratios are sent to the tasks (12 and 16 bytes each); cache: words that a worker keeps."""
+    log-ratios are sent to the tasks (12 bytes each); cache: words that a worker keeps."""
 
     discount: float = 0.75
     top: int = 3
@@ -58,8 +58,7 @@ class Params:
 
 @dataclass(frozen=True)
 class Model:
-    """words: (key, documents, ratio), pairs the same with gain, how much the ratio is above that of the pair's word.
-    unseen: the ratio of words that aren't there. frequent, frequent_pairs: least number of documents of the words and
+    """words, pairs: (key, documents, ratio). unseen: the ratio of words that aren't there. frequent, frequent_pairs: least number of documents of the words and
     pairs that are sent, in steps of an eighth of a binary order; 0 if all are."""
 
     words: DataFrame
@@ -81,10 +80,10 @@ def _pieces(text: str, longest: int) -> list[bytes]:
     return words
 
 
-def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a text's words in order -> the word before each (0 at the beginning), and a key of both."""
+def _pairs(keys: np.ndarray) -> np.ndarray:
+    """Keys of a text's words in order -> of each a key of it and the word before it (0 at the beginning)."""
     before = np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if len(keys) else keys
-    return before, mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys)
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
@@ -132,7 +131,7 @@ def _pairs_sketched(batches: Iterator[pa.RecordBatch], p, longest: int) -> Itera
 
     for batch in slices(batches):
         for text in texts(batch.column("text")):
-            held.append(np.unique(_pairs(_keyed(_pieces(text, longest), known))[1]))
+            held.append(np.unique(_pairs(_keyed(_pieces(text, longest), known))))
             n += len(held[-1])
         if n > p.window:
             flush()
@@ -143,29 +142,25 @@ def _pairs_sketched(batches: Iterator[pa.RecordBatch], p, longest: int) -> Itera
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch], may, p: Params) -> Iterator[pa.RecordBatch]:
-    """(text, y) -> pre-aggregated (key, before, word, documents, toxic, plain) of the pairs that the sketch lets
-    through."""
+    """(text, y) -> pre-aggregated (key, documents, toxic, plain) of the pairs that the sketch lets through."""
     bits, held, known, n = may.value, [], {}, 0
 
     def out() -> pa.RecordBatch:
-        key, before, word, times, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        key, times, y = (np.concatenate(c) for c in zip(*held, strict=True))
         good = np.ones(len(key), bool)
         for row, at in zip(bits, _cells(key, len(bits), p.sketch_bits), strict=True):
             good &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-        key, before, word, times, y = (c[good] for c in (key, before, word, times, y))
-        kinds, first, place = np.unique(key, return_index=True, return_inverse=True)
+        key, times, y = key[good], times[good], y[good]
+        kinds, place = np.unique(key, return_inverse=True)
         sums = [np.bincount(place, w, len(kinds)).astype(np.int64) for w in (np.ones(len(key)), times * (y == 1), times * (y == 0))]
-        columns = [kinds.view(np.int64), before[first].view(np.int64), word[first].view(np.int64), *sums]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "before", "word", "documents", "toxic", "plain"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds.view(np.int64), *sums)], names=["key", "documents", "toxic", "plain"])
 
     for batch in slices(batches):
         for text, y in zip(texts(batch.column("text")), batch.column("y").to_pylist(), strict=True):
-            words = _keyed(_pieces(text, p.longest), known)
-            before, key = _pairs(words)
-            key, first, times = np.unique(key, return_index=True, return_counts=True)
-            held.append((key, before[first], words[first], times, np.full(len(key), y)))
+            key, times = np.unique(_pairs(_keyed(_pieces(text, p.longest), known)), return_counts=True)
+            held.append((key, times, np.full(len(key), y)))
             n += len(key)
-        if n > 1 << 20:
+        if n > 1 << 21:
             yield out()
             held, n = [], 0
     if held:
@@ -187,42 +182,35 @@ def _frequent(counts: DataFrame, most: int) -> int:
     return 0
 
 
-def fit(train: DataFrame, params: Params = Params()) -> Model:
-    """train: (text, y 0 or 1)."""
-    p, d, sums = params, params.discount, [F.sum(c).alias(c) for c in ("documents", "toxic", "plain")]
-    train = written(train.select("text", "y"))
-    counts = train.mapInArrow(partial(_word_counts, p=p), "key long, documents long, toxic long, plain long")
-    counts = written(counts.groupBy("key").agg(*sums))
+def _ratios(counts: DataFrame, d: float) -> tuple[DataFrame, float]:
+    """(key, documents, toxic, plain) -> (key, documents, ratio), and the ratio of what isn't there."""
     total = counts.agg(
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "toxic", "plain")), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "plain"))
     ).first()
-    # what is left for the backoff; a class without words leaves everything
+    # what is left for the backoff; a class without any leaves everything
     left = {c: min(d * total[f"kinds_{c}"] / total[c], 1.0) if total[c] else 1.0 for c in ("toxic", "plain")}
     shared = F.col("documents") / F.lit(float(max(total["documents"], 1)))
     likely = [F.greatest(F.col(c) - d, F.lit(0.0)) / F.lit(float(max(total[c], 1))) + F.lit(left[c]) * shared for c in ("toxic", "plain")]
-    words = counts.select("key", "documents", F.log(likely[0] / likely[1]).alias("ratio"), likely[0].alias("p_toxic"), likely[1].alias("p_plain"))
+    return counts.select("key", "documents", F.log(likely[0] / likely[1]).alias("ratio")), math.log(left["toxic"] / left["plain"])
+
 
-    may = divergence.frequent(train.select("text"), divergence.Params(min_docs=p.pair_documents, bits=p.sketch_bits, window=1 << 20), partial(_pairs_sketched, longest=p.longest))
+def fit(train: DataFrame, params: Params = Params()) -> Model:
+    """train: (text, y 0 or 1)."""
+    p, sums = params, [F.sum(c).alias(c) for c in ("documents", "toxic", "plain")]
+    train, schema = written(train.select("text", "y")), "key long, documents long, toxic long, plain long"
+    counts = written(train.mapInArrow(partial(_word_counts, p=p), schema).groupBy("key").agg(*sums))
+    fill = partial(_pairs_sketched, longest=p.longest)
+    may = divergence.frequent(train.select("text"), divergence.Params(min_docs=p.pair_documents, bits=p.sketch_bits, window=1 << 20), fill)
     sent = train.sparkSession.sparkContext.broadcast(may)
-    pairs = train.mapInArrow(partial(_pair_counts, may=sent, p=p), "key long, before long, word long, documents long, toxic long, plain long")
-    pairs = pairs.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *sums).where(F.col("documents") >= p.pair_documents)
-    pairs = written(pairs)
-    of = pairs.groupBy("before").agg(*(F.sum(c).alias(f"all_{c}") for c in ("toxic", "plain")), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in ("toxic", "plain")))
-    joined = pairs.join(of, "before").join(words.select(F.col("key").alias("word"), F.col("ratio").alias("own"), "p_toxic", "p_plain"), "word")
-
-    def after(c: str) -> Column:
-        all_, p_word = F.col(f"all_{c}"), F.col(f"p_{c}")
-        known = (F.greatest(F.col(c) - d, F.lit(0.0)) + d * F.col(f"kinds_{c}") * p_word) / F.greatest(all_, F.lit(1))
-        return F.when(all_ > 0, known).otherwise(p_word)
-
-    ratio = F.log(after("toxic") / after("plain"))
-    pairs = written(joined.select("key", "documents", ratio.alias("ratio"), (ratio - F.col("own")).alias("gain")))
+    pairs = train.mapInArrow(partial(_pair_counts, may=sent, p=p), schema).groupBy("key").agg(*sums)
+    pairs = written(pairs.where(F.col("documents") >= p.pair_documents))
     discard(train)
-    return Model(words.select("key", "documents", "ratio"), pairs, math.log(left["toxic"] / left["plain"]), _frequent(counts, p.sent_words), _frequent(pairs, p.sent_pairs))
+    (words, unseen), (of_pairs, _) = _ratios(counts, p.discount), _ratios(pairs, p.discount)
+    return Model(words, of_pairs, unseen, _frequent(counts, p.sent_words), _frequent(pairs, p.sent_pairs))
 
 
 class _Scorer:
-    """words, pairs: sorted keys with their numbers."""
+    """words, pairs: sorted keys and their ratios."""
 
     def __init__(self, words: tuple, pairs: tuple, p: Params):
         self.words, self.pairs, self.p, self.known, self.keys, self.ratios = words, pairs, p, {}, np.zeros(0, np.uint64), np.zeros(0)
@@ -232,7 +220,7 @@ class _Scorer:
         keys = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
         self.known.update(zip(new, range(len(self.keys), len(self.keys) + len(new)), strict=True))
         self.keys = np.concatenate([self.keys, keys])
-        self.ratios = np.concatenate([self.ratios, _looked_up(self.words[0], self.words[1:], keys)[0]])
+        self.ratios = np.concatenate([self.ratios, _looked_up(*self.words, keys)])
 
     def measure(self, batch: list[str]) -> list[pa.Array]:
         """Per text: letters (and ends of words); of words and of pairs the sum and the greatest of the ratios that were
@@ -247,28 +235,26 @@ class _Scorer:
             letters.append(sum(map(len, words)) + len(words))
             at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             different, times = np.unique(at, return_counts=True)
-            self._measured(rows[:5], self.ratios[different], None, times, self.keys[different])
-            pairs, times = np.unique(_pairs(self.keys[at])[1], return_counts=True)
-            ratio, gain = _looked_up(self.pairs[0], self.pairs[1:], pairs)
-            self._measured(rows[5:], ratio, gain, times, pairs)
+            self._measured(rows[:5], self.ratios[different], times, self.keys[different])
+            pairs, times = np.unique(_pairs(self.keys[at]), return_counts=True)
+            self._measured(rows[5:], _looked_up(*self.pairs, pairs), times, pairs)
         kinds = [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return [pa.array(letters, pa.int64()), *(pa.array(r, k) for r, k in zip(rows, kinds * 2, strict=True))]
 
-    def _measured(self, to: list[list], ratio: np.ndarray, gain: np.ndarray | None, times: np.ndarray, keys: np.ndarray) -> None:
+    def _measured(self, to: list[list], ratio: np.ndarray, times: np.ndarray, keys: np.ndarray) -> None:
         there = ~np.isnan(ratio)
         high = np.sort(ratio[there])
-        value = (ratio if gain is None else gain)[there] @ times[there]
         rest = (keys[~there].view(np.int64), times[~there])
-        for column, x in zip(to, (float(value), high[::-1][: self.p.top], len(high) - np.searchsorted(high, self.p.cuts, "right"), *rest), strict=True):
+        for column, x in zip(to, (float(ratio[there] @ times[there]), high[::-1][: self.p.top], len(high) - np.searchsorted(high, self.p.cuts, "right"), *rest), strict=True):
             column.append(x)
 
 
-def _looked_up(known: np.ndarray, values: tuple, wanted: np.ndarray) -> list[np.ndarray]:
+def _looked_up(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The values of keys; NaN for those that aren't known."""
     if not len(known):
-        return [np.full(len(wanted), np.nan) for _ in values]
+        return np.full(len(wanted), np.nan)
     place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return [np.where(known[place] == wanted, v[place], np.nan) for v in values]
+    return np.where(known[place] == wanted, values[place], np.nan)
 
 
 _MEASURED = ["letters", *(f"{kind}_{c}" for kind in ("w", "p") for c in ("total", "high", "above", "rare", "times"))]
@@ -294,11 +280,11 @@ def _measured(batches: Iterator[pa.RecordBatch], sent, p: Params, words_left: bo
         yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *made.values()], names=[*keep, *made])
 
 
-def _others(made: DataFrame, kind: str, table: DataFrame, value: str, p: Params) -> DataFrame:
+def _others(made: DataFrame, kind: str, table: DataFrame, p: Params) -> DataFrame:
     """What the table says of a text's words or pairs that weren't sent: (row, times, number, total, high, above)."""
     found = made.select("row", F.explode(F.arrays_zip(f"{kind}_rare", f"{kind}_times")).alias("w")).select("row", F.col(f"w.{kind}_rare").alias("key"), F.col(f"w.{kind}_times").alias("n"))
     return found.join(table, "key").groupBy("row").agg(
-        F.sum("n").alias(f"{kind}f_times"), F.count("*").alias(f"{kind}f_number"), F.sum(F.col(value) * F.col("n")).alias(f"{kind}f_total"),
+        F.sum("n").alias(f"{kind}f_times"), F.count("*").alias(f"{kind}f_number"), F.sum(F.col("ratio") * F.col("n")).alias(f"{kind}f_total"),
         F.slice(F.sort_array(F.collect_list("ratio"), False), 1, p.top).alias(f"{kind}f_high"), F.array(*(F.count_if(F.col("ratio") > c) for c in p.cuts)).alias(f"{kind}f_above"),
     )
 
@@ -306,17 +292,17 @@ def _others(made: DataFrame, kind: str, table: DataFrame, value: str, p: Params)
 def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFrame:
     """own (text and others) -> the other columns and x, the text's numbers for the curve."""
     p = params
-    rounded = [F.col(c).cast("float").alias(c) for c in ("ratio", "gain")]
+    ratio = F.col("ratio").cast("float").alias("ratio")
 
-    def split(table: DataFrame, step: int, values: list[Column]) -> tuple[tuple, DataFrame]:
+    def split(table: DataFrame, step: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
         often = F.expr("true") if not step else _step(F.col("documents")) >= step
-        rows = table.where(often).select("key", *values).toArrow()  # sent_words, sent_pairs at most
+        rows = table.where(often).select("key", ratio).toArrow()  # sent_words, sent_pairs at most
         keys = rows.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        return (keys[order], *(rows.column(i + 1).to_numpy()[order] for i in range(len(values)))), table.where(~often).select("key", *values)
+        return (keys[order], rows.column("ratio").to_numpy()[order]), table.where(~often).select("key", ratio)
 
-    words, rare_words = split(model.words, model.frequent, rounded[:1])
-    pairs, rare_pairs = split(model.pairs, model.frequent_pairs, rounded)
+    words, rare_words = split(model.words, model.frequent)
+    pairs, rare_pairs = split(model.pairs, model.frequent_pairs)
     sent = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, words, pairs))
     others = [f for f in own.schema.fields if f.name != "text"]
     columns = ", ".join(f"{k}_total double, {k}_high array<double>, {k}_above array<long>, {k}_rare array<long>, {k}_times array<long>" for k in "wp")
@@ -324,9 +310,9 @@ def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFram
     step = partial(_measured, sent=sent, p=p, words_left=bool(model.frequent), pairs_left=bool(model.frequent_pairs))
     made = written(own.mapInArrow(step, schema).withColumn("row", F.monotonically_increasing_id()))
     none = {"times": "long", "number": "long", "total": "double", "high": "array<double>", "above": "array<long>"}
-    for kind, left, table, value in (("w", model.frequent, rare_words, "ratio"), ("p", model.frequent_pairs, rare_pairs, "gain")):
+    for kind, left, table in (("w", model.frequent, rare_words), ("p", model.frequent_pairs, rare_pairs)):
         if left:
-            made = made.join(_others(made, kind, table, value, p), "row", "left")
+            made = made.join(_others(made, kind, table, p), "row", "left")
         else:
             made = made.select("*", *(F.lit(None).cast(t).alias(f"{kind}f_{c}") for c, t in none.items()))
     zero, nothing = F.lit(0).cast("long"), F.array().cast("array<double>")

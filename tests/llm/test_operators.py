@@ -460,33 +460,29 @@ def test_toxicity_against_dictionaries(spark, odd, sent):
         for to, xs in ((count[y], text.split()), (pairs[y], both(text)), (documents, set(text.split())), (held, set(both(text)))):
             for x in xs:
                 to[x] = to.get(x, 0) + 1
-    n = [sum(c.values()) for c in count]
-    left = [min(d * len(c) / m, 1) for c, m in zip(count, n)]
-    known = {x for x, k in held.items() if k >= 2}
+    held = {x: k for x, k in held.items() if k >= 2}
+    pairs = [{x: k for x, k in of.items() if x in held} for of in pairs]
 
-    def word(w):
-        shared = documents[w] / sum(documents.values())
-        return [max(count[y].get(w, 0) - d, 0) / n[y] + left[y] * shared for y in (0, 1)]
+    def ratios(of, documents):
+        n = [sum(c.values()) for c in of]
+        left = [min(d * len(c) / m, 1) for c, m in zip(of, n)]
 
-    def ratio(w):
-        return np.log(np.divide(*word(w)[::-1])) if w in documents else np.log(left[1] / left[0])
+        def ratio(x):
+            shared = documents.get(x, 0) / sum(documents.values())
+            like = [max(of[y].get(x, 0) - d, 0) / n[y] + left[y] * shared for y in (0, 1)]
+            return np.log(like[1] / like[0]) if shared else np.log(left[1] / left[0])
 
-    def pair(v, w):
-        like = []
-        for y in (0, 1):
-            of = {x: k for x, k in pairs[y].items() if x[0] == v and x in known}
-            like.append((max(of.get((v, w), 0) - d, 0) + d * len(of) * word(w)[y]) / sum(of.values()) if of else word(w)[y])
-        return np.log(like[1] / like[0])
+        return ratio
 
+    word, pair = ratios(count, documents), ratios(pairs, held)
     tried = [(i, " ".join(rng.choices(some[:40] + ["new", "newer"], k=rng.randint(1, 60)))) for i in range(25)] + [(80, rows[3][1]), (90, None), (91, "")]
     got = {r.doc_id: r.x for r in toxicity.measure(spark.createDataFrame(tried, "doc_id long, text string"), model, p).collect()}
     for i, text in tried:
         w = (text or "").split()
         want = []
-        for own, value in ((w, ratio), ([x for x in both(text or "") if x in known], lambda x: pair(*x))):
+        for own, value in ((w, word), ([x for x in both(text or "") if x in held], pair)):
             high = sorted((value(x) for x in set(own)), reverse=True)
-            total = sum(value(x) - (0 if value is ratio else ratio(x[1])) for x in own)
-            want += [total / (sum(map(len, w)) + len(w)) if w else 0, high[0] if own else 0, sum(high[:3]) / 3, *(np.log1p(sum(h > c for h in high)) for c in p.cuts)]
+            want += [sum(map(value, own)) / (sum(map(len, w)) + len(w)) if w else 0, high[0] if own else 0, sum(high[:3]) / 3, *(np.log1p(sum(h > c for h in high)) for c in p.cuts)]
         assert got[i] == pytest.approx(want, abs=1e-4)
 
 
