@@ -141,15 +141,30 @@ def _pairs_sketched(batches: Iterator[pa.RecordBatch], p, longest: int) -> Itera
     yield from divergence.sketch_rows(sketch)
 
 
+def _keys_sketched(batches: Iterator[pa.RecordBatch], p) -> Iterator[pa.RecordBatch]:
+    """(key) -> a sketch of which keys there are; p: divergence.Params."""
+    sketch = np.zeros((p.depth, 1 << p.bits), np.uint8)
+    for batch in batches:
+        for row, at in zip(sketch, _cells(batch.column("key").to_numpy().view(np.uint64), p.depth, p.bits), strict=True):
+            row[at] = 1
+    yield from divergence.sketch_rows(sketch)
+
+
+def _passing(keys: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
+    """Which keys a sketch of 2^width cells a row lets through."""
+    good = np.ones(len(keys), bool)
+    for row, at in zip(bits, _cells(keys, len(bits), width), strict=True):
+        good &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return good
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch], may, p: Params) -> Iterator[pa.RecordBatch]:
     """(text, y) -> pre-aggregated (key, documents, toxic, plain) of the pairs that the sketch lets through."""
     bits, held, known, n = may.value, [], {}, 0
 
     def out() -> pa.RecordBatch:
         key, times, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        good = np.ones(len(key), bool)
-        for row, at in zip(bits, _cells(key, len(bits), p.sketch_bits), strict=True):
-            good &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+        good = _passing(key, bits, p.sketch_bits)
         key, times, y = key[good], times[good], y[good]
         kinds, place = np.unique(key, return_inverse=True)
         sums = [np.bincount(place, w, len(kinds)).astype(np.int64) for w in (np.ones(len(key)), times * (y == 1), times * (y == 0))]
@@ -210,10 +225,11 @@ def fit(train: DataFrame, params: Params = Params()) -> Model:
 
 
 class _Scorer:
-    """words, pairs: sorted keys and their ratios."""
+    """words, pairs: sorted keys and their ratios. others: a sketch of the other pairs of the model, if there are any."""
 
-    def __init__(self, words: tuple, pairs: tuple, p: Params):
-        self.words, self.pairs, self.p, self.known, self.keys, self.ratios = words, pairs, p, {}, np.zeros(0, np.uint64), np.zeros(0)
+    def __init__(self, words: tuple, pairs: tuple, others: np.ndarray | None, p: Params):
+        self.words, self.pairs, self.others, self.p = words, pairs, others, p
+        self.known, self.keys, self.ratios = {}, np.zeros(0, np.uint64), np.zeros(0)
 
     def _learn(self, new: list[bytes]) -> None:
         """Keys and ratios of new words; NaN for those that weren't sent."""
@@ -237,7 +253,11 @@ class _Scorer:
             different, times = np.unique(at, return_counts=True)
             self._measured(rows[:5], self.ratios[different], times, self.keys[different])
             pairs, times = np.unique(_pairs(self.keys[at]), return_counts=True)
-            self._measured(rows[5:], _looked_up(*self.pairs, pairs), times, pairs)
+            ratio = _looked_up(*self.pairs, pairs)
+            may = ~np.isnan(ratio)  # of the pairs that weren't sent, those that the model may have
+            if self.others is not None:
+                may[~may] = _passing(pairs[~may], self.others, self.p.sketch_bits)
+            self._measured(rows[5:], ratio[may], times[may], pairs[may])
         kinds = [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return [pa.array(letters, pa.int64()), *(pa.array(r, k) for r, k in zip(rows, kinds * 2, strict=True))]
 
@@ -261,18 +281,15 @@ _MEASURED = ["letters", *(f"{kind}_{c}" for kind in ("w", "p") for c in ("total"
 _WORKER: dict[str, _Scorer] = {}
 
 
-def _measured(batches: Iterator[pa.RecordBatch], sent, p: Params, words_left: bool, pairs_left: bool) -> Iterator[pa.RecordBatch]:
-    """Keys of what wasn't sent are passed on only where some of it is in the tables."""
-    name, words, pairs = sent.value
+def _measured(batches: Iterator[pa.RecordBatch], sent, p: Params, words_left: bool) -> Iterator[pa.RecordBatch]:
+    """Keys of words that weren't sent are passed on only where some of the model's weren't."""
+    name, *model = sent.value
     if name not in _WORKER:  # the last model only is kept
         _WORKER.clear()
-        _WORKER[name] = _Scorer(words, pairs, p)
+        _WORKER[name] = _Scorer(*model, p)
     for batch in slices(batches):
         keep = [c for c in batch.schema.names if c != "text"]
         made = dict(zip(_MEASURED, _WORKER[name].measure(texts(batch.column("text"))), strict=True))
-        if not pairs_left:
-            empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
-            made |= {"p_rare": empty, "p_times": empty}
         made["w_unseen"] = pc.list_value_length(made["w_rare"]).cast(pa.int64())
         made["w_all"] = pa.array([sum(t) for t in made["w_times"].to_pylist()], pa.int64())
         if not words_left:
@@ -303,11 +320,13 @@ def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFram
 
     words, rare_words = split(model.words, model.frequent)
     pairs, rare_pairs = split(model.pairs, model.frequent_pairs)
-    sent = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, words, pairs))
+    # A sketch of the pairs that aren't sent tells which of a text's may be among them; only those are joined.
+    rest = divergence.frequent(rare_pairs.select("key"), divergence.Params(min_docs=1, bits=p.sketch_bits), _keys_sketched) if model.frequent_pairs else None
+    sent = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, words, pairs, rest))
     others = [f for f in own.schema.fields if f.name != "text"]
     columns = ", ".join(f"{k}_total double, {k}_high array<double>, {k}_above array<long>, {k}_rare array<long>, {k}_times array<long>" for k in "wp")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"letters long, {columns}, w_unseen long, w_all long"])
-    step = partial(_measured, sent=sent, p=p, words_left=bool(model.frequent), pairs_left=bool(model.frequent_pairs))
+    step = partial(_measured, sent=sent, p=p, words_left=bool(model.frequent))
     made = written(own.mapInArrow(step, schema).withColumn("row", F.monotonically_increasing_id()))
     none = {"times": "long", "number": "long", "total": "double", "high": "array<double>", "above": "array<long>"}
     for kind, left, table in (("w", model.frequent, rare_words), ("p", model.frequent_pairs, rare_pairs)):
