@@ -526,10 +526,14 @@ def graph_expand_induced(spark, sf):
     return graph.expand_and_induce(n, e, seeds, 1)[0].select("id", "type")
 
 
-@query(_with(_BASE) + " SELECT id, chunks.doc_id, CAST(s AS INT) AS char_start FROM chunks JOIN (SELECT did FROM docs WHERE doc_id = 1) ON did = chunks.doc_id")
+@query(_with(_BASE) + """ SELECT id, chunks.doc_id, CAST(s AS INT) AS char_start, CAST(row_number() OVER (ORDER BY id) AS INT) AS place FROM chunks
+JOIN (SELECT did FROM docs ORDER BY n DESC, doc_id LIMIT 1) ON did = chunks.doc_id""")
 def document_chunks(spark, sf):
-    doc = spark.range(1).select(ids.doc_id(F.lit("source/1.md"))).first()[0]
-    return store.chunks_of(_of(spark, sf, "chunks")[0], doc).select("id", "doc_id", "char_start")
+    """The chunks of the longest document in the order of their ids as text, in which the tenth comes before the second."""
+    longest = _t(spark, sf, "documents").orderBy(F.desc(F.length("text")), "doc_id").limit(1)
+    doc = corpus.from_table(longest).select(ids.doc_id(F.col("path"))).first()
+    found = store.chunks_of(_of(spark, sf, "chunks")[0], doc[0] if doc else "")
+    return graph.ranked(found, "id", name="place").select("id", "doc_id", "char_start", "place")
 
 
 @query(_with(_BASE) + " SELECT id, sha256(text) AS digest FROM chunks WHERE id IN (SELECT did || '_s0_c0' FROM docs WHERE doc_id % 7 = 0)")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import providers, text
 from ..operators import index, retrieve
 from ..sources import corpus, scratch, store
 from .catalogue import _BASE, _EMBED, _MD, _NAMES, QUERY, _files, _t, _with, registry
@@ -117,3 +118,25 @@ def vector_models(spark, sf):
     asked = index.vectors(spark, root, dim=8).crossJoin(F.broadcast(spark.range(1).select(text.embed(F.lit(QUERY), 8).alias("qv"))))  # of one row
     near = retrieve.nearest(asked.withColumn("vector", F.col("vector").cast("array<double>")), F.col("qv"), 12)
     return near.select("id", F.round("distance", 6).alias("distance"))
+
+
+class SupplierExtractor(providers.Extractor):
+    """Of a supplier's file: its home, its nation and "Everyone", and how they are related."""
+
+    def extract(self, text: str) -> providers.Extraction:
+        nation = re.search(r"\[\[n([0-9]+)", text)
+        own, home = f"Home {nation[1]}", f"Nation {nation[1]}"
+        related = [providers.Relation(own, home, f"is{int(nation[1]) % 3}"), providers.Relation("Everyone", home, "knows"), providers.Relation("ghost", home, "none")]
+        return providers.Extraction([providers.Entity(n) for n in (own, home, "Everyone")], related)
+
+
+@query("""WITH n AS (SELECT DISTINCT s_nationkey AS k FROM supplier), e AS (SELECT k, 'e_' || substr(sha256('home ' || k), 1, 16) AS own, 'e_' || substr(sha256('nation ' || k), 1, 16) AS home, 'e_' || substr(sha256('everyone'), 1, 16) AS every FROM n)
+SELECT own AS src, home AS dst, 'is' || k % 3 AS relation FROM e UNION ALL SELECT every, home, 'knows' FROM e""")
+def relation_types(spark, sf):
+    """Relations that a user's extractor names, between entities of one chunk only."""
+
+    def make(root: str) -> None:
+        index.build(spark, _files(spark, sf).where("path LIKE 'suppliers/%'"), root, extractor=SupplierExtractor())
+
+    edges = store.load(spark, _once(spark, sf, "relations", make), "edges").where("type = 'relates_to'")
+    return edges.select("src", "dst", F.get_json_object("meta", "$.type").alias("relation"))
