@@ -52,7 +52,7 @@ class Params:
     pair_documents: int = 2
     sketch_bits: int = 24
     sent_words: int = 500_000
-    sent_pairs: int = 2_000_000
+    sent_pairs: int = 100_000
     cache: int = 500_000
 
 
