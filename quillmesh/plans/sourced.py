@@ -72,8 +72,8 @@ def archive_members(spark, sf):
     """Documents, packed by tasks into archives of 20, and read back by the archive source."""
     to = f"{scratch.shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     docs = _t(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 20).alias("n"))
-    paths = [r.path for r in docs.groupBy("n").applyInArrow(lambda t: _packed(t, to), "path string").collect()]
-    return corpus.from_archives(spark, paths, file_bytes=1 << 30, total_bytes=1 << 34).select("path", "hash")
+    paths = scratch.cut(docs.groupBy("n").applyInArrow(lambda t: _packed(t, to), "path string"))
+    return corpus.from_archive_table(paths, file_bytes=1 << 30, total_bytes=1 << 34).select("path", "hash")
 
 
 def _laid(batches: Iterator[pa.RecordBatch], to: str) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,8 @@ def chunk_windows_sql(spark, sf):
 
 #: The questions of a batch: what the first 50 documents begin with.
 _ASKED = r""", asked AS (SELECT doc_id AS qid, substr(text, 1, 60) AS q FROM documents WHERE doc_id < 50 AND trim(text, E' 
-	') <> ''),
+	
+') <> ''),
 hq AS (SELECT qid, list_transform(regexp_extract_all(lower(q), '[\p{L}\p{N}_]+'), lambda t: strpos('0123456789abcdef', substr(sha256(t), 64, 1)) - 1) AS h FROM asked),
 cq AS (SELECT qid, list_transform(range(0, 16), lambda i: CAST(len(list_filter(h, lambda x: x = i)) AS DOUBLE)) AS v FROM hq),
 qs AS (SELECT qid, CASE WHEN sqrt(list_dot_product(v, v)) = 0 THEN v ELSE list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) END AS qv FROM cq),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from . import files
+from .scratch import cut
 
 
 def from_table(docs: DataFrame) -> DataFrame:
@@ -59,6 +62,17 @@ def from_archives(spark: SparkSession, paths: str | list[str], entries: int = 50
     return _decoded(reader.option("entries", entries).option("fileBytes", file_bytes).option("totalBytes", total_bytes).load())
 
 
+def from_archive_table(archives: DataFrame, entries: int = 5000, file_bytes: int = 5 << 20, total_bytes: int = 200 << 20, part_bytes: int = 16 << 20) -> DataFrame:
+    """from_archives() for a table of archives (path), of any number: tasks list them too, and their parts are dealt to as
+    many tasks as their bytes ask for, so that many small archives share a task and no path passes through the driver."""
+    spark = archives.sparkSession
+    options = {"entries": str(entries), "fileBytes": str(file_bytes), "totalBytes": str(total_bytes), "partitionBytes": str(part_bytes)}
+    pieces = cut(archives.select("path").mapInArrow(partial(files.planned, options=options), files.PIECES))
+    total = pieces.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    dealt = pieces.repartition(max(spark.sparkContext.defaultParallelism, -(-total // part_bytes)))
+    return _decoded(dealt.mapInArrow(partial(files.unpacked, options=options), "archive string, path string, content binary"))
+
+
 def chunks(corpus: DataFrame, max_chars: int = 1200, overlap: int = 150) -> DataFrame:
     """(path, text) of one section each -> (id, doc_id, sec_idx, chunk_idx, section_path, text, char_start, char_end)."""
     did = corpus.select(ids.doc_id(F.col("path")).alias("doc_id"), "text").withColumn("w", text.windows("text", max_chars, overlap))

@@ -18,6 +18,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -164,6 +165,12 @@ class ArchiveReader(DataSourceReader):
         system, at = opened(path)
         return system.open_input_file(at)
 
+    def size(self, part: Members) -> int:
+        if part.members is not None:
+            return sum(m[2] for m in part.members)
+        system, at = opened(part.archive)
+        return system.get_file_info(at).size or 0
+
     def partitions(self) -> list[Members]:
         return [p for path in self.paths for p in self._plan(path)] or [Members("", [])]
 
@@ -235,6 +242,40 @@ class ArchiveReader(DataSourceReader):
                     yield path, name, t.extractfile(m).read()
 
 
+#: What planned() makes of an archive: the parts of it that a task reads.
+PIECES = "archive string, members array<struct<place: int, name: string, size: long>>, bytes long"
+
+
+def planned(batches: Iterator[pa.RecordBatch], options: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """(path) -> PIECES: several of a zip archive that holds much, one of a tar archive, with its own size."""
+    reader, kind = ArchiveReader({**options, "paths": ""}), pa.struct([("place", pa.int32()), ("name", pa.string()), ("size", pa.int64())])
+    for batch in batches:
+        parts = [m for path in batch.column("path").to_pylist() for m in reader._plan(path)]
+        lists = [None if m.members is None else [dict(zip(("place", "name", "size"), x, strict=True)) for x in m.members] for m in parts]
+        sizes = [reader.size(m) for m in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([m.archive for m in parts], pa.string()), pa.array(lists, pa.list_(kind)), pa.array(sizes, pa.int64())], names=["archive", "members", "bytes"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], options: dict[str, str], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """PIECES -> (archive, path, content), in batches of so many bytes and a member more."""
+    reader = ArchiveReader({**options, "paths": ""})
+    held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        columns = zip(*held, strict=True) if held else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["archive", "path", "content"])
+
+    for batch in batches:
+        for path, members in zip(batch.column("archive").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            for row in reader.read(Members(path, members and [(m["place"], m["name"], m["size"]) for m in members])):
+                held.append(row)
+                size += len(row[2])
+                if size >= most:
+                    yield out()
+                    held, size = [], 0
+    yield out()
+
+
 class ArchiveSource(DataSource):
     """spark.read.format("markdown_archives").option("paths", "a.zip\\nb.tgz").load(): (archive, path, content). Options
     entries, fileBytes and totalBytes bound an archive, partitionBytes what a task reads of a zip archive."""

@@ -94,3 +94,16 @@ def test_links_in_zip_archives(tmp_path):
 def test_errors_reach_the_query(spark, tmp_path):
     with pytest.raises(Exception, match="unsafe"):
         corpus.from_archives(spark, zipped(tmp_path / "x.zip", ("../a.md", b"x"))).collect()
+
+
+def test_tables_of_archives(spark, tmp_path):
+    """Many small archives share tasks, large ones are dealt to several; limits hold as for a list of paths."""
+    paths = [zipped(tmp_path / f"{i}.zip", (f"{i}.md", b"# %d" % i)) for i in range(40)]
+    paths.append(zipped(tmp_path / "big.zip", *((f"b{i}.md", b"x" * 1000) for i in range(20))))
+    table = spark.createDataFrame([(str(p),) for p in paths], "path string")
+    got = corpus.from_archive_table(table, part_bytes=4000)
+    assert got.rdd.getNumPartitions() < 20
+    assert sorted((r.path, r.text, r.error) for r in got.collect()) == sorted([(f"{i}.md", f"# {i}", None) for i in range(40)] + [(f"b{i}.md", "x" * 1000, None) for i in range(20)])
+    with pytest.raises(Exception, match="exceeds its limits"):
+        corpus.from_archive_table(table, file_bytes=999).collect()
+    assert corpus.from_archive_table(table.limit(0)).count() == 0
