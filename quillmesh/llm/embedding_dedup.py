@@ -3,7 +3,8 @@
 1. Equal vectors of a label form a class; its least id stands for it, with the class's size as its weight.
 2. In each table, a class's signs against the table's hyperplanes (and its label) name a bucket. Buckets of one member
    fall away before any vector moves.
-3. Members of a bucket are compared in blocks: block x with block y, a task's group holding two blocks at most,
+3. Buckets of a few members give pairs, each of which is compared once, whatever the number of tables it meets in. Members
+   of larger buckets are compared in blocks: block x with block y, a task's group holding two blocks at most,
    whatever the bucket's size. A pair counts in the first table only in which it meets. What leaves a group is a row
    for each member: how many vectors it links with there, and the least member it is connected with.
 4. Sums give the links; components of the connections give the components.
@@ -31,15 +32,16 @@ from .components import components
 class Params:
     """bits, tables: of a signature, and how many there are; for None they follow from the rows of the most frequent
     label: so many bits that a bucket of unlike vectors holds about `bucket` (16 at least, 32 at most), and so many
-    tables (at most 250) that a pair of the least similarity shares no bucket with a probability of `miss` at most. With
-    16 bits and 48 tables, a pair of cosine 0.93 is missed with 0.0013, one of 0.95 with 0.00006. block: members
-    compared in one piece."""
+    tables (at most 1000) that a pair of the least similarity shares no bucket with a probability of `miss` at most: 150
+    tables for 16 bits. few: members of a bucket whose pairs are listed. block: members of larger ones compared in one
+    piece."""
 
     similarity: float = 0.93
     tables: int | None = None
     bits: int | None = None
     bucket: int = 64
-    miss: float = 0.00134
+    miss: float = 1e-9
+    few: int = 6
     block: int = 1024
     seed: int = 20240
 
@@ -47,7 +49,7 @@ class Params:
         """These parameters with bits and tables for so many rows of one label."""
         bits = self.bits or min(32, max(16, math.ceil(math.log2(max(rows, 1) / self.bucket))))
         share = (1 - math.acos(self.similarity) / math.pi) ** bits
-        return replace(self, bits=bits, tables=self.tables or min(250, math.ceil(math.log(self.miss) / math.log1p(-share))))
+        return replace(self, bits=bits, tables=self.tables or min(1000, math.ceil(math.log(self.miss) / math.log1p(-share))))
 
 
 def _code(p: Params) -> str:
@@ -95,7 +97,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.Recor
         codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), _code(p)).reshape(-1, p.tables).astype(np.uint64)
         keys = batch.column("peers").to_numpy().view(np.uint64)
         tab = np.arange(p.tables, dtype=np.uint64)
-        bucket = (keys[:, None] ^ (codes << np.uint64(8) | tab) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        bucket = (keys[:, None] ^ (codes << np.uint64(10) | tab) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), p.tables)), pa.array(np.tile(tab.astype(np.int32), len(keys))), pa.array(bucket.ravel())], names=["rep", "tab", "bucket"])
 
 
@@ -170,6 +172,30 @@ def _compared(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Itera
         yield from groups(held)
 
 
+def _checked(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, tab, and of each weight, vector, codes) -> (rep, links, root) of both members of those that link, if
+    they haven't met in a table before tab."""
+
+    def unit(column: pa.Array) -> np.ndarray:
+        v = np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1).astype(np.float64)
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+    for batch in slices(batches, 4096):
+        t = pa.Table.from_batches([batch])
+        sizes = [pc.binary_length(t.column(f"vector_{k}")) for k in "ab"]
+        t, size = t.filter(pc.equal(*sizes)), sizes[0].filter(pc.equal(*sizes))  # lengths differ only where buckets clash
+        for n in pc.unique(size).to_pylist():
+            own = t.filter(pc.equal(size, n)).combine_chunks()
+            codes = [np.frombuffer(b"".join(own.column(f"codes_{k}").to_pylist()), _code(p)).reshape(own.num_rows, p.tables) for k in "ab"]
+            before = np.arange(p.tables) < own.column("tab").to_numpy()[:, None]
+            good = np.einsum("ij,ij->i", *(unit(own.column(f"vector_{k}")) for k in "ab")) >= p.similarity
+            good &= ~((codes[0] == codes[1]) & before).any(axis=1)
+            a, b, wa, wb = (own.column(c).to_numpy()[good] for c in ("a", "b", "weight_a", "weight_b"))
+            root = np.minimum(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((a, b), (wb, wa), (root, root))], names=["rep", "links", "root"])
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", params: Params = Params()) -> DataFrame:
     """vectors -> (vec_id, n_links, component_id long, kept boolean), one row per row.
 
@@ -191,11 +217,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = written(dealt)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     n = F.ceil(F.col("size") / p.block).cast("int")
+    both = hub_join(dealt, sizes.where(F.col("size") <= p.few), "bucket", "rep", sizes.withColumnRenamed("size", "count"), hub_bound(dealt.count()))
+    listed = both.groupBy("bucket").agg(F.min("tab").alias("tab"), F.sort_array(F.collect_list("rep")).alias("reps"))  # few at most
+    pair = F.explode(F.flatten(F.transform("reps", lambda a, i: F.transform(F.slice("reps", i + 2, F.lit(p.few)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    pairs = listed.select("tab", pair.alias("p")).groupBy("p.a", "p.b").agg(F.min("tab").alias("tab"))
+    of = lambda k: classes.select(F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("weight", "vector", "codes")))
+    single = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(partial(_checked, p=p, dtype=dtype), "rep long, links long, root long")
+
+    sizes = sizes.where(F.col("size") > p.few)
     blocks = hub_join(dealt, sizes, "bucket", "rep", sizes.withColumnRenamed("size", "count"), hub_bound(dealt.count())).withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     blocks = blocks.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "tab", "rep").join(classes.select("rep", "weight", "vector", "codes"), "rep")
     found = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_compared, p=p, dtype=dtype), "rep long, links long, root long")
-    found = written(found)
+    found = written(found.union(single))
     discard(dealt)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -555,3 +556,16 @@ def test_pipeline(spark):
     out = c.run(spark, "/root/testdata/sf0.001").toPandas()
     assert [n for n, _ in c.STAGES] == ["toxicity", "minhash_near_dedup", "benchmark_decontamination", "pii", "best_fit_packing"]
     assert len(out) and (out.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_links_just_above_the_least_similarity(spark):
+    """Of some thousand pairs that barely link, none is missed by all tables."""
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((2, 6000, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9301 * a + math.sqrt(1 - 0.9301**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i + k, i // 1000, v.tolist()) for i in range(6000) for k, v in enumerate((a[i], b[i]))]
+    table = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
+    assert got == {2 * i + k: (1, 2 * i) for i in range(6000) for k in (0, 1)}
