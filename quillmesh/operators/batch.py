@@ -18,16 +18,16 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """queries (qid, query), vectors (id, vector) -> (qid, id, distance, rank): the k nearest of each query, ties by id.
-    Queries without a vector find nothing. Blocks of queries go to the tasks; what is shuffled is k rows for each query
+    Queries without a vector find nothing; digits as for retrieve.nearest(). Blocks of queries go to the tasks; what is shuffled is k rows for each query
     and partition."""
     rows = vectors.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
     w = Window.partitionBy("qid").orderBy("distance", "id")
     out = None
     for some in _blocks(queries.where("query is not null")):
         met = rows.crossJoin(F.broadcast(some.select("qid", F.col("query").cast("array<double>").alias("query"))))  # of BLOCK rows or so
-        met = met.select("qid", "id", text.squared_l2(F.col("vector"), F.col("query")).alias("distance"))
+        met = met.select("qid", "id", retrieve.rounded(text.squared_l2(F.col("vector"), F.col("query")), digits).alias("distance"))
         best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = best if out is None else out.union(best)
     return out
@@ -53,11 +53,11 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def dual(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8, hops: int = 2, vector_weight: float = 1.0, graph_weight: float = 0.5, per_doc: int | None = 2
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8, hops: int = 2, vector_weight: float = 1.0, graph_weight: float = 0.5, per_doc: int | None = 2, digits: int | None = None
 ) -> DataFrame:
     """retrieve.dual() for each of queries (qid, query): (qid, id, doc_id, score, from_graph). The number of Spark jobs
     doesn't depend on the number of queries."""
-    hits = cut(nearest(queries, vectors, k))
+    hits = cut(nearest(queries, vectors, k, digits))
     reached = expand(nodes, edges, hits, hops, retrieve.FOLLOWED).join(chunks.select("id"), "id", "left_semi")
     best = ranked(reached.select("qid", "id", "hop"), "hop", "id")
     weigh = lambda df, w: df.select("qid", "id", (F.lit(float(w)) / (F.lit(60) + F.col("rank"))).alias("s"))

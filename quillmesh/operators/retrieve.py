@@ -14,12 +14,17 @@ from . import graph
 FOLLOWED = ["contains", "links_to", "mentions", "relates_to"]
 
 
-def nearest(vectors: DataFrame, query: Column, k: int, metric: str = "l2") -> DataFrame:
-    """vectors (id, vector) -> the k nearest to a literal vector: (id, distance or cosine), ties by id. A top-k in each
-    partition and one merge; nothing is shuffled but k rows a partition."""
+def nearest(vectors: DataFrame, query: Column, k: int, metric: str = "l2", digits: int | None = None) -> DataFrame:
+    """vectors (id, vector) -> the k nearest to a literal vector: (id, distance or cosine), ties by id. With digits,
+    values are rounded to so many first, so that those that differ by their rounding errors alone are ties. A top-k in
+    each partition and one merge; nothing is shuffled but k rows a partition."""
     if metric == "cosine":
-        return vectors.select("id", text.cosine(F.col("vector"), query).alias("cosine")).orderBy(F.desc("cosine"), "id").limit(k)
-    return vectors.select("id", text.squared_l2(F.col("vector"), query).alias("distance")).orderBy("distance", "id").limit(k)
+        return vectors.select("id", rounded(text.cosine(F.col("vector"), query), digits).alias("cosine")).orderBy(F.desc("cosine"), "id").limit(k)
+    return vectors.select("id", rounded(text.squared_l2(F.col("vector"), query), digits).alias("distance")).orderBy("distance", "id").limit(k)
+
+
+def rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
 
 
 def score(distance: Column) -> Column:
@@ -50,11 +55,11 @@ def vector_table(chunks: DataFrame, dim: int = 16) -> DataFrame:
 
 
 def dual(
-    chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, query: Column, k: int = 8, hops: int = 2, vector_weight: float = 1.0, graph_weight: float = 0.5, per_doc: int | None = 2
+    chunks: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, query: Column, k: int = 8, hops: int = 2, vector_weight: float = 1.0, graph_weight: float = 0.5, per_doc: int | None = 2, digits: int | None = None
 ) -> DataFrame:
     """Nearest chunks and the chunks within some hops of them, their rankings fused, a cap per document: (id, doc_id,
-    score, from_graph). query is a literal vector; null finds nothing."""
-    hits = graph.cut(graph.ranked(nearest(vectors.where(query.isNotNull() & F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>")), query, k), "distance", "id"))
+    score, from_graph). query is a literal vector; null finds nothing. digits as for nearest()."""
+    hits = graph.cut(graph.ranked(nearest(vectors.where(query.isNotNull() & F.col("vector").isNotNull()).withColumn("vector", F.col("vector").cast("array<double>")), query, k, digits=digits), "distance", "id"))
     reached = graph.expand(nodes, edges, hits, hops, FOLLOWED).join(chunks.select("id"), "id", "left_semi")
     # Without a cap, no chunk beyond the first k of the graph's ranking can be among the k best.
     best = graph.ranked(reached.orderBy("hop", "id").limit(k), "hop", "id") if per_doc is None else graph.ranked_all(reached, "hop", "id")
@@ -103,26 +108,26 @@ def expand_events(links: DataFrame, seeds: DataFrame, max_hops: int = 2) -> Data
     return visited
 
 
-def retrieve_events(events: DataFrame, links: DataFrame, entities: DataFrame, tokens: list[str], k: int = 8, max_hops: int = 2, query: Column | None = None, named: DataFrame | None = None) -> DataFrame:
+def retrieve_events(events: DataFrame, links: DataFrame, entities: DataFrame, tokens: list[str], k: int = 8, max_hops: int = 2, query: Column | None = None, named: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(id, hop, shared, overlap, score, connected_via), k rows: by cosine, hop and id with a vector, else by shared seed
     entities, words in common with title and keywords, hop and id.
 
     Seeds are the events of the entities that the tokens (of more than one character) name and, with a vector, the
     max(k, 10) nearest events. connected_via lists an event's seed entities, sorted. The entities that the tokens name
-    may be given (by names.match()); else all entities are looked at."""
+    may be given (by names.match()); else all entities are looked at. digits as for nearest()."""
     tokens = [t for t in tokens if len(t) > 1]
     seed_entities = graph.cut((match_entities(entities, tokens) if named is None else named).select("entity_id"))
     touched = graph.cut(links.join(F.broadcast(seed_entities), "entity_id", "left_semi").select(F.col("event_id").alias("id"), "entity_id").distinct())  # 50 entities at most
     seeds = touched.select("id")
     vector = F.col("embedding").cast("array<double>")
     if query is not None:
-        near = nearest(events.where("embedding is not null").withColumn("vector", vector), query, max(k, 10), "cosine")
+        near = nearest(events.where("embedding is not null").withColumn("vector", vector), query, max(k, 10), "cosine", digits)
         seeds = seeds.union(near.select("id"))
     reached = expand_events(links, seeds, max_hops)
     via = touched.groupBy("id").agg(F.count("*").alias("shared"), F.sort_array(F.collect_list("entity_id")).alias("connected_via"))
     said = F.flatten(F.transform(F.concat(F.array("title"), "keywords"), lambda w: F.split(ids.normalize_name(w), " ")))
     overlap = F.size(F.array_intersect(said, F.array(*[F.lit(t) for t in tokens]).cast("array<string>"))).cast("long")
-    close = F.coalesce(text.cosine(vector, query), F.lit(0.0)) if query is not None else F.lit(0.0)
+    close = F.coalesce(rounded(text.cosine(vector, query), digits), F.lit(0.0)) if query is not None else F.lit(0.0)
     out = reached.join(events.select("id", overlap.alias("overlap"), close.alias("cosine")), "id").join(via, "id", "left")
     out = out.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))).withColumn("connected_via", F.coalesce("connected_via", F.array().cast("array<string>")))
     columns = ["id", "hop", "shared", "overlap", "score", "connected_via"]

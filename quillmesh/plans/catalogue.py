@@ -348,7 +348,7 @@ found AS (SELECT id, doc_id, score, id NOT IN (SELECT id FROM hits) AS from_grap
 
 def _dual(spark, sf):
     c, v, n, e = _of(spark, sf, "chunks", "vectors", "nodes", "edges")
-    return retrieve.dual(c, _asked(spark, v), n, e, F.col("qv"))
+    return retrieve.dual(c, _asked(spark, v), n, e, F.col("qv"), digits=9)
 
 
 @query(_DUAL + " SELECT found.id, found.doc_id, round(score, 9) AS score, from_graph, text, 'source/' || docs.doc_id || '.md' AS source_path, '' AS heading_path FROM found JOIN (SELECT id, text FROM chunks) USING (id) JOIN (SELECT did, doc_id FROM docs) docs ON docs.did = found.doc_id")
@@ -364,12 +364,12 @@ def dual_subgraph(spark, sf):
 @query(_DUAL + ", v8 AS (SELECT id FROM hits) SELECT coalesce(found.id, v8.id) AS id, CASE WHEN v8.id IS NULL THEN 'added' WHEN found.id IS NULL THEN 'lost' ELSE 'both' END AS side FROM found FULL JOIN v8 ON v8.id = found.id")
 def ab_compare(spark, sf):
     v = _asked(spark, _of(spark, sf, "vectors")[0])
-    return retrieve.compared(retrieve.nearest(v, F.col("qv"), 8), _dual(spark, sf))
+    return retrieve.compared(retrieve.nearest(v, F.col("qv"), 8, digits=9), _dual(spark, sf))
 
 
 @query(_with(_BASE, _EMBED) + " SELECT id, round(1 / (1 + d), 6) AS score FROM dist ORDER BY d, id LIMIT 8")
 def vector_only(spark, sf):
-    near = retrieve.nearest(_asked(spark, _of(spark, sf, "vectors")[0]), F.col("qv"), 8)
+    near = retrieve.nearest(_asked(spark, _of(spark, sf, "vectors")[0]), F.col("qv"), 8, digits=9)
     return near.select("id", F.round(retrieve.score(F.col("distance")), 6).alias("score"))
 
 
@@ -395,7 +395,7 @@ top AS (SELECT id, hop, shared, overlap, CAST(shared + overlap AS DOUBLE) AS sco
 
 def _ranked_events(spark, sf, hops=1, query=None):
     events, links, entities = _of(spark, sf, "events", "event_entities", "event_nodes")
-    return retrieve.retrieve_events(events if query is None else _asked(spark, events), links, entities, TOKENS, 8, hops, query)
+    return retrieve.retrieve_events(events if query is None else _asked(spark, events), links, entities, TOKENS, 8, hops, query, digits=9)
 
 
 @query(_with(_BASE, _NAMES, _EVENTS) + _RANKED + " SELECT id, hop, shared, overlap, score, connected_via FROM top")

@@ -175,7 +175,7 @@ def dual_retrieve_batch(spark, sf):
     asked = asked.select("qid", text.embed(F.col("q")).alias("query"))
     chunks, vectors = _of(spark, sf, "chunks", "vectors")
     # Distances that differ by rounding alone are ties, as in the SQL.
-    return batch.dual(asked, chunks, vectors, *_graph(spark, sf)).withColumn("score", F.round("score", 9))
+    return batch.dual(asked, chunks, vectors, *_graph(spark, sf), digits=9).withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT arg_max(l_comment, (l_orderkey, l_linenumber)) AS meta, l_suppkey % 7 AS src, l_partkey % 11 AS dst, l_returnflag AS type FROM (SELECT *, CAST(l_quantity AS VARCHAR) AS l_comment FROM lineitem) GROUP BY ALL""")

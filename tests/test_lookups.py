@@ -186,3 +186,13 @@ def test_graph_ranks_in_queries(spark):
         own = sorted((r.hop, r.id) for r in rows.where(F.col("qid") == q).collect())
         assert [got[q, i] for _, i in own] == list(range(1, len(own) + 1))
     assert graph.ranked_all(rows.limit(0), "hop").count() == 0
+
+
+def test_rounded_distances_are_ties(spark):
+    """Distances that differ by their rounding errors alone are ties, which the ids decide."""
+    rows = [("b", [1.0 - 1e-13]), ("a", [1.0]), ("c", [0.5])]
+    vectors = spark.createDataFrame(rows, "id string, vector array<double>")
+    asked = spark.createDataFrame([(1, [0.0])], "qid long, query array<double>")
+    assert [r.id for r in retrieve.nearest(vectors, retrieve.literal([0.0]), 2).collect()] == ["c", "b"]
+    assert [r.id for r in retrieve.nearest(vectors, retrieve.literal([0.0]), 2, digits=9).collect()] == ["c", "a"]
+    assert {r.id: r["rank"] for r in batch.nearest(asked, vectors, 3, digits=9).collect()} == {"c": 1, "a": 2, "b": 3}
