@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+#: A word of a capital letter, and letters and digits.
+NAME = r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z0-9]++(?![\p{L}\p{N}_])"
+#: A text's beginning, up to its fifth word and what follows it.
+BEGINNING = r"^[^\p{L}\p{N}_]*+((?:[\p{L}\p{N}_]++[^\p{L}\p{N}_]*+){1,5})"
 
 
 def windows(body: str, max_chars: int = 1200, overlap: int = 150) -> Column:
@@ -36,10 +42,13 @@ def tokens(text: Column) -> Column:
 
 def embed(text: Column, dim: int = 16) -> Column:
     """Token-hash embedding: each token adds one at sha256(token) mod dim; then unit length (zeros without tokens)."""
-    if dim == 16:
-        slot = lambda t: F.conv(F.substring(F.sha2(t, 256), 64, 1), 16, 10).cast("int")
-    else:
-        slot = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * (1 << 32) + F.conv(F.substr(F.sha2(t, 256), i * 8 + 1, F.lit(8)), 16, 10).cast("long")) % dim).cast("int")
+    if dim in (1, 2, 4, 8, 16):
+        # The last digit of each hash tells the place: all of them as one string, bound once, of which each digit is counted.
+        digits = F.array_join(F.transform(tokens(F.lower(text)), lambda t: F.substring(F.sha2(t, 256), 64, 1)), "")
+        number = lambda own, d: F.length(own) - F.length(F.replace(own, F.lit(f"{d:x}"), F.lit("")))
+        count = lambda own, i: reduce(lambda a, b: a + b, [number(own, d) for d in range(i, 16, dim)]).cast("double")
+        return unit(F.transform(F.array(digits), lambda own: F.array(*(count(own, i) for i in range(dim))))[0])
+    slot = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * (1 << 32) + F.conv(F.substr(F.sha2(t, 256), i * 8 + 1, F.lit(8)), 16, 10).cast("long")) % dim).cast("int")
     # Bound once by the outer transform: each token is hashed once, not once for each dimension.
     slots = F.array(F.transform(tokens(F.lower(text)), slot))
     counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double"))
@@ -73,4 +82,9 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 def entity_names(text: Column) -> Column:
     """Capitalised words of letters and digits, each once, in order."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: t.rlike("^[A-Z][a-zA-Z0-9]+$")))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), 0))
+
+
+def title(text: Column) -> Column:
+    """The first five words, with blanks between them."""
+    return F.array_join(tokens(F.regexp_extract(text, BEGINNING, 1)), " ")

@@ -58,12 +58,13 @@ def mentioned(found: DataFrame) -> DataFrame:
     return e.select(F.col("id").alias("chunk_id"), "doc_id", ids.entity_id(F.col("e.name")).alias("entity_id"), "e.name", "e.type", "e.description", _seq().alias("seq"))
 
 
-def related(found: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Chunks with relations -> (src, dst, relation, seq), between entities that the chunk mentions."""
-    r = found.where("error is null").select("id", "path", "sec_idx", "chunk_idx", F.posexplode("relations").alias("pos", "r"))
-    r = r.select("id", ids.entity_id(F.col("r.source")).alias("src"), ids.entity_id(F.col("r.target")).alias("dst"), F.col("r.type").alias("relation"), _seq().alias("seq"))
-    there = lambda c: mentions.select(F.col("chunk_id").alias("id"), F.col("entity_id").alias(c))
-    return r.join(there("src"), ["id", "src"], "left_semi").join(there("dst"), ["id", "dst"], "left_semi").drop("id")
+def related(found: DataFrame) -> DataFrame:
+    """Chunks with entities and relations -> (src, dst, relation, seq), between entities that the chunk mentions."""
+    own = F.transform("entities", lambda e: ids.normalize_name(e["name"]))
+    r = found.where("error is null").select("path", "sec_idx", "chunk_idx", own.alias("own"), F.posexplode("relations").alias("pos", "r"))
+    r = r.select("path", "sec_idx", "chunk_idx", "pos", "own", *(ids.normalize_name(F.col(f"r.{c}")).alias(c) for c in ("source", "target")), F.col("r.type").alias("relation"))
+    r = r.where(F.array_contains("own", F.col("source")) & F.array_contains("own", F.col("target")))
+    return r.select(ids.entity_id(F.col("source")).alias("src"), ids.entity_id(F.col("target")).alias("dst"), "relation", _seq().alias("seq"))
 
 
 def entity_nodes(mentions: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def _owners(column: Column | str, *tables: DataFrame | None) -> DataFrame | None
 
 
 def build(
-    spark: SparkSession, corpus: DataFrame, root: str, embedder: providers.Embedder | None = None, extractor: providers.Extractor | None = None, dim: int = 16, max_chars: int = 1200, overlap: int = 150, incremental: bool = True, semantic: bool = True, partial: bool = False
+    spark: SparkSession, corpus: DataFrame, root: str, embedder: providers.Embedder | None = None, extractor: providers.Extractor | None = None, dim: int = 16, max_chars: int = 1200, overlap: int = 150, incremental: bool = True, semantic: bool = True, partial: bool = False, embed: bool = True
 ) -> DataFrame:
     """Write a new version of the index at root from the files of corpus (path, text, and hash, mtime, error where there
     are any); a report of one row.
@@ -125,12 +126,13 @@ def build(
     Vectors are kept by model and size: those that a model lacks, or that failed, are made, also for unchanged files;
     so are extractions that failed. Entities and tags that nothing mentions any more go. Files with an error are
     reported and left out. With partial, files that corpus doesn't have stay as they are: it brings additions and changes
-    only. Raises store.Conflict if another build was faster."""
+    only. Without embed, no vectors are made, by this build; add_vectors() makes them. Raises store.Conflict if another build
+    was faster."""
     with scratch.scope(spark):
-        return _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic, partial)
+        return _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic, partial, embed)
 
 
-def _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic, partial) -> DataFrame:
+def _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, incremental, semantic, partial, embed) -> DataFrame:
     based = store.current(spark, root)
     known = store.listing(spark, root, based)
     full = "documents" not in known or not (incremental or partial)
@@ -180,14 +182,16 @@ def _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, in
     def wanted(more: DataFrame | None) -> DataFrame:
         return chunks if more is None else chunks.unionByName(stay_chunks.join(more, "id", "left_semi").select(*chunks.columns))
 
-    table = vector_table(embedder, dim)
-    more = lacking(table)
-    made = cut(_embedded(wanted(more).select("id", "doc_id", "text"), embedder, dim))
-    put(table, made, _owners("id", gone_chunks, more))
+    table = vector_table(embedder, dim) if embed else None
+    failed = chunks.select("id", F.lit(None).cast("string").alias("error")).limit(0)
+    if embed:
+        more = lacking(table)
+        made = cut(_embedded(wanted(more).select("id", "doc_id", "text"), embedder, dim))
+        put(table, made, _owners("id", gone_chunks, more))
+        failed = made.where("error is not null").select("id", "error")
     for other in known:  # other models' vectors of what has changed
         if other.startswith("vectors_") and other != table:
             put(other, None, gone_chunks and _owners("id", gone_chunks))
-    failed = made.where("error is not null").select("id", "error")
 
     nodes, contains = structure(parsed, found, chunks)
     edge = lambda df, kind, owner, meta=F.lit(None).cast("string"): df.select("src", "dst", F.lit(kind).alias("type"), meta.alias("meta"), owner.alias("owner"))
@@ -205,17 +209,17 @@ def _build(spark, corpus, root, embedder, extractor, dim, max_chars, overlap, in
         put("extractions", new, _owners("id", gone_chunks, more))
         failed = failed.union(new.where("error is not null").select("id", "error"))
         own = cut(mentioned(new))
-        every, links = own, related(new, own)
+        every, links = own, related(new)
         edges = edges.union(edge(own.select(F.col("chunk_id").alias("src"), F.col("entity_id").alias("dst"), "doc_id").distinct(), "mentions", F.col("doc_id")))
         if not full and "extractions" in old:
             was = mentioned(old["extractions"].join(gone_chunks, "id", "left_semi"))
             some = cut(own.select("entity_id").union(was.select("entity_id")).distinct())
-            pairs = cut(links.select("src", "dst").union(related(old["extractions"].join(gone_chunks, "id", "left_semi"), was).select("src", "dst")).distinct())
+            pairs = cut(links.select("src", "dst").union(related(old["extractions"].join(gone_chunks, "id", "left_semi")).select("src", "dst")).distinct())
             near = old["edges"].where("type = 'mentions'").join(some.withColumnRenamed("entity_id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
             kept = cut(old["extractions"].where("error is null").join(gone_chunks, "id", "left_anti").join(near, "id", "left_semi"))
             around = mentioned(kept)
             every = own.unionByName(around.join(some, "entity_id", "left_semi").select(*own.columns))
-            links = links.unionByName(related(kept, around).join(pairs, ["src", "dst"], "left_semi").select(*links.columns))
+            links = links.unionByName(related(kept).join(pairs, ["src", "dst"], "left_semi").select(*links.columns))
             touched.append(some.select(F.col("entity_id").alias("id")))
             gone_edges.append(pairs.select(_pair().alias("doc_id")))
         nodes = nodes.union(entity_nodes(every))
@@ -288,6 +292,16 @@ def _report(spark: SparkSession, root: str, version: int, actions: DataFrame, fu
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row))
 
 
+def add_vectors(spark: SparkSession, root: str, embedder: providers.Embedder | None = None, dim: int = 16) -> int:
+    """Embed the current version's chunks that a model lacks, or failed at, as a new version; its number."""
+    with scratch.scope(spark):
+        based, table = store.current(spark, root), vector_table(embedder, dim)
+        chunks, have = store.load(spark, root, "chunks", based).select("id", "doc_id", "text"), store.load(spark, root, table, based)
+        todo = chunks if have is None else chunks.join(have.where("error is null").select("id"), "id", "left_anti")
+        made = cut(_embedded(todo, embedder, dim))
+        return store.commit(spark, root, {table: Change(made, None if have is None else _owners("id", made), have is None)}, based)
+
+
 def follow(spark: SparkSession, files: DataFrame, root: str, checkpoint: str, **options):
     """A corpus as a stream: files (path, text and others, streaming) go into the index batch by batch, as partial builds.
     Of several rows of a path in a batch the last by mtime counts. A batch that is replayed changes nothing, as its files
@@ -349,8 +363,7 @@ def _build_events(spark, root, extractor, embedder, dim, full) -> DataFrame:
         stale = None if stale.isEmpty() else stale
     titled = todo.withColumn("doc_title", markdown.stem(F.col("path")))
     if extractor is None:
-        title = F.array_join(F.slice(text.tokens(F.col("text")), 1, 5), " ")
-        plain = {"title": title, "summary": F.lit(""), "content": F.col("text"), "category": F.lit(""), "keywords": F.array().cast("array<string>")}
+        plain = {"title": text.title(F.col("text")), "summary": F.lit(""), "content": F.col("text"), "category": F.lit(""), "keywords": F.array().cast("array<string>")}
         made = offline_entities(titled).select("*", *(c.alias(n) for n, c in plain.items()))
         made = made.withColumn("error", F.when(F.size("entities") == 0, "no event"))
     else:
