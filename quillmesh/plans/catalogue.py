@@ -96,15 +96,26 @@ def _index(spark: SparkSession, sf: str, kind: str = "documents") -> str:
     if key not in _ROOTS:
         root = f"{scratch.shared_dir(spark)}/index-{uuid.uuid4().hex}"
         files = corpus.from_table(_t(spark, sf, "documents")) if kind == "documents" else _files(spark, sf)
-        index.build(spark, files, root, semantic=kind == "documents")
-        if kind == "documents":
-            index.build_events(spark, root)
+        index.build(spark, files, root, semantic=kind == "documents", embed=kind != "documents")
         _ROOTS[key] = root
     return _ROOTS[key]
 
 
+def _made(spark: SparkSession, root: str, names: tuple[str, ...]) -> str:
+    """The root, once the index has what the queries of these tables read: vectors and events of documents are made at
+    their first use."""
+    have = store.listing(spark, root)
+    if "vectors" in names and index.vector_table() not in have:
+        index.add_vectors(spark, root)
+    if "events" not in have and any(n.startswith("event") for n in names):
+        index.build_events(spark, root)
+    return root
+
+
 def _of(spark: SparkSession, sf: str, *names: str, kind: str = "documents") -> list[DataFrame]:
-    return [store.load(spark, _index(spark, sf, kind), index.vector_table() if n == "vectors" else n) for n in names]
+    root = _index(spark, sf, kind)
+    root = _made(spark, root, names)
+    return [store.load(spark, root, index.vector_table() if n == "vectors" else n) for n in names]
 
 
 def _graph(spark: SparkSession, sf: str, kind: str = "documents") -> tuple[DataFrame, DataFrame]:

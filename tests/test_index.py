@@ -1,9 +1,13 @@
 """Versions of an index: what a change writes, who may commit, models, events by chunk, and what stays behind."""
 
+import hashlib
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.functions import providers
+from quillmesh.functions import providers, text
 from quillmesh.operators import index, retrieve
 from quillmesh.sources import markdown, scratch, store
 from quillmesh.sources.store import Change
@@ -160,3 +164,32 @@ def test_markdown_against_rules_by_regular_expressions():
         assert [(a, b) for k, a, b, _ in found if k == "wiki"] == [m.span() for m in re.finditer(r"\[\[[^\]\n]+\]\]", masked)]
         assert [s for k, _, _, s in found if k == "tag"] == re.findall(r"(?:(?<=^)|(?<=[^\w#]))#([A-Za-z0-9][\w/-]*)", masked)
         assert [a for _, a, _, _ in found] == sorted(a for _, a, _, _ in found)
+
+
+def test_vectors_made_afterwards(spark, tmp_path):
+    """A build without vectors, and the vectors of a model that chunks lack, are what a build with vectors makes."""
+    root, whole = str(tmp_path / "a"), str(tmp_path / "b")
+    files = lambda *bodies: spark.createDataFrame([(f"{i}.md", b) for i, b in enumerate(bodies)], "path string, text string")
+    for first in (True, False):
+        corpus = files("Ann met Bob.", "# One\nTwo _three") if first else files("Ann met Bob.", "# One\nFour", "Five")
+        index.build(spark, corpus, root, embed=False)
+        assert first == (index.vector_table() not in store.listing(spark, root))
+        index.add_vectors(spark, root)
+        index.build(spark, corpus, whole)
+        got, want = ({r.id: r.vector for r in index.vectors(spark, at).collect()} for at in (root, whole))
+        assert got == want and len(got) == (2 if first else 3)
+    edges = [{tuple(r) for r in store.load(spark, at, "edges").select("src", "dst", "type", "meta").collect()} for at in (root, whole)]
+    assert edges[0] == edges[1] and any(e[2] == "relates_to" for e in edges[0])
+
+
+@pytest.mark.parametrize("body", ["Abc_ Abc Ab1 aBc Äbc XÄ A B2 _Cd Ef", "", " \n", "one two, three. four five six", "...a", "Ab Ab\nCd"])
+def test_names_and_titles(spark, body):
+    df = spark.createDataFrame([(body,)], "t string").select(text.entity_names(F.col("t")).alias("names"), text.title(F.col("t")).alias("title"), *(text.embed(F.col("t"), d).alias(f"v{d}") for d in (2, 8, 16)))
+    r, words = df.first(), re.findall(r"\w+", body)
+    assert r.names == list(dict.fromkeys(w for w in words if re.fullmatch("[A-Z][a-zA-Z0-9]+", w))) and r.title == " ".join(words[:5])
+    for d in (2, 8, 16):
+        n = [0] * d
+        for w in re.findall(r"\w+", body.lower()):
+            n[int(hashlib.sha256(w.encode()).hexdigest(), 16) % d] += 1
+        size = math.sqrt(sum(x * x for x in n)) or 1.0
+        assert r[f"v{d}"] == [x / size for x in n]
