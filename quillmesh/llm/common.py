@@ -102,6 +102,25 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.arange(total, dtype=np.int64) + shift]
 
 
+def packed(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit keys and numbers of each as bytes: the keys' differences and the numbers by planes of their
+    bytes, compressed."""
+    gaps = np.diff(keys, prepend=np.zeros(1, np.uint64))
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(keys), c.itemsize).T.tobytes() for c in (gaps, *columns))
+    return len(keys).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """What packed has made of keys and columns of these kinds."""
+    n, kinds = int.from_bytes(data[:8], "little"), [np.dtype(k) for k in ("<u8", *kinds)]
+    planes = np.frombuffer(pa.decompress(data[8:], n * sum(k.itemsize for k in kinds), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.ascontiguousarray(planes[at : at + n * k.itemsize].reshape(k.itemsize, n).T).view(k).ravel())
+        at += n * k.itemsize
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
 def rename_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the columns asked for, under the names given: rename_columns(df, doc_id="id"). Others can't clash."""
     return df.select(*[df[column].alias(name) for name, column in wanted.items()])

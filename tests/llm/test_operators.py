@@ -569,3 +569,23 @@ def test_links_just_above_the_least_similarity(spark):
     table = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
     assert got == {2 * i + k: (1, 2 * i) for i in range(6000) for k in (0, 1)}
+
+
+def test_toxicity_exchange_is_small(spark):
+    """Pairs and words that weren't sent are asked for with less than 12 bytes each, there and back."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(400)), int(i % 3 == 0)) for i in range(500)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(2).cache()
+    p = toxicity.Params(sent_words=40, sent_pairs=40)
+    model = toxicity.fit(t, p)
+    held, words = {r.key for r in model.pairs.select("key").collect()}, {r.key for r in model.words.select("key").collect()}
+    asked = sum(len(of.intersection(k)) for _, text, _ in rows for k in [np.array([xxhash.xxh64_intdigest(w) for w in text.split()], np.uint64)] for of, k in ((held, set(toxicity._pairs(k).view(np.int64).tolist())), (words, set(k.view(np.int64).tolist()))))
+    before = _shuffled(spark)
+    assert toxicity.measure(t.drop("y"), model, p).count() == 500
+    assert asked > 100_000 and _shuffled(spark) - before < 12 * asked
+
+
+def _shuffled(spark):
+    """Bytes that this session's stages have written for shuffles."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
