@@ -57,12 +57,17 @@ def drop_written(spark: SparkSession, paths: list[str] | None = None, keep: Data
     for path in gone:
         _WRITTEN.remove(path)
         _delete(spark, path)
-    if gone:  # shuffle files go when the plans that made them are collected
-        gc.collect()
-        spark._jvm.System.gc()
+    if gone:
+        collected(spark)
     return len(gone)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the shuffle files of finished plans go: they do when the plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that what Python holds at once stays small."""
     for batch in batches:

@@ -3,6 +3,7 @@
 1. Equal vectors of a label form a class; its least id stands for it, with the class's size as its weight.
 2. In each table, a class's signs against the table's hyperplanes (and its label) name a bucket. Buckets of one member
    fall away before any vector moves.
+   Tables come in passes, one after the other, so that the rows of one pass are shuffled and stored at once.
 3. Buckets of a few members give pairs, each of which is compared once, whatever the number of tables it meets in. Members
    of larger buckets are compared in blocks: block x with block y, a task's group holding two blocks at most,
    whatever the bucket's size. A pair counts in the first table only in which it meets. What leaves a group is a row
@@ -15,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hub_bound, hub_join, rename_columns, slices, written
+from .common import collected, discard, hub_bound, hub_join, rename_columns, slices, written
 from .components import components
 
 
@@ -32,39 +33,45 @@ from .components import components
 class Params:
     """bits, tables: of a signature, and how many there are; for None they follow from the rows of the most frequent
     label: so many bits that a bucket of unlike vectors holds about `bucket` (16 at least, 32 at most), and so many
-    tables (at most 1000) that a pair of the least similarity shares no bucket with a probability of `miss` at most: 150
-    tables for 16 bits. few: members of a bucket whose pairs are listed. block: members of larger ones compared in one
-    piece."""
+    tables (at most 1000) that a pair of the least similarity shares no bucket with a probability of `miss` at most: 48
+    tables for 16 bits. passes: so many times as many tables, one after the other, so that all of them miss such a pair
+    with miss ** passes, and only the rows of one pass are shuffled at once. few: members of a bucket whose pairs are
+    listed. block: members of larger ones compared in one piece."""
 
     similarity: float = 0.93
     tables: int | None = None
     bits: int | None = None
     bucket: int = 64
-    miss: float = 1e-9
+    miss: float = 0.00135
+    passes: int = 3
     few: int = 6
     block: int = 1024
     seed: int = 20240
 
     def sized(self, rows: int) -> Params:
-        """These parameters with bits and tables for so many rows of one label."""
+        """These parameters with bits and tables (of a pass) for so many rows of one label."""
         bits = self.bits or min(32, max(16, math.ceil(math.log2(max(rows, 1) / self.bucket))))
         share = (1 - math.acos(self.similarity) / math.pi) ** bits
         return replace(self, bits=bits, tables=self.tables or min(1000, math.ceil(math.log(self.miss) / math.log1p(-share))))
 
+    @property
+    def all_tables(self) -> int:
+        return self.tables * self.passes
+
 
 def _code(p: Params) -> str:
     return "<u2" if p.bits <= 16 else "<u4"
 
 
 def _planes(dim: int, p: Params) -> np.ndarray:
-    return np.random.default_rng([p.seed, dim]).standard_normal((dim, p.tables * p.bits))
+    return np.random.default_rng([p.seed, dim]).standard_normal((dim, p.all_tables * p.bits))
 
 
 def _signed(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterator[pa.RecordBatch]:
     """Per vector: a key of its class (zeros if it links with nothing), a key of what it is compared with, itself as bytes, its bucket numbers."""
     planes: dict[int, np.ndarray] = {}
     power = 1 << np.arange(p.bits)
-    for batch in slices(batches, 2048):
+    for batch in slices(batches, 512):
         n = batch.num_rows
         k1, k2, peers, raw, codes = [0] * n, [0] * n, [0] * n, [None] * n, [None] * n
         labels = batch.column("label").to_pylist()
@@ -81,7 +88,7 @@ def _signed(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterato
             if dim not in planes:
                 planes[dim] = _planes(dim, p)
             signs = (x / size[good, None]) @ planes[dim] > 0
-            code = (signs.reshape(len(rows), p.tables, p.bits) * power).sum(axis=2).astype(_code(p))
+            code = (signs.reshape(len(rows), p.all_tables, p.bits) * power).sum(axis=2).astype(_code(p))
             for j, i in enumerate(rows):
                 raw[i], codes[i] = x[j].astype(dtype).tobytes(), code[j].tobytes()
                 of = f"{dim}|{labels[i]}|".encode()
@@ -91,13 +98,13 @@ def _signed(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(peers, pa.int64()), pa.array(raw, pa.binary()), pa.array(codes, pa.binary())], names=["vec_id", "k1", "k2", "peers", "vector", "codes"])
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
-    """Classes (rep, peers, codes) -> (rep, tab, bucket)."""
+def _bucketed(batches: Iterator[pa.RecordBatch], p: Params, turn: int) -> Iterator[pa.RecordBatch]:
+    """Classes (rep, peers, codes) -> (rep, tab, bucket) in the tables of a pass."""
     for batch in slices(batches, 2048):
-        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), _code(p)).reshape(-1, p.tables).astype(np.uint64)
+        codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), _code(p)).reshape(-1, p.all_tables)[:, turn * p.tables : (turn + 1) * p.tables].astype(np.uint64)
         keys = batch.column("peers").to_numpy().view(np.uint64)
-        tab = np.arange(p.tables, dtype=np.uint64)
-        bucket = (keys[:, None] ^ (codes << np.uint64(10) | tab) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        tab = np.arange(turn * p.tables, (turn + 1) * p.tables, dtype=np.uint64)
+        bucket = (keys[:, None] ^ (codes << np.uint64(16) | tab) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), p.tables)), pa.array(np.tile(tab.astype(np.int32), len(keys))), pa.array(bucket.ravel())], names=["rep", "tab", "bucket"])
 
 
@@ -146,8 +153,8 @@ def _compared(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Itera
         v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
         i, j = _pairs(cuts, v, own, x, y, p.similarity)
         if len(i):  # those that have met in a table before count there
-            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), _code(p)).reshape(len(rep), p.tables)
-            before = np.arange(p.tables) < tab[i, None]
+            codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), _code(p)).reshape(len(rep), p.all_tables)
+            before = np.arange(p.all_tables) < tab[i, None]
             met = np.concatenate([((codes[i[k : k + 65536]] == codes[j[k : k + 65536]]) & before[k : k + 65536]).any(axis=1) for k in range(0, len(i), 65536)])
             i, j = i[~met], j[~met]
         links = np.bincount(i, weight[j], len(rep)).astype(np.int64) + np.bincount(j, weight[i], len(rep)).astype(np.int64)
@@ -187,8 +194,8 @@ def _checked(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterat
         t, size = t.filter(pc.equal(*sizes)), sizes[0].filter(pc.equal(*sizes))  # lengths differ only where buckets clash
         for n in pc.unique(size).to_pylist():
             own = t.filter(pc.equal(size, n)).combine_chunks()
-            codes = [np.frombuffer(b"".join(own.column(f"codes_{k}").to_pylist()), _code(p)).reshape(own.num_rows, p.tables) for k in "ab"]
-            before = np.arange(p.tables) < own.column("tab").to_numpy()[:, None]
+            codes = [np.frombuffer(b"".join(own.column(f"codes_{k}").to_pylist()), _code(p)).reshape(own.num_rows, p.all_tables) for k in "ab"]
+            before = np.arange(p.all_tables) < own.column("tab").to_numpy()[:, None]
             good = np.einsum("ij,ij->i", *(unit(own.column(f"vector_{k}")) for k in "ab")) >= p.similarity
             good &= ~((codes[0] == codes[1]) & before).any(axis=1)
             a, b, wa, wb = (own.column(c).to_numpy()[good] for c in ("a", "b", "weight_a", "weight_b"))
@@ -196,24 +203,9 @@ def _checked(batches: Iterator[pa.RecordBatch], p: Params, dtype: str) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((a, b), (wb, wa), (root, root))], names=["rep", "links", "root"])
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", params: Params = Params()) -> DataFrame:
-    """vectors -> (vec_id, n_links, component_id long, kept boolean), one row per row.
-
-    Ids must be integers. Only vectors of one label and length are compared; those that are null, empty, zero or hold
-    null or non-finite components, and those without a label, link with nothing. A null id counts as a vector for
-    others' links only if its vector is a copy of one with an id; it has no links, a null component, and is kept. Rows
-    that repeat an id are vectors each. Other columns are ignored; an empty table gives an empty result.
-    """
-    own = rename_columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col)
-    p = params.sized(own.where("label is not null").groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
-    dtype = "<f4" if dict(own.dtypes)["embedding"] == "array<float>" else "<f8"
-    own = own.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    made = written(own.mapInArrow(partial(_signed, p=p, dtype=dtype), "vec_id long, k1 long, k2 long, peers long, vector binary, codes binary"))
-    real = made.where("vector is not null")
-    classes = real.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("peers").alias("peers"), F.first("vector").alias("vector"), F.first("codes").alias("codes"))
-    classes = written(classes.where("rep is not null"))
-
-    dealt = classes.select("rep", "peers", "codes").mapInArrow(partial(_bucketed, p=p), "rep long, tab int, bucket long")
+def _linked(classes: DataFrame, p: Params, dtype: str, turn: int) -> DataFrame:
+    """(rep, links, root) of the classes that link in the tables of a pass and in none of a pass before it."""
+    dealt = classes.select("rep", "peers", "codes").mapInArrow(partial(_bucketed, p=p, turn=turn), "rep long, tab int, bucket long")
     dealt = written(dealt)
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     n = F.ceil(F.col("size") / p.block).cast("int")
@@ -231,6 +223,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = blocks.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(partial(_compared, p=p, dtype=dtype), "rep long, links long, root long")
     found = written(found.union(single))
     discard(dealt)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", params: Params = Params()) -> DataFrame:
+    """vectors -> (vec_id, n_links, component_id long, kept boolean), one row per row.
+
+    Ids must be integers. Only vectors of one label and length are compared; those that are null, empty, zero or hold
+    null or non-finite components, and those without a label, link with nothing. A null id counts as a vector for
+    others' links only if its vector is a copy of one with an id; it has no links, a null component, and is kept. Rows
+    that repeat an id are vectors each. Other columns are ignored; an empty table gives an empty result.
+    """
+    own = rename_columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col)
+    p = params.sized(own.where("label is not null").groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+    dtype = "<f4" if dict(own.dtypes)["embedding"] == "array<float>" else "<f8"
+    own = own.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    made = written(own.mapInArrow(partial(_signed, p=p, dtype=dtype), "vec_id long, k1 long, k2 long, peers long, vector binary, codes binary"))
+    real = made.where("vector is not null")
+    classes = real.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("peers").alias("peers"), F.first("vector").alias("vector"), F.first("codes").alias("codes"))
+    classes = written(classes.where("rep is not null"))
+
+    found = []
+    for turn in range(p.passes):
+        found.append(_linked(classes, p, dtype, turn))
+        collected(found[-1].sparkSession)
+    found = reduce(DataFrame.union, found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
 

@@ -6,6 +6,7 @@ import zlib
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -589,3 +590,15 @@ def _shuffled(spark):
     """Bytes that this session's stages have written for shuffles."""
     stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_passes_of_tables():
+    """Each pass deals a vector to tables of its own, 48 at most for 16 bits."""
+    p = embedding_dedup.Params().sized(4_000_000)
+    vectors = pa.RecordBatch.from_pydict({"vec_id": [1, 2], "embedding": [[1.0, 2.0, 3.0], [1.0, 2.0, 3.5]], "label": ["a", "a"]})
+    signed = next(embedding_dedup._signed(iter([vectors]), p, "<f4"))
+    classes = pa.RecordBatch.from_arrays([signed.column(c) for c in ("vec_id", "peers", "codes")], names=["rep", "peers", "codes"])
+    passes = [next(embedding_dedup._bucketed(iter([classes]), p, turn)) for turn in range(p.passes)]
+    assert [b.num_rows for b in passes] == [2 * 48] * 3
+    assert sorted(t for b in passes for t in b.column("tab").to_pylist()) == sorted(2 * list(range(144)))
+    assert len({x for b in passes for x in b.column("bucket").to_pylist()}) > 144 * 0.9
