@@ -13,7 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from quillmesh.llm import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
-from quillmesh.llm.common import alnum_words, hub_join
+from quillmesh.llm.common import alnum_words, hub_join, packed, unpacked
 from quillmesh.llm.components import components
 from quillmesh.llm.tokens import encoder
 
@@ -572,24 +572,16 @@ def test_links_just_above_the_least_similarity(spark):
     assert got == {2 * i + k: (1, 2 * i) for i in range(6000) for k in (0, 1)}
 
 
-def test_toxicity_exchange_is_small(spark):
-    """Pairs and words that weren't sent are asked for with less than 12 bytes each, there and back."""
-    rng = random.Random(4)
-    rows = [(i, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(400)), int(i % 3 == 0)) for i in range(500)]
-    t = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(2).cache()
-    p = toxicity.Params(sent_words=40, sent_pairs=40)
-    model = toxicity.fit(t, p)
-    held, words = {r.key for r in model.pairs.select("key").collect()}, {r.key for r in model.words.select("key").collect()}
-    asked = sum(len(of.intersection(k)) for _, text, _ in rows for k in [np.array([xxhash.xxh64_intdigest(w) for w in text.split()], np.uint64)] for of, k in ((held, set(toxicity._pairs(k).view(np.int64).tolist())), (words, set(k.view(np.int64).tolist()))))
-    before = _shuffled(spark)
-    assert toxicity.measure(t.drop("y"), model, p).count() == 500
-    assert asked > 100_000 and _shuffled(spark) - before < 12 * asked
-
-
-def _shuffled(spark):
-    """Bytes that this session's stages have written for shuffles."""
-    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+def test_pairs_are_packed():
+    """A pair of words that wasn't sent is asked for with less than 9 bytes and comes back with less than 3."""
+    rng = np.random.default_rng(6)
+    keys, text, times = np.sort(rng.integers(0, 1 << 64, 45_000, dtype=np.uint64)), rng.integers(0, 9_000, 45_000).astype(np.uint32), np.ones(45_000, np.uint32)
+    data = packed(keys, text, times)
+    assert len(data) < 9 * len(keys) and all((a == b).all() for a, b in zip(unpacked(data, "<u4", "<u4"), (keys, text, times), strict=True))
+    ratio, text = rng.choice(np.linspace(-3, 3, 60).astype(np.float32), len(text)), np.sort(text)
+    data = toxicity._answer(text, ratio, times)
+    assert len(data) < 3 * len(keys) and all((a == b).all() for a, b in zip(toxicity._answer_read(data), (text, ratio, times), strict=True))
+    assert [len(x) for x in unpacked(packed(keys[:0], text[:0]), "<u4")] == [0, 0]
 
 
 def test_passes_of_tables():
