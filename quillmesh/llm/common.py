@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.clientserver import DEFAULT_WORKER_SLEEP_TIME
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.skew import hub_bound, hub_join  # noqa: F401 - for the operators
@@ -63,9 +65,13 @@ def drop_written(spark: SparkSession, paths: list[str] | None = None, keep: Data
 
 
 def collected(spark: SparkSession) -> None:
-    """Let the shuffle files of finished plans go: they do when the plans are collected."""
+    """Let the shuffle files of finished plans go: they do when the plans are collected. Py4J tells the JVM from a thread
+    of its own, which sleeps in between, what Python has let go of; collected before that, the last plan would stay."""
     gc.collect()
-    spark._jvm.System.gc()
+    time.sleep(DEFAULT_WORKER_SLEEP_TIME + 0.2)
+    for _ in range(2):  # what the first collection has let Spark's cleaner release may hold others
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,9 @@ Counts are exact, keyed by 64-bit hashes of words and pairs, and stay in tables
 of less than `pair_documents` documents are judged by their words alone. Of the log-ratios only those of the most
 frequent words and pairs, at most `sent_words` and `sent_pairs`, go to the tasks; the other ones of a block of texts are
 sent to the model's places (ranges of the keys), sorted and packed, and those that the model has come back to the block.
-Nothing else passes through the driver but totals, histograms of frequencies, a sketch and the bounded sample for the
+That exchange is done in passes, each for a part of the texts, whose number keeps what lies on disk at once in proportion
+to the texts, however many of their pairs the model has.
+Nothing else passes through the driver but totals, histograms of frequencies, sketches and the bounded sample for the
 curve.
 """
 
@@ -22,7 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import divergence
-from .common import alnum_words, discard, mix64, packed, rename_columns, slices, texts, unpacked, written
+from .common import alnum_words, collected, discard, mix64, packed, rename_columns, slices, texts, unpacked, written
 from .labels import bounded, fit_logistic, fold, known_labels, labelled
 
 
@@ -44,7 +46,9 @@ class Params:
     sketch_bits: binary logarithm of the sketch's cells in a row. sent_words, sent_pairs: most words and pairs whose
     log-ratios are sent to the tasks (12 bytes each); cache: words that a task keeps. window: pairs of a task that are
     summed up or asked for together. bucket_bytes: learned text whose pairs are counted in one bucket; bucket_keys: words
-    or pairs of the model at one place. block_rows: texts that ask together."""
+    or pairs of the model at one place. block_rows: texts that ask together. turns: parts of the pairs, by their hashes,
+    that are counted one after the other. exchange: bytes that are asked for and
+    answered in one pass, of a byte of all texts."""
 
     discount: float = 0.75
     top: int = 3
@@ -60,18 +64,23 @@ class Params:
     bucket_bytes: int = 1 << 22
     bucket_keys: int = 1 << 15
     block_rows: int = 1 << 14
+    turns: int = 2
+    exchange: float = 0.2
 
 
 @dataclass(frozen=True)
 class Model:
     """words, pairs: (key, documents, ratio). unseen: the ratio of words that aren't there. frequent, frequent_pairs: least
-    number of documents of the words and pairs that are sent, in steps of an eighth of a binary order; 0 if all are."""
+    number of documents of the words and pairs that are sent, in steps of an eighth of a binary order; 0 if all are.
+    rare, running: of a byte of learned text, its words and pairs that aren't sent, and all its words."""
 
     words: DataFrame
     pairs: DataFrame
     unseen: float
     frequent: int
     frequent_pairs: int
+    rare: float
+    running: float
 
 
 def _key(word: bytes) -> int:
@@ -157,8 +166,9 @@ def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     return zip(own[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True)
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], p: Params, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(text, y) -> (bucket, data): counts of pairs, summed up within windows of the task and packed by bucket."""
+def _pair_counts(batches: Iterator[pa.RecordBatch], p: Params, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """(text, y) -> (bucket, data): counts of one part of the pairs, summed up within windows of the task and packed by
+    bucket."""
     held, known, n = [], {}, 0
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -169,7 +179,8 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], p: Params, buckets: int) ->
 
     for batch in slices(batches):
         for text, y in zip(texts(batch.column("text")), batch.column("y").to_pylist(), strict=True):
-            key, times = np.unique(_pairs(_keyed(_pieces(text, p.longest), known)), return_counts=True)
+            key = _pairs(_keyed(_pieces(text, p.longest), known))
+            key, times = np.unique(key[key % np.uint64(p.turns) == turn], return_counts=True)
             held.append((key, times.astype(np.uint32), np.full(len(key), y > 0)))
             n += len(key)
             if n > p.window:
@@ -212,14 +223,17 @@ def _step(documents: Column) -> Column:
     return F.floor(F.log2(documents) * 8).cast("int")
 
 
-def _frequent(counts: DataFrame, most: int) -> int:
-    """The least step of numbers of documents that `most` rows at most reach; 0 if all may count."""
-    n = 0
-    for r in sorted(counts.groupBy(_step(F.col("documents")).alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):  # some hundreds at most
+def _frequent(counts: DataFrame, most: int) -> tuple[int, int, int]:
+    """The least step of numbers of documents that `most` rows at most reach, 0 if all may count; in how many documents
+    the other rows stand, summed up; and how often all rows occur."""
+    sums = F.count("*").alias("n"), F.sum("documents").alias("documents"), F.sum(F.col("toxic") + F.col("plain")).alias("times")
+    steps = sorted(counts.groupBy(_step(F.col("documents")).alias("step")).agg(*sums).collect(), reverse=True)  # some hundreds at most
+    n, times = 0, sum(r["times"] for r in steps)
+    for i, r in enumerate(steps):
         n += r["n"]
         if n > most:
-            return r["step"] + 1
-    return 0
+            return r["step"] + 1, sum(x["documents"] for x in steps[i:]), times
+    return 0, 0, times
 
 
 def _ratios(counts: DataFrame, d: float) -> tuple[DataFrame, float]:
@@ -239,19 +253,26 @@ def fit(train: DataFrame, params: Params = Params()) -> Model:
     p, sums = params, [F.sum(c).alias(c) for c in ("documents", "toxic", "plain")]
     train, schema = written(train.select("text", "y")), "key long, documents long, toxic long, plain long"
     counts = written(train.mapInArrow(partial(_word_counts, p=p), schema).groupBy("key").agg(*sums))
-    buckets = 16 + (train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // p.bucket_bytes
-    pairs = train.mapInArrow(partial(_pair_counts, p=p, buckets=buckets), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    pairs = written(pairs.mapInArrow(partial(_pairs_merged, p=p), schema))
+    collected(train.sparkSession)
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, parts = 16 + size // (p.bucket_bytes * p.turns), []
+    for turn in range(p.turns):
+        pairs = train.mapInArrow(partial(_pair_counts, p=p, buckets=buckets, turn=turn), "bucket int, data binary").repartition("bucket").sortWithinPartitions("bucket")
+        parts.append(written(pairs.mapInArrow(partial(_pairs_merged, p=p), schema)))
+        del pairs
+        collected(train.sparkSession)
+    pairs = reduce(DataFrame.union, parts)
     discard(train)
     (words, unseen), (of_pairs, _) = _ratios(counts, p.discount), _ratios(pairs, p.discount)
-    return Model(words, of_pairs, unseen, _frequent(counts, p.sent_words), _frequent(pairs, p.sent_pairs))
+    (frequent, rare, running), (frequent_pairs, rare_pairs, _) = _frequent(counts, p.sent_words), _frequent(pairs, p.sent_pairs)
+    return Model(words, of_pairs, unseen, frequent, frequent_pairs, (rare + rare_pairs) / max(size, 1), running / max(size, 1))
 
 
 @dataclass
 class _Evidence:
     """Of each text, of its words or of its pairs: sum of the log-ratios, the greatest ones (-inf where there are fewer),
     numbers of different ones above each cut; of those that weren't sent how many different ones there are, how often
-    they occur, and (key, text, occurrences)."""
+    they occur, and (key, text, occurrences) of those that the model may have."""
 
     total: np.ndarray
     high: np.ndarray
@@ -295,23 +316,28 @@ class _Evidence:
 
 
 class _Scorer:
-    """words, pairs: sorted keys and their ratios. others: a sketch of the other pairs of the model, if there are any."""
+    """words, pairs: sorted keys and their ratios. others: sketches of the other words and pairs of the model, if there
+    are any."""
 
-    def __init__(self, words: tuple, pairs: tuple, others: np.ndarray | None, p: Params):
+    def __init__(self, words: tuple, pairs: tuple, others: tuple[np.ndarray | None, np.ndarray | None], p: Params):
         self.words, self.pairs, self.others, self.p = words, pairs, others, p
-        self.known, self.keys, self.ratios = {}, np.zeros(0, np.uint64), np.zeros(0)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.keys, self.ratios, self.may = {}, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Keys and ratios of new words; NaN for those that weren't sent."""
+        """Keys and ratios of new words; NaN for those that weren't sent, and whether the model may have them."""
         keys = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
         self.known.update(zip(new, range(len(self.keys), len(self.keys) + len(new)), strict=True))
         self.keys = np.concatenate([self.keys, keys])
         self.ratios = np.concatenate([self.ratios, _looked_up(*self.words, keys)])
+        self.may = np.concatenate([self.may, np.zeros(len(keys), bool) if self.others[0] is None else _passing(keys, self.others[0], self.p.sketch_bits)])
 
     def measure(self, batch: list[str]) -> tuple[np.ndarray, list[_Evidence]]:
         """Letters (and ends of words) of each text, and what is known of its words and of its pairs."""
         if len(self.known) > self.p.cache:
-            self.known, self.keys, self.ratios = {}, np.zeros(0, np.uint64), np.zeros(0)
+            self._forget()
         split = [_pieces(t, self.p.longest) for t in batch]
         self._learn(list(set().union(*split).difference(self.known)))
         letters = np.zeros(len(batch), np.int64)
@@ -320,25 +346,25 @@ class _Scorer:
             letters[i] = sum(map(len, words)) + len(words)
             at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             different, times = np.unique(at, return_counts=True)
-            self._measured(found[0], i, self.ratios[different], times, self.keys[different])
+            self._measured(found[0], i, self.ratios[different], times, self.keys[different], self.may[different])
             pairs, times = np.unique(_pairs(self.keys[at]), return_counts=True)
             ratio = _looked_up(*self.pairs, pairs)
             may = ~np.isnan(ratio)  # of the pairs that weren't sent, those that the model may have
-            if self.others is not None:
-                may[~may] = _passing(pairs[~may], self.others, self.p.sketch_bits)
-            self._measured(found[1], i, ratio[may], times[may], pairs[may])
+            if self.others[1] is not None:
+                may[~may] = _passing(pairs[~may], self.others[1], self.p.sketch_bits)
+            self._measured(found[1], i, ratio[may], times[may], pairs[may], may[may])
         return letters, found
 
-    def _measured(self, to: _Evidence, i: int, ratio: np.ndarray, times: np.ndarray, keys: np.ndarray) -> None:
+    def _measured(self, to: _Evidence, i: int, ratio: np.ndarray, times: np.ndarray, keys: np.ndarray, may: np.ndarray) -> None:
         there = ~np.isnan(ratio)
         high = np.sort(ratio[there])
         best = high[::-1][: self.p.top]
         to.total[i], to.high[i, : len(best)] = ratio[there] @ times[there], best
         to.above[i] = len(high) - np.searchsorted(high, self.p.cuts, "right")
         if not there.all():
-            n = times[~there].astype(np.uint32)
+            n, asked = times[~there].astype(np.uint32), ~there & may
             to.unseen[i], to.all_unseen[i] = len(n), n.sum()
-            to.left.append((keys[~there], np.full(len(n), i, np.uint32), n))
+            to.left.append((keys[asked], np.full(asked.sum(), i, np.uint32), times[asked].astype(np.uint32)))
 
 
 def _looked_up(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -392,7 +418,7 @@ def _asked(batches: Iterator[pa.RecordBatch], sent, buckets: tuple[int, int], p:
     for batch in slices(batches):
         letters, found = scorer.measure(texts(batch.column("text")))
         held.append((batch.drop_columns("text"), letters, found))
-        rows, n = rows + len(letters), n + sum(int(f.unseen.sum()) for f in found)
+        rows, n = rows + len(letters), n + sum(len(key) for f in found for key, _, _ in f.left)
         if rows >= p.block_rows or n >= p.window:
             yield from out()
             held, n, rows, blocks = [], 0, 0, blocks + 1
@@ -500,9 +526,27 @@ def _gathered(batches: Iterator[pa.RecordBatch], unseen: float, p: Params) -> It
         yield out()
 
 
+#: Bytes that a word or pair takes that is asked for and answered, packed.
+ASKED_BYTES = 12
+
+
+def _passes(model: Model, through: float, p: Params) -> int:
+    """How many passes the exchange takes. through: share of the pairs that the model hasn't which are asked all the same.
+    No text has more pairs than words, which bounds what is asked of a byte of text, and so the passes."""
+    return max(1, math.ceil((model.rare + through * max(model.running - model.rare, 0)) * ASKED_BYTES / p.exchange))
+
+
+def _exchanged(own: DataFrame, placed: DataFrame, sent, buckets: tuple[int, int], schema: str, unseen: float, p: Params) -> DataFrame:
+    """Some texts' other columns and x: what wasn't sent is asked at the model's places, and comes back."""
+    asked = own.mapInArrow(partial(_asked, sent=sent, buckets=buckets, p=p), placed.schema).union(placed)
+    answered = asked.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(partial(_answered, pairs_from=buckets[0]), placed.schema)
+    return written(answered.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(partial(_gathered, unseen=unseen, p=p), schema))
+
+
 def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFrame:
-    """own (text and others) -> the other columns and x, the text's numbers for the curve."""
-    p = params
+    """own (text and others) -> the other columns and x, the text's numbers for the curve, as tables in the shared
+    folder."""
+    p, spark = params, own.sparkSession
     ratio = F.col("ratio").cast("float").alias("ratio")
 
     def split(table: DataFrame, step: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
@@ -514,20 +558,24 @@ def measure(own: DataFrame, model: Model, params: Params = Params()) -> DataFram
 
     words, rare_words = split(model.words, model.frequent)
     pairs, rare_pairs = split(model.pairs, model.frequent_pairs)
-    # A sketch of the pairs that aren't sent tells which of a text's may be among them; only those are asked for.
-    rest = divergence.frequent(rare_pairs.select("key"), divergence.Params(min_docs=1, bits=p.sketch_bits), _keys_sketched) if model.frequent_pairs else None
-    sent = own.sparkSession.sparkContext.broadcast((words, pairs, rest))
+    # Sketches of the words and pairs that aren't sent tell which of a text's may be among them; only those are asked for.
+    size = divergence.Params(min_docs=1, bits=p.sketch_bits)
+    rest = tuple(divergence.frequent(rare.select("key"), size, _keys_sketched) if step else None for step, rare in ((model.frequent, rare_words), (model.frequent_pairs, rare_pairs)))
+    sent = spark.sparkContext.broadcast((words, pairs, rest))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name != "text"), "x array<double>"])
     buckets = tuple(16 + table.count() // p.bucket_keys if step else 0 for step, table in ((model.frequent, rare_words), (model.frequent_pairs, rare_pairs)))
     if not sum(buckets):
-        return own.mapInArrow(partial(_scored, sent=sent, unseen=model.unseen, p=p), schema)
-    rows = "place int, kind int, block long, data binary"
-    asked = own.mapInArrow(partial(_asked, sent=sent, buckets=buckets, p=p), rows)
-    for table, first, n in ((rare_words, 0, buckets[0]), (rare_pairs, *buckets)):
-        if n:
-            asked = asked.union(table.mapInArrow(partial(_placed, first=first, buckets=n), rows))
-    answered = asked.repartition("place").sortWithinPartitions("place", "kind").mapInArrow(partial(_answered, pairs_from=buckets[0]), rows)
-    return answered.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(partial(_gathered, unseen=model.unseen, p=p), schema)
+        return written(own.mapInArrow(partial(_scored, sent=sent, unseen=model.unseen, p=p), schema))
+    placed = [table.mapInArrow(partial(_placed, first=first, buckets=n), "place int, kind int, block long, data binary") for table, first, n in ((rare_words, 0, buckets[0]), (rare_pairs, *buckets)) if n]
+    placed = written(reduce(DataFrame.union, placed))
+    through = math.prod(float(np.bitwise_count(row).mean()) / 8 for row in rest[1]) if buckets[1] else 0.0
+    passes, out = _passes(model, through, p), []
+    turn = F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in own.columns)), F.lit(passes))
+    for i in range(passes):
+        out.append(_exchanged(own.where(turn == i), placed, sent, buckets, schema, model.unseen, p))
+        collected(spark)
+    discard(placed)
+    return reduce(DataFrame.union, out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), params: Params = Params()) -> DataFrame:
@@ -541,7 +589,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     p = params
     train = labelled(docs, labels, label_col, id_col, text_col).where(fold("doc_id", 5).isin(1, 2, 3))
     own = rename_columns(docs, doc_id=id_col, text=text_col, **{f"_{i}": c for i, c in enumerate(carry)})
-    measured = written(measure(own, fit(train, p), p))
+    measured = measure(own, fit(train, p), p)
     rows = measured.where(fold("doc_id", 5) == 4).select("doc_id", "x").join(known_labels(labels, label_col, id_col), "doc_id")
     got = bounded(rows, p.calibration_rows, rows.count()).select("y", "x").toPandas()
     x, y = np.array(got["x"].tolist(), float).reshape(-1, 2 * (3 + len(p.cuts))), got["y"].to_numpy(float)

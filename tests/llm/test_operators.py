@@ -1,6 +1,10 @@
+import dataclasses
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from functools import partial
@@ -594,3 +598,58 @@ def test_passes_of_tables():
     assert [b.num_rows for b in passes] == [2 * 48] * 3
     assert sorted(t for b in passes for t in b.column("tab").to_pylist()) == sorted(2 * list(range(144)))
     assert len({x for b in passes for x in b.column("bucket").to_pylist()}) > 144 * 0.9
+
+
+def test_toxicity_asks_in_passes(spark, monkeypatch):
+    """Words and pairs that weren't sent are asked in passes, whose shuffles stay in proportion to the texts however many
+    of their pairs the model has; the rows and their numbers are those of one pass."""
+    rng = random.Random(21)
+    some = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(90)]
+    t = spark.createDataFrame([(i, " ".join(rng.choices(some, k=60)), int(i % 3 == 0)) for i in range(200)], "doc_id long, text string, y int")
+    own = t.select("doc_id", "text").union(spark.createDataFrame([(7, None), (None, "new words"), (None, "new words"), (None, None)], "doc_id long, text string"))
+    p = toxicity.Params(sent_words=20, sent_pairs=20, sketch_bits=18, exchange=1e9)
+    model = toxicity.fit(t, p)
+    real, parts = toxicity._exchanged, []
+    monkeypatch.setattr(toxicity, "_exchanged", lambda *a: parts.append(real(*a)) or parts[-1])
+    of = lambda p: sorted(((r.doc_id, *np.round(r.x, 9)) for r in toxicity.measure(own, model, p).collect()), key=str)
+    one = of(p)
+    assert len(parts) == 1 and len(one) == 204
+    few = toxicity.Params(sent_words=20, sent_pairs=20, sketch_bits=18, exchange=0.5)
+    assert of(few) == one and len(parts) > 3
+    assert sum(x.count() for x in parts[1:]) == 204 and max(x.count() for x in parts[1:]) < 204 * 2 / (len(parts) - 1)
+    full = dataclasses.replace(model, rare=model.running)
+    assert toxicity._passes(full, 1.0, few) == toxicity._passes(full, 0.0, few) == math.ceil(model.running * toxicity.ASKED_BYTES / 0.5)
+
+
+def test_words_that_the_model_lacks_are_not_asked():
+    """Only words that the sketch lets through are asked for; all that weren't sent count as unseen."""
+    p = toxicity.Params(sketch_bits=18)
+    rare = np.array([xxhash.xxh64_intdigest(w) for w in (b"rare", b"seldom")], np.uint64)
+    sketch = np.zeros((2, 1 << 18), np.uint8)
+    for row, at in zip(sketch, toxicity._cells(rare, 2, 18)):
+        row[at] = 1
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    _, (words, pairs) = toxicity._Scorer(none, none, (np.packbits(sketch, axis=1), None), p).measure(["rare new newer rare", "seldom newest"])
+    assert [x.tolist() for x in words.left[0]] == [[int(rare[0])], [0], [2]] and [x.tolist() for x in words.left[1]] == [[int(rare[1])], [1], [1]]
+    assert words.unseen.tolist() == [3, 2] and words.all_unseen.tolist() == [4, 2] and not pairs.left
+
+
+def test_shuffle_files_go_between_passes(tmp_path):
+    """Once a table is stored and collected() has returned, the shuffle that made it leaves the disk."""
+    code = """
+import os, sys, time
+from pyspark.sql import SparkSession
+from quillmesh.llm.common import collected, written
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.local.dir", sys.argv[1] + "/l").config("spark.checkpoint.dir", sys.argv[1] + "/s").getOrCreate()
+shuffles = lambda: sum(f.startswith("shuffle_") for _, _, files in os.walk(sys.argv[1] + "/l") for f in files)
+for _ in range(3):
+    written(s.range(100_000).repartition(4, "id"))
+    assert shuffles()
+    collected(s)
+    end = time.time() + 10
+    while shuffles() and time.time() < end:
+        time.sleep(0.1)
+    print("left", shuffles())
+"""
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": os.pathsep.join(p or "." for p in sys.path)})
+    assert done.stdout.split() == ["left", "0"] * 3, done.stderr[-2000:]
