@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from quillmesh.llm import decontaminate, embedding_dedup, html_text, id_files, licenses, minhash_dedup, packing, pii, quality, toxicity
 from quillmesh.llm.common import alnum_words, hub_join, packed, unpacked
 from quillmesh.llm.components import components
-from quillmesh.llm.tokens import encoder
+from quillmesh.llm.tokens import ChunkEncoder, encoder
 
 DOCS = "doc_id long, text string, rep long, bucket long, label int, score double"
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -286,6 +286,34 @@ def test_added_tokens_as_the_library(spark):
             assert [x.tolist() for x in encoder(f.read()).encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_pieces_as_the_library():
+    """Texts of plain and odd characters in any order get the library's ids, from one batch or several."""
+    rng = random.Random(8)
+    parts = ["a", "The", "É", "ß", "İ", "ŉ", "Ж", "ё", "×", "ª", "²", "12", "7", " ", " ", " ", "  ", "\n", "\n", "\r", "\t", "\xa0", "\u200a", "\x00", "'s", "'LL", "’", ".", ",", "%%%", "_", "<|", "|>", "</w>", "\u0301", "\u030c", "J", "漢", "한", "😀", "Σ", "ς", "λόγος", "\u212a", "Ġ", "\ufeff", "\\", "]"]
+    batches = [["".join(rng.choices(parts, k=rng.choice((0, 1, 2, 4, 9, 40)))) for _ in range(rng.choice((1, 3, 200)))] for _ in range(30)]
+    for path in (BYTES, WORDS):
+        t = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            e = encoder(f.read())
+        assert e.sure
+        for texts in [*batches, [""], ["", " "], []]:
+            assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_are_asked_once():
+    """Words with other marks, lines or capitals aren't asked of the library again."""
+    rng = random.Random(9)
+    with open(WORDS, encoding="utf-8") as f:
+        e = ChunkEncoder(f.read())
+    some = ["".join(rng.choices("aeionrst", k=8)) for _ in range(1000)]
+    asked, ids = [], e._ids
+    e._ids = lambda texts: asked.extend(texts) or ids(texts)
+    e.encode([" ".join(some)])
+    before = sum(map(len, asked))
+    e.encode([" ".join(f"{w.title()}{rng.choice(('%%%', '!!', ');'))} ({w}.\n{v}" for w, v in zip(some, some[1:], strict=False))])
+    assert before > 8000 and sum(map(len, asked)) < before + 100
+
+
 def test_id_files(spark, odd, none):
     v = np.array([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1] * 3, np.uint32)
     assert (id_files.decode_values(*id_files.encode_values(v), len(v)) == v).all() and id_files.encode_values(v[:0]) == (b"", b"")
