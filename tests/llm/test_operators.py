@@ -681,3 +681,47 @@ for _ in range(3):
 """
     done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": os.pathsep.join(p or "." for p in sys.path)})
     assert done.stdout.split() == ["left", "0"] * 3, done.stderr[-2000:]
+
+
+def test_crowded_buckets_move_no_vectors(spark):
+    """Vectors that share buckets without linking are told apart by their sketches: what is shuffled stays below 250 bytes a
+    vector and table, though each meets hundreds of the others."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 128)) * 0.1 + np.eye(128)[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert links.sum() == 0 and (u @ u.T).mean() > 0.4
+    table = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label long, embedding array<double>")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [got[i] for i in range(4000)] == links.tolist()
+    assert shuffled() - before < 144 * 250 * 4000
+
+
+def test_rounds_of_tables(spark, monkeypatch):
+    """Tables dealt in more rounds and pairs checked in slices give the rows of one round; large groups of near copies are
+    compared in blocks, small ones listed, and a pair counts once wherever it meets."""
+    rng = np.random.default_rng(9)
+    sizes = [1] * 200 + [2] * 30 + [5] * 10 + [30, 300]
+    base = np.repeat(rng.standard_normal((len(sizes), 24)), sizes, axis=0)
+    x = base + rng.standard_normal(base.shape) * 0.15
+    x[1::50] = x[::50]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    p = embedding_dedup.Params(bits=6, tables=9, passes=4, block=16)
+    made, real = [], embedding_dedup._candidates
+    monkeypatch.setattr(embedding_dedup, "_candidates", lambda *a: made.append(real(*a)) or made[-1])
+    of = lambda: sorted(map(tuple, embedding_dedup.near_duplicates(table, params=p).collect()))
+    one = of()
+    assert len(made) == 4 and [r[1] for r in one] == links.tolist()
+    monkeypatch.setattr(embedding_dedup, "ROOM", 1)
+    assert of() == one and 4 < len(made) - 4 < 36
+    assert [t for k in range(8) for t in embedding_dedup._tabs(p, k, 2)] == list(range(36))
